@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.llm import bpe, token_counts
+from tempora.llm import bpe, near_dedup, suffix_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_token_counts": token_counts.op4_token_counts,
+        "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
+        "op8_near_dedup": near_dedup.op8_near_dedup,
         "op10_bpe_round_trip": bpe.op10_bpe_round_trip,
     }
 
