@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.llm import bpe, near_dedup, suffix_dedup, token_counts
+from tempora.llm import bpe, cover_tree, merkle, near_dedup, suffix_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_merkle_fingerprint": merkle.op1_merkle_fingerprint,
+        "op2_cover_tree": cover_tree.op2_cover_tree,
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
         "op8_near_dedup": near_dedup.op8_near_dedup,
