@@ -4,10 +4,12 @@ A sparse suffix array finds the strings. Each window of 50 bytes has an anchor:
 gram in it whose hash is least, the leftmost on a tie. Equal windows have equal anchors, so only the
 suffixes that start at anchors (about one in 14) are sorted:
 
+0.  Rows are dealt into parts by a hash of doc_id, as compressed Arrow streams; all steps read the parts from this one shuffle.
 1.  Splitters sampled from the leading 8 bytes range-partition the suffixes; equal leading bytes fall into one
     range, so neighbours to compare never lie on two sides of a boundary. Each range is sorted by multikey
     quicksort: by the leading 8 bytes, then within ties by the rest of the gram. A run of equal grams
-    whose documents all agree on the text of all windows around the anchor is settled by its least doc_id.
+    whose documents all agree on the text of all windows around the anchor is settled by its least doc_id;
+    so is a member of any run whose text around is that of the run's least document.
 2.  Where the texts around equal grams differ, each window by itself is ranged by its fingerprint, sorted, and
     settled by its least doc_id.
 
@@ -24,6 +26,7 @@ gives no rows. Fingerprints of grams and windows have 64 bits, those of the text
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,7 @@ from tempora.llm.common import SLICE_BYTES, binary_array, byte_view, mix, powers
 SPAN, GRAM = 50, 24
 #: Text bytes in a part, messages in a range, text bytes of the sample that the splitters come from.
 PART_BYTES, RANGE_MESSAGES, SAMPLE_BYTES = 2 << 20, 600_000, 8 << 20
-SHARED, DIFFERS, EARLIER = 1, 2, 4
+SHARED, DIFFERS, EARLIER, FIRST_TEXT = 1, 2, 4, 8
 MASK = np.uint64(0xFFFFFFFF)
 
 
@@ -146,19 +149,17 @@ class Part:
             lead = (lead << np.uint64(8)) | self.data[self.place + k]
         rest = (grams & np.uint64(0xFFFFFF)).astype(np.uint32)
         self.around = around & np.uint64(0xFFFFFFFFFFFF)
-        order = multikey_order(lead, rest)
+        doc_id = self.ids[self.document]
+        order = multikey_order(lead, rest, doc_id, self.around)
         start = run_starts(lead[order], rest[order])
         self.group = np.empty(len(order), np.int64)
         self.group[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(order))))
         self.lead, self.rest = lead[order[start]], rest[order[start]]
-        doc_id = self.ids[self.document]
+        self.least, self.text_key = doc_id[order[start]], self.around[order[start]]
+        self.flags = np.zeros(0, np.uint8)
         if len(start):
             d, a = doc_id[order], self.around[order]
-            self.least = np.minimum.reduceat(d, start)
             self.flags = ((np.maximum.reduceat(d, start) != self.least) * SHARED + (np.maximum.reduceat(a, start) != np.minimum.reduceat(a, start)) * DIFFERS).astype(np.uint8)
-            self.text_key = np.minimum.reduceat(a, start)
-        else:
-            self.least, self.flags, self.text_key = np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(0, np.uint64)
         self.doc_id = doc_id
 
     def _pieces(self):
@@ -182,9 +183,12 @@ class Part:
         """Takes the answers to first_messages; unsettled holds the anchors whose windows are looked at one by one."""
         all_flags = (self.flags | answers)[self.group]
         shared, differs = (all_flags & SHARED) > 0, (all_flags & DIFFERS) > 0
-        matched = shared & ~differs & (((all_flags & EARLIER) > 0) | (self.doc_id > self.least[self.group]))
+        later = self.doc_id > self.least[self.group]
+        matched = shared & ~differs & (((all_flags & EARLIER) > 0) | later)
+        # The text around may be that of the gram's first document even where others differ.
+        matched |= shared & differs & (self.around == self.text_key[self.group]) & (((all_flags & FIRST_TEXT) > 0) | later)
         self.low, self.high = self.first[matched], self.last[matched] + self.span
-        self.unsettled = np.flatnonzero(shared & differs)
+        self.unsettled = np.flatnonzero(shared & differs & ~matched)
 
     def windows(self) -> None:
         """Fingerprints of the unsettled anchors' windows, the distinct ones with their least doc_id."""
@@ -227,17 +231,18 @@ class Part:
 
 
 def resolve_first(blobs: list[bytes]) -> list[np.ndarray]:
-    """Answers to first_messages: whether another document has the gram, whether texts around differ, whether an earlier one has it."""
+    """Answers to first_messages: whether another document has the gram, whether texts around differ, whether an earlier one has it, whether the first one has it in the same text."""
     tables = [unpack(b) for b in blobs]
     lead, rest, least, text, flags = (np.concatenate(c) for c in zip(*tables, strict=True))
-    order = multikey_order(lead, rest)
+    order = multikey_order(lead, rest, least)
     start = run_starts(lead[order], rest[order])
     size = np.diff(np.append(start, len(order)))
-    low, high = np.minimum.reduceat(least[order], start), np.maximum.reduceat(least[order], start)
+    low, high, first_text = least[order[start]], np.maximum.reduceat(least[order], start), text[order[start]]
     differs = np.minimum.reduceat(text[order], start) != np.maximum.reduceat(text[order], start)
     both = np.bitwise_or.reduceat(flags[order], start) | ((low != high) * SHARED + differs * DIFFERS).astype(np.uint8)
     out = np.empty(len(order), np.uint8)
-    out[order] = np.repeat(both, size) | ((np.repeat(low, size) < least[order]) * EARLIER).astype(np.uint8)
+    earlier = np.repeat(low, size) < least[order]
+    out[order] = np.repeat(both, size) | (earlier * EARLIER + (earlier & (np.repeat(first_text, size) == text[order])) * FIRST_TEXT).astype(np.uint8)
     return np.split(out, np.cumsum([len(t[0]) for t in tables])[:-1])
 
 
@@ -253,6 +258,30 @@ def resolve_second(blobs: list[bytes]) -> list[np.ndarray]:
     return np.split(out, np.cumsum([len(t[0]) for t in tables])[:-1])
 
 
+def _packed(n_columns: int):
+    """(part, columns ...) -> (part, blob): a batch's rows of each part as a compressed Arrow stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+        for batch in batches:
+            part = batch.column(0).to_numpy()
+            order = np.argsort(part, kind="stable")
+            rows, start = batch.select(range(1, n_columns)).take(pa.array(order)), run_starts(part[order])
+            blobs = []
+            for a, b in zip(start, np.append(start[1:], len(order)), strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=options) as stream:
+                    stream.write_batch(rows.slice(a, b - a))
+                blobs.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(part[order][start]), pa.array(blobs, pa.binary())], ["part", "blob"])
+
+    return run
+
+
+def _rows(table: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in table["blob"].to_pylist()]).combine_chunks()
+
+
 MESSAGE = "place long, part long, step int, blob binary"
 
 
@@ -308,24 +337,26 @@ def remove_repeats(df: DataFrame, span: int = SPAN, gram: int = GRAM, carry: tup
     out_schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept_fields), "removed array<struct<start:bigint,end:bigint>>", "kept binary"])
     names = [f.name for f in kept_fields]
 
+    dealt = dealt.select("part", *df.columns).mapInArrow(_packed(1 + len(df.columns)), "part long, blob binary")
+
     def part_of(table: pa.Table) -> Part:
-        table = table.combine_chunks()
         return Part(table["text"].combine_chunks(), table["doc_id"].combine_chunks(), span, gram)
 
     def ask_first(table: pa.Table) -> pa.Table:
         k = table["part"][0].as_py()
-        return _messages([(p, k, 0, b) for p, b in part_of(table).first_messages(cuts.value)])
+        return _messages([(p, k, 0, b) for p, b in part_of(_rows(table)).first_messages(cuts.value)])
 
     def ask_second(table: pa.Table, state: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _messages([])
-        k, part = table["part"][0].as_py(), part_of(table)
+        k, part = table["part"][0].as_py(), part_of(_rows(table))
         answers, rows = _answers(state, 1)
         part.settle(answers)
         part.windows()
         return _messages([*rows, *((p, k, 2, b) for p, b in part.second_messages(n_ranges))])
 
     def finish(table: pa.Table, state: pa.Table) -> pa.Table:
+        table = _rows(table)
         part = part_of(table)
         part.settle(_answers(state, 1)[0])
         part.windows()
