@@ -1,13 +1,63 @@
-"""The corpus pipeline: quality, language, near-duplicates, repeated passages, packing."""
+"""The corpus pipeline: quality, language, near-duplicates, repeated passages, packing.
+
+Each stage is a function of (spark, docs, sf_dir) over all rows that the one before it kept; all but the last
+return the columns of documents. Rows without a doc_id are kept by the stages that compare documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tempora.llm import lang_cnn, near_dedup, packing, quality_em, suffix_dedup
+from tempora.llm.common import stored
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the scorer learnt from weak labels keeps."""
+    verdict = quality_em.classify(docs.select(*COLUMNS), carry=("text", "lang", "source", "n_chars"))
+    return verdict.where("keep").select(*COLUMNS)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the network tells: not `und`, and a mean probability of a half at least."""
+    docs = docs.select(*COLUMNS)
+    told = lang_cnn.predict(docs, lang_cnn.learn(docs), carry=("text", "lang", "source", "n_chars"))
+    return told.where("lang_pred <> 'und' AND score >= 0.5").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five words, 0.8 and more), that with the smallest doc_id."""
+    docs = docs.select(*COLUMNS)
+    dropped = near_dedup.near_components(docs, 80).where("NOT kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages of 50 bytes and more that a smaller doc_id has; torn characters at the cuts go too."""
+    out = suffix_dedup.remove_repeats(docs.select(*COLUMNS), carry=("lang", "source"))
+    left = F.col("kept").cast("string")
+    text = F.when(F.size("removed") == 0, left).otherwise(F.replace(F.make_valid_utf8(left), F.lit("\ufffd"), F.lit("")))
+    return out.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the training sequences; a word is the unit."""
+    return packing.best_fit(docs.select("doc_id", packing.n_words().alias("length")))
+
+
+STAGES = [("quality", quality), ("language", language), ("near_duplicates", near_duplicates), ("repeats", repeats), ("packing", packed)]
+
+#: SQL can't express the trained stages.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = stored(docs)
     return docs

@@ -6,19 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.llm import bpe, cover_tree, merkle, near_dedup, suffix_dedup, token_counts
+from tempora.llm import bpe, cover_tree, lang_cnn, merkle, near_dedup, packing, quality_em, suffix_dedup, token_counts, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_merkle_fingerprint": merkle.op1_merkle_fingerprint,
         "op2_cover_tree": cover_tree.op2_cover_tree,
+        "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
+        "op6_language_id": lang_cnn.op6_language_id,
+        "op7_arc_to_warc": warc.op7_arc_to_warc,
         "op8_near_dedup": near_dedup.op8_near_dedup,
+        "op9_weak_quality": quality_em.op9_weak_quality,
         "op10_bpe_round_trip": bpe.op10_bpe_round_trip,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_arc_to_warc": warc.OP7_SQL}
