@@ -82,7 +82,8 @@ def region_geometry(masks: DataFrame, width: int) -> DataFrame:
 
 def range_report(frames: DataFrame, stage: str) -> DataFrame:
     """Least, largest, mean and deviation of all pixels, and whether normalised ones lie in -0.1 .. 1.1."""
-    sums = frames.select("run_id", F.size("pixels").alias("n"), F.array_min("pixels").alias("lo"), F.array_max("pixels").alias("hi"), *(F.aggregate("pixels", F.lit(0.0), lambda s, p, k=k: s + F.pow(p.cast("double"), F.lit(k))).alias(f"s{k}") for k in (1, 2)))
+    power = lambda k: F.aggregate("pixels", F.lit(0.0), lambda s, p: s + F.pow(p.cast("double"), F.lit(k)))
+    sums = frames.select("run_id", F.size("pixels").alias("n"), F.array_min("pixels").alias("lo"), F.array_max("pixels").alias("hi"), power(1).alias("s1"), power(2).alias("s2"))
     m = sums.groupBy("run_id").agg(F.min("lo").cast("double").alias("min"), F.max("hi").cast("double").alias("max"), F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
     mean = F.col("s1") / F.col("n")
     ok = F.lit(stage != "normalised") | ((F.col("min") >= -0.1) & (F.col("max") <= 1.1))

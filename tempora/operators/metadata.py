@@ -37,7 +37,7 @@ def align(meta: DataFrame, params: list[str], interval: float) -> DataFrame:
     n = meta.groupBy("run_id").agg((F.max("idx") + 1).alias("n"))
     spine = n.select("run_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("idx"))
     table = meta.groupBy("run_id", "idx").pivot("param", params).agg(F.first("value"))
-    counts = meta.groupBy("run_id").pivot("param", params).agg(F.count("*"))
+    counts = meta.groupBy("run_id").pivot("param", params).agg(F.count("value"))
     one = counts.select("run_id", *(F.col(p).alias(f"_{p}") for p in params))
     first = meta.where("idx = 0").groupBy("run_id").pivot("param", params).agg(F.first("value")).select("run_id", *(F.col(p).alias(f"__{p}") for p in params))
     out = spine.join(table, ["run_id", "idx"], "left").join(one, "run_id").join(first, "run_id")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.plans import registry, rhythm_queries, series_queries  # noqa: F401
+from tempora.plans import record_queries, registry, rhythm_queries, series_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -21,10 +21,15 @@ def threshold_export(limits: DataFrame) -> DataFrame:
     return limits.select(*KEYS, "baseline_mean", "upper", "lower", (F.col("upper") - F.col("lower")).alias("band_width"))
 
 
-def parameter_table(spark, parameters: dict) -> DataFrame:
-    """name, value (as JSON) of run parameters; nested calibration statistics are left out."""
-    rows = [(k, v if isinstance(v, str) else repr(v).lower() if isinstance(v, bool) else str(v)) for k, v in sorted(parameters.items()) if not isinstance(v, dict)]
-    return spark.createDataFrame(rows, "name string, value string")
+def parameter_table(runs: DataFrame) -> DataFrame:
+    """run_id, name, value (text) of a table with a row of parameters for each run; nested ones are left out."""
+    flat = [f.name for f in runs.schema.fields if f.name != "run_id" and f.dataType.typeName() not in ("struct", "map", "array")]
+    text = runs.select("run_id", *(F.col(c).cast("string").alias(c) for c in flat))
+    return text.unpivot(["run_id"], flat, "name", "value")
+
+
+def parameter_json(runs: DataFrame) -> DataFrame:
+    return runs.select("run_id", F.to_json(F.struct(*(c for c in runs.columns if c != "run_id"))).alias("parameters"))
 
 
 def wide(rows: DataFrame, rois: list, value: str = "value", minutes: bool = True) -> DataFrame:
