@@ -92,7 +92,7 @@ def vocabulary(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 def _head(words: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray]:
     """The least total of broadcast pre-tokens, a power of two; the hashes and pieces of those, by hash."""
     bins = words.groupBy(F.floor(F.log2("total")).alias("bin")).count().orderBy(F.desc("bin")).collect()
-    least, n = 64, 0
+    least, n = 62, 0
     for row in bins:
         if n + row["count"] > most:
             break
