@@ -71,16 +71,27 @@ def check_normalised(before: DataFrame, after: DataFrame) -> DataFrame:
 def detect_jumps(samples: DataFrame, factor: float = JUMP_FACTOR) -> DataFrame:
     """samples with n and jump: the difference to the next sample where it exceeds factor times the median local deviation, else 0.
 
-    The local deviation covers the differences up to h rows around, with h from the series' length: one of nine windows that share a sort.
+    The local deviation covers the differences up to h rows around, h from the series' length. It comes from running sums of the
+    centred differences, read h rows on and h + 1 rows back, so a row costs the same whatever h.
     """
-    w = by_time()
-    out = samples.withColumns({"n": F.count("*").over(whole()), "diff": F.lead("value").over(w) - F.col("value")})
+    w, all_ = by_time(), whole()
+    up_to_now = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = samples.withColumns({"n": F.count("*").over(all_), "diff": F.lead("value").over(w) - F.col("value")})
+    out = out.withColumn("_d", F.col("diff") - F.avg("diff").over(all_))
+    sums = {"n": F.count("_d"), "a": F.sum("_d"), "b": F.sum(F.col("_d") * F.col("_d"))}
+    out = out.withColumns({f"_now_{k}": s.over(up_to_now) for k, s in sums.items()} | {f"_end_{k}": s.over(all_) for k, s in sums.items()})
+    pack = lambda side: F.struct(*(F.coalesce(F.col(f"_{side}_{k}").cast("double"), F.lit(0.0)).alias(k) for k in sums))
+    out = out.withColumns({"_now": pack("now"), "_end": pack("end")}).drop(*(f"_{side}_{k}" for side in ("now", "end") for k in sums))
     h = F.floor(F.least(F.lit(20), F.floor(F.col("n") / 5)) / 2)
-    local = F.coalesce(*(F.when(h == k, F.stddev_pop("diff").over(w.rowsBetween(-k, k))) for k in range(2, 11)))
+    on = F.coalesce(*(F.when(h == k, F.coalesce(F.lead("_now", k).over(w), F.col("_end"))) for k in range(2, 11)))
+    back = F.coalesce(*(F.when(h == k, F.lag("_now", k + 1).over(w)) for k in range(2, 11)))
+    out = out.withColumns({"_on": on, "_back": back})
+    m, s1, s2 = (F.col(f"_on.{k}") - F.coalesce(F.col(f"_back.{k}"), F.lit(0.0)) for k in sums)
+    local = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(s2 - F.try_divide(s1 * s1, m), m)))
     out = out.withColumn("local", F.when(F.col("diff").isNotNull() & (F.col("n") >= 25), local))
-    out = out.withColumn("typical", percentile("local", 0.5).over(whole()))
+    out = out.withColumn("typical", percentile("local", 0.5).over(all_))
     jump = F.when(F.abs("diff") > factor * F.col("typical"), F.col("diff")).otherwise(F.lit(0.0))
-    return out.withColumn("jump", F.coalesce(jump, F.lit(0.0))).drop("local", "typical", "diff")
+    return out.withColumn("jump", F.coalesce(jump, F.lit(0.0))).drop("local", "typical", "diff", "_d", "_now", "_end", "_on", "_back")
 
 
 def remove_jumps(samples: DataFrame, factor: float = JUMP_FACTOR) -> DataFrame:
@@ -90,14 +101,19 @@ def remove_jumps(samples: DataFrame, factor: float = JUMP_FACTOR) -> DataFrame:
 
 
 def _quadratic(samples: DataFrame) -> DataFrame:
-    """samples with trend (least-squares parabola) and trend_mean. Time is centred and scaled for each series first."""
+    """samples with trend (least-squares parabola) and trend_mean. Time is centred and scaled for each series first.
+
+    Sums are taken over the series' window, which shares partitions and sort with the jumps' windows: no join, no further shuffle.
+    """
     w = whole()
     x = samples.withColumns({"_mid": F.avg("t").over(w), "_span": F.max("t").over(w) - F.min("t").over(w)}).withColumn("_x", F.coalesce(F.try_divide(F.col("t") - F.col("_mid"), F.col("_span")), F.lit(0.0)))
-    s = {f"s{k}": F.sum(F.pow("_x", F.lit(k))) for k in range(5)} | {f"y{k}": F.sum(F.pow("_x", F.lit(k)) * F.col("value")) for k in range(3)}
-    m = x.groupBy(*KEYS).agg(*(v.alias(k) for k, v in s.items()))
-    c = solve3([[F.col(f"s{i + j}") for j in range(3)] for i in range(3)], [F.col(f"y{k}") for k in range(3)])
-    m = m.select(*KEYS, *(v.alias(f"c{k}") for k, v in enumerate(c)), ((c[0] * F.col("s0") + c[1] * F.col("s1") + c[2] * F.col("s2")) / F.col("s0")).alias("trend_mean"))
-    return x.join(m, list(KEYS)).withColumn("trend", F.col("c0") + F.col("c1") * F.col("_x") + F.col("c2") * F.col("_x") * F.col("_x")).drop("_mid", "_span", "_x", "c0", "c1", "c2")
+    power = lambda k: F.lit(1.0) if k == 0 else F.pow("_x", F.lit(k))
+    x = x.withColumns({f"_s{k}": F.sum(power(k)).over(w) for k in range(5)} | {f"_y{k}": F.sum(power(k) * F.col("value")).over(w) for k in range(3)})
+    c = solve3([[F.col(f"_s{i + j}") for j in range(3)] for i in range(3)], [F.col(f"_y{k}") for k in range(3)])
+    x = x.withColumns({f"_c{k}": v for k, v in enumerate(c)})
+    trend = F.col("_c0") + F.col("_c1") * F.col("_x") + F.col("_c2") * F.col("_x") * F.col("_x")
+    mean = (F.col("_c0") * F.col("_s0") + F.col("_c1") * F.col("_s1") + F.col("_c2") * F.col("_s2")) / F.col("_s0")
+    return x.select(*samples.columns, trend.alias("trend"), mean.alias("trend_mean"))
 
 
 def detrend_quadratic(samples: DataFrame) -> DataFrame:
@@ -114,33 +130,35 @@ def detrend_guarded(samples: DataFrame) -> DataFrame:
     return out.withColumn("value", F.when(low, F.col("value") - (F.col("trend") - first)).otherwise(F.col("_plain"))).drop("_plain", "trend", "trend_mean")
 
 
+def _with_drift(samples: DataFrame, mean_of: str) -> DataFrame:
+    """samples with _slope and _drift: the slope's rise over the series in percent of the mean of column mean_of, 0 unless that is positive."""
+    w = whole()
+    x = samples.withColumns({"_slope": F.regr_slope("value", "t").over(w), "_mean": F.avg(mean_of).over(w), "_span": F.max("t").over(w) - F.min("t").over(w)})
+    drift = F.when(F.col("_mean") > 0, F.abs(F.col("_slope") * F.col("_span")) / F.col("_mean") * 100)
+    return x.withColumn("_drift", F.coalesce(drift, F.lit(0.0)))
+
+
 def remove_drift(samples: DataFrame, mean_of: str = "value", percent: float = 1.0) -> DataFrame:
     """Takes slope times t off series that drift by more than percent of the mean of column mean_of; the intercept stays."""
-    m = samples.groupBy(*KEYS).agg(F.regr_slope("value", "t").alias("_slope"), F.avg(mean_of).alias("_mean"), (F.max("t") - F.min("t")).alias("_span"))
-    drift = F.when(F.col("_mean") > 0, F.abs(F.col("_slope") * F.col("_span")) / F.col("_mean") * 100).otherwise(F.lit(0.0))
-    m = m.withColumn("_drift", F.coalesce(drift, F.lit(0.0)))
-    out = samples.join(m, list(KEYS))
+    out = _with_drift(samples, mean_of)
     return out.withColumn("value", F.when(F.col("_drift") > percent, F.col("value") - F.col("_slope") * F.col("t")).otherwise(F.col("value"))).drop("_slope", "_mean", "_span", "_drift")
 
 
 def detrend(samples: DataFrame, jumps: bool = True) -> DataFrame:
-    """Jumps, parabola, drift; a series of fewer than 20 samples stays as it is."""
-    counted = samples.withColumn("_n", F.count("*").over(whole()))
-    few = counted.where(F.col("_n") < LEAST_SAMPLES).drop("_n")
-    many = counted.where(F.col("_n") >= LEAST_SAMPLES).drop("_n")
-    level = remove_jumps(many) if jumps else many
-    level = level.withColumn("_level", F.col("value"))
-    return remove_drift(detrend_quadratic(level), "_level").drop("_level").select(*samples.columns).unionByName(few.select(*samples.columns))
+    """Jumps, parabola, drift; a series of fewer than 20 samples stays as it is. One shuffle on the series, windows of one sort."""
+    enough = F.col("_n") >= LEAST_SAMPLES
+    level = (remove_jumps(samples) if jumps else samples).withColumns({"_n": F.count("*").over(whole()), "_level": F.col("value")})
+    flat = _quadratic(level)
+    flat = flat.withColumn("value", F.when(enough, F.coalesce(F.col("value") - F.col("trend") + F.col("trend_mean"), F.col("value"))).otherwise(F.col("value"))).drop("trend", "trend_mean")
+    out = _with_drift(flat, "_level")
+    return out.withColumn("value", F.when(enough & (F.col("_drift") > 1.0), F.col("value") - F.col("_slope") * F.col("t")).otherwise(F.col("value"))).select(*samples.columns)
 
 
 def detrend_robust(samples: DataFrame, percent: float = 2.0) -> DataFrame:
     """Jumps and drift alone; drift is measured by the original mean. With drift_percent and drift_removed."""
-    level = remove_jumps(samples.withColumn("_raw", F.col("value")))
-    m = level.groupBy(*KEYS).agg(F.regr_slope("value", "t").alias("_slope"), F.avg("_raw").alias("_mean"), (F.max("t") - F.min("t")).alias("_span"))
-    m = m.withColumn("drift_percent", F.coalesce(F.when(F.col("_mean") > 0, F.abs(F.col("_slope") * F.col("_span")) / F.col("_mean") * 100), F.lit(0.0)))
-    m = m.withColumn("drift_removed", F.col("drift_percent") > percent)
-    out = level.join(m, list(KEYS))
-    return out.withColumn("value", F.when(F.col("drift_removed"), F.col("value") - F.col("_slope") * F.col("t")).otherwise(F.col("value"))).drop("_slope", "_mean", "_span", "_raw")
+    out = _with_drift(remove_jumps(samples.withColumn("_raw", F.col("value"))), "_raw").withColumn("drift_percent", F.col("_drift"))
+    out = out.withColumn("drift_removed", F.col("drift_percent") > percent)
+    return out.withColumn("value", F.when(F.col("drift_removed"), F.col("value") - F.col("_slope") * F.col("t")).otherwise(F.col("value"))).drop("_slope", "_mean", "_span", "_drift", "_raw")
 
 
 def detrend_effect(before: DataFrame, after: DataFrame) -> DataFrame:
