@@ -304,3 +304,14 @@ def cosine_components(df: DataFrame, cosine: float = 0.95, id: str = "vec_id", v
 
 def op2_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cosine_components(read(spark, sf_dir, "embeddings"))
+
+
+#: All pairs of vectors, so this is for small tables.
+OP2_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(id, other) AS (SELECT a, b FROM links UNION SELECT r.id, l.b FROM reach AS r JOIN links AS l ON r.other = l.a),
+low AS (SELECT id, least(id, min(other)) AS component FROM reach GROUP BY id), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(low.component, vec_id) AS component_id, coalesce(low.component, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN low ON low.id = vec_id
+"""

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_arc_to_warc": warc.OP7_SQL}
+    return {"op2_cover_tree": cover_tree.OP2_SQL, "op5_suffix_dedup": suffix_dedup.OP5_SQL, "op7_arc_to_warc": warc.OP7_SQL, "op8_near_dedup": near_dedup.OP8_SQL}

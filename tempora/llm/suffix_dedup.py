@@ -383,3 +383,18 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", (F.octet_length("kept") + n_removed).alias("n_bytes"), n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+#: Every window as hexadecimal text, so this is for small tables.
+OP5_SQL = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+win AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS gram FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 49)) AS i FROM h WHERE length(x) >= 100)),
+least_id AS (SELECT gram, min(doc_id) AS m FROM win GROUP BY gram),
+hit AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM win JOIN least_id USING (gram) WHERE m < doc_id),
+run AS (SELECT *, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM hit),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY doc_id, r),
+gap AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS low, a, b FROM span),
+kept AS (SELECT doc_id, string_agg(substr(x, CAST(2 * low + 1 AS BIGINT), CAST(2 * (a - low) AS BIGINT)), '' ORDER BY a) || substr(any_value(x), CAST(2 * max(b) + 1 AS BIGINT)) AS y, sum(b - a) AS removed, count(*) AS spans FROM gap JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(y, x))) AS kept_sha256
+FROM h LEFT JOIN kept USING (doc_id)
+"""
