@@ -3,8 +3,8 @@
 Each labeller votes good, bad or nothing on a text. Expectation-maximisation over the counts of all vote patterns
 in the corpus (at most 3 to the number of labellers, whatever the corpus) estimates how often each labeller votes
 what for good and for bad texts, and the share of good ones; a pattern's posterior labels its texts. A linear
-scorer over hashed words, hashed word shapes and word repeats learns these labels from a bounded sample
-(TRAIN_DOCS) and scores every text whole.
+scorer over hashed words, hashed word shapes and word repeats learns these labels from a bounded sample of
+distinct texts (TRAIN_DOCS, twice as many at most, drawn by a digest of the text) and scores every text whole.
 
 Nulls and texts without words get no votes, score 0 and aren't kept. Repeated rows are each returned; ids, and null
 ids, have no part in a score. An empty table gives no rows.
@@ -183,7 +183,9 @@ def classify(df: DataFrame, carry: tuple[str, ...] = (), docs: int = TRAIN_DOCS)
         return spark.createDataFrame([], schema)
     posterior, _, _ = expectation_maximisation(patterns, counts)
     share = max(1, int(counts.sum()) // docs)
-    sample = df.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text").limit(2 * docs).mapInArrow(_examples, "pattern long, bucket array<long>, times array<long>").collect()
+    digest = F.xxhash64("text")
+    drawn = df.where(F.pmod(digest, F.lit(share)) == 0).select("text").dropDuplicates().orderBy(digest).limit(2 * docs)
+    sample = drawn.mapInArrow(_examples, "pattern long, bucket array<long>, times array<long>").collect()
     by_pattern = dict(zip(patterns.tolist(), posterior.tolist(), strict=True))
     rows = sorted(((by_pattern[r["pattern"]], r["bucket"], r["times"]) for r in sample if r["bucket"]))
     weight = fit_scorer([(p, np.array(b), np.array(t, float)) for p, b, t in rows])
