@@ -24,7 +24,7 @@ def plain(v):
 
 
 def close(a, b):
-    return a == b or isinstance(a, float) and isinstance(b, float) and math.isclose(a, b, rel_tol=1e-6, abs_tol=2e-4)
+    return a == b or isinstance(a, float) and isinstance(b, float) and math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9)
 
 
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
@@ -39,8 +39,8 @@ def test_query(spark, small, db, name):
     r = db.sql(sql)
     at = [list(r.columns).index(c) for c in columns]
     want = [tuple(plain(row[i]) for i in at) for row in r.fetchall()]
-    key = lambda t: tuple("" if v is None else f"{v:.1f}" if isinstance(v, float) else str(v) for v in t)
+    key = lambda t: tuple("" if v is None else f"{v:.9f}" if isinstance(v, float) else str(v) for v in t)
     assert len(got) == len(want)
     a, b = sorted(got, key=key), sorted(want, key=key)
     bad = [(x, y) for x, y in zip(a, b, strict=True) if not all(close(p, q) for p, q in zip(x, y, strict=True))]
-    assert len(bad) <= len(a) * 0.01, bad[:3]
+    assert not bad, bad[:3]
