@@ -8,7 +8,7 @@ permitted capacity that holds its contents.
 
 A document longer than the largest capacity is cut into pieces of that capacity and a rest, so nothing is
 dropped. A document without tokens makes one piece of length 0, which takes no room. A null length counts as 0.
-Repeated rows are packed each for itself; null ids are kept. An empty table gives no bins.
+Repeated rows are packed each for itself and dealt to all shards; null ids are kept. An empty table gives no bins.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm.common import read
+from tempora.llm.common import read, stored
 
-#: Permitted sequence lengths; pieces in a shard.
-CAPACITIES, SHARD_PIECES = (512, 1024, 2048, 4096), 20_000
+#: Permitted sequence lengths; pieces in a shard; copies of a row that one array holds.
+CAPACITIES, SHARD_PIECES, COPY_RUN = (512, 1024, 2048, 4096), 20_000, 100_000
 
 
 class Pieces:
@@ -108,11 +108,15 @@ def best_fit(df: DataFrame, length: str = "length", capacities: tuple[int, ...]
     capacities = tuple(sorted(capacities))
     most = capacities[-1]
     rows = df.select("doc_id", F.coalesce(F.col(length).cast("long"), F.lit(0)).alias("n"))
-    total = rows.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("n") / most)))).first()[0] or 0
+    counted = stored(rows.groupBy("doc_id", "n").agg(F.count("*").alias("copies")))  # lengths are worked out once
+    total = counted.agg(F.sum(F.col("copies") * F.greatest(F.lit(1), F.ceil(F.col("n") / most)))).first()[0] or 0
     shards = max(1, -(-int(total) // shard_pieces))
     starts = F.expr(f"transform(sequence(0L, greatest(0L, (n - 1) div {most})), p -> struct(p as piece, p * {most} as start))")
-    cut = rows.select("doc_id", "n", F.explode(starts).alias("p")).select("doc_id", "p.piece", "p.start", F.least(F.col("n") - F.col("p.start"), F.lit(most)).cast("long").alias("length"))
-    cut = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(shards)))
+    run = F.explode(F.expr(f"sequence(0L, copies - 1, {COPY_RUN}L)")).alias("first")
+    copy = F.explode(F.expr(f"sequence(first, least(copies, first + {COPY_RUN}) - 1)")).alias("copy")
+    each = counted.select("doc_id", "n", "copies", run).select("doc_id", "n", copy)
+    cut = each.select("doc_id", "n", "copy", F.explode(starts).alias("p")).select("doc_id", "copy", "p.piece", "p.start", F.least(F.col("n") - F.col("p.start"), F.lit(most)).cast("long").alias("length"))
+    cut = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length", "copy"), F.lit(shards))).drop("copy")
     kind = df.schema["doc_id"].dataType.simpleString()
     return cut.groupBy("shard").applyInArrow(_pack_shard(capacities), f"doc_id {kind}, piece long, start long, length long, shard long, bin long, place long, capacity long")
 

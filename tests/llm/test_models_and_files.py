@@ -85,6 +85,14 @@ def test_packing_rows(spark):
     assert packing.best_fit(df.limit(0)).count() == 0
 
 
+def test_packing_deals_repeated_rows_to_many_shards(spark):
+    df = spark.range(1200).selectExpr("cast(null as bigint) AS doc_id", "if(id < 900, 0, 5000) AS length")
+    rows = packing.best_fit(df, shard_pieces=100).toPandas()
+    assert len(rows) == 900 + 2 * 300 and rows.length.sum() == 300 * 5000
+    assert rows.shard.nunique() == 15 and rows.groupby("shard").size().max() < 200
+    assert (rows.groupby(["shard", "bin"]).length.sum() <= rows.groupby(["shard", "bin"]).capacity.first()).all()
+
+
 def test_best_fit_chooses_the_cheapest_bin():
     bins, place, size = packing.pack(np.array([600, 420, 400, 112]), (512, 1024))
     assert bins.tolist() == [0, 0, 1, 1] and place.tolist() == [0, 600, 0, 400] and size.tolist() == [1024, 512]
