@@ -6,9 +6,10 @@
     least id (no pairs are made), and what is so tied together is a cluster: links only exist inside clusters.
 3.  A cluster of bounded size is settled in one task: pairs whose corrected register estimate comes near the
     threshold, and that aren't connected yet, are verified on their full sets.
-4.  A larger cluster is spread over tasks: every member is verified against the most similar of a few hubs, chosen
-    from a small sample of it. What isn't connected by that is compared in blocks with all members, each
-    pair of blocks in a task of its own, which gives links between what isn't connected only.
+4.  A larger cluster is spread over tasks: every member is verified against those of a few hubs that it may link with,
+    chosen from a small sample of it. Hubs with a member in common are one component. All that isn't in the
+    largest component is compared in blocks with all members, each pair of blocks in a task of its own: of any two
+    members of different components, one at least isn't in the largest, so no link between components is missed.
 
 Nulls and texts without words have no shingles and link with nothing. Rows with one doc_id are one
 document with several texts. A row without doc_id links with nothing, keeps a null component and is kept. Copies
@@ -127,31 +128,54 @@ def _settle(percent: int):
     return run
 
 
-def _pick_hubs(table: pa.Table) -> pa.Table:
+def _pick_hubs(percent: int):
     """The sampled members that are most similar to others not near an earlier hub."""
-    register, n, ids = _registers(table["registers"]), table["n_shingles"].to_numpy(), table["id"].to_numpy()
-    k = len(ids)
-    a, b = np.repeat(np.arange(k), k), np.tile(np.arange(k), k)
-    guess = shingles.estimate(register[a], register[b], n[a], n[b]).reshape(k, k)
-    open_, hubs = np.ones(k, bool), []
-    while open_.any() and len(hubs) < HUBS:
-        hubs.append(int((np.where(guess >= 0.8, 1 + guess, 0.0)[:, open_]).sum(1).argmax()))
-        open_ &= guess[hubs[-1]] < 0.85
-        open_[hubs[-1]] = False
-    return pa.table({"cluster": table["cluster"].slice(0, 1), "hubs": pa.array([ids[hubs].tolist()], pa.list_(pa.int64())), "hub_n": pa.array([n[hubs].tolist()], pa.list_(pa.int64())), "hub_registers": pa.array([register[hubs].tobytes()], pa.binary())})
-
-
-def _nearest_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        names = batch.schema.names
-        column = lambda c: batch.column(names.index(c))
-        register, n = _registers(column("registers")), column("n_shingles").to_numpy()
-        hub = []
-        for i, (ids, sizes, raw) in enumerate(zip(column("hubs").to_pylist(), column("hub_n").to_pylist(), column("hub_registers").to_pylist(), strict=True)):
-            of = np.frombuffer(raw, np.uint16).reshape(len(ids), -1)
-            guess = shingles.estimate(np.repeat(register[i : i + 1], len(ids), 0), of, np.repeat(n[i], len(ids)), np.array(sizes))
-            hub.append(ids[int(guess.argmax())])
-        yield pa.RecordBatch.from_arrays([column("id"), pa.array(hub, pa.int64())], ["id", "hub"])
+
+    def run(table: pa.Table) -> pa.Table:
+        register, n, ids = _registers(table["registers"]), table["n_shingles"].to_numpy(), table["id"].to_numpy()
+        k = len(ids)
+        a, b = np.repeat(np.arange(k), k), np.tile(np.arange(k), k)
+        guess = shingles.estimate(register[a], register[b], n[a], n[b]).reshape(k, k)
+        open_, hubs = np.ones(k, bool), []
+        while open_.any() and len(hubs) < HUBS:
+            hubs.append(int((np.where(guess >= percent / 100 - 0.05, 1 + guess, 0.0)[:, open_]).sum(1).argmax()))
+            open_ &= guess[hubs[-1]] < percent / 100
+            open_[hubs[-1]] = False
+        return pa.table({"cluster": table["cluster"].slice(0, 1), "hubs": pa.array([ids[hubs].tolist()], pa.list_(pa.int64())), "hub_n": pa.array([n[hubs].tolist()], pa.list_(pa.int64())), "hub_registers": pa.array([register[hubs].tobytes()], pa.binary())})
+
+    return run
+
+
+def _near_hubs(percent: int):
+    """(id, hub) for each hub whose estimate comes near the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            column = lambda c: batch.column(names.index(c))
+            register, n, members = _registers(column("registers")), column("n_shingles").to_numpy(), column("id").to_pylist()
+            out = []
+            for i, (ids, sizes, raw) in enumerate(zip(column("hubs").to_pylist(), column("hub_n").to_pylist(), column("hub_registers").to_pylist(), strict=True)):
+                of = np.frombuffer(raw, np.uint16).reshape(len(ids), -1)
+                guess = shingles.estimate(np.repeat(register[i : i + 1], len(ids), 0), of, np.repeat(n[i], len(ids)), np.array(sizes))
+                out += [(members[i], ids[k]) for k in np.flatnonzero(guess >= percent / 100 - MARGIN).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["id", "hub"])
+
+    return run
+
+
+def _merge_hubs(table: pa.Table) -> pa.Table:
+    """Components of a cluster's hubs, from the sets of hubs (hubs) that members link with and how many do (docs): each hub's, and the largest."""
+    sets, docs = table["hubs"].to_pylist(), table["docs"].to_pylist()
+    hubs = sorted({h for s in sets for h in s})
+    at, forest = {h: i for i, h in enumerate(hubs)}, Forest(len(hubs))
+    for s in sets:
+        for h in s:
+            forest.join(at[s[0]], at[h])
+    size = np.zeros(len(hubs), np.int64)
+    np.add.at(size, [forest.find(at[s[0]]) for s in sets], docs)
+    known = [(h, hubs[forest.find(at[h])]) for h in hubs]
+    return pa.table({"cluster": table["cluster"].slice(0, 1), "largest": pa.array([hubs[int(size.argmax())]], pa.int64()), "component": pa.array([known], pa.map_(pa.int64(), pa.int64()))})
 
 
 def _verify(percent: int):
@@ -178,7 +202,7 @@ def _verify(percent: int):
 
 
 def _compare_blocks(percent: int):
-    """Links between the open members (open) of one block and the members of another that neither shares a component with yet."""
+    """Links between the open members of one block and the members of another that neither shares a component with yet."""
 
     def run(table: pa.Table) -> pa.Table:
         group = Group(table)
@@ -199,18 +223,21 @@ def _compare_blocks(percent: int):
 def _large(members: DataFrame, texts: DataFrame, percent: int, group_docs: int) -> DataFrame:
     """Components of clusters that one task shouldn't hold. members: id, cluster, n_shingles, registers, docs; texts: id, text."""
     sampled = members.where((F.pmod(F.xxhash64("id"), F.lit(1_000_000)) * F.col("docs") < SAMPLE * 1_000_000) | (F.col("id") == F.col("cluster")))
-    hubs = stored(sampled.select("cluster", "id", "n_shingles", "registers").groupBy("cluster").applyInArrow(_pick_hubs, "cluster long, hubs array<bigint>, hub_n array<bigint>, hub_registers binary"))
-    nearest = members.join(hubs, "cluster").select("id", "n_shingles", "registers", "hubs", "hub_n", "hub_registers").mapInArrow(_nearest_hub, "id long, hub long")
+    hubs = stored(sampled.select("cluster", "id", "n_shingles", "registers").groupBy("cluster").applyInArrow(_pick_hubs(percent), "cluster long, hubs array<bigint>, hub_n array<bigint>, hub_registers binary"))
+    near = members.join(hubs, "cluster").select("id", "n_shingles", "registers", "hubs", "hub_n", "hub_registers").mapInArrow(_near_hubs(percent), "id long, hub long")
     hub_texts = texts.join(hubs.select(F.explode("hubs").alias("id")), "id", "left_semi").groupBy(F.col("id").alias("hub")).agg(F.min("text").alias("hub_text"))
-    pairs = nearest.join(texts, "id").join(stored(hub_texts), "hub").select("id", "text", "hub", "hub_text")
-    stars = stored(pairs.mapInArrow(_verify(percent), "id long, hub long, linked boolean").groupBy("id").agg(F.min("hub").alias("hub"), F.max("linked").alias("linked")))
-    linked = stars.where("linked").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-    known = stars.select("id", "linked", F.when(F.col("linked"), F.col("hub")).otherwise(F.col("id")).alias("known"))
-    rows = stored(members.select("id", "cluster", "docs", "n_shingles").join(known, "id"))
-    open_ = rows.where(~F.col("linked")).groupBy("cluster").agg(F.count("*").alias("open_docs"))
+    pairs = near.join(texts, "id").join(stored(hub_texts), "hub").select("id", "text", "hub", "hub_text")
+    stars = stored(pairs.mapInArrow(_verify(percent), "id long, hub long, linked boolean").where("linked").groupBy("id").agg(F.array_sort(F.collect_set("hub")).alias("hubs")))
+    sets = members.select("id", "cluster").join(stars, "id").groupBy("cluster", "hubs").agg(F.count("*").alias("docs"))
+    merged = stored(sets.groupBy("cluster").applyInArrow(_merge_hubs, "cluster long, largest long, component map<bigint, bigint>"))
+    rows = members.select("id", "cluster", "docs").join(stars.select("id", F.col("hubs")[0].alias("hub")), "id", "left").join(merged, "cluster", "left")
+    known = F.coalesce(F.try_element_at("component", "hub"), "id")
+    rows = stored(rows.select("id", "cluster", "docs", known.alias("known"), (~known.eqNullSafe(F.col("largest"))).alias("open")))
+    linked = rows.where("id <> known").select(F.col("id").alias("a"), F.col("known").alias("b"))
+    open_ = rows.where("open").groupBy("cluster").agg(F.count("*").alias("open_docs"))
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / F.lit(group_docs // 2))).cast("long")
     rows = rows.join(stored(open_), "cluster").withColumns({"row_blocks": blocks("open_docs"), "column_blocks": blocks("docs"), "deal": F.xxhash64("id")}).join(texts, "id")
-    row_side = rows.where(~F.col("linked")).select(
+    row_side = rows.where("open").select(
         "cluster", F.pmod("deal", "row_blocks").alias("row_block"), F.explode(F.expr("sequence(0L, column_blocks - 1)")).alias("column_block"), "id", "known", "text", F.lit(True).alias("is_row")
     )
     column_side = rows.select(

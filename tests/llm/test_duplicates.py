@@ -75,6 +75,24 @@ def test_near_on_one_large_group(spark, group_docs):
     assert near(df.limit(0), 85) == []
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_near_on_large_groups_that_no_member_holds_together(spark, percent):
+    rnd, vocabulary = random.Random(8), [f"w{i}" for i in range(5000)]
+    base, revision, rows = [rnd.choice(vocabulary) for _ in range(400)], [rnd.choice(vocabulary) for _ in range(200)], []
+    for i in range(120):  # pairs of 0.86 and 0.82, the base isn't in the table
+        w = list(base)
+        for k in rnd.sample(range(0, 400, 5), 3 if percent == 85 else 4):
+            w[k] = rnd.choice(vocabulary)
+        rows.append((i, " ".join(w)))
+    for i in range(120):  # a chain: each revision changes one word more
+        revision[(i * 37) % 200] = f"new{i}"
+        rows.append((1000 + (i * 53) % 120, " ".join(revision)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute_near(rows, percent)
+    assert sum(r[3] for r in expected) == 2
+    assert near(df, percent, group_docs=30) == expected
+
+
 def test_estimates():
     rng = np.random.default_rng(0)
     a = np.unique(rng.integers(0, 2**63, 4000).astype(np.uint64))
