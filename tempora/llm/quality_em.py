@@ -4,7 +4,8 @@ Each labeller votes good, bad or nothing on a text. Expectation-maximisation ove
 in the corpus (at most 3 to the number of labellers, whatever the corpus) estimates how often each labeller votes
 what for good and for bad texts, and the share of good ones; a pattern's posterior labels its texts. A linear
 scorer over hashed words, hashed word shapes and word repeats learns these labels from a bounded sample of
-distinct texts (TRAIN_DOCS, twice as many at most, drawn by a digest of the text) and scores every text whole.
+distinct texts (TRAIN_DOCS, twice as many at most, drawn by a digest of the text) and scores every text whole. Where
+no text with words is drawn, the posterior is the score.
 
 Nulls and texts without words get no votes, score 0 and aren't kept. Repeated rows are each returned; ids, and null
 ids, have no part in a score. An empty table gives no rows.
@@ -159,11 +160,12 @@ def _score(broadcast, carry_from: int):
                 hashes, start, word_at = words(data, at)
                 n, measured = measures(data, at, hashes, start, word_at)
                 pattern = votes(n, measured)
-                total = np.concatenate([[0], np.cumsum(weight[features(data, at, hashes, start, word_at)].sum(1))])
-                mean = (total[word_at[1:]] - total[word_at[:-1]]) / np.maximum(3 * n, 1)
-                score = np.where(n > 0, 1 / (1 + np.exp(-np.clip(mean + weight[-1], -30, 30))), 0.0)
                 i = np.minimum(np.searchsorted(patterns, pattern), len(patterns) - 1)
-                label = np.where(n > 0, posterior[i], 0.0)
+                label = score = np.where(n > 0, posterior[i], 0.0)
+                if weight is not None:
+                    total = np.concatenate([[0], np.cumsum(weight[features(data, at, hashes, start, word_at)].sum(1))])
+                    mean = (total[word_at[1:]] - total[word_at[:-1]]) / np.maximum(3 * n, 1)
+                    score = np.where(n > 0, 1 / (1 + np.exp(-np.clip(mean + weight[-1], -30, 30))), 0.0)
                 kept = [batch.column(k).slice(a, b - a) for k in (0, *range(carry_from, batch.num_columns))]
                 names = [batch.schema.names[k] for k in (0, *range(carry_from, batch.num_columns))]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(pattern), pa.array(label), pa.array(score), pa.array(score >= 0.5)], [*names, "votes", "label", "score", "keep"])
@@ -182,13 +184,13 @@ def classify(df: DataFrame, carry: tuple[str, ...] = (), docs: int = TRAIN_DOCS)
     if not len(patterns):
         return spark.createDataFrame([], schema)
     posterior, _, _ = expectation_maximisation(patterns, counts)
-    share = max(1, int(counts.sum()) // docs)
     digest = F.xxhash64("text")
+    share = max(1, df.agg(F.approx_count_distinct(digest)).first()[0] // docs)
     drawn = df.where(F.pmod(digest, F.lit(share)) == 0).select("text").dropDuplicates().orderBy(digest).limit(2 * docs)
     sample = drawn.mapInArrow(_examples, "pattern long, bucket array<long>, times array<long>").collect()
     by_pattern = dict(zip(patterns.tolist(), posterior.tolist(), strict=True))
     rows = sorted(((by_pattern[r["pattern"]], r["bucket"], r["times"]) for r in sample if r["bucket"]))
-    weight = fit_scorer([(p, np.array(b), np.array(t, float)) for p, b, t in rows])
+    weight = fit_scorer([(p, np.array(b), np.array(t, float)) for p, b, t in rows]) if rows else None
     known = spark.sparkContext.broadcast((weight, patterns, posterior))
     return df.select("doc_id", F.col("text").alias("__text"), *carry).mapInArrow(_score(known, 2), schema)
 

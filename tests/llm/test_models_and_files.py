@@ -54,6 +54,23 @@ def test_quality_rows(spark):
     assert quality_em.classify(df.limit(0)).count() == 0
 
 
+def test_quality_learns_from_distinct_texts_beside_many_copies(spark, monkeypatch):
+    fit, sizes = quality_em.fit_scorer, []
+    monkeypatch.setattr(quality_em, "fit_scorer", lambda rows: sizes.append(len(rows)) or fit(rows))
+    texts = [f"some plain words and number {i}" for i in range(200)] + ["the same words each time"] * 20_000
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert quality_em.classify(df, docs=50).count() == len(texts)
+    assert 25 <= sizes[0] <= 100
+
+
+def test_quality_without_a_sample(spark):
+    texts = spark.createDataFrame([(i, f"some plain words and number {i}" if i % 2 else f"A{i}! | $$ || ## !!") for i in range(80)], "doc_id long, text string")
+    undrawn = texts.where(" AND ".join(f"pmod(xxhash64(text), {s}) <> 0" for s in range(15, 26))).limit(20)
+    rows = quality_em.classify(undrawn, docs=1).collect()
+    assert len(rows) == 20 and all(r["score"] == r["label"] and r["keep"] == (r["label"] >= 0.5) for r in rows)
+    assert {r["keep"] for r in rows} == {True, False}
+
+
 def test_expectation_maximisation_finds_accuracies():
     rng = np.random.default_rng(0)
     k, n = len(quality_em.LABELLERS), 40_000
