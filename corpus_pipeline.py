@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import lang_cnn, near_dedup, packing, quality_em, suffix_dedup
+from tempora.llm import lang_cnn, near_dedup, packing, quality_em, suffix_dedup, token_counts
 from tempora.llm.common import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -44,8 +44,11 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in the training sequences; a word is the unit."""
-    return packing.best_fit(docs.select("doc_id", packing.n_words().alias("length")))
+    """Where each piece of each document lies in the training sequences; a token is the unit."""
+    import public_tokenizers
+
+    counted = token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.best_fit(counted.select("doc_id", F.col("n_tokens").alias("length")))
 
 
 STAGES = [("quality", quality), ("language", language), ("near_duplicates", near_duplicates), ("repeats", repeats), ("packing", packed)]

@@ -160,6 +160,18 @@ def test_pipeline(spark, small):
     assert corpus_pipeline.run(spark, small).count() == packed.count()
 
 
+def test_pipeline_packs_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["plain words, and signs: #1!", "x7Qz/" * 4000, "漢字" * 3000, "", "plain words, and signs: #1!"]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = corpus_pipeline.packed(spark, df, "").toPandas()
+    assert rows.groupby("doc_id").length.sum().to_dict() == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert rows[rows.doc_id == 1].piece.nunique() > 1 and rows.length.max() <= 4096
+
+
 def test_pipeline_stages_take_odd_rows(spark):
     rows = [(1, None, None, None, None), (None, "word " * 30, "en", "s", 1), (2, "", "en", "s", 0), (3, "plain words of a text " * 400, "en", "s", 5), (3, "plain words of a text " * 400, "en", "s", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
