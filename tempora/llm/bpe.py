@@ -2,18 +2,20 @@
 
 A word is held as an array of part ids beside an array of the ranks of its adjacent pairs. Each
 round scans the ranks for the least, deletes the boundary there and looks up the two ranks beside
-it. Words of like length are handled as the rows of one matrix; only distinct pre-tokens are
-encoded, and each Python worker keeps a bounded table of those that it has seen.
+it. Words of like length are handled as the rows of one matrix; a long word's ranks lie in blocks
+whose minima are scanned first. Only distinct pre-tokens are encoded, and each Python worker keeps a
+bounded table of those that it has seen: hashes lead to an entry, its bytes decide.
 
 Nulls are empty texts. The string of the special token inside a text is that token, as is the
-library's default. Repeated rows and rows without an id are encoded each for itself; an empty
-table gives no rows.
+library's default. Texts and words of any length are encoded whole. Repeated rows and rows without an id are
+encoded each for itself; an empty table gives no rows. Other columns of df pass through; those that have the name
+of an output column don't. Tokenizer files with other settings than plain byte-level BPE are refused.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,11 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.llm import pretokens
-from tempora.llm.common import binary_array, byte_view, prefix_sums, range_hash, ranges, read, slices
+from tempora.llm.common import binary_array, byte_view, distinct, prefix_sums, range_hash, ranges, read, same_bytes, slices
 
 NONE = np.int32(2**31 - 1)
-#: Distinct pre-tokens that a worker remembers, words that matrices hold, and bytes up to which a rank array is scanned.
-CACHE_WORDS, MATRIX_BYTES, SCAN_BYTES = 400_000, 48, 20_000
+#: Distinct pre-tokens and their bytes that a worker remembers, and the longest words that matrices hold.
+CACHE_WORDS, CACHE_BYTES, MATRIX_BYTES = 400_000, 16 << 20, 48
 
 
 def _byte_signs() -> dict[str, int]:
@@ -37,6 +39,17 @@ def _byte_signs() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def special_token(file: dict) -> tuple[bytes, int]:
+    """The added token of a tokenizer file and its id; refuses files whose settings this encoder doesn't follow."""
+    added = file.get("added_tokens") or []
+    before, model = file.get("pre_tokenizer") or {}, file["model"]
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not file.get("normalizer")
+    plain &= model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or len(added) > 1 or any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("only byte-level BPE without a normalizer, with one plain added token at most, is encoded here")
+    return (added[0]["content"].encode(), added[0]["id"]) if added else (b"", -1)
+
+
 class Vocabulary:
     """Byte strings of all ids and, for pairs of ids, ranks and the ids that they merge to."""
 
@@ -45,10 +58,9 @@ class Vocabulary:
             file = json.load(f)
         signs = _byte_signs()
         ids = {bytes(signs[c] for c in piece): i for piece, i in file["model"]["vocab"].items() if all(c in signs for c in piece)}
-        self.special, self.special_id = b"", -1
-        for token in file.get("added_tokens") or []:
-            ids[token["content"].encode()] = token["id"]
-            self.special, self.special_id = token["content"].encode(), token["id"]
+        self.special, self.special_id = special_token(file)
+        if self.special:
+            ids[self.special] = self.special_id
         size = max(ids.values()) + 1
         self.pieces = [b""] * size
         for piece, i in ids.items():
@@ -104,42 +116,40 @@ class Vocabulary:
             # Columns past a row's parts don't exist here: every live row has lost one boundary in each round.
         return out, size
 
-    def encode_scan(self, ids: np.ndarray) -> np.ndarray:
-        """One word of any length."""
-        ranks = self.ranks(ids[:-1], ids[1:])
-        while len(ranks):
-            at = int(ranks.argmin())
-            if ranks[at] == NONE:
-                break
-            ids[at] = self.merged[ranks[at]]
-            ids, ranks = np.delete(ids, at + 1), np.delete(ranks, at)
-            for i in (at - 1, at):
-                if 0 <= i < len(ranks):
-                    ranks[i] = self.ranks(ids[i : i + 1], ids[i + 1 : i + 2])[0]
-        return ids
-
-    def encode_heap(self, ids: np.ndarray) -> np.ndarray:
-        """One very long word, with the ranks in a heap, as scans of so long an array would cost its square."""
-        parts, after = ids.tolist(), list(range(1, len(ids) + 1))
-        before = list(range(-1, len(ids) - 1))
-        ranks = self.ranks(ids[:-1], ids[1:])
-        heap = [(int(r), i, parts[i], parts[i + 1]) for i, r in enumerate(ranks) if r != NONE]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
+    def pair_rank(self) -> dict[int, tuple[int, int]]:
+        """Rank and merged id by pair, for words that are encoded one merge at a time."""
+        if not hasattr(self, "_pair_rank"):
+            known = self.keys[:-1].tolist()
+            ranks = self.key_rank[:-1]
+            self._pair_rank = dict(zip(known, zip(ranks.tolist(), self.merged[ranks].tolist(), strict=True), strict=True))
+        return self._pair_rank
+
+    def encode_long(self, ids: np.ndarray) -> np.ndarray:
+        """One word of any length. Its ranks lie in blocks, so a round scans the blocks' minima and one block, not the word."""
+        n, size, pair_rank = len(ids), self.size, self.pair_rank()
+        block = max(32, math.isqrt(n))
+        ranks = np.full(-(-n // block) * block, NONE)  # of each part and the one after it; NONE where none follows or it's gone
+        ranks[: n - 1] = self.ranks(ids[:-1], ids[1:])
+        rows = ranks.reshape(-1, block)
+        least = rows.min(1)
+        parts, after, before = ids.tolist(), list(range(1, n + 1)), list(range(-1, n))
+        while True:
+            b = int(least.argmin())
+            if least[b] == NONE:
+                return np.array([p for p in parts if p >= 0], np.int32)
+            i = b * block + int(rows[b].argmin())
             j = after[i]
-            if parts[i] != a or j >= len(parts) or parts[j] != b:
-                continue
-            parts[i], parts[j] = int(self.merged[rank]), -1
-            after[i] = after[j]
-            if after[i] < len(parts):
-                before[after[i]] = i
+            parts[i], parts[j] = pair_rank[parts[i] * size + parts[j]][1], -1
+            after[i] = after[j]  # the boundary before j goes
+            before[after[i]] = i
+            ranks[j] = NONE
+            touched = {b, j // block}
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < len(parts):
-                    r = int(self.ranks(np.array([parts[x]]), np.array([parts[y]]))[0])
-                    if r != NONE:
-                        heapq.heappush(heap, (r, x, parts[x], parts[y]))
-        return np.array([p for p in parts if p >= 0], np.int32)
+                if x >= 0:
+                    ranks[x] = pair_rank.get(parts[x] * size + parts[y], (NONE,))[0] if y < n else NONE
+                    touched.add(x // block)
+            for b in touched:
+                least[b] = rows[b].min()
 
     def encode_words(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words at the given places, one after another, and their counts."""
@@ -154,7 +164,7 @@ class Vocabulary:
             else:
                 for word in words:
                     ids = self.of_byte[data[start[word] : start[word] + size]]
-                    ids = self.encode_scan(ids) if size <= SCAN_BYTES else self.encode_heap(ids)
+                    ids = self.encode_long(ids)
                     found.append((np.array([word]), ids, np.array([len(ids)])))
         for words, _, kept in found:
             counts[words] = kept
@@ -178,7 +188,26 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.hashes, self.start, self.count, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.hashes, self.flat, self.data = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.uint8)
+        self.start, self.count, self.word, self.length = (np.zeros(0, np.int64) for _ in range(4))
+
+    def _known(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The entry of each word, or -1."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        i = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        rows = np.flatnonzero((self.hashes[i] == hashes) & (self.length[i] == length))
+        rows = rows[same_bytes(data, start[rows], self.data, self.word[i[rows]], length[rows])]
+        out = np.full(len(hashes), -1)
+        out[rows] = i[rows]
+        return out
+
+    def _remember(self, hashes: np.ndarray, data: np.ndarray, word: np.ndarray, length: np.ndarray, start: np.ndarray, count: np.ndarray) -> None:
+        order = np.argsort(np.concatenate([self.hashes, hashes]), kind="stable")
+        at = len(self.data) + np.cumsum(length) - length
+        self.data = np.concatenate([self.data, data[ranges(word, length)]])
+        new = ((self.hashes, hashes), (self.start, start), (self.count, count), (self.word, at), (self.length, length))
+        self.hashes, self.start, self.count, self.word, self.length = (np.concatenate(x)[order] for x in new)
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents, one after another, and the offsets of the documents' ids."""
@@ -186,24 +215,24 @@ class Encoder:
         start, length = cuts[:-1], np.diff(cuts)
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(len(at), np.int64)
-        hashes, first, word_of = np.unique(range_hash(prefix_sums(data), start, cuts[1:]), return_index=True, return_inverse=True)
-        i = np.searchsorted(self.hashes, hashes)
-        known = (self.hashes[np.minimum(i, len(self.hashes) - 1)] == hashes) if len(self.hashes) else np.zeros(len(hashes), bool)
-        if not known.all():
-            if len(self.hashes) + len(hashes) > CACHE_WORDS:
-                self.clear()
-                known[:] = False
-            new = np.flatnonzero(~known)
-            flat, count = self.vocabulary.encode_words(data, start[first[new]], length[first[new]])
-            begin = len(self.flat) + np.cumsum(count) - count
-            self.flat = np.concatenate([self.flat, flat])
-            order = np.argsort(np.concatenate([self.hashes, hashes[new]]), kind="stable")
-            self.hashes, self.start, self.count = (np.concatenate(x)[order] for x in ((self.hashes, hashes[new]), (self.start, begin), (self.count, count)))
-            i = np.searchsorted(self.hashes, hashes)
-        begin, count = self.start[i][word_of], self.count[i][word_of]
+        hashes = range_hash(prefix_sums(data), start, cuts[1:])
+        first, word_of = distinct(data, start, cuts[1:], hashes)
+        hashes, word, size = hashes[first], start[first], length[first]
+        entry = self._known(hashes, data, word, size)
+        if (entry < 0).any() and (len(self.hashes) + len(hashes) > CACHE_WORDS or len(self.data) > CACHE_BYTES):
+            self.clear()
+            entry[:] = -1
+        new = np.flatnonzero(entry < 0)
+        flat, n_ids = self.vocabulary.encode_words(data, word[new], size[new])
+        begin, count = np.empty(len(first), np.int64), np.empty(len(first), np.int64)
+        begin[entry >= 0], count[entry >= 0] = self.start[entry[entry >= 0]], self.count[entry[entry >= 0]]
+        begin[new], count[new] = len(self.flat) + np.cumsum(n_ids) - n_ids, n_ids
+        self.flat = np.concatenate([self.flat, flat])
+        if len(new):
+            self._remember(hashes[new], data, word[new], size[new], begin[new], n_ids)
+        begin, count = begin[word_of], count[word_of]
         if special.any():
-            self_at = len(self.flat)
-            begin, count = np.where(special, self_at, begin), np.where(special, 1, count)
+            begin, count = np.where(special, len(self.flat), begin), np.where(special, 1, count)
         ids = np.append(self.flat, np.int32(self.vocabulary.special_id))[ranges(begin, count)]
         ends = np.concatenate([[0], np.cumsum(count)])
         return ids, ends[np.searchsorted(start, at)]
@@ -216,7 +245,7 @@ def _pass_through(batch: pa.RecordBatch, drop: set[str]) -> tuple[list[pa.Array]
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids", count: str = "n_tokens", keep_text: bool = False, layout: str = "array") -> DataFrame:
     """df with its texts' token ids, as array<int> or (layout "le32") as binary of little-endian 32-bit numbers, and their count."""
-    drop = set() if keep_text else {text}
+    drop = {ids, count} | (set() if keep_text else {text})
     kept = [f for f in df.schema.fields if f.name not in drop]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{ids}` {'array<int>' if layout == 'array' else 'binary'}", f"`{count}` bigint"])
 
@@ -237,7 +266,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids",
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """df with the ids (array<int>, or binary of little-endian 32-bit numbers) replaced by the text that they stand for."""
-    kept = [f for f in df.schema.fields if f.name != ids]
+    kept = [f for f in df.schema.fields if f.name not in (ids, text)]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{text}` string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +287,7 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", text: str = "decode
                 data = known.piece_bytes[ranges(known.piece_start[part], size)].tobytes()
                 ends = np.concatenate([[0], np.cumsum(size)])[at[row : end + 1] - at[row]].tolist()
                 texts = [data[x:y].decode("utf-8", "replace") for x, y in zip(ends, ends[1:], strict=False)]
-                columns, names = _pass_through(batch.slice(row, end - row), {ids})
+                columns, names = _pass_through(batch.slice(row, end - row), {ids, text})
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], [*names, text])
                 row = end
 

@@ -9,12 +9,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step handles; a longer document is handled alone.
 SLICE_BYTES = 1 << 20
-_MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
+#: Copies of a repeated row that one array holds.
+COPY_RUN = 100_000
+#: Two primes below 2**31 and a base for each, drawn at random once: a hash is a polynomial over each of the two fields.
+_PRIMES = (2147483629, 2147483587)
+_BASES = (1288490189, 873511403)
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -73,15 +77,20 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         row = end
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The multiplier's powers and their inverses modulo 2**64."""
-    if not _powers or len(_powers["up"]) < n:
+def _power_column(base: int, prime: int, n: int) -> np.ndarray:
+    """base**0, base**1, ... modulo prime, by doubling."""
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), prime)) % np.uint64(prime)])
+    return out[:n]
+
+
+def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each prime the base's powers and their inverses."""
+    if not _powers or len(_powers[0][0]) < n:
         size = max(n, SLICE_BYTES + 1024)
-        for name, base in (("up", _MULTIPLIER), ("down", _INVERSE)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _powers[name] = np.cumprod(x, dtype=np.uint64)
-    return _powers["up"][:n], _powers["down"][:n]
+        _powers[:] = [(_power_column(b, p, size), _power_column(pow(b, -1, p), p, size)) for b, p in zip(_BASES, _PRIMES, strict=True)]
+    return _powers
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -93,19 +102,59 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """Sums from which range_hash gets the hash of any byte range."""
-    up, _ = powers(len(data))
-    out = np.empty(len(data) + 1, np.uint64)
-    out[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=out[1:])
+def prefix_sums(data: np.ndarray) -> list[np.ndarray]:
+    """Sums, one array for each prime, from which range_hash gets the hash of any byte range."""
+    n, plus, out = len(data), data.astype(np.uint64) + np.uint64(1), []
+    for (up, _), prime in zip(powers(n), _PRIMES, strict=False):
+        sums = np.zeros(n + 1, np.uint64)
+        terms = plus * up[:n]
+        if n > 1 << 23:  # smaller sums of whole products stay below 2**63
+            terms %= np.uint64(prime)
+        np.cumsum(terms, out=sums[1:])
+        out.append(sums)
     return out
 
 
-def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges [start, end); equal bytes give equal hashes wherever they stand."""
-    _, down = powers(len(sums))
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def range_hash(sums: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of 62 bits, mixed, of the byte ranges [start, end); equal bytes give equal hashes wherever they stand."""
+    halves = [(s[end] - s[start]) % np.uint64(p) * down[start] % np.uint64(p) for s, (_, down), p in zip(sums, powers(len(sums[0])), _PRIMES, strict=False)]
+    return mix((halves[0] << np.uint64(31)) ^ halves[1] ^ ((end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+
+
+def same_bytes(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the ranges of a and b that start there and have the given lengths hold the same bytes."""
+    same = np.ones(len(length), bool)
+    long = length > 4096
+    for i in np.flatnonzero(long).tolist():
+        same[i] = np.array_equal(a[a_start[i] : a_start[i] + length[i]], b[b_start[i] : b_start[i] + length[i]])
+    rows = np.flatnonzero(~long)
+    total = np.cumsum(length[rows])
+    for low in range(0, int(total[-1]) if len(total) else 0, 1 << 20):
+        part = rows[np.searchsorted(total, low, side="right") : np.searchsorted(total, low + (1 << 20), side="right")]
+        bad = np.flatnonzero(a[ranges(a_start[part], length[part])] != b[ranges(b_start[part], length[part])])
+        if len(bad):
+            same[part[np.searchsorted(np.cumsum(length[part]), bad, side="right")]] = False
+    return same
+
+
+def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each distinct byte range, and which of these each range is. Hashes only lead to it: ranges of one hash are compared byte by byte."""
+    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    rows = np.flatnonzero(first[which] != np.arange(len(start)))
+    of, size = first[which[rows]], end[rows] - start[rows]
+    same = size == end[of] - start[of]
+    same[same] = same_bytes(data, start[rows[same]], data, start[of[same]], size[same])
+    if not same.all():
+        apart: dict[bytes, int] = {}
+        more = []
+        for i in rows[~same].tolist():
+            key = data[start[i] : end[i]].tobytes()
+            if key not in apart:
+                apart[key] = len(first) + len(more)
+                more.append(i)
+            which[i] = apart[key]
+        first = np.append(first, more)
+    return first, which
 
 
 def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -117,6 +166,14 @@ def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(start - (ends - length), length)
 
 
+def repeated(df: DataFrame, copies: str, number: str | None = None) -> DataFrame:
+    """Each row of df as often as its column copies says, without that column but with its number if a name is given; no array holds more than COPY_RUN of them."""
+    step, copy = free_name(df, "first"), number or free_name(df, "copy")
+    runs = df.withColumn(step, F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies).cast("long") - 1, F.lit(COPY_RUN).cast("long"))))
+    each = runs.withColumn(copy, F.explode(F.sequence(F.col(step), F.least(F.col(copies).cast("long"), F.col(step) + COPY_RUN) - 1)))
+    return each.drop(step, copies, *(() if number else (copy,)))
+
+
 def binary_array(data: np.ndarray, at: np.ndarray) -> pa.Array:
     """data cut at the offsets, as a binary array."""
     return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])

@@ -11,8 +11,10 @@ holds no more than a block and a chunk. Inside a task both sides are trees again
 level, and the same three rules are applied to pairs of nodes; leaves are compared in double precision.
 
 A vector that is null, zero or holds a null or a non-finite number links with nothing and is its own
-component; so is a row without id, with a null component. Vectors of different lengths don't link. Rows
-that repeat an id are one vector's copies: each links with the others' rows. An empty table gives no rows.
+component; so is a row without id, with a null component. Vectors of different lengths don't link; lengths of few
+vectors are settled in one pass, each in a task, and only others get a net of their own. Components of any magnitude
+count. Rows that repeat an id are one vector's copies: each links with the others' rows. Other columns, whatever
+their names, aren't read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +38,9 @@ SLACK = 1e-7
 
 
 def unit(matrix: np.ndarray) -> np.ndarray:
-    return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    """Rows of length 1. They are scaled by their largest component first, as squares of very small or large ones would vanish or overflow."""
+    scaled = matrix / np.abs(matrix).max(axis=1, keepdims=True, initial=np.finfo(float).smallest_subnormal)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -263,19 +267,33 @@ def _links(points: DataFrame, cosine: float, size: int, cell_points: int, block:
     spread = dealt.select("id", "weight", "vector", "cell", F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("deal"))
     placed = spread.mapInArrow(lambda b: _deal(cells.value, limit)(b), "id long, weight long, vector array<double>, cell long, block long, chunk long, visit boolean")
     found = placed.groupBy("cell", "block", "chunk").applyInArrow(lambda t: _search(cosine, size, cells.value.tested)(t), "id long, links long, other long")
-    pairs = [(int(a), int(weight[whole[a]].sum()), int(least[b])) for a in range(k) if whole[a].any() for b in [int(np.flatnonzero(whole[a]).min())]]
-    if pairs:
-        # Cells taken whole: every point links with all points of the other cells, and with its own cell's but itself.
-        table = spark.createDataFrame(pairs, "cell long, links long, other long")
-        own = spark.createDataFrame([(c, bool(whole[c, c])) for c, _, _ in pairs], "cell long, own boolean")
-        more = dealt.join(F.broadcast(table), "cell").join(F.broadcast(own), "cell")  # at most CELLS rows
+    some = whole.any(1)
+    if some.any():
+        # Cells taken whole: every point links with all points of the other cells, and with its own cell's but itself. At most CELLS rows.
+        label = np.where(some, np.arange(k), k)
+        while (label != (label := np.minimum(label, np.where(whole, label[None], k).min(1)))).any():
+            pass
+        cell = np.flatnonzero(some)
+        table = pa.table({"cell": cell, "links": (whole @ weight)[cell], "other": least[label[cell]], "own": whole[cell, cell]})
+        more = dealt.join(F.broadcast(spark.createDataFrame(table)), "cell")
         found = found.unionByName(more.select("id", (F.col("links") - F.when(F.col("own"), F.col("weight")).otherwise(0)).alias("links"), "other"))
-        edges = [(int(least[a]), 0, int(least[b])) for a in range(k) for b in np.flatnonzero(whole[a]) if a != b]
-        if edges:
-            found = found.unionByName(spark.createDataFrame(edges[: k * k], "id long, links long, other long"))
     return found
 
 
+def _settle_length(cosine: float):
+    """Links of all vectors of one length, which are few."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, size = table["id"].to_numpy(), table["n"][0].as_py()
+        links = Links(unit(_matrix(table["vector"], size)), table["weight"].to_numpy(), cosine)
+        home = tree(links.points)
+        links.dual(home, home)
+        root, linked = links.forest.roots(), np.flatnonzero(links.count)
+        return pa.table({"id": pa.array(ids[linked]), "links": pa.array(links.count[linked]), "other": pa.array(ids[root[linked]])})
+
+    return run
+
+
 def cosine_components(df: DataFrame, cosine: float = 0.95, id: str = "vec_id", vector: str = "embedding", cell_points: int = CELL_POINTS, block: int = BLOCK) -> DataFrame:
     """id, n_links (other rows linked directly), component_id (least id reached), kept, a row for each row of df."""
     rows = df.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
@@ -284,10 +302,13 @@ def cosine_components(df: DataFrame, cosine: float = 0.95, id: str = "vec_id", v
     rows = stored(rows.select("id", "vector", F.when(F.coalesce(ok, F.lit(False)), pair).alias("key")).withColumn("point", F.when(F.col("key").isNotNull(), F.xxhash64("key"))))
     valid = rows.where("point is not null")
     points = stored(valid.groupBy("key", "point").agg(F.min("id").alias("least"), F.count("*").alias("weight"), F.first("vector").alias("vector")))
-    found = rows.sparkSession.createDataFrame([], "id long, links long, other long")
-    for size in sorted(r[0] for r in points.select("key.n").distinct().limit(1000).collect()):
-        part = points.where(F.col("key.n") == size).select(F.col("point").alias("id"), "weight", "vector")
-        found = found.unionByName(_links(part, cosine, size, cell_points, block))
+    sized = points.select(F.col("point").alias("id"), "weight", "vector", F.col("key.n").alias("n"))
+    lengths = stored(sized.groupBy("n").agg(F.count("*").alias("points")))
+    few = sized.join(lengths.where(F.col("points") <= block).select("n"), "n", "left_semi")
+    found = few.groupBy("n").applyInArrow(_settle_length(cosine), "id long, links long, other long")
+    # Each length of more than a block of vectors is an index of its own; there are fewer of these than blocks.
+    for size in sorted(r["n"] for r in lengths.where(F.col("points") > block).collect()):
+        found = found.unionByName(_links(sized.where(F.col("n") == size).drop("n"), cosine, size, cell_points, block))
     found = stored(found)
     counts = found.groupBy(F.col("id").alias("point")).agg(F.sum("links").alias("links"))
     # One id may carry several vectors; they are one vertex.

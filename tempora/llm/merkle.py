@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tempora.llm.common import read, stored
+from tempora.llm.common import read, repeated, stored
 
 #: Words in a block at most; longer words than this many characters are cut.
 BLOCK_WORDS, WORD_CHARS = 4, 200
@@ -95,12 +95,13 @@ def edited_fingerprints(df: DataFrame, share: int = 4) -> DataFrame:
     both = texts.join(order.select("id", "mark", "doc_id", "n_chars", "copies"), ["id", "mark"]).join(after, ["id", "mark"])
     both = both.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - take), F.col("head")))
     both = both.withColumns({"nodes": tree(F.col("text")), "edited_nodes": tree(F.col("edited"))}).withColumns({"own": leaves(F.col("nodes")), "other": leaves(F.col("edited_nodes"))})
-    return both.select(
+    out = both.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("text"), F.col("nodes")).alias("fingerprint"), fingerprint(F.col("edited"), F.col("edited_nodes")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next_leaves")).alias("near_next"),
-        F.explode(F.expr("sequence(1L, copies)")).alias("copy"),
-    ).drop("copy")
+        "copies",
+    )
+    return repeated(out, "copies")
 
 
 def op1_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Near-duplicate documents by HyperMinHash registers, bands of them, and exact Jaccard of word shingles.
 
-1.  Each text's shingle set gives a digest and registers of leading zeros and mantissa bits; texts of one
+1.  Each text's shingle set gives registers of leading zeros and mantissa bits, its words a digest; texts of one
     digest are one class from here on, whatever their number.
 2.  Keys of bands of registers put classes that may be similar into one bucket. Members of a bucket are tied to its
     least id (no pairs are made), and what is so tied together is a cluster: links only exist inside clusters.
@@ -8,12 +8,15 @@
     threshold, and that aren't connected yet, are verified on their full sets.
 4.  A larger cluster is spread over tasks: every member is verified against those of a few hubs that it may link with,
     chosen from a small sample of it. Hubs with a member in common are one component. All that isn't in the
-    largest component is compared in blocks with all members, each pair of blocks in a task of its own: of any two
-    members of different components, one at least isn't in the largest, so no link between components is missed.
-
-Nulls and texts without words have no shingles and link with nothing. Rows with one doc_id are one
-document with several texts. A row without doc_id links with nothing, keeps a null component and is kept. Copies
-and repeated rows share their component. An empty table gives no rows.
+    largest component is compared by its registers with the members of its buckets, in blocks of bounded size. Pairs
+    near the threshold and not yet connected are verified: first a forest of them, then the ones that are
+    left. Of two members that aren't connected, one at least isn't in the largest component, so no pair of a
+    bucket is left out, and the work grows with the pairs that buckets hold, not with the cluster's square.
+
+Sets are compared by the bytes of their words, so equal hashes never make a link. Nulls and texts without words have
+no shingles and link with nothing. Rows with one doc_id are one document with several texts. A row without doc_id
+links with nothing, keeps a null component and is kept. Copies and repeated rows share their component. Very long
+texts are whole in one task. Other columns, whatever their names, aren't read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.llm import shingles
-from tempora.llm.common import binary_array, mix, read, slices, stored
+from tempora.llm.common import binary_array, byte_view, ranges, read, slices, stored
 from tempora.llm.components import Forest, components
 
-#: Most documents and shingles of a cluster, or of a block of a larger one, that a task holds; hub candidates and hubs.
-GROUP_DOCS, GROUP_SHINGLES, SAMPLE, HUBS = 400, 2_000_000, 32, 6
+#: Most documents and shingles of a cluster that one task settles; hub candidates and hubs; members of a block of a bucket; pairs that are estimated at once.
+GROUP_DOCS, GROUP_SHINGLES, SAMPLE, HUBS, BLOCK, PAIRS = 200, 2_000_000, 32, 6, 1000, 100_000
 #: How far below the threshold an estimate from 120 registers may lie (over four standard deviations).
 MARGIN = 0.17
 
@@ -40,17 +43,16 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, data, at in slices(batch.column(1)):
             sets, ends = shingles.shingle_sets(data, at)
             n = np.diff(ends)
-            sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)]) for x in (mix(sets + np.uint64(1)), mix(sets ^ np.uint64(0xA5A5A5A5A5A5A5A5)))]
-            digest = np.stack([s[ends[1:]] - s[ends[:-1]] for s in sums], 1).view(np.uint8).reshape(-1)
+            digest = pa.array(shingles.digests(data, at), pa.binary())
             register = shingles.registers(sets, ends)
             whole = lambda x, size: binary_array(x, np.arange(len(n) + 1) * size)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(n), whole(digest, 16), whole(register.view(np.uint8).reshape(-1), 2 * register.shape[1])], ["doc_id", "n_shingles", "digest", "registers"]
+                [batch.column(0).slice(a, b - a), pa.array(n), digest, whole(register.view(np.uint8).reshape(-1), 2 * register.shape[1])], ["doc_id", "n_shingles", "digest", "registers"]
             )
 
 
 def sketches(df: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest (equal for equal sets) and registers of each document."""
+    """doc_id, n_shingles, digest (equal for equal words in one order) and registers of each document."""
     return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, registers binary")
 
 
@@ -66,35 +68,31 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), keys.shape[1])), pa.array(keys.reshape(-1))], ["id", "bucket"])
 
 
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Of two sorted sets."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)) or not len(a) or not len(b):
+        return False
+    both = np.concatenate([a, b])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
 class Group:
-    """Documents of a cluster or block in a task, with their sets and registers."""
+    """Documents of a cluster in a task, with their sets and registers."""
 
     def __init__(self, table: pa.Table):
         self.ids = table["id"].to_numpy()
-        sets = []
-        registers = [np.zeros((0, shingles.BANDS * shingles.ROWS), np.uint16)]
-        for _, _, data, at in slices(table["text"].combine_chunks()):
-            flat, ends = shingles.shingle_sets(data, at)
-            registers.append(shingles.registers(flat, ends))
-            sets += [flat[i:j] for i, j in zip(ends, ends[1:], strict=False)]
-        self.sets, self.registers = sets, np.concatenate(registers)
-        self.n = np.array([len(s) for s in sets], np.int64)
+        flat, ends, self.registers = shingles.exact_sets(*byte_view(table["text"]))
+        self.sets, self.n = [flat[i:j] for i, j in zip(ends, ends[1:], strict=False)], np.diff(ends)
 
     def similar(self, i: int, j: int, percent: int) -> bool:
-        a, b = self.sets[i], self.sets[j]
-        if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)) or not len(a) or not len(b):
-            return False
-        both = np.concatenate([a, b])
-        both.sort()
-        shared = int((both[1:] == both[:-1]).sum())
-        return 100 * shared >= percent * (len(a) + len(b) - shared)
-
-    def connect(self, forest: Forest, rows: np.ndarray, columns: np.ndarray, percent: int) -> list[tuple[int, int]]:
-        """Links found between rows and columns of which the forest doesn't know yet."""
-        links = []
-        for i in rows.tolist():
-            roots = forest.roots()[columns]
-            rest = columns[roots != forest.find(i)]
+        return similar(self.sets[i], self.sets[j], percent)
+
+    def connect(self, forest: Forest, percent: int) -> None:
+        """Joins in the forest what links of which it doesn't know yet."""
+        for i in range(len(self.ids)):
+            rest = i + 1 + np.flatnonzero(forest.roots()[i + 1 :] != forest.find(i))
             if not len(rest):
                 continue
             k = len(rest)
@@ -103,8 +101,6 @@ class Group:
             for j in rest[near][np.argsort(-guess[near], kind="stable")].tolist():
                 if forest.find(i) != forest.find(j) and self.similar(i, j, percent):
                     forest.join(i, j)
-                    links.append((i, j))
-        return links
 
 
 def _settle(percent: int):
@@ -119,7 +115,7 @@ def _settle(percent: int):
             if x in first:
                 forest.join(first[x], i)
             first.setdefault(x, i)
-        group.connect(forest, np.arange(n), np.arange(n), percent)
+        group.connect(forest, percent)
         root = forest.roots()
         least = np.full(n, np.iinfo(np.int64).max)
         np.minimum.at(least, root, group.ids)
@@ -182,72 +178,146 @@ def _verify(percent: int):
     """(id, text, hub, hub_text) -> (id, hub, linked)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, known_set = None, None
         for batch in batches:
-            hubs, row = batch.column(2).to_pylist(), 0
-            hub_texts = batch.column(3)
+            hubs = batch.column(2).to_numpy()
             for a, b, data, at in slices(batch.column(1)):
-                flat, ends = shingles.shingle_sets(data, at)
-                linked = []
-                for row in range(a, b):
-                    if hubs[row] != known:
-                        known, text = hubs[row], np.frombuffer((hub_texts[row].as_py() or "").encode(), np.uint8)
-                        known_set = shingles.shingle_sets(text, np.array([0, len(text)]))[0]
-                    own = flat[ends[row - a] : ends[row - a + 1]]
-                    shared = len(np.intersect1d(own, known_set, assume_unique=True))
-                    linked.append(len(own) > 0 and 100 * shared >= percent * (len(own) + len(known_set) - shared))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(linked, pa.bool_())], ["id", "hub", "linked"])
+                linked = np.zeros(b - a, bool)
+                for hub in np.unique(hubs[a:b]):
+                    rows = np.flatnonzero(hubs[a:b] == hub)
+                    hub_text = np.frombuffer((batch.column(3)[a + int(rows[0])].as_py() or "").encode(), np.uint8)
+                    texts = np.concatenate([hub_text, data[ranges(at[rows], at[rows + 1] - at[rows])]])
+                    flat, ends, _ = shingles.exact_sets(texts, np.cumsum(np.concatenate([[0, len(hub_text)], at[rows + 1] - at[rows]])), estimated=False)
+                    linked[rows] = [similar(flat[: ends[1]], flat[i:j], percent) for i, j in zip(ends[1:], ends[2:], strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(linked)], ["id", "hub", "linked"])
 
     return run
 
 
-def _compare_blocks(percent: int):
-    """Links between the open members of one block and the members of another that neither shares a component with yet."""
+def _segments(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 8192) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs of equal keys, which follow each other in the batches, and where the runs start."""
 
-    def run(table: pa.Table) -> pa.Table:
-        group = Group(table)
-        n = len(group.ids)
-        forest, known = Forest(n), {}
-        for i, c in enumerate(table["known"].to_pylist()):
-            if c in known:
-                forest.join(known[c], i)
-            known.setdefault(c, i)
-        is_row = table["is_row"].to_numpy(zero_copy_only=False)
-        links = group.connect(forest, np.flatnonzero(is_row), np.flatnonzero(~is_row), percent)
-        i, j = zip(*links, strict=True) if links else ((), ())
-        return pa.table({"a": pa.array(group.ids[list(i)] if links else [], pa.int64()), "b": pa.array(group.ids[list(j)] if links else [], pa.int64())})
+    def starts(table: pa.Table) -> np.ndarray:
+        new = np.any([(c := table[k].to_numpy())[1:] != c[:-1] for k in keys], axis=0)
+        return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = pa.Table.from_batches([batch])
+        held = own if held is None else pa.concat_tables([held, own])
+        if held.num_rows >= rows and len(start := starts(held)) > 1:
+            yield held.slice(0, int(start[-1])), start[:-1]
+            held = held.slice(int(start[-1]))
+    if held is not None:
+        yield held, starts(held)
+
+
+def _candidates(percent: int, spanning: bool):
+    """(a, b) of blocks of buckets: pairs of an open member and another whose estimate comes near the threshold and whose known components differ.
+
+    With spanning, only those that connect components which a task's earlier ones don't connect yet, the likest first.
+    """
+
+    def pairs(table: pa.Table, start: np.ndarray, forest: dict[int, int]) -> pa.RecordBatch:
+        side, ids, known = (table[c].to_numpy() for c in ("side", "id", "known"))
+        n, register = table["n_shingles"].to_numpy(), _registers(table["registers"])
+        run = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(ids))))
+        rows, columns = np.flatnonzero((side != COLUMN) & table["open"].to_numpy(zero_copy_only=False)), np.flatnonzero(side != ROW)
+        column_at = np.searchsorted(run[columns], np.arange(len(start) + 1))
+        first, many = column_at[run[rows]], column_at[run[rows] + 1] - column_at[run[rows]]
+        total = np.concatenate([[0], np.cumsum(many)])
+        a, b, near, low = [], [], [], 0
+        while low < len(rows):
+            high = max(low + 1, int(np.searchsorted(total, total[low] + PAIRS, side="right")) - 1)
+            i, j = np.repeat(rows[low:high], many[low:high]), columns[ranges(first[low:high], many[low:high])]
+            low = high
+            apart = known[i] != known[j]
+            i, j = i[apart], j[apart]
+            guess = shingles.estimate(register[i], register[j], n[i], n[j])
+            hit = guess >= percent / 100 - MARGIN
+            a, b, near = [*a, i[hit]], [*b, j[hit]], [*near, guess[hit]]
+        a, b, near = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, near))
+        x, y = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+        if spanning:
+
+            def find(i: int) -> int:
+                while (j := forest.setdefault(i, i)) != i:
+                    i = forest[i] = forest[j]
+                return i
+
+            kept = []
+            for k in np.argsort(-near, kind="stable").tolist():
+                p, q = find(int(known[a[k]])), find(int(known[b[k]]))
+                if p != q:
+                    forest[p] = q
+                    kept.append(k)
+            x, y = x[kept], y[kept]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest: dict[int, int] = {}
+        for table, start in _segments(batches, ["bucket", "row_block", "column_block"]):
+            yield pairs(table, start, forest)
 
     return run
 
 
-def _large(members: DataFrame, texts: DataFrame, percent: int, group_docs: int) -> DataFrame:
-    """Components of clusters that one task shouldn't hold. members: id, cluster, n_shingles, registers, docs; texts: id, text."""
+#: Sides of a block of a bucket that a member stands on.
+BOTH, ROW, COLUMN = 0, 1, 2
+
+
+def _blocks(members: DataFrame, bands: DataFrame, block: int) -> DataFrame:
+    """Members (id, known, open, n_shingles, registers) in each block of their buckets, but buckets without an open one or of one component."""
+    spots = bands.join(members, "id")
+    sizes = spots.groupBy("bucket").agg(F.count("*").alias("all"), F.count_if("open").alias("open_ones"), F.min("known").alias("low"), F.max("known").alias("high"))
+    blocks = lambda c: F.ceil(F.col(c) / F.lit(block)).cast("long")
+    sizes = sizes.where("open_ones > 0 AND low <> high").select("bucket", blocks("open_ones").alias("row_blocks"), blocks("all").alias("column_blocks"))
+    placed = spots.join(stored(sizes), "bucket").withColumn("deal", F.xxhash64("id"))
+    hot, rest = F.col("column_blocks") > 1, ("bucket", "id", "known", "open", "n_shingles", "registers")
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    whole = placed.where(~hot).select(*rest, F.lit(0).cast("long").alias("row_block"), F.lit(0).cast("long").alias("column_block"), F.lit(BOTH).alias("side"))
+    rows = placed.where(hot & F.col("open")).select(*rest, F.pmod("deal", "row_blocks").alias("row_block"), each("column_blocks").alias("column_block"), F.lit(ROW).alias("side"))
+    columns = placed.where(hot).select(*rest, each("row_blocks").alias("row_block"), F.pmod("deal", "column_blocks").alias("column_block"), F.lit(COLUMN).alias("side"))
+    key = ["bucket", "row_block", "column_block"]
+    return whole.unionByName(rows).unionByName(columns).repartition(*key).sortWithinPartitions(*key, "id")
+
+
+def _large(members: DataFrame, texts: DataFrame, bands: DataFrame, percent: int, block: int) -> DataFrame:
+    """Components of clusters that one task shouldn't hold. members: id, cluster, docs (of the cluster), n_shingles, registers; texts: id, text."""
     sampled = members.where((F.pmod(F.xxhash64("id"), F.lit(1_000_000)) * F.col("docs") < SAMPLE * 1_000_000) | (F.col("id") == F.col("cluster")))
     hubs = stored(sampled.select("cluster", "id", "n_shingles", "registers").groupBy("cluster").applyInArrow(_pick_hubs(percent), "cluster long, hubs array<bigint>, hub_n array<bigint>, hub_registers binary"))
     near = members.join(hubs, "cluster").select("id", "n_shingles", "registers", "hubs", "hub_n", "hub_registers").mapInArrow(_near_hubs(percent), "id long, hub long")
-    hub_texts = texts.join(hubs.select(F.explode("hubs").alias("id")), "id", "left_semi").groupBy(F.col("id").alias("hub")).agg(F.min("text").alias("hub_text"))
-    pairs = near.join(texts, "id").join(stored(hub_texts), "hub").select("id", "text", "hub", "hub_text")
-    stars = stored(pairs.mapInArrow(_verify(percent), "id long, hub long, linked boolean").where("linked").groupBy("id").agg(F.array_sort(F.collect_set("hub")).alias("hubs")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Pairs (id, hub) with whether they link."""
+        second = texts.select(F.col("id").alias("hub"), F.col("text").alias("hub_text"))
+        return stored(pairs.join(texts, "id").join(second, "hub").select("id", "text", "hub", "hub_text").mapInArrow(_verify(percent), "id long, hub long, linked boolean"))
+
+    stars = stored(verified(near.where("id <> hub")).where("linked").unionByName(hubs.select(F.explode("hubs").alias("id")).select("id", F.col("id").alias("hub"), F.lit(True).alias("linked"))).groupBy("id").agg(F.array_sort(F.collect_set("hub")).alias("hubs")))
     sets = members.select("id", "cluster").join(stars, "id").groupBy("cluster", "hubs").agg(F.count("*").alias("docs"))
     merged = stored(sets.groupBy("cluster").applyInArrow(_merge_hubs, "cluster long, largest long, component map<bigint, bigint>"))
-    rows = members.select("id", "cluster", "docs").join(stars.select("id", F.col("hubs")[0].alias("hub")), "id", "left").join(merged, "cluster", "left")
+    rows = members.join(stars.select("id", F.col("hubs")[0].alias("hub")), "id", "left").join(merged, "cluster", "left")
     known = F.coalesce(F.try_element_at("component", "hub"), "id")
-    rows = stored(rows.select("id", "cluster", "docs", known.alias("known"), (~known.eqNullSafe(F.col("largest"))).alias("open")))
-    linked = rows.where("id <> known").select(F.col("id").alias("a"), F.col("known").alias("b"))
-    open_ = rows.where("open").groupBy("cluster").agg(F.count("*").alias("open_docs"))
-    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / F.lit(group_docs // 2))).cast("long")
-    rows = rows.join(stored(open_), "cluster").withColumns({"row_blocks": blocks("open_docs"), "column_blocks": blocks("docs"), "deal": F.xxhash64("id")}).join(texts, "id")
-    row_side = rows.where("open").select(
-        "cluster", F.pmod("deal", "row_blocks").alias("row_block"), F.explode(F.expr("sequence(0L, column_blocks - 1)")).alias("column_block"), "id", "known", "text", F.lit(True).alias("is_row")
-    )
-    column_side = rows.select(
-        "cluster", F.explode(F.expr("sequence(0L, row_blocks - 1)")).alias("row_block"), F.pmod("deal", "column_blocks").alias("column_block"), "id", "known", "text", F.lit(False).alias("is_row")
-    )
-    found = row_side.unionByName(column_side).groupBy("cluster", "row_block", "column_block").applyInArrow(_compare_blocks(percent), "a long, b long")
-    return components(linked.unionByName(found))
-
-
-def near_components(df: DataFrame, percent: int = 85, group_docs: int = GROUP_DOCS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+    rows = stored(rows.select("id", known.alias("known"), (~known.eqNullSafe(F.col("largest"))).alias("open"), "n_shingles", "registers"))
+    links = rows.where("id <> known").select(F.col("id").alias("a"), F.col("known").alias("b"))
+
+    def candidates(rows: DataFrame, spanning: bool) -> DataFrame:
+        found = _blocks(rows, bands, block).mapInArrow(_candidates(percent, spanning), "a long, b long")
+        return found.distinct().select(F.col("a").alias("id"), F.col("b").alias("hub"))
+
+    tested = verified(candidates(rows, True))
+    links = stored(links.unionByName(tested.where("linked").select(F.col("id").alias("a"), F.col("hub").alias("b"))))
+    found = stored(components(links))
+    now = rows.join(found, "id", "left").select("id", F.coalesce("component", "known").alias("known"), "open", "n_shingles", "registers")
+    left = stored(candidates(now, False).join(tested.select("id", "hub"), ["id", "hub"], "left_anti"))
+    if left.isEmpty():
+        return found
+    more = verified(left).where("linked").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    return components(links.unionByName(more))
+
+
+def near_components(df: DataFrame, percent: int = 85, group_docs: int = GROUP_DOCS, group_shingles: int = GROUP_SHINGLES, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id that links reach), kept (the least itself), a row for each row of df."""
     texts = df.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
     sketch = stored(sketches(df))
@@ -260,14 +330,14 @@ def near_components(df: DataFrame, percent: int = 85, group_docs: int = GROUP_DO
     members = clusters.join(classes.select("id", "n_shingles"), "id")
     sizes = members.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
     big = stored(sizes.where((F.col("docs") > group_docs) | (F.col("shingles") > group_shingles)))
-    # A cluster of a few very long texts stays whole: its blocks would hold no less.
+    # A cluster of a few very long texts stays whole.
     big = big.where(F.col("docs") > 8)
     small = clusters.join(big, "cluster", "left_anti").join(texts, "id").select("cluster", "id", "text")
     found = small.groupBy("cluster").applyInArrow(_settle(percent), "id long, component long")
     if not big.isEmpty():
         inside = stored(clusters.join(big, "cluster").join(classes.select("id", "n_shingles", "registers"), "id"))
         large_texts = stored(texts.join(inside.select("id"), "id", "left_semi"))
-        found = found.unionByName(_large(inside, large_texts, percent, group_docs))
+        found = found.unionByName(_large(inside, large_texts, bands.join(inside.select("id"), "id", "left_semi"), percent, block))
     found = found.groupBy("id").agg(F.min("component").alias("component"))
     label = classes.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"), "id", "copies")
     label = stored(label.where("copies > 1 or component <> id").select("digest", "component"))

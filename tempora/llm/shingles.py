@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
 
-from tempora.llm.common import mix, prefix_sums, range_hash, ranges
+from tempora.llm.common import SLICE_BYTES, distinct, mix, prefix_sums, range_hash, ranges
 
 WORDS = 5
 #: Bands of registers; rows with a Jaccard of 0.85 miss all of them with a chance below 1e-6, those of 0.8 below 1e-4.
@@ -15,36 +16,98 @@ EMPTY = 0xFFFF
 _SPREAD = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(4 * BANDS + 4 * WORDS)], np.uint64)
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words of all documents, A-Z as a-z, their starts, and the words before each document (and the total)."""
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
+def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes with A-Z as a-z, and starts and ends of the words of all documents."""
     data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+    if not len(data):
+        return data, np.zeros(0, np.int64), np.zeros(0, np.int64)
     inside = (data != 0x20) & ((data < 9) | (data > 13))
     edge = np.zeros(len(data) + 1, bool)
     edge[at] = True
     start = np.flatnonzero(inside & (edge[:-1] | ~np.concatenate([[False], inside[:-1]])))
-    end = np.flatnonzero(inside & (edge[1:] | ~np.append(inside[1:], False))) + 1
+    return data, start, np.flatnonzero(inside & (edge[1:] | ~np.append(inside[1:], False))) + 1
+
+
+def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of all documents, A-Z as a-z, their starts, and the words before each document (and the total)."""
+    data, start, end = word_spans(data, at)
     return range_hash(prefix_sums(data), start, end), start, np.searchsorted(start, at)
 
 
+def digests(data: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """A cryptographic digest of each document's words in their order."""
+    data, start, end = word_spans(data, at)
+    length = end - start + 1
+    flat = np.full(int(length.sum()), 32, np.uint8)
+    place = np.cumsum(length) - length
+    flat[ranges(place, length - 1)] = data[ranges(start, length - 1)]
+    cut, raw = np.append(place, len(flat))[np.searchsorted(start, at)].tolist(), memoryview(flat)
+    return [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(cut, cut[1:], strict=False)]
+
+
 def shingle_sets(data: np.ndarray, at: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingles of each document, one after another, and their offsets. Fewer words than size make one shingle."""
     hashes, _, word_at = words(data, at)
+    return sets_of_words(hashes, word_at, size)
+
+
+def shingle_hashes(hashes: np.ndarray, word_at: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All shingles of the documents' words, their first words, their numbers of words, and their offsets by document."""
     n = np.diff(word_at)
     padded = np.append(hashes, np.zeros(size, np.uint64))
     full = mix(sum(padded[k : k + len(hashes)] * _SPREAD[k] for k in range(size))) if len(hashes) else hashes
     many = np.where(n >= size, n - size + 1, (n > 0).astype(np.int64))
     flat = np.empty(int(many.sum()), np.uint64)
     out_at = np.concatenate([[0], np.cumsum(many)])
+    first, length = ranges(word_at[:-1], many), np.repeat(np.minimum(n, size), many)
     long = n >= size
     flat[ranges(out_at[:-1][long], many[long])] = full[ranges(word_at[:-1][long], many[long])]
     for m in range(1, size):
         rows = np.flatnonzero(n == m)
         if len(rows):
-            first = word_at[:-1][rows]
-            flat[out_at[:-1][rows]] = mix(sum(hashes[first + k] * _SPREAD[k] for k in range(m)) + np.full(1, m, np.uint64) * _SPREAD[size])
-    sets, kept = [], np.zeros(len(n), np.int64)
+            at = word_at[:-1][rows]
+            flat[out_at[:-1][rows]] = mix(sum(hashes[at + k] * _SPREAD[k] for k in range(m)) + np.full(1, m, np.uint64) * _SPREAD[size])
+    return flat, first, length, out_at
+
+
+def sets_of_words(hashes: np.ndarray, word_at: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingles of each document, one after another, and their offsets."""
+    flat, _, _, out_at = shingle_hashes(hashes, word_at, size)
+    return sorted_sets(flat, out_at)
+
+
+def exact_sets(data: np.ndarray, at: np.ndarray, size: int = WORDS, estimated: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As shingle_sets, but with a number of its own for each shingle that differs, as its words' bytes are compared: these hold in one call only. With estimated, the documents' registers too."""
+    low, start, end = word_spans(data, at)
+    hashes = np.concatenate([range_hash(prefix_sums(low[a:b]), start[i:j] - a, end[i:j] - a) for a, b, i, j in _blocks(start, at)]) if len(start) else np.zeros(0, np.uint64)
+    _, word = distinct(low, start, end, hashes)
+    flat, first, length, out_at = shingle_hashes(hashes, np.searchsorted(start, at), size)
+    register = registers(flat, out_at) if estimated else np.zeros((0, BANDS * ROWS), np.uint16)
+    _, leader, shingle = np.unique(flat, return_index=True, return_inverse=True)
+    of = leader[shingle]
+    same = length == length[of]
+    padded = np.append(word, np.zeros(size, word.dtype))
+    for k in range(size):
+        same &= (k >= length) | (padded[first + k] == padded[first[of] + k])
+    if not same.all():
+        apart: dict[tuple[int, ...], int] = {}
+        for i in np.flatnonzero(~same).tolist():
+            shingle[i] = apart.setdefault(tuple(word[first[i] : first[i] + length[i]].tolist()), len(leader) + len(apart))
+    return *sorted_sets(shingle.astype(np.uint64), out_at), register
+
+
+def _blocks(start: np.ndarray, at: np.ndarray):
+    """Runs of documents of about SLICE_BYTES: first byte, end, first word, end of words."""
+    row, n = 0, len(at) - 1
+    word_at = np.searchsorted(start, at)
+    while row < n:
+        end = max(row + 1, int(np.searchsorted(at, at[row] + SLICE_BYTES, side="right")) - 1)
+        yield int(at[row]), int(at[end]), int(word_at[row]), int(word_at[end])
+        row = end
+
+
+def sorted_sets(flat: np.ndarray, out_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    sets, kept = [], np.zeros(len(out_at) - 1, np.int64)
     for d, (a, b) in enumerate(zip(out_at[:-1].tolist(), out_at[1:].tolist(), strict=True)):
         if b > a:
             x = np.sort(flat[a:b])

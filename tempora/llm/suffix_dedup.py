@@ -5,9 +5,10 @@ gram in it whose hash is least, the leftmost on a tie. Equal windows have equal
 suffixes that start at anchors (about one in 14) are sorted:
 
 0.  Rows are dealt into parts by a hash of doc_id, as compressed Arrow streams; all steps read the parts from this one shuffle.
-1.  Splitters sampled from the leading 8 bytes range-partition the suffixes; equal leading bytes fall into one
-    range, so neighbours to compare never lie on two sides of a boundary. Each range is sorted by multikey
-    quicksort: by the leading 8 bytes, then within ties by the rest of the gram. A run of equal grams
+1.  Splitters sampled from the suffixes range-partition them by their leading 8 bytes and, so that frequent leading
+    bytes with different continuations are cut too, by a fingerprint of the gram. Equal grams fall into one range, so
+    neighbours to compare never lie on two sides of a boundary. Each range is sorted by multikey quicksort: by
+    the leading 8 bytes, then within ties by the gram's fingerprint. A run of equal grams
     whose documents all agree on the text of all windows around the anchor is settled by its least doc_id;
     so is a member of any run whose text around is that of the run's least document.
 2.  Where the texts around equal grams differ, each window by itself is ranged by its fingerprint, sorted, and
@@ -19,8 +20,10 @@ message, in the order sent. Parts are read anew for each step, and every step gi
 whatever the order of rows, so a lost executor's work is redone alike.
 
 Nulls are empty texts. A row without a doc_id loses nothing and removes nothing elsewhere. Rows with one
-doc_id aren't compared with each other; each is returned. Texts under 50 bytes lose nothing. An empty table
-gives no rows. Fingerprints of grams and windows have 64 bits, those of the text around a gram 48 within its run.
+doc_id aren't compared with each other; each is returned. Texts under 50 bytes lose nothing; very long ones are
+whole in one task. An empty table gives no rows. Columns to carry that have the name of an output column aren't
+carried. Fingerprints of the rest of a gram have 32 bits beside the 64 of its leading bytes, those of windows 64,
+those of the text around a gram 48 within its run.
 """
 
 from __future__ import annotations
@@ -34,11 +37,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm.common import SLICE_BYTES, binary_array, byte_view, mix, powers, prefix_sums, range_hash, ranges, read
+from tempora.llm.common import SLICE_BYTES, binary_array, byte_view, mix, prefix_sums, range_hash, ranges, read
 
 SPAN, GRAM = 50, 24
-#: Text bytes in a part, messages in a range, text bytes of the sample that the splitters come from.
-PART_BYTES, RANGE_MESSAGES, SAMPLE_BYTES = 2 << 20, 600_000, 8 << 20
+#: Text bytes in a part, messages in a range; text bytes of the sample for each range, which grows with them, and of a piece of it.
+PART_BYTES, RANGE_MESSAGES, SAMPLE_BYTES, SAMPLE_PIECE = 2 << 20, 600_000, 64 << 10, 2 << 10
 SHARED, DIFFERS, EARLIER, FIRST_TEXT = 1, 2, 4, 8
 MASK = np.uint64(0xFFFFFFFF)
 
@@ -93,15 +96,32 @@ def run_starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def leading(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number, in the order of the bytes."""
+    x, width = data.astype(np.uint64), 1
+    while width < 8:
+        x = (x[:-width] << np.uint64(8 * width)) | x[width:]
+        width *= 2
+    return x
+
+
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hashes of the gram bytes (eight at least) from each place on, from words of eight."""
+    words = leading(data)
+    n, out = len(data) - gram + 1, None
+    for k in sorted({*range(0, gram - 7, 8), gram - 8}):
+        w = words[k : k + n] * np.uint64(0x9E3779B97F4A7C15)
+        out = mix(w if out is None else w ^ out)
+    return out
+
+
 def anchors(data: np.ndarray, at: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchors of all windows inside the documents: place, first and last window start, gram's hash, hash of the windows' text."""
     n = len(data)
     if n < span:
         empty = np.zeros(0, np.int64)
         return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
-    sums = prefix_sums(data)
-    _, down = powers(n + 1)
-    grams = mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
+    sums, grams = prefix_sums(data), gram_hashes(data, gram)
     least = (grams & ~MASK) | np.arange(len(grams), dtype=np.uint64)
     width, reach = span - gram + 1, 1
     while reach * 2 <= width:
@@ -147,7 +167,7 @@ class Part:
         lead = np.zeros(len(self.place), np.uint64)
         for k in range(8):
             lead = (lead << np.uint64(8)) | self.data[self.place + k]
-        rest = (grams & np.uint64(0xFFFFFF)).astype(np.uint32)
+        rest = (mix(grams) & MASK).astype(np.uint32)  # anchors are those of small hashes, so their bits are mixed once more
         self.around = around & np.uint64(0xFFFFFFFFFFFF)
         doc_id = self.ids[self.document]
         order = multikey_order(lead, rest, doc_id, self.around)
@@ -174,9 +194,13 @@ class Part:
                     yield lo, np.array([0, min(SLICE_BYTES + self.span - 1, int(at[end]) - lo)])
             row = end
 
-    def first_messages(self, splitters: np.ndarray) -> list[tuple[int, bytes]]:
+    def first_messages(self, splitters: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, bytes]]:
         """A blob for each range: leading bytes, rest of the gram, least doc_id, text around, flags."""
-        at = np.concatenate([[0], np.searchsorted(self.lead >> np.uint64(1), splitters), [len(self.lead)]])
+        lead, rest = splitters
+        low, high = np.searchsorted(self.lead, lead), np.searchsorted(self.lead, lead, side="right")
+        for i in np.flatnonzero(low < high).tolist():
+            low[i] += np.searchsorted(self.rest[low[i] : high[i]], rest[i], side="right")
+        at = np.concatenate([[0], low, [len(self.lead)]])
         return [(k, pack(*(c[a:b] for c in (self.lead, self.rest, self.least, self.text_key, self.flags)))) for k, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
 
     def settle(self, answers: np.ndarray) -> None:
@@ -309,29 +333,43 @@ def _answers(table: pa.Table, step: int) -> tuple[np.ndarray, list[tuple[int, in
     return (np.concatenate([unpack(r[3])[0] for r in rows]) if rows else np.zeros(0, np.uint8)), rows
 
 
-def _splitters(df: DataFrame, total: int, n: int, span: int, gram: int) -> np.ndarray:
-    """n - 1 halved leading words that cut a sample's suffixes into equal shares. The sample steers the dealing, not the result."""
-    if n < 2:
-        return np.zeros(0, np.uint64)
-    share = max(1, total // SAMPLE_BYTES)
+def _splitters(df: DataFrame, total: int, n: int, span: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leading words and rests that cut the suffixes of a sample into about n equal shares, one of each for a cut.
 
-    def leads(batches):
+    Pieces of texts are sampled, more of longer texts, and the cuts are the last suffixes of Spark's own ranges
+    of the sample. They steer the dealing, not the result.
+    """
+    if n < 2:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    share, chars = min(1.0, n * SAMPLE_BYTES / total), F.length("text")
+    seed = F.pmod(F.xxhash64("doc_id", F.lit(0)), F.lit(1_000_003)) / 1_000_003.0
+    pieces = F.floor(chars * (share / SAMPLE_PIECE) + seed)
+    at = F.pmod(F.xxhash64("doc_id", "piece"), F.greatest(F.lit(1), chars - SAMPLE_PIECE)).cast("int") + 1
+    drawn = df.where("text is not null").select("doc_id", "text", F.explode(F.sequence(F.lit(0), pieces.cast("int"))).alias("piece")).where(F.col("piece") < pieces)
+
+    def suffixes(batches):
         for batch in batches:
-            part = Part(batch.column(1), batch.column(0), span, gram)
-            yield pa.RecordBatch.from_arrays([pa.array((part.lead >> np.uint64(1)).astype(np.int64))], ["lead"])
+            part = Part(batch.column(0), pa.array(np.arange(batch.num_rows)), span, gram)
+            yield pa.RecordBatch.from_arrays([pa.array((part.lead ^ (np.uint64(1) << np.uint64(63))).view(np.int64)), pa.array(part.rest.astype(np.int64))], ["lead", "rest"])
+
+    sample = drawn.select(F.substring("text", at, F.lit(SAMPLE_PIECE)).alias("piece_text")).mapInArrow(suffixes, "lead long, rest long")
+    ranged = sample.repartitionByRange(n, "lead", "rest").groupBy(F.spark_partition_id()).agg(F.max(F.struct("lead", "rest")).alias("last"))
+    cuts = sorted((r["last"]["lead"], r["last"]["rest"]) for r in ranged.collect())[:-1]
+    lead, rest = (np.array([c[k] for c in cuts], np.int64) for k in (0, 1))
+    return lead.view(np.uint64) ^ (np.uint64(1) << np.uint64(63)), rest.astype(np.uint32)
 
-    sample = df.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).mapInArrow(leads, "lead long")
-    row = sample.agg(F.percentile_approx("lead", F.lit([k / n for k in range(1, n)]), 10_000).alias("cut")).first()
-    return np.array(row["cut"] or [], np.uint64)
 
+def remove_repeats(df: DataFrame, span: int = SPAN, gram: int = GRAM, carry: tuple[str, ...] = (), part_bytes: int = PART_BYTES, range_messages: int = RANGE_MESSAGES, characters: bool = False) -> DataFrame:
+    """doc_id, removed (array of byte runs), kept (the remaining bytes) and the carried columns, a row for each row of df.
 
-def remove_repeats(df: DataFrame, span: int = SPAN, gram: int = GRAM, carry: tuple[str, ...] = (), part_bytes: int = PART_BYTES, range_messages: int = RANGE_MESSAGES) -> DataFrame:
-    """doc_id, removed (array of byte runs), kept (the remaining bytes) and the carried columns, a row for each row of df."""
+    With characters, kept holds whole characters: one that loses a byte goes whole, and all others stay as they are.
+    """
     spark = df.sparkSession
     df = df.select("doc_id", "text", *(c for c in carry if c not in ("doc_id", "text", "removed", "kept", "part")))
     total = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts, n_ranges = max(1, -(-total // part_bytes)), max(1, int(total * 2 / (span - gram + 2)) // range_messages)
-    cuts = spark.sparkContext.broadcast(_splitters(df.select("doc_id", "text"), total, n_ranges, span, gram))
+    splitters = _splitters(df.select("doc_id", "text"), total, n_ranges, span, gram)
+    n_ranges, cuts = len(splitters[0]) + 1, spark.sparkContext.broadcast(splitters)
     dealt = df.withColumn("part", F.pmod(F.xxhash64(F.coalesce(F.xxhash64("doc_id") * F.when(F.col("doc_id").isNotNull(), 1), F.xxhash64("text"))), F.lit(n_parts)))
     kept_fields = [f for f in df.schema.fields if f.name != "text"]
     out_schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept_fields), "removed array<struct<start:bigint,end:bigint>>", "kept binary"])
@@ -365,6 +403,11 @@ def remove_repeats(df: DataFrame, span: int = SPAN, gram: int = GRAM, carry: tup
         at = np.searchsorted(row, np.arange(table.num_rows + 1))
         keep = np.ones(len(part.data), bool)
         keep[ranges(start, end - start)] = False
+        if characters and len(keep):
+            character = np.cumsum((part.data & 0xC0) != 0x80) - 1
+            torn = np.zeros(character[-1] + 1, bool)
+            torn[character[~keep]] = True
+            keep = ~torn[character]
         left = np.concatenate([[0], np.cumsum(keep)])[part.at]
         runs = pa.StructArray.from_arrays([pa.array(start - part.at[row]), pa.array(end - part.at[row])], ["start", "end"])
         columns = [table[c] for c in names]

@@ -5,11 +5,14 @@ frequent of them (at most HEAD rows, whatever the corpus) are broadcast, so no f
 join key; all others are joined by a shuffle on the pre-token. No ids are kept.
 
 Nulls are empty texts with no tokens. Repeated rows are each counted and returned; rows with one id and
-different texts stay apart. Rows without an id are counted like others. An empty table gives no rows.
+different texts stay apart. Rows without an id are counted like others. Texts and pre-tokens of any length are
+counted whole; other columns, whatever their names, aren't read. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,10 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.llm import pretokens
-from tempora.llm.common import binary_array, mix, prefix_sums, range_hash, ranges, read, slices, stored
+from tempora.llm.bpe import special_token
+from tempora.llm.common import binary_array, byte_view, distinct, prefix_sums, range_hash, ranges, read, repeated, same_bytes, slices, stored
 
-#: Most pre-tokens that are broadcast, about 10 bytes each; pre-tokens that a task gathers before it passes them on.
-HEAD, FLUSH = 400_000, 600_000
+#: Most pre-tokens that are broadcast and their bytes; pre-tokens that a task gathers before it passes them on, and their bytes.
+HEAD, HEAD_BYTES, FLUSH, FLUSH_BYTES = 400_000, 8 << 20, 600_000, 16 << 20
 
 
 @lru_cache(maxsize=1)
@@ -32,9 +36,10 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=1)
 def _special(path: str) -> bytes:
-    added = _tokenizer(path).get_added_tokens_decoder().values()
-    return next((t.content.encode() for t in added), b"")
+    with open(path, encoding="utf-8") as f:
+        return special_token(json.load(f))[0]
 
 
 def _gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
@@ -46,11 +51,12 @@ def _distinct(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         special = _special(path)
-        hashes, counts, parts, gathered = [], [], [], 0
+        counts, parts, gathered, size = [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            h, c, pieces = np.concatenate(hashes), np.concatenate(counts), pa.concat_arrays(parts)
-            _, first, word = np.unique(h, return_index=True, return_inverse=True)
+            c, pieces = np.concatenate(counts), pa.concat_arrays(parts)
+            raw, at = byte_view(pieces)
+            first, word = distinct(raw, at[:-1], at[1:], range_hash(prefix_sums(raw), at[:-1], at[1:]))
             return pa.RecordBatch.from_arrays([pieces.take(pa.array(first)), pa.array(np.bincount(word, c).astype(np.int64))], ["piece", "total"])
 
         for batch in batches:
@@ -58,14 +64,13 @@ def _distinct(path: str):
                 cuts, _ = pretokens.split(data, at, special)
                 if len(cuts) == 1:
                     continue
-                h, first, n = np.unique(range_hash(prefix_sums(data), cuts[:-1], cuts[1:]), return_index=True, return_counts=True)
-                hashes.append(h)
-                counts.append(n)
+                first, word = distinct(data, cuts[:-1], cuts[1:], range_hash(prefix_sums(data), cuts[:-1], cuts[1:]))
+                counts.append(np.bincount(word, minlength=len(first)))
                 parts.append(_gather(data, cuts[first], cuts[first + 1] - cuts[first]))
-                gathered += len(h)
-                if gathered > FLUSH:
+                gathered, size = gathered + len(first), size + parts[-1].nbytes
+                if gathered > FLUSH or size > FLUSH_BYTES:
                     yield flush()
-                    hashes, counts, parts, gathered = [], [], [], 0
+                    counts, parts, gathered, size = [], [], 0, 0
         if gathered:
             yield flush()
 
@@ -89,58 +94,76 @@ def vocabulary(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     return found.groupBy("piece").agg(F.sum("total").alias("total")).mapInArrow(_count_pieces(path), "piece binary, total bigint, pieces bigint")
 
 
-def _head(words: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """The least total of broadcast pre-tokens, a power of two; the hashes and pieces of those, by hash."""
-    bins = words.groupBy(F.floor(F.log2("total")).alias("bin")).count().orderBy(F.desc("bin")).collect()
-    least, n = 62, 0
+class Head:
+    """The most frequent pre-tokens with their pieces, by hash; their bytes decide."""
+
+    def __init__(self, table: pa.Table):
+        data, at = byte_view(table["piece"])
+        hashes = range_hash(prefix_sums(data), at[:-1], at[1:])
+        order = np.argsort(hashes, kind="stable")
+        self.data, self.start, self.length = data, at[:-1][order], np.diff(at)[order]
+        self.hashes, self.pieces = hashes[order], table["pieces"].to_numpy()[order]
+
+    def find(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each pre-token is here, and its pieces or 0. One that shares its hash with another may be missed, not mistaken."""
+        found, pieces = np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
+        if len(self.hashes):
+            i = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            rows = np.flatnonzero((self.hashes[i] == hashes) & (self.length[i] == length))
+            rows = rows[same_bytes(data, start[rows], self.data, self.start[i[rows]], length[rows])]
+            found[rows], pieces[rows] = True, self.pieces[i[rows]]
+        return found, pieces
+
+
+def _head(words: DataFrame, most: int) -> Head:
+    """The pre-tokens of the largest totals, by powers of two, as many as the bounds on rows and bytes allow."""
+    bin_ = F.floor(F.log2("total")).alias("bin")
+    bins = words.groupBy(bin_).agg(F.count("*").alias("n"), F.sum(F.octet_length("piece")).alias("size")).orderBy(F.desc("bin")).collect()
+    least, n, size = 63, 0, 0
     for row in bins:
-        if n + row["count"] > most:
+        n, size = n + row["n"], size + row["size"]
+        if n > most or size > HEAD_BYTES:
             break
-        least, n = row["bin"], n + row["count"]
-    table = words.where(F.col("total") >= 2**least).select("piece", "pieces").toArrow() if n else pa.table({"piece": pa.array([], pa.binary()), "pieces": pa.array([], pa.int64())})
-    hashes, pieces = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for batch in table.to_batches():
-        for a, b, data, at in slices(batch.column(0)):
-            hashes.append(range_hash(prefix_sums(data), at[:-1], at[1:]))
-            pieces.append(batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False))
-    h, p = np.concatenate(hashes), np.concatenate(pieces)
-    order = np.argsort(h)
-    return least, h[order], p[order]
+        least = row["bin"]
+    empty = pa.table({"piece": pa.array([], pa.binary()), "pieces": pa.array([], pa.int64())})
+    return Head(words.where(F.col("total") >= 2**least).select("piece", "pieces").toArrow() if least < 63 else empty)
+
+
+def _row_keys(data: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """A digest of each text. No pre-token begins with these two bytes, as they aren't UTF-8."""
+    raw = memoryview(np.ascontiguousarray(data))
+    return [b"\xff\xff" + hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
 
 
 def _frequencies(path: str, broadcast):
     """A row for each document with its tokens from broadcast pre-tokens, and one for each other pre-token in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        special, (known, pieces) = _special(path), broadcast.value
+        special, head_words = _special(path), broadcast.value
         for batch in batches:
             for a, b, data, at in slices(batch.column(1)):
-                ids = batch.column(0).slice(a, b - a)
-                sums = prefix_sums(data)
-                row_id = mix(range_hash(sums, at[:-1], at[1:])).view(np.int64)
+                ids, row_id = batch.column(0).slice(a, b - a), pa.array(_row_keys(data, at), pa.binary())
                 cuts, _ = pretokens.split(data, at, special)
                 start, tail_of, tail_n, tail_start, tail_size = cuts[:-1], *(np.zeros(0, np.int64),) * 4
                 head = np.zeros(len(at) - 1, np.int64)
                 if len(start):
-                    h, first, word = np.unique(range_hash(sums, start, cuts[1:]), return_index=True, return_inverse=True)
-                    i = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-                    found = known[i] == h if len(known) else np.zeros(len(h), bool)
-                    weight = np.where(found, pieces[i], 0) if len(known) else np.zeros(len(h), np.int64)
+                    h = range_hash(prefix_sums(data), start, cuts[1:])
+                    first, word = distinct(data, start, cuts[1:], h)
+                    found, weight = head_words.find(h[first], data, start[first], cuts[first + 1] - start[first])
                     total = np.concatenate([[0], np.cumsum(weight[word])])
                     token_at = np.searchsorted(start, at)
                     head = total[token_at[1:]] - total[token_at[:-1]]
                     rest = np.flatnonzero(~found[word])
                     document = np.searchsorted(token_at, rest, side="right") - 1
-                    pair, tail_n = np.unique(document * len(h) + word[rest], return_counts=True)
-                    tail_of, w = pair // len(h), first[pair % len(h)]
+                    pair, tail_n = np.unique(document * len(first) + word[rest], return_counts=True)
+                    tail_of, w = pair // len(first), first[pair % len(first)]
                     tail_start, tail_size = start[w], cuts[w + 1] - start[w]
                 n, m = len(row_id), len(tail_of)
-                key = pa.array([b"#%d" % x for x in row_id], pa.binary())  # no pre-token mixes signs and digits
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.concat_arrays([ids, ids.take(pa.array(tail_of))]),
-                        pa.array(np.concatenate([row_id, row_id[tail_of]])),
-                        pa.concat_arrays([key, _gather(data, tail_start, tail_size)]),
+                        pa.concat_arrays([row_id, row_id.take(pa.array(tail_of))]),
+                        pa.concat_arrays([row_id, _gather(data, tail_start, tail_size)]),
                         pa.array(np.concatenate([np.zeros(n, np.int64), tail_n])),
                         pa.concat_arrays([pa.array(np.diff(at)), pa.nulls(m, pa.int64())]),
                         pa.concat_arrays([pa.array(head), pa.nulls(m, pa.int64())]),
@@ -155,16 +178,14 @@ def token_counts(df: DataFrame, path: str, limit: int = 1024, head: int = HEAD)
     """doc_id, n_bytes, n_tokens, over_limit (more than limit tokens), one row for each row of df."""
     spark, df = df.sparkSession, df.select("doc_id", "text")
     words = stored(vocabulary(df, path))
-    least, hashes, pieces = _head(words, head)
-    broadcast = spark.sparkContext.broadcast((hashes, pieces))
-    rows = df.mapInArrow(_frequencies(path, broadcast), f"doc_id {df.schema['doc_id'].dataType.simpleString()}, row_id bigint, piece binary, n bigint, n_bytes bigint, head bigint")
-    tail = words.where(F.col("total") < 2**least).select("piece", "pieces")
-    joined = rows.join(tail.hint("shuffle_merge"), "piece", "left")
+    broadcast = spark.sparkContext.broadcast(_head(words, head))
+    rows = df.mapInArrow(_frequencies(path, broadcast), f"doc_id {df.schema['doc_id'].dataType.simpleString()}, row_id binary, piece binary, n bigint, n_bytes bigint, head bigint")
+    joined = rows.join(words.select("piece", "pieces").hint("shuffle_merge"), "piece", "left")
     summed = joined.groupBy("doc_id", "row_id").agg(
         F.max("n_bytes").alias("n_bytes"), F.sum("head").alias("head"), F.sum(F.col("n") * F.coalesce("pieces", F.lit(0))).alias("tail"), F.count("head").alias("copies")
     )
     n = F.expr("(head + tail) div copies")
-    return summed.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"), F.explode(F.expr("sequence(1, copies)")).alias("copy")).drop("copy")
+    return repeated(summed.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"), "copies"), "copies")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,12 +6,15 @@ looks like a header, and synthesises WARC/1.1 headers: a record id that depends
 timestamp from the ARC date, the content type, and the SHA-1 of the payload. Of records with equal payloads of at
 least least_bytes, the one with the smallest page_id is a response and the others are revisits that name it and carry no payload.
 
-Files are written by Spark's text writer, with the blank lines that end a record as its separator and gzip; their
-number of records is bounded, as a file is read back whole in one task.
+Files are written by Spark's text writer, with the blank lines that end a record as its separator and gzip. Records are
+dealt to as many files as their bytes ask for, at most RECORDS_IN_FILE to each; a file is read back in one task, record by
+record. A file is one gzip member: Spark's writers make no member for each record, so a reader can't seek inside one.
 
 A null html is an empty payload; a null url is written as `-`. A row without page_id is an archive record too, keeps
 a null id, counts as later than all others, and isn't named by a revisit unless all equal ones lack an id. Rows that
-repeat an id are records each; the first of them is the response. An empty table gives no records.
+repeat an id are records each; the first of them is the response. White space and control signs in a url, of any
+script, are written as %20. Payloads of any length are written whole. Other columns, whatever their names, aren't
+read. An empty table gives no records.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,7 +33,8 @@ from pyspark.sql import functions as F
 
 from tempora.llm.common import read, scratch_dir, stored
 
-RECORDS_IN_FILE, END = 2000, b"\r\n\r\n"
+#: Records of a file at most, payload bytes of a file about, and what ends a record.
+RECORDS_IN_FILE, FILE_BYTES, END = 2000, 16 << 20, b"\r\n\r\n"
 _SPACE = re.compile(r"[\s\x00-\x1f]+")
 #: Fields of the header lines of ARC versions 1 and 2 (fixed by the format).
 ARC_FIELDS = {
@@ -147,27 +152,27 @@ def write_warc(records: DataFrame, path: str) -> None:
     record_text(records).write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_IN_FILE).text(path)
 
 
-def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    at = 0
-    while at < len(raw):
-        end = raw.index(END, at)
-        lines = raw[at:end].decode("utf-8").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        head = dict(x.split(": ", 1) for x in lines[1:])
+def parse_warc(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of each record, one after another."""
+    while first := stream.readline():
+        if not first.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record but {first[:40]!r}")
+        head = {}
+        while line := stream.readline().removesuffix(b"\r\n"):
+            name, value = line.decode("utf-8").split(": ", 1)
+            head[name] = value
         size = int(head["Content-Length"])
-        yield head, raw[end + 4 : end + 4 + size]
-        at = end + 4 + size
-        if raw[at : at + 4] != END:
-            raise ValueError(f"record doesn't end at byte {at}")
-        at += 4
+        block = stream.read(size)
+        if len(block) < size or stream.read(4) != END:
+            raise ValueError(f"record {head.get('WARC-Record-ID')} doesn't end where it should")
+        yield head, block
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for raw in batch.column(0):
             rows = []
-            for head, payload in parse_warc(gzip.decompress(raw.as_py())):
+            for head, payload in parse_warc(gzip.GzipFile(fileobj=pa.BufferReader(raw.as_buffer()))):
                 number = lambda name: int(head[name]) if name in head else None  # noqa: B023,E731
                 sha = head["WARC-Payload-Digest"].removeprefix("sha1:")
                 if head["WARC-Type"] == "response" and digest(payload) != sha:
@@ -196,7 +201,9 @@ def archive(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFrame:
     slim = records.select("page_id", "record_id", "sha1", "n_bytes")
     number = F.row_number().over(Window.partitionBy("record_id").orderBy("page_id"))
     flags = with_revisits(slim, least_bytes).select("record_id", "refers_to", "refers_to_record").dropDuplicates(["record_id"])
-    whole = records.withColumn("copy", number).join(flags, "record_id")
+    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    dealt = records.repartition(max(1, -(-total // FILE_BYTES)), "record_id")  # the window and the join keep to it
+    whole = dealt.withColumn("copy", number).join(flags.hint("shuffle_merge"), "record_id")
     whole = whole.withColumn("is_revisit", F.col("refers_to_record").isNotNull() & ((F.col("refers_to_record") != F.col("record_id")) | (F.col("copy") > 1)))
     write_warc(whole, path)
     return read_warc(pages.sparkSession, path)

@@ -93,6 +93,37 @@ def test_near_on_large_groups_that_no_member_holds_together(spark, percent):
     assert near(df, percent, group_docs=30) == expected
 
 
+def test_near_on_words_that_simple_hashes_mistake(spark):
+    x = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    y = x.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{x} {x}"), (2, f"{y} {y}"), (3, x), (4, y)]
+    assert near(spark.createDataFrame(rows, "doc_id long, text string"), 85) == brute_near(rows, 85)
+
+
+def test_sets_go_by_words_not_hashes(monkeypatch):
+    texts = ["a b c d e f g", "a b c d e f h", "b a c d e f g", "a b", "b a", "A  b", "", "a b c d e f g f g f g"]
+    raw = [t.encode() for t in texts]
+    data, at = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    want = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for t in texts]
+    for weak in (None, lambda sums, start, end: np.zeros(len(start), np.uint64)):
+        if weak:
+            monkeypatch.setattr(shingles, "range_hash", weak)
+            monkeypatch.setattr(shingles, "mix", lambda x: x * np.uint64(0))
+        flat, ends, _ = shingles.exact_sets(data, at)
+        got = [set(flat[i:j].tolist()) for i, j in zip(ends, ends[1:], strict=False)]
+        assert [len(g) for g in got] == [len(w) for w in want]
+        assert all(len(got[i] & got[j]) == len(want[i] & want[j]) for i in range(len(texts)) for j in range(len(texts)))
+
+
+def test_large_groups_grow_with_their_buckets(spark):
+    """A chain in which only neighbours are alike: pairs that are estimated are those of buckets, not all of the cluster."""
+    rnd, words, rows = random.Random(4), [f"v{i}" for i in range(300)], []
+    for i in range(160):
+        words[rnd.randrange(300)] = f"n{i}"
+        rows.append((i, " ".join(words)))
+    assert near(spark.createDataFrame(rows, "doc_id long, text string"), 85, group_docs=20, block=12) == brute_near(rows, 85)
+
+
 def test_estimates():
     rng = np.random.default_rng(0)
     a = np.unique(rng.integers(0, 2**63, 4000).astype(np.uint64))
@@ -161,6 +192,31 @@ def test_repeats_on_hard_rows(spark):
     assert kept.columns == ["doc_id", "removed", "kept"]
 
 
+def test_frequent_leading_bytes_are_cut(spark):
+    rnd = random.Random(6)
+    texts = ["".join("https://" + "".join(rnd.choice("abcdef") for _ in range(24)) for _ in range(60)) for _ in range(40)]
+    rows = list(enumerate(texts)) + [(100 + i, t[300:700]) for i, t in enumerate(texts[:9])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert repeats(df, part_bytes=9000, range_messages=200) == brute_repeats(rows)
+    total = sum(len(t) for _, t in rows)
+    lead, rest = suffix_dedup._splitters(df, total, 12, 50, 24)
+    part = suffix_dedup.Part(__import__("pyarrow").array(texts), __import__("pyarrow").array(range(len(texts))), 50, 24)
+    sizes = [len(suffix_dedup.unpack(b)[0]) for _, b in part.first_messages((lead, rest))]
+    assert sum(sizes) == len(part.lead) and len(sizes) > 6 and max(sizes) < 0.4 * sum(sizes)
+
+
+def test_kept_characters_are_whole(spark):
+    shared = "é漢😀" * 30
+    rows = [(1, shared), (2, "x" + shared[1:] + "\ufffd own"), (3, "\ufffd" + shared[:40] + "é\ufffd"), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: (r["removed"], r["kept"]) for r in suffix_dedup.remove_repeats(df, characters=True).collect()}
+    for i, t in rows:
+        raw, gone = (t or "").encode(), {b for r in out[i][0] for b in range(r["start"], r["end"])}
+        ends = np.cumsum([0, *(len(c.encode()) for c in t or "")])
+        want = "".join(c for c, a, b in zip(t or "", ends, ends[1:], strict=False) if not gone & set(range(a, b)))
+        assert out[i][1].decode() == want and (i != 2 or ("\ufffd own" in want and len(want) < 20)) and len(raw) == len(t.encode() if t else b"")
+
+
 def test_multikey_order():
     rng = np.random.default_rng(1)
     keys = [rng.integers(0, 4, 500) for _ in range(3)]
@@ -209,6 +265,17 @@ def test_cosine(spark, small, more):
     assert cover_tree.cosine_components(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [4000, 5])
+def test_cosine_of_any_magnitude_length_and_number(spark, block):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (4, [0.0, 1.0]), (3, [1e-200, 0.0]), (5, [1e200, 1e190]), (6, [5e-324, 0.0]), (7, [0.0, -1e-310]), (8, [-3e307, 1e308])]
+    rows += [(10 + n, [1.0] * n) for n in range(3, 1200)] + [(5000 + n, [2.0] * (n - 1) + [2.001]) for n in range(3, 1200, 100)] + [(9000 + i, [3.0, 4.0]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in cover_tree.cosine_components(df, block=block, cell_points=3).collect()}
+    assert [got[i] for i in (1, 2, 3, 5, 6)] == [(4, 1)] * 5 and [got[i] for i in (4, 7, 8)] == [(1, 4), (0, 7), (1, 4)]
+    assert all(got[10 + n] == ((1, 10 + n) if n % 100 == 3 else (0, 10 + n)) for n in range(3, 1200))
+    assert all(got[9000 + i] == (2999, 9000) for i in range(3000))
+
+
 def test_cosine_on_tables(spark, small):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()]
     assert sorted(map(tuple, cover_tree.op2_cover_tree(spark, small).collect()), key=str) == brute_cosine(rows)

@@ -79,4 +79,65 @@ def test_query_on_tables(spark, small, library):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     for r in token_counts.op4_token_counts(spark, small).collect():
         assert r["n_tokens"] == len(library.encode(docs[r["doc_id"]], add_special_tokens=False).ids)
-    assert bpe.op10_bpe_round_trip(spark, small).count() == len(docs)
+
+
+def alternating(n):
+    """a and b in Thue-Morse order, and with a and b exchanged: their polynomial hashes modulo a power of two are equal."""
+    x = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_simple_hashes_mistake(spark, library):
+    x, y = alternating(4096)
+    texts = [f"{x[:2048]} {y[:2048]}", f"{y[:2048]} {x[:2048]}", f"{x} {y}", y]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for r in bpe.round_trip(df, PATH).collect():
+        ids = want[r["doc_id"]]
+        assert r["ids_sha256"] == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest() and r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+    for head in (400_000, 0):
+        assert {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(df, PATH, head=head).collect()} == {i: len(ids) for i, ids in enumerate(want)}
+
+
+@pytest.mark.parametrize("kinds", [1, 7])
+def test_equal_hashes_of_different_words(library, monkeypatch, kinds):
+    import pyarrow as pa
+
+    weak = lambda sums, start, end: ((end - start) % kinds).astype(np.uint64)
+    monkeypatch.setattr(bpe, "range_hash", weak)
+    monkeypatch.setattr(token_counts, "range_hash", weak)
+    encoder, texts = bpe.Encoder(PATH), ["one two three two one", "four one five six two", "two" * 20, "one two"]
+    for part in (texts[:2], texts[1:], texts):
+        assert encoded(encoder, part) == [x.ids for x in library.encode_batch(part, add_special_tokens=False)]
+    found = pa.Table.from_batches(token_counts._distinct(PATH)(iter([pa.record_batch({"text": texts})])))
+    words = {}
+    for t in texts:
+        for w, _ in library.pre_tokenizer.pre_tokenize_str(t):
+            words[w] = words.get(w, 0) + 1
+    assert dict(zip(found["piece"].to_pylist(), found["total"].to_pylist(), strict=True)) == {w.replace("Ġ", " ").encode(): n for w, n in words.items()}
+    pieces = [b"aa", b"bb", b"c"]
+    head = token_counts.Head(pa.table({"piece": pa.array(pieces, pa.binary()), "pieces": [1, 2, 3]}))
+    data = np.frombuffer(b"aabbccc", np.uint8)
+    found, n = head.find(weak(None, np.array([0, 2, 4, 6]), np.array([2, 4, 6, 7])), data, np.array([0, 2, 4, 6]), np.array([2, 2, 2, 1]))
+    assert all(not f or (k < 3 and p == k + 1) for k, (f, p) in zip((0, 1, 5, 2), zip(found, n, strict=True), strict=True)) and not found[2]
+
+
+def test_other_tokenizers_are_refused(tmp_path):
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        file = json.load(f)
+    assert bpe.special_token(file) == (b"<|endoftext|>", 50256)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [*file["added_tokens"], {"content": "<x>", "id": 7}]}, {"added_tokens": [file["added_tokens"][0] | {"lstrip": True}]}):
+        with pytest.raises(ValueError):
+            bpe.special_token(file | change)
+
+
+def test_round_trip_on_tables(spark, small, library):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.op10_bpe_round_trip(spark, small).collect()}
+    want = {}
+    for i, t in docs.items():
+        ids = library.encode(t, add_special_tokens=False).ids
+        want[i] = (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+    assert got == want
