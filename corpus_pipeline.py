@@ -1,7 +1,10 @@
 """The corpus pipeline: quality, language, near-duplicates, repeated passages, packing.
 
 Each stage is a function of (spark, docs, sf_dir) over all rows that the one before it kept; all but the last
-return the columns of documents. Rows without a doc_id are kept by the stages that compare documents.
+return the columns of documents, and other columns aren't read. Rows without a doc_id are kept by the stages that
+compare documents. Null and empty texts go in the first stage; the others take them as texts without words.
+Repeated rows of one doc_id are each judged and kept; near_duplicates keeps or drops all rows of a doc_id. Texts of any
+length are handled whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,11 +39,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages of 50 bytes and more that a smaller doc_id has; torn characters at the cuts go too."""
-    out = suffix_dedup.remove_repeats(docs.select(*COLUMNS), carry=("lang", "source"))
-    left = F.col("kept").cast("string")
-    text = F.when(F.size("removed") == 0, left).otherwise(F.replace(F.make_valid_utf8(left), F.lit("\ufffd"), F.lit("")))
-    return out.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """All documents, without the passages of 50 bytes and more that a smaller doc_id has; a character that loses a byte goes whole."""
+    out = suffix_dedup.remove_repeats(docs.select(*COLUMNS), carry=("lang", "source"), characters=True)
+    return out.select("doc_id", F.col("kept").cast("string").alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
