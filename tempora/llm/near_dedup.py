@@ -8,10 +8,11 @@
     threshold, and that aren't connected yet, are verified on their full sets.
 4.  A larger cluster is spread over tasks: every member is verified against those of a few hubs that it may link with,
     chosen from a small sample of it. Hubs with a member in common are one component. All that isn't in the
-    largest component is compared by its registers with the members of its buckets, in blocks of bounded size. Pairs
-    near the threshold and not yet connected are verified: first a forest of them, then the ones that are
-    left. Of two members that aren't connected, one at least isn't in the largest component, so no pair of a
-    bucket is left out, and the work grows with the pairs that buckets hold, not with the cluster's square.
+    largest component is compared by its registers with the members of its buckets, in blocks of bounded size. First
+    a forest of the pairs near the threshold is verified; then, inside the blocks, all such pairs that aren't
+    connected by then, each in the first band that they share. No pair is a row but those of the forest. Of two
+    members that aren't connected, one at least isn't in the largest component, so no pair of a bucket is
+    left out, and the work grows with the pairs that buckets hold, not with the cluster's square.
 
 Sets are compared by the bytes of their words, so equal hashes never make a link. Nulls and texts without words have
 no shingles and link with nothing. Rows with one doc_id are one document with several texts. A row without doc_id
@@ -33,7 +34,7 @@ from tempora.llm.common import binary_array, byte_view, ranges, read, slices, st
 from tempora.llm.components import Forest, components
 
 #: Most documents and shingles of a cluster that one task settles; hub candidates and hubs; members of a block of a bucket; pairs that are estimated at once.
-GROUP_DOCS, GROUP_SHINGLES, SAMPLE, HUBS, BLOCK, PAIRS = 200, 2_000_000, 32, 6, 1000, 100_000
+GROUP_DOCS, GROUP_SHINGLES, SAMPLE, HUBS, BLOCK, PAIRS = 256, 2_000_000, 32, 6, 500, 100_000
 #: How far below the threshold an estimate from 120 registers may lie (over four standard deviations).
 MARGIN = 0.17
 
@@ -213,52 +214,97 @@ def _segments(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 81
         yield held, starts(held)
 
 
-def _candidates(percent: int, spanning: bool):
-    """(a, b) of blocks of buckets: pairs of an open member and another whose estimate comes near the threshold and whose known components differ.
-
-    With spanning, only those that connect components which a task's earlier ones don't connect yet, the likest first.
-    """
-
-    def pairs(table: pa.Table, start: np.ndarray, forest: dict[int, int]) -> pa.RecordBatch:
-        side, ids, known = (table[c].to_numpy() for c in ("side", "id", "known"))
-        n, register = table["n_shingles"].to_numpy(), _registers(table["registers"])
-        run = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(ids))))
-        rows, columns = np.flatnonzero((side != COLUMN) & table["open"].to_numpy(zero_copy_only=False)), np.flatnonzero(side != ROW)
-        column_at = np.searchsorted(run[columns], np.arange(len(start) + 1))
-        first, many = column_at[run[rows]], column_at[run[rows] + 1] - column_at[run[rows]]
-        total = np.concatenate([[0], np.cumsum(many)])
-        a, b, near, low = [], [], [], 0
-        while low < len(rows):
-            high = max(low + 1, int(np.searchsorted(total, total[low] + PAIRS, side="right")) - 1)
-            i, j = np.repeat(rows[low:high], many[low:high]), columns[ranges(first[low:high], many[low:high])]
-            low = high
-            apart = known[i] != known[j]
-            i, j = i[apart], j[apart]
-            guess = shingles.estimate(register[i], register[j], n[i], n[j])
-            hit = guess >= percent / 100 - MARGIN
-            a, b, near = [*a, i[hit]], [*b, j[hit]], [*near, guess[hit]]
-        a, b, near = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, near))
-        x, y = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
-        if spanning:
-
-            def find(i: int) -> int:
-                while (j := forest.setdefault(i, i)) != i:
-                    i = forest[i] = forest[j]
-                return i
+BLOCK_KEY = ["bucket", "row_block", "column_block"]
 
+
+def _find(forest: dict[int, int], i: int) -> int:
+    while (j := forest.setdefault(i, i)) != i:
+        i = forest[i] = forest[j]
+    return i
+
+
+def _near_pairs(table: pa.Table, start: np.ndarray, register: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of an open member and another of its block (runs of rows from start on) whose estimate comes near the threshold and whose known components differ; the estimates."""
+    side, known = table["side"].to_numpy(), table["known"].to_numpy()
+    run = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(known))))
+    rows, columns = np.flatnonzero((side != COLUMN) & table["open"].to_numpy(zero_copy_only=False)), np.flatnonzero(side != ROW)
+    column_at = np.searchsorted(run[columns], np.arange(len(start) + 1))
+    first, many = column_at[run[rows]], column_at[run[rows] + 1] - column_at[run[rows]]
+    total = np.concatenate([[0], np.cumsum(many)])
+    a, b, near, low = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], 0
+    while low < len(rows):
+        high = max(low + 1, int(np.searchsorted(total, total[low] + PAIRS, side="right")) - 1)
+        i, j = np.repeat(rows[low:high], many[low:high]), columns[ranges(first[low:high], many[low:high])]
+        low = high
+        apart = known[i] != known[j]
+        i, j = i[apart], j[apart]
+        guess = shingles.estimate(register[i], register[j], n[i], n[j])
+        hit = guess >= percent / 100 - MARGIN
+        a, b, near = [*a, i[hit]], [*b, j[hit]], [*near, guess[hit]]
+    return np.concatenate(a), np.concatenate(b), np.concatenate(near)
+
+
+def _first_shared(register: np.ndarray, bucket: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether each pair's bucket is that of the first band that the pair shares, so that one bucket alone settles it."""
+    keys, out = shingles.band_keys(register), np.zeros(len(i), bool)
+    for low in range(0, len(i), PAIRS):
+        x, y = i[low : low + PAIRS], j[low : low + PAIRS]
+        out[low : low + PAIRS] = keys[x, (keys[x] == keys[y]).argmax(1)] == bucket[x]
+    return out
+
+
+def _forest_pairs(percent: int):
+    """(a, b): pairs near the threshold that connect components which a task's earlier ones don't connect yet, the likest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest: dict[int, int] = {}
+        for table, start in _segments(batches, BLOCK_KEY):
+            ids, known = table["id"].to_numpy(), table["known"].to_numpy()
+            a, b, near = _near_pairs(table, start, _registers(table["registers"]), table["n_shingles"].to_numpy(), percent)
             kept = []
             for k in np.argsort(-near, kind="stable").tolist():
-                p, q = find(int(known[a[k]])), find(int(known[b[k]]))
+                p, q = _find(forest, int(known[a[k]])), _find(forest, int(known[b[k]]))
                 if p != q:
                     forest[p] = q
                     kept.append(k)
-            x, y = x[kept], y[kept]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+            x, y = ids[a[kept]], ids[b[kept]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _unsettled(percent: int):
+    """The members that a block has to compare by their sets, on their sides."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, start in _segments(batches, BLOCK_KEY):
+            register = _registers(table["registers"])
+            a, b, _ = _near_pairs(table, start, register, table["n_shingles"].to_numpy(), percent)
+            mine = _first_shared(register, table["bucket"].to_numpy(), a, b)
+            rows, columns = np.unique(a[mine]), np.unique(b[mine])
+            out = table.select([*BLOCK_KEY, "id", "known"]).take(pa.array(np.concatenate([rows, columns])))
+            side = np.repeat(np.array([ROW, COLUMN], np.int32), [len(rows), len(columns)])
+            yield from out.append_column("side", pa.array(side)).append_column("open", pa.array(side == ROW)).combine_chunks().to_batches()
+
+    return run
+
+
+def _settle_blocks(percent: int):
+    """(a, b): links inside blocks between components that a task's earlier ones don't connect yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest: dict[int, int] = {}
-        for table, start in _segments(batches, ["bucket", "row_block", "column_block"]):
-            yield pairs(table, start, forest)
+        for table, start in _segments(batches, BLOCK_KEY, rows=128):
+            group, known, links = Group(table), table["known"].to_numpy(), []
+            a, b, near = _near_pairs(table, start, group.registers, group.n, percent)
+            mine = np.flatnonzero(_first_shared(group.registers, table["bucket"].to_numpy(), a, b))
+            for k in mine[np.argsort(-near[mine], kind="stable")].tolist():
+                i, j = int(a[k]), int(b[k])
+                p, q = _find(forest, int(known[i])), _find(forest, int(known[j]))
+                if p != q and group.similar(i, j, percent):
+                    forest[p] = q
+                    links.append((i, j))
+            yield pa.RecordBatch.from_arrays([pa.array(group.ids[[x[k] for x in links]], pa.int64()) if links else pa.array([], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
@@ -267,20 +313,23 @@ def _candidates(percent: int, spanning: bool):
 BOTH, ROW, COLUMN = 0, 1, 2
 
 
-def _blocks(members: DataFrame, bands: DataFrame, block: int) -> DataFrame:
-    """Members (id, known, open, n_shingles, registers) in each block of their buckets, but buckets without an open one or of one component."""
-    spots = bands.join(members, "id")
+def _blocks(rows: DataFrame, members: DataFrame, bands: DataFrame, block: int) -> DataFrame:
+    """Members (id, known, open of rows; n_shingles, registers) in each block of their buckets, but buckets without an open one or of one component."""
+    spots = bands.join(rows, "id")
     sizes = spots.groupBy("bucket").agg(F.count("*").alias("all"), F.count_if("open").alias("open_ones"), F.min("known").alias("low"), F.max("known").alias("high"))
     blocks = lambda c: F.ceil(F.col(c) / F.lit(block)).cast("long")
-    sizes = sizes.where("open_ones > 0 AND low <> high").select("bucket", blocks("open_ones").alias("row_blocks"), blocks("all").alias("column_blocks"))
-    placed = spots.join(stored(sizes), "bucket").withColumn("deal", F.xxhash64("id"))
-    hot, rest = F.col("column_blocks") > 1, ("bucket", "id", "known", "open", "n_shingles", "registers")
-    each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    whole = placed.where(~hot).select(*rest, F.lit(0).cast("long").alias("row_block"), F.lit(0).cast("long").alias("column_block"), F.lit(BOTH).alias("side"))
+    sizes = stored(sizes.where("open_ones > 0 AND low <> high").select("bucket", blocks("open_ones").alias("row_blocks"), blocks("all").alias("column_blocks")))
+    placed = spots.join(sizes, "bucket").join(members.select("id", "n_shingles", "registers"), "id").withColumn("deal", F.xxhash64("id"))
+    hot, rest, zero = F.col("column_blocks") > 1, ("bucket", "id", "known", "open", "n_shingles", "registers"), F.lit(0).cast("long")
+    each = lambda c: F.explode(F.sequence(zero, F.col(c) - 1))
+    whole = placed.where(~hot).select(*rest, zero.alias("row_block"), zero.alias("column_block"), F.lit(BOTH).alias("side"))
     rows = placed.where(hot & F.col("open")).select(*rest, F.pmod("deal", "row_blocks").alias("row_block"), each("column_blocks").alias("column_block"), F.lit(ROW).alias("side"))
     columns = placed.where(hot).select(*rest, each("row_blocks").alias("row_block"), F.pmod("deal", "column_blocks").alias("column_block"), F.lit(COLUMN).alias("side"))
-    key = ["bucket", "row_block", "column_block"]
-    return whole.unionByName(rows).unionByName(columns).repartition(*key).sortWithinPartitions(*key, "id")
+    return _in_order(whole.unionByName(rows).unionByName(columns))
+
+
+def _in_order(blocks: DataFrame) -> DataFrame:
+    return blocks.repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY, "id")
 
 
 def _large(members: DataFrame, texts: DataFrame, bands: DataFrame, percent: int, block: int) -> DataFrame:
@@ -299,21 +348,15 @@ def _large(members: DataFrame, texts: DataFrame, bands: DataFrame, percent: int,
     merged = stored(sets.groupBy("cluster").applyInArrow(_merge_hubs, "cluster long, largest long, component map<bigint, bigint>"))
     rows = members.join(stars.select("id", F.col("hubs")[0].alias("hub")), "id", "left").join(merged, "cluster", "left")
     known = F.coalesce(F.try_element_at("component", "hub"), "id")
-    rows = stored(rows.select("id", known.alias("known"), (~known.eqNullSafe(F.col("largest"))).alias("open"), "n_shingles", "registers"))
+    rows = stored(rows.select("id", known.alias("known"), (~known.eqNullSafe(F.col("largest"))).alias("open")))
     links = rows.where("id <> known").select(F.col("id").alias("a"), F.col("known").alias("b"))
 
-    def candidates(rows: DataFrame, spanning: bool) -> DataFrame:
-        found = _blocks(rows, bands, block).mapInArrow(_candidates(percent, spanning), "a long, b long")
-        return found.distinct().select(F.col("a").alias("id"), F.col("b").alias("hub"))
-
-    tested = verified(candidates(rows, True))
-    links = stored(links.unionByName(tested.where("linked").select(F.col("id").alias("a"), F.col("hub").alias("b"))))
-    found = stored(components(links))
-    now = rows.join(found, "id", "left").select("id", F.coalesce("component", "known").alias("known"), "open", "n_shingles", "registers")
-    left = stored(candidates(now, False).join(tested.select("id", "hub"), ["id", "hub"], "left_anti"))
-    if left.isEmpty():
-        return found
-    more = verified(left).where("linked").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    pairs = _blocks(rows, members, bands, block).mapInArrow(_forest_pairs(percent), "a long, b long").distinct().select(F.col("a").alias("id"), F.col("b").alias("hub"))
+    links = stored(links.unionByName(verified(pairs).where("linked").select(F.col("id").alias("a"), F.col("hub").alias("b"))))
+    now = rows.join(components(links), "id", "left").select("id", F.coalesce("component", "known").alias("known"), "open")
+    spots = "bucket long, row_block long, column_block long, id long, known long, side int, open boolean"
+    left = stored(_blocks(stored(now), members, bands, block).mapInArrow(_unsettled(percent), spots))
+    more = _in_order(left.join(texts, "id")).mapInArrow(_settle_blocks(percent), "a long, b long")
     return components(links.unionByName(more))
 
 
@@ -323,7 +366,7 @@ def near_components(df: DataFrame, percent: int = 85, group_docs: int = GROUP_DO
     sketch = stored(sketches(df))
     some = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = stored(some.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "registers")).alias("least"), F.count("*").alias("copies")).select("digest", F.col("least.doc_id").alias("id"), "least.n_shingles", "least.registers", "copies"))
-    bands = stored(classes.select("id", "registers").mapInArrow(_bands, "id long, bucket long"))
+    bands = classes.select("id", "registers").mapInArrow(_bands, "id long, bucket long")
     least = stored(bands.groupBy("bucket").agg(F.min("id").alias("least"), F.count("*").alias("members")).where("members > 1").select("bucket", "least"))
     tied = components(bands.join(least, "bucket").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")))
     clusters = stored(tied.select("id", F.col("component").alias("cluster")))
