@@ -82,7 +82,7 @@ def _power_column(base: int, prime: int, n: int) -> np.ndarray:
     out = np.ones(1, np.uint64)
     while len(out) < n:
         out = np.concatenate([out, out * np.uint64(pow(base, len(out), prime)) % np.uint64(prime)])
-    return out[:n]
+    return out[:n].astype(np.uint32)
 
 
 def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -104,13 +104,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def prefix_sums(data: np.ndarray) -> list[np.ndarray]:
     """Sums, one array for each prime, from which range_hash gets the hash of any byte range."""
-    n, plus, out = len(data), data.astype(np.uint64) + np.uint64(1), []
+    n, plus, out = len(data), data.astype(np.uint64), []
+    plus += np.uint64(1)
     for (up, _), prime in zip(powers(n), _PRIMES, strict=False):
-        sums = np.zeros(n + 1, np.uint64)
-        terms = plus * up[:n]
+        sums = np.empty(n + 1, np.uint64)
+        sums[0] = 0
+        np.multiply(plus, up[:n], out=sums[1:])
         if n > 1 << 23:  # smaller sums of whole products stay below 2**63
-            terms %= np.uint64(prime)
-        np.cumsum(terms, out=sums[1:])
+            sums %= np.uint64(prime)
+        np.cumsum(sums, out=sums)
         out.append(sums)
     return out
 

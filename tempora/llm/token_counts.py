@@ -51,12 +51,12 @@ def _distinct(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         special = _special(path)
-        counts, parts, gathered, size = [], [], 0, 0
+        hashes, counts, parts, gathered, size = [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
             c, pieces = np.concatenate(counts), pa.concat_arrays(parts)
             raw, at = byte_view(pieces)
-            first, word = distinct(raw, at[:-1], at[1:], range_hash(prefix_sums(raw), at[:-1], at[1:]))
+            first, word = distinct(raw, at[:-1], at[1:], np.concatenate(hashes))
             return pa.RecordBatch.from_arrays([pieces.take(pa.array(first)), pa.array(np.bincount(word, c).astype(np.int64))], ["piece", "total"])
 
         for batch in batches:
@@ -64,13 +64,15 @@ def _distinct(path: str):
                 cuts, _ = pretokens.split(data, at, special)
                 if len(cuts) == 1:
                     continue
-                first, word = distinct(data, cuts[:-1], cuts[1:], range_hash(prefix_sums(data), cuts[:-1], cuts[1:]))
+                h = range_hash(prefix_sums(data), cuts[:-1], cuts[1:])
+                first, word = distinct(data, cuts[:-1], cuts[1:], h)
+                hashes.append(h[first])
                 counts.append(np.bincount(word, minlength=len(first)))
                 parts.append(_gather(data, cuts[first], cuts[first + 1] - cuts[first]))
                 gathered, size = gathered + len(first), size + parts[-1].nbytes
                 if gathered > FLUSH or size > FLUSH_BYTES:
                     yield flush()
-                    counts, parts, gathered, size = [], [], 0, 0
+                    hashes, counts, parts, gathered, size = [], [], [], 0, 0
         if gathered:
             yield flush()
 
@@ -99,7 +101,8 @@ class Head:
 
     def __init__(self, table: pa.Table):
         data, at = byte_view(table["piece"])
-        hashes = range_hash(prefix_sums(data), at[:-1], at[1:])
+        parts = [range_hash(prefix_sums(d), a[:-1], a[1:]) for _, _, d, a in slices(table["piece"])]
+        hashes = np.concatenate([np.zeros(0, np.uint64), *parts])
         order = np.argsort(hashes, kind="stable")
         self.data, self.start, self.length = data, at[:-1][order], np.diff(at)[order]
         self.hashes, self.pieces = hashes[order], table["pieces"].to_numpy()[order]
