@@ -68,13 +68,13 @@ def between_hours(rows: DataFrame, start: float, end: float, time: str = "t") ->
 
 def preset_window(samples: DataFrame, preset: str) -> DataFrame:
     """last_24h (all of a shorter run), first_24h, second_24h or all, by the run's own start and end."""
-    run = Window.partitionBy("run_id")
-    t0, tn, day = F.min("t").over(run), F.max("t").over(run), 86_400.0
+    day = 86_400.0
     keep = {
         "last_24h": F.col("t") >= F.col("_tn") - day, "first_24h": F.col("t") <= F.col("_t0") + day,
         "second_24h": (F.col("t") >= F.col("_t0") + day) & (F.col("t") <= F.col("_t0") + 2 * day), "all": F.lit(True),
     }[preset]
-    return samples.withColumns({"_t0": t0, "_tn": tn}).where(keep).drop("_t0", "_tn")
+    ends = samples.groupBy("run_id").agg(F.min("t").alias("_t0"), F.max("t").alias("_tn"))
+    return samples.join(ends, "run_id").where(keep).select(*samples.columns)
 
 
 def auto_period_range(samples: DataFrame) -> DataFrame:

@@ -47,18 +47,30 @@ def circle_masks(circles: DataFrame, height: int, width: int) -> DataFrame:
     return p.select("run_id", F.col("circle_id").alias("roi"), (F.col("px_y") * width + F.col("px_x")).cast("int").alias("px"))
 
 
-def activity(frames: DataFrame, masks: DataFrame, interval: float, start: float = 0.0) -> DataFrame:
+#: Frames of a run that are compared in one window.
+SEGMENT = 256
+
+
+def activity(frames: DataFrame, masks: DataFrame, interval: float, start: float = 0.0, segment: int = SEGMENT) -> DataFrame:
     """run_id, roi, t, value: sums over each region of the absolute differences of successive frames, at the earlier one's time.
 
-    Only the pixels of masks are exploded. n frames of a run give n - 1 samples.
+    Frames are cut to the pixels of each region before they are shuffled, and compared inside segments of a run's indices; the
+    first frame of the next segment follows a segment's last one. n frames of a run give n - 1 samples.
     """
-    w = Window.partitionBy("run_id").orderBy("frame_idx")
     lists = masks.groupBy("run_id", "roi").agg(F.sort_array(F.collect_list("px")).alias("pxs"))
-    pairs = frames.select("run_id", "frame_idx", "pixels", F.lead("pixels").over(w).alias("after"), (F.row_number().over(w) - 1).alias("i")).where("after is not null")
-    both = pairs.join(lists, "run_id")
-    at = lambda c, p: F.element_at(c, p + 1).cast("double")
-    value = F.aggregate("pxs", F.lit(0.0), lambda s, p: s + F.abs(at("after", p) - at("pixels", p)))
-    return both.select("run_id", "roi", (F.lit(start) + F.col("i") * interval).alias("t"), value.alias("value"), F.col("frame_idx").alias("tie"))
+    part = F.floor(F.col("frame_idx") / segment).alias("segment")
+    run = Window.partitionBy("run_id").orderBy("segment")  # a row for each segment
+    parts = frames.select("run_id", part, "frame_idx").groupBy("run_id", "segment").agg(F.count("*").alias("n"), F.min("frame_idx").alias("first"))
+    parts = parts.select("run_id", "segment", "first", F.coalesce(F.sum("n").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"), F.lag("segment").over(run).alias("before"))
+    rows = frames.select("run_id", part, "frame_idx", "pixels").join(lists, "run_id")
+    rows = rows.select("run_id", "roi", "segment", "frame_idx", F.transform("pxs", lambda p: F.element_at("pixels", p + 1).cast("double")).alias("own"))
+    w = Window.partitionBy("run_id", "roi", "segment").orderBy("frame_idx")
+    rows = rows.withColumns({"next": F.lead("own").over(w), "i": F.row_number().over(w) - 1})
+    heads = rows.join(parts.select("run_id", "segment", "before"), ["run_id", "segment"]).where("i = 0 AND before is not null").select("run_id", "roi", F.col("before").alias("segment"), F.col("own").alias("head"))
+    both = rows.join(heads, ["run_id", "roi", "segment"], "left").join(parts.select("run_id", "segment", "offset"), ["run_id", "segment"])
+    gaps = F.zip_with("own", F.coalesce("next", "head"), lambda a, b: F.abs(b - a))
+    out = both.withColumn("gaps", gaps).where("gaps is not null")
+    return out.select("run_id", "roi", (F.lit(start) + (F.col("offset") + F.col("i")) * interval).alias("t"), F.aggregate("gaps", F.lit(0.0), lambda s, x: s + x).alias("value"), F.col("frame_idx").alias("tie"))
 
 
 def number_wells(circles: DataFrame) -> DataFrame:

@@ -2,33 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempora.functions.fits import ratio
+from tempora.sources.tables import stored
 
 #: Groups of nested attributes whose name isn't put before their keys (fixed by the file format).
 BARE_PARENTS = ("esp32_timing", "python_timing", "frame_metadata")
-#: Name parts that mark analysis results, and those that mark experimental settings (fixed word lists).
-ANALYSIS_WORDS = ("roi_", "threshold", "baseline", "hysteresis", "movement", "fraction", "sleep", "quiescence", "analysis", "processed", "detection", "mask", "result")
-EXPERIMENT_WORDS = ("temperature", "humidity", "led", "light", "frame", "interval", "exposure", "duration", "experiment", "sample", "strain", "genotype", "age", "sex", "date", "time", "operator", "camera", "gain", "fps", "resolution", "phase", "cycle", "condition", "treatment")
-
-
-def numeric_attributes(frames: DataFrame, column: str = "attrs", depth: int = 3) -> DataFrame:
-    """run_id, frame_idx, param, value of the numbers in nested JSON; keys get their parent's name before them. Bad JSON, text and booleans are left out.
-
-    The document is parsed once and its levels are exploded one after another, depth of them.
+#: Name parts that mark analysis results (fixed values).
+ANALYSIS_WORDS = (
+    "roi_", "baseline_", "threshold_", "upper_threshold", "lower_threshold", "movement_data", "fraction_data", "sleep_data", "quiescence_data", "intensity_roi_", "analysis_", "processed_", "calculated_",
+)
+#: Name parts that mark experimental settings (fixed values).
+EXPERIMENT_WORDS = (
+    "experiment", "date", "time", "duration", "interval", "frame", "fps", "resolution", "microscope", "objective", "magnification", "exposure", "gain",
+    "temperature", "humidity", "light", "treatment", "condition", "protocol", "researcher", "lab", "species", "strain", "age", "sex",
+)
+#: Units of known parameters, and descriptions of some (fixed values).
+UNITS = {
+    "frame_drift": "seconds", "cumulative_drift": "seconds", "actual_intervals": "seconds", "expected_intervals": "seconds", "frame_intervals": "seconds", "capture_timestamps": "seconds", "expected_timestamps": "seconds",
+    "temperature": "celsius", "humidity": "percent", "led_power_percent": "percent", "led_duration_ms": "milliseconds",
+    "frame_mean": "pixel_intensity", "frame_max": "pixel_intensity", "frame_min": "pixel_intensity", "frame_std": "pixel_intensity", "frame_index": "dimensionless",
+}
+DESCRIPTIONS = {
+    "frame_drift": "Time difference between expected and actual frame capture",
+    "cumulative_drift": "Total accumulated timing error since recording start",
+    "actual_intervals": "Measured time between consecutive frames",
+    "expected_intervals": "Configured frame interval (should be constant)",
+    "temperature": "Ambient temperature during recording",
+    "humidity": "Relative humidity during recording",
+    "led_duration_ms": "LED flash duration (only parameter in milliseconds)",
+    "led_power_percent": "LED illumination power setting",
+}
+
+
+def numeric_attributes(frames: DataFrame, column: str = "attrs") -> DataFrame:
+    """run_id, frame_idx, param, value of the numbers in nested JSON; keys get their parent's name before them. Bad JSON, text, lists and booleans are left out.
+
+    The document is parsed once and its levels, however deep, are exploded one after another; what is left of a level is
+    stored, so each is read once. A name that stands twice in a document gives two rows.
     """
+    spark = frames.sparkSession
     node = frames.select("run_id", "frame_idx", F.try_parse_json(column).alias("v"), F.lit("").alias("parent")).where("v is not null")
     found = None
-    for _ in range(depth):
-        node.createOrReplaceTempView("tempora_nodes")
-        each = node.sparkSession.sql("SELECT run_id, frame_idx, parent, e.key AS key, e.value AS v FROM tempora_nodes, LATERAL variant_explode(v) AS e")
+    while found is None or not node.isEmpty():
+        each = node.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("run_id", "frame_idx", "parent", "key", F.col("value").alias("v"))
         kind = F.schema_of_variant("v")
         name = F.when((F.col("parent") == "") | F.col("parent").isin(*BARE_PARENTS), F.col("key")).otherwise(F.concat_ws("_", "parent", "key"))
         number = each.where(kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT|SMALLINT|TINYINT)")).select("run_id", "frame_idx", name.alias("param"), F.try_variant_get("v", "$", "double").alias("value"))
         found = number if found is None else found.unionByName(number)
-        node = each.where(kind.startswith("OBJECT")).select("run_id", "frame_idx", "v", F.col("key").alias("parent"))
+        node = stored(each.where(kind.startswith("OBJECT")).select("run_id", "frame_idx", "v", F.col("key").alias("parent")))
     return found
 
 
@@ -46,10 +70,9 @@ def align(meta: DataFrame, params: list[str], interval: float) -> DataFrame:
 
 def flatten_static(attributes: DataFrame, column: str = "attrs") -> DataFrame:
     """run_id, category, parameter, value, data_type, source of a two-level JSON document."""
-    attributes.select("run_id", F.try_parse_json(column).alias("v"), "source").createOrReplaceTempView("tempora_static")
-    each = attributes.sparkSession.sql(
-        "SELECT run_id, a.key AS category, b.key AS parameter, b.value AS v, source FROM tempora_static, LATERAL variant_explode(v) AS a, LATERAL variant_explode(a.value) AS b"
-    )
+    explode = attributes.sparkSession.tvf.variant_explode
+    top = attributes.select("run_id", F.try_parse_json(column).alias("v"), "source").lateralJoin(explode(F.col("v").outer())).select("run_id", F.col("key").alias("category"), F.col("value").alias("v"), "source")
+    each = top.lateralJoin(explode(F.col("v").outer())).select("run_id", "category", F.col("key").alias("parameter"), F.col("value").alias("v"), "source")
     return each.select("run_id", "category", "parameter", F.try_variant_get("v", "$", "string").alias("value"), F.lower(F.schema_of_variant("v")).alias("data_type"), "source")
 
 
@@ -119,18 +142,33 @@ def drift_grade(meta: DataFrame, param: str) -> DataFrame:
     return _of(meta, param).groupBy("run_id").agg(largest.alias("largest")).withColumn("grade", graded(F.col("largest"), (0.05, 0.1, 0.2), ("excellent", "good", "acceptable", "poor")))
 
 
-def with_units(meta_params: DataFrame, units: DataFrame) -> DataFrame:
-    """Parameters with unit, description and hint of the small table of known ones; others are unknown."""
-    out = meta_params.join(units, "param", "left")
-    return out.withColumns({"unit": F.coalesce("unit", F.lit("unknown")), "description": F.coalesce("description", F.lit("")), "hint": F.coalesce("hint", F.lit(""))})
+def known_units() -> dict[str, tuple[str, str, str]]:
+    """Unit, description and display hint of each known parameter."""
+    hint = lambda u: "multiply by 1000 for milliseconds" if u == "seconds" else f"values in {u}"
+    return {p: (u, DESCRIPTIONS.get(p, f"Parameter measured in {u}"), hint(u)) for p, u in UNITS.items()}
+
+
+def units_table(spark: SparkSession) -> DataFrame:
+    """param, unit, description, hint of the known parameters."""
+    return F.broadcast(spark.createDataFrame([(p, *v) for p, v in known_units().items()], "param string, unit string, description string, hint string"))  # a fixed, small table
+
+
+def with_units(meta: DataFrame, units: DataFrame) -> DataFrame:
+    """Known parameters with length, unit, description and hint, and for drifts in seconds the largest in milliseconds and a grade. Others get none."""
+    m = meta.groupBy("run_id", "param").agg(F.count("*").alias("n"), F.max(F.abs("value")).alias("most")).join(units, "param")
+    drift = (F.col("unit") == "seconds") & F.lower("param").contains("drift")
+    grade = F.when(drift, graded(F.col("most"), (0.05, 0.1, 0.2), ("excellent", "good", "acceptable", "poor")))
+    return m.select("run_id", "param", "n", "unit", "description", "hint", F.when(drift, F.col("most") * 1000).alias("max_drift_ms"), grade.alias("quality"))
 
 
 def unit_statistics(meta: DataFrame, units: DataFrame) -> DataFrame:
-    """Statistics of each parameter, those of seconds in milliseconds, and a grade for drifts."""
-    m = meta.join(units.select("param", "unit"), "param", "left").withColumn("value", F.when(F.col("unit") == "s", F.col("value") * 1000).otherwise(F.col("value")))
-    m = m.groupBy("run_id", "param", "unit").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.max(F.abs("value")).alias("_most"))
-    grade = F.when(F.col("param").contains("drift"), graded(F.col("_most"), (50, 100, 200), ("excellent", "good", "acceptable", "poor")))
-    return m.select("run_id", "param", F.coalesce("unit", F.lit("unknown")).alias("unit"), "mean", "std", "min", "max", (F.col("max") - F.col("min")).alias("range"), grade.alias("grade"))
+    """Statistics of each parameter with a unit, for seconds in milliseconds too, and a grade where the description tells of drift."""
+    m = meta.groupBy("run_id", "param").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    m = m.join(units, "param").withColumn("range", F.col("max") - F.col("min"))
+    timed = F.col("unit") == "seconds"
+    most = F.greatest(F.abs("min"), F.abs("max"))
+    grade = F.when(timed & F.lower("description").contains("drift"), graded(most, (0.05, 0.1, 0.2), ("excellent", "good", "acceptable", "poor")))
+    return m.select("run_id", "param", "unit", "mean", "std", "min", "max", "range", *(F.when(timed, F.col(c) * 1000).alias(f"{c}_ms") for c in ("mean", "std", "max", "range")), grade.alias("quality"))
 
 
 def legacy_check(attributes: DataFrame) -> DataFrame:
@@ -166,12 +204,25 @@ def light_channel(channels: DataFrame, names: tuple[str, ...]) -> DataFrame:
     return c.withColumn("_best", F.min("_k").over(Window.partitionBy("run_id"))).where("_k = _best").select("run_id", "param", "idx", "value")
 
 
-def light_periods(led: DataFrame, threshold: float = 0.5, view: tuple[float, float] | None = None) -> DataFrame:
-    """Light intervals (white power above the threshold, up to the first dark sample or the last one) and the dark ones between them, cut to the view."""
-    w = Window.partitionBy("run_id").orderBy("t")
-    s = led.withColumns({"on": (F.col("white") > threshold).cast("int"), "next": F.lead("t").over(w)})
-    s = s.withColumn("run", F.row_number().over(w) - F.row_number().over(Window.partitionBy("run_id", "on").orderBy("t")))
-    light = s.where("on = 1").groupBy("run_id", "run").agg(F.min("t").alias("start"), F.max(F.coalesce("next", "t")).alias("end")).drop("run")
+def _in_buckets(led: DataFrame, threshold: float, bucket: float) -> tuple[DataFrame, DataFrame]:
+    """led (run_id, t, light) with its time bucket, and each bucket's state at its start: a row for each bucket of a run that has samples."""
+    s = led.select("run_id", "t", (F.col("white") > threshold).cast("int").alias("light"), F.floor(F.col("t") / bucket).alias("bucket"))
+    last = s.groupBy("run_id", "bucket").agg(F.max(F.struct("t", "light"))["light"].alias("last"), F.max("t").alias("until"))
+    return s, last.withColumn("before", F.lag("last").over(Window.partitionBy("run_id").orderBy("bucket")))
+
+
+def light_periods(led: DataFrame, threshold: float = 0.5, view: tuple[float, float] | None = None, bucket: float = 86_400.0) -> DataFrame:
+    """Light intervals (white power above the threshold, up to the first dark sample or the last one) and the dark ones between them, cut to the view.
+
+    Samples are compared inside time buckets with the state that the bucket starts in; only changes and buckets meet by run.
+    """
+    s, starts = _in_buckets(led, threshold, bucket)
+    w = Window.partitionBy("run_id", "bucket").orderBy("t")
+    s = s.withColumn("was", F.lag("light").over(w)).join(starts.select("run_id", "bucket", "before"), ["run_id", "bucket"])
+    changes = s.withColumn("was", F.coalesce("was", "before", F.lit(0))).where("light <> was").select("run_id", "t", "light")
+    by_run = Window.partitionBy("run_id").orderBy("t")
+    ends = starts.groupBy("run_id").agg(F.max("until").alias("until"))
+    light = changes.withColumn("off", F.lead("t").over(by_run)).where("light = 1").join(ends, "run_id").select("run_id", F.col("t").alias("start"), F.coalesce("off", "until").alias("end"))
     after = F.lead("start").over(Window.partitionBy("run_id").orderBy("start"))
     dark = light.select("run_id", F.col("end").alias("start"), after.alias("end")).where("`end` is not null AND `end` > start")
     out = light.withColumn("phase", F.lit("light")).unionByName(dark.withColumn("phase", F.lit("dark")))
@@ -188,12 +239,21 @@ def fixed_schedule(runs: DataFrame, on_hour: float = 7, off_hour: float = 19) ->
     return d.where("`end` > start").select("run_id", "day", "start", "end")
 
 
-def with_light(samples: DataFrame, led: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """samples with light: 1 or 0 as the last light sample at or before them has it, null before the first. One union and window, no join on ranges."""
-    a = led.select("run_id", "t", (F.col("white") > threshold).cast("int").alias("light"), F.lit(0).alias("kind"), *(F.lit(None).cast(samples.schema[c].dataType).alias(c) for c in ("roi", "value", "tie")))
-    b = samples.select("run_id", "t", F.lit(None).cast("int").alias("light"), F.lit(1).alias("kind"), "roi", "value", "tie")
-    w = Window.partitionBy("run_id").orderBy("t", "kind", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return a.unionByName(b).withColumn("light", F.last("light", True).over(w)).where("kind = 1").drop("kind")
+def with_light(samples: DataFrame, led: DataFrame, threshold: float = 0.5, bucket: float = 86_400.0) -> DataFrame:
+    """samples with light: 1 or 0 as the last light sample at or before them has it, null before the first.
+
+    A union and a window inside time buckets, and where a bucket has no light sample yet the state that it starts in;
+    no join on ranges, and no window over a whole run but that of its buckets.
+    """
+    s, _ = _in_buckets(led, threshold, bucket)
+    a = s.select("run_id", "bucket", "t", "light", F.lit(0).alias("kind"), *(F.lit(None).cast(samples.schema[c].dataType).alias(c) for c in ("roi", "value", "tie")))
+    b = samples.select("run_id", F.floor(F.col("t") / bucket).alias("bucket"), "t", F.lit(None).cast("int").alias("light"), F.lit(1).alias("kind"), "roi", "value", "tie")
+    w = Window.partitionBy("run_id", "bucket").orderBy("t", "kind", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = a.unionByName(b)
+    last = both.groupBy("run_id", "bucket").agg(F.max(F.when(F.col("light").isNotNull(), F.struct("t", "light")))["light"].alias("last"))
+    before = F.last("last", True).over(Window.partitionBy("run_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    out = both.withColumn("light", F.last("light", True).over(w)).where("kind = 1").join(last.select("run_id", "bucket", before.alias("before")), ["run_id", "bucket"])
+    return out.withColumn("light", F.coalesce("light", "before")).drop("kind", "bucket", "before")
 
 
 def detected_interval(stamps: DataFrame, first: int = 9) -> DataFrame:

@@ -25,17 +25,59 @@ def pair_rows(regular: DataFrame) -> DataFrame:
     return both.withColumn("n", F.count("*").over(Window.partitionBy(*PAIR))).where("n >= 10")
 
 
+def series_arrays(regular: DataFrame) -> DataFrame:
+    """A row for each series with its values in the order of idx."""
+    ordered = F.array_sort(F.collect_list(F.struct("idx", "value")))
+    return regular.groupBy(*KEYS).agg(F.transform(ordered, lambda p: p["value"]).alias("values"))
+
+
+#: Blocks of a run's series whose pairs meet in one partition.
+PAIR_BLOCKS = 4
+
+
+def pair_arrays(regular: DataFrame, blocks: int = PAIR_BLOCKS) -> DataFrame:
+    """x, y, n of each pair roi1 < roi2: arrays cut to the shorter series, of 10 values at least. A run's pairs are spread over blocks squared keys."""
+    s, block = series_arrays(regular), F.pmod(F.xxhash64("roi"), F.lit(blocks).cast("long"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    a = s.select("run_id", F.col("roi").alias("roi1"), F.col("values").alias("x"), block.alias("b1"), every.alias("b2"))
+    b = s.select("run_id", F.col("roi").alias("roi2"), F.col("values").alias("y"), block.alias("b2"), every.alias("b1"))
+    n = F.least(F.size("x"), F.size("y"))
+    both = a.join(b, ["run_id", "b1", "b2"]).where("roi1 < roi2").withColumn("n", n).where("n >= 10")
+    return both.select(*PAIR, "n", F.slice("x", 1, F.col("n")).alias("x"), F.slice("y", 1, F.col("n")).alias("y"))
+
+
+def lagged_products(x: np.ndarray, y: np.ndarray, low: int, high: int) -> np.ndarray:
+    """sum of x[l] y[l - lag] / n of the standard scores, for each lag from low to high; by transforms where lags are many."""
+    n = len(x)
+    x, y = ((v - v.mean()) / (v.std() + 1e-10) for v in (x, y))
+    if (high - low) * n < 1 << 20:
+        return np.array([x[max(0, d) : n + min(0, d)] @ y[max(0, -d) : n - max(0, d)] for d in range(low, high + 1)]) / n
+    size = 1 << (2 * n - 1).bit_length()
+    whole = np.fft.irfft(np.fft.rfft(x, size) * np.conj(np.fft.rfft(y, size)), size)
+    return whole[np.arange(low, high + 1) % size] / n
+
+
 def cross_correlation(regular: DataFrame, interval: float, max_lag_h: float = 12) -> DataFrame:
-    """lag (samples), correlation of each pair: sum of z1[l] z2[l - lag] / n. A positive lag means that roi1 is later."""
-    w = Window.partitionBy(*PAIR)
-    z = lambda c: (F.col(c) - F.avg(c).over(w)) / (F.stddev_pop(c).over(w) + 1e-10)
-    p = pair_rows(regular).select(*PAIR, "idx", "n", z("x").alias("x"), z("y").alias("y"))
-    most = F.least(F.lit(int(max_lag_h * 3600 / interval)), F.floor(F.col("n") / 2).cast("int"))
-    # The centred form of length n has no lag of +n/2 if n is even.
-    upper = F.when((most == F.floor(F.col("n") / 2)) & (F.col("n") % 2 == 0), most - 1).otherwise(most)
-    left = p.select(*PAIR, "idx", "n", "x", F.explode(F.sequence(-most, upper)).alias("lag")).withColumn("idx2", F.col("idx") - F.col("lag"))
-    right = p.select(*PAIR, F.col("idx").alias("idx2"), "y")
-    return left.join(right, [*PAIR, "idx2"]).groupBy(*PAIR, "n", "lag").agg((F.sum(F.col("x") * F.col("y")) / F.col("n")).alias("correlation"))
+    """lag (samples), correlation of each pair: sum of z1[l] z2[l - lag] / n. A positive lag means that roi1 is later.
+
+    Pairs are rows with both series as arrays; no lag is a row before it has its correlation.
+    """
+    cap = int(max_lag_h * 3600 / interval)
+
+    @F.pandas_udf("array<struct<lag:int,correlation:double>>")
+    def lags(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(x, y, strict=True):
+            n = len(a)
+            most = min(cap, n // 2)
+            # The centred form of length n has no lag of +n/2 if n is even.
+            high = most - 1 if most == n // 2 and n % 2 == 0 else most
+            found = lagged_products(np.asarray(a, float), np.asarray(b, float), -most, high)
+            out.append([{"lag": d, "correlation": float(c)} for d, c in zip(range(-most, high + 1), found, strict=True)])
+        return pd.Series(out)
+
+    p = pair_arrays(regular).withColumn("lags", lags("x", "y"))
+    return p.select(*PAIR, "n", F.explode("lags").alias("l")).select(*PAIR, "n", "l.lag", "l.correlation")
 
 
 def correlation(regular: DataFrame, interval: float, max_lag_h: float = 12, similar: float = 0.5) -> DataFrame:
@@ -107,7 +149,10 @@ def linkage_clusters(distance: np.ndarray, cut: float, method: str = "average")
 
 
 def clusters(correlations: DataFrame, method: str = "average", cut: float = 0.5) -> DataFrame:
-    """roi, cluster, size: hierarchical clusters of distance 1 - correlation. Merges are sequential, so a run is one task; runs are parallel."""
+    """roi, cluster, size: hierarchical clusters of distance 1 - correlation. Merges are sequential, so a run is one task; runs are parallel.
+
+    The task holds the square of the run's series and its work is their cube: meant for up to about 2000 series of a run.
+    """
     if method not in ("average", "single", "complete", "ward"):
         raise ValueError(f"unknown linkage {method!r}")
     kind = correlations.schema["roi1"].dataType.simpleString()

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,20 +140,31 @@ def permutation_test(regular: DataFrame, best: DataFrame, permutations: int = 10
     """p of the best bin: the share of shuffled series with at least its power.
 
     Detrending and windowing are linear, so a shuffled series' power is that of its sums with two fixed weight series,
-    made once. Shuffles are ranks of a digest of seed, shuffle and index, the same in every run.
+    made once. Shuffles are ranks of a digest of seed, shuffle and index, the same in every run. A series is a row with its
+    values and weights as arrays, shuffled there; no shuffled value is a row.
     """
     x = regular.join(best.select(*KEYS, "n", "size", "k", F.col("power").alias("observed")), list(KEYS))
     angle = F.col("k") * F.col("idx") * (TAU / F.col("size"))
     weight = window_weight(window, F.col("idx"), F.col("n"))
     w = x.withColumns({"c": weight * F.cos(angle), "s": weight * F.sin(angle)})
-    weights = w.select(*KEYS, "idx", "observed", linear_residual(w, "c").alias("c"), linear_residual(w, "s").alias("s"))
-    shuffled = regular.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("perm").cast("string"), F.col("idx").cast("string")))
-    place = F.row_number().over(Window.partitionBy(*KEYS, "perm").orderBy(mark, "idx")) - 1
-    shuffled = shuffled.select(*KEYS, "perm", "value", place.alias("idx"))
-    sums = shuffled.join(weights, [*KEYS, "idx"]).groupBy(*KEYS, "perm", "observed").agg(F.sum(F.col("value") * F.col("c")).alias("c"), F.sum(F.col("value") * F.col("s")).alias("s"))
-    power = F.col("c") * F.col("c") + F.col("s") * F.col("s")
-    return sums.groupBy(*KEYS).agg((F.count_if(power >= F.col("observed")) / F.count("*")).alias("p"), F.count("*").alias("permutations"))
+    weights = w.select(*KEYS, "idx", "value", "observed", linear_residual(w, "c").alias("c"), linear_residual(w, "s").alias("s"))
+    ordered = F.array_sort(F.collect_list(F.struct("idx", "value", "c", "s")))
+    series = weights.groupBy(*KEYS, "observed").agg(ordered.alias("a")).select(*KEYS, "observed", *(F.col(f"a.{c}").alias(c) for c in ("value", "c", "s")))
+
+    @F.pandas_udf("double")
+    def share(observed: pd.Series, value: pd.Series, c: pd.Series, s: pd.Series) -> pd.Series:
+        p = np.zeros(len(observed))
+        size = value.map(len)
+        for n in size.unique():
+            same = np.flatnonzero(size == n)  # series of one length are shuffled alike
+            v, cs, sn = (np.stack(x.iloc[same].to_list()) for x in (value, c, s))
+            for perm in range(1, permutations + 1):
+                mark = [hashlib.md5(f"{seed}:{perm}:{i}".encode()).hexdigest() for i in range(n)]
+                v_now = v[:, sorted(range(n), key=mark.__getitem__)]
+                p[same] += (v_now * cs).sum(1) ** 2 + (v_now * sn).sum(1) ** 2 >= observed.to_numpy()[same]
+        return pd.Series(p / permutations)
+
+    return series.select(*KEYS, share("observed", "value", "c", "s").alias("p"), F.lit(permutations).alias("permutations"))
 
 
 def spectral_peaks(power: DataFrame, share: float = 0.1) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tempora.operators import preprocess, thresholds
 from tempora.operators.preprocess import by_time
-from tempora.sources.tables import KEYS
+from tempora.sources.tables import KEYS, stored
 
 BIN, QUIET, SLEEP_MINUTES = 60, 0.5, 8
 
@@ -42,15 +42,13 @@ def above_threshold(samples: DataFrame, limits: DataFrame) -> DataFrame:
 def movement_fraction(states: DataFrame, bin_size: int = BIN) -> DataFrame:
     """bin_start, bin_center, fraction: the share of each bin spent in state 1; a state lasts to the next sample. Empty bins are 0."""
     b = F.lit(float(bin_size))
-    timed = states.select(*KEYS, "t", "state", F.lead("t").over(by_time()).alias("next"))
-    ends = timed.groupBy(*KEYS).agg(F.min("t").alias("t0"), F.max("t").alias("tn"), F.count("*").alias("n")).where("n > 1")
-    low, high = F.floor(F.col("t0") / b), F.ceil(F.col("tn") / b) - 1
-    spine = ends.where(high >= low).select(*KEYS, F.explode(F.sequence(low, high)).alias("bin"))
-    active = timed.where("state = 1 AND next > t").select(*KEYS, "t", "next", F.explode(F.sequence(F.floor(F.col("t") / b), F.floor(F.col("next") / b))).alias("bin"))
-    shared = F.greatest(F.lit(0.0), F.least(F.col("next"), (F.col("bin") + 1) * b) - F.greatest(F.col("t"), F.col("bin") * b))
-    spent = active.groupBy(*KEYS, "bin").agg(F.sum(shared).alias("spent"))
-    out = spine.join(spent, [*KEYS, "bin"], "left")
-    return out.select(*KEYS, (F.col("bin") * b).alias("bin_start"), ((F.col("bin") + 0.5) * b).alias("bin_center"), F.least(F.lit(1.0), F.coalesce("spent", F.lit(0.0)) / b).alias("fraction"))
+    timed = states.select(*KEYS, "t", "state", F.lead("t").over(by_time()).alias("next")).where("next is not null")
+    # What lies between successive samples covers all bins from the first to the last, so no spine is joined.
+    low, high = F.floor(F.col("t") / b), F.ceil(F.col("next") / b) - 1
+    spans = timed.where(high >= low).select(*KEYS, "t", "next", "state", F.explode(F.sequence(low, high)).alias("bin"))
+    shared = F.least(F.col("next"), (F.col("bin") + 1) * b) - F.greatest(F.col("t"), F.col("bin") * b)
+    out = spans.groupBy(*KEYS, "bin").agg(F.sum(F.when(F.col("state") == 1, F.greatest(F.lit(0.0), shared)).otherwise(0.0)).alias("spent"))
+    return out.select(*KEYS, (F.col("bin") * b).alias("bin_start"), ((F.col("bin") + 0.5) * b).alias("bin_center"), F.least(F.lit(1.0), F.col("spent") / b).alias("fraction"))
 
 
 def quiescence(fractions: DataFrame, threshold: float = QUIET) -> DataFrame:
@@ -113,11 +111,12 @@ def behaviour(samples: DataFrame, limits: DataFrame, bin_size: int = BIN, thresh
     return sleep(quiescence(fractions, threshold), sleep_minutes, bin_size)
 
 
-def analyze(samples: DataFrame, method: str = "baseline", *, calibration: DataFrame | None = None, bin_size: int = BIN, threshold: float = QUIET, sleep_minutes: float = SLEEP_MINUTES, detrended: bool = True, **options) -> dict[str, DataFrame]:
+def analyze(samples: DataFrame, method: str = "baseline", *, calibration: DataFrame | None = None, bin_size: int = BIN, threshold: float = QUIET, sleep_minutes: float = SLEEP_MINUTES, detrended: bool = True, store: bool = False, **options) -> dict[str, DataFrame]:
     """thresholds, samples (as used), states and bins by the method: baseline, adaptive or calibration.
 
     Baseline thresholds come from the series before detrending, adaptive ones from it after; calibration ones from another
-    recording, and series without one are left out. detrended=False takes series as they are.
+    recording, and series without one are left out. Thresholds of (0, 0, 0), where samples are too few, are applied as they are.
+    detrended=False takes series as they are. store=True writes states and bins as tables, for callers that read them more than once.
     """
     if method == "baseline":
         limits = thresholds.from_baseline(samples, options.pop("minutes", 200), **options)
@@ -132,7 +131,8 @@ def analyze(samples: DataFrame, method: str = "baseline", *, calibration: DataFr
         used = preprocess.detrend(samples) if detrended else samples
     else:
         raise ValueError(f"unknown method {method!r}: baseline, adaptive or calibration")
-    good = limits if method == "baseline" else limits.where("status = 'success'")
-    states = hysteresis(used, good)
-    bins = sleep(quiescence(movement_fraction(states, bin_size), threshold), sleep_minutes, bin_size)
+    good = limits.where("status = 'success'") if method == "calibration" else limits
+    keep = stored if store else lambda df: df
+    states = keep(hysteresis(used, good))
+    bins = keep(sleep(quiescence(movement_fraction(states, bin_size), threshold), sleep_minutes, bin_size))
     return {"thresholds": limits, "samples": used, "states": states, "bins": bins}

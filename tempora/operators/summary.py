@@ -20,22 +20,38 @@ def run_summary(bins: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def adaptive_summary(limits: DataFrame) -> DataFrame:
-    """Statistics of noise, spread and multiplier, counts of labels and the share of robust estimates."""
-    stats = [f(c).alias(f"{c}_{n}") for c in ("snr", "cv", "multiplier") for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))]
-    labels = [F.count_if(F.col("quality") == q).alias(f"quality_{q}") for q in ("high", "medium", "low")] + [F.count_if(F.col("stability") == q).alias(f"stability_{q}") for q in ("stable", "moderate", "variable")]
-    return limits.groupBy("run_id").agg(F.count("*").alias("series"), *stats, *labels, F.avg(F.col("robust").cast("double")).alias("robust_share"))
-
-
-def adaptive_recommendations(limits: DataFrame, series: int | None = None) -> DataFrame:
-    """Advice by shares of noisy and unsteady series, the mean multiplier and the share of series that got thresholds."""
-    total = F.lit(series) if series else F.count("*")
-    m = limits.groupBy("run_id").agg(F.avg((F.col("quality") == "low").cast("double")).alias("low"), F.avg((F.col("stability") == "variable").cast("double")).alias("unsteady"), F.avg("multiplier").alias("multiplier"), (F.count("*") / total).alias("success"))
-    advice = F.array(
-        F.when(F.col("low") > 0.5, "improve signal quality"), F.when(F.col("unsteady") > 0.3, "lengthen the analysis window"),
-        F.when(F.col("multiplier") > 3.0, "lower the base multiplier").when(F.col("multiplier") < 1.5, "raise the base multiplier"),
-        F.when(F.col("success") >= 1.0, "all series have thresholds").when(F.col("success") < 0.8, "check series without thresholds"),
+    """Statistics of noise, spread and multiplier, counts of labels and the share of robust estimates, over the series that got thresholds."""
+    ok, levels = F.col("status") == "success", ("high", "medium", "low")
+    stats = [f(F.when(ok, F.col(c))).alias(f"{c}_{n}") for c in ("snr", "cv", "multiplier") for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))]
+    labels = [F.count_if(ok & (F.col(kind) == q)).alias(f"{kind}_{q}") for kind in ("quality", "stability") for q in levels]
+    robust = F.count_if(ok & F.col("robust"))
+    return limits.groupBy("run_id").agg(F.count("*").alias("series"), F.count_if(ok).alias("successful"), *stats, *labels, robust.alias("robust"), F.try_divide(robust * 100.0, F.count_if(ok)).alias("robust_percent"))
+
+
+#: What the recommendations say, by rule.
+ADVICE = {
+    "none": "No series could be analysed: check the quality of the data", "noisy": "Many series are noisy: a longer interval or better imaging may help",
+    "variable": "Signals vary much: thresholds were adjusted to it", "high": "A high mean multiplier: results may be conservative", "low": "A low mean multiplier: signals are clean and results sensitive",
+    "robust": "Many series needed a robust baseline: the data may hold outliers or noise", "all": "All series were analysed", "most": "Most series were analysed", "some": "Some series failed: check the quality of their data",
+}
+
+
+def adaptive_recommendations(limits: DataFrame) -> DataFrame:
+    """Advice by the shares of noisy, variable and robustly estimated series among those that got thresholds, their mean multiplier, and the share that got some."""
+    ok = F.col("status") == "success"
+    share = lambda c: F.avg(F.when(ok, c.cast("double")))
+    m = limits.groupBy("run_id").agg(
+        F.count("*").alias("series"), F.count_if(ok).alias("successful"), share(F.col("quality") == "low").alias("noisy"), share(F.col("cv") > 0.5).alias("variable"),
+        share(F.col("robust")).alias("robust"), F.avg(F.when(ok, F.col("multiplier"))).alias("multiplier"),
+    )
+    done = F.col("successful") / F.col("series")
+    rules = F.array(
+        F.when(F.col("noisy") > 0.5, ADVICE["noisy"]), F.when(F.col("variable") > 0.3, ADVICE["variable"]),
+        F.when(F.col("multiplier") > 3.0, ADVICE["high"]).when(F.col("multiplier") < 1.5, ADVICE["low"]), F.when(F.col("robust") > 0.5, ADVICE["robust"]),
+        F.when(done == 1, ADVICE["all"]).when(done > 0.8, ADVICE["most"]).otherwise(F.lit(ADVICE["some"])),
     )
-    return m.withColumn("recommendations", F.array_join(F.array_compact(advice), "; "))
+    advice = F.when(F.col("successful") == 0, F.lit(ADVICE["none"])).otherwise(F.array_join(F.array_compact(rules), "; "))
+    return m.withColumns({"success": done, "recommendations": advice})
 
 
 def calibration_summary(limits: DataFrame, bins: DataFrame) -> DataFrame:

@@ -30,18 +30,19 @@ def from_baseline(samples: DataFrame, minutes: float, multiplier: float = 1.0, i
 
 
 def adaptive(samples: DataFrame, minutes: float = 15.0, multiplier: float = 2.5, interval: float = 5.0) -> DataFrame:
-    """Thresholds whose base and width depend on noise, spread and outliers of the first window of frames."""
-    frames = int(minutes * 60 / interval)
-    i = F.row_number().over(by_time())
-    n = F.count("*").over(Window.partitionBy(*KEYS))
-    head = samples.withColumns({"_i": i, "_n": n}).where((F.col("_i") <= frames) | (F.lit(frames) >= F.col("_n")))
+    """Thresholds whose base and width depend on noise, spread and outliers of the first time that so many frames take, or of a shorter series as a whole.
+
+    Series with fewer than 10 samples there get (0, 0, 0) and the status insufficient_analysis_data.
+    """
+    frames, each = int(minutes * 60 / interval), Window.partitionBy(*KEYS)
+    head = samples.withColumns({"_t0": F.min("t").over(each), "_n": F.count("*").over(each)}).where((F.col("t") < F.col("_t0") + frames * interval) | (F.lit(frames) >= F.col("_n")))
     m = head.groupBy(*KEYS).agg(
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("*").alias("n"),
         percentile("value", 0.25).alias("q1"), percentile("value", 0.5).alias("median"), percentile("value", 0.75).alias("q3"),
     )
     iqr = F.col("q3") - F.col("q1")
     out = head.join(m, list(KEYS)).groupBy(*KEYS).agg((F.count_if((F.col("value") < F.col("q1") - 1.5 * iqr) | (F.col("value") > F.col("q3") + 1.5 * iqr)) * 100 / F.count("*")).alias("outliers"))
-    m = m.join(out, list(KEYS)).where("n >= 10")
+    m = m.join(out, list(KEYS))
     m = m.withColumns({"snr": ratio(F.col("mean"), F.col("std"), 0.0), "cv": F.when(F.col("mean") > 0, F.col("std") / F.col("mean")).otherwise(F.lit(1.0))})
     m = m.withColumn("robust", (F.col("cv") > 0.5) | (F.col("outliers") > 10))
     m = m.withColumns({"base": F.when(F.col("robust"), F.col("median")).otherwise(F.col("mean")), "width": F.when(F.col("robust"), iqr / 1.349).otherwise(F.col("std"))})
@@ -51,8 +52,13 @@ def adaptive(samples: DataFrame, minutes: float = 15.0, multiplier: float = 2.5,
     m = m.withColumns({"up": F.col("base") + F.col("multiplier") * F.col("width"), "down": F.col("base") - F.col("multiplier") * F.col("width")})
     m = m.withColumns({"lower": F.when(F.col("down") < 0, F.greatest(F.lit(0.0), F.col("base") - F.col("width"))).otherwise(F.col("down")), "upper": F.when(F.col("up") < 1.1 * F.col("base"), 1.2 * F.col("base")).otherwise(F.col("up"))})
     quality = F.when(F.col("snr") > 10, "high").when(F.col("snr") > 5, "medium").otherwise("low")
-    stability = F.when(F.col("cv") < 0.2, "stable").when(F.col("cv") < 0.5, "moderate").otherwise("variable")
-    return m.select(*KEYS, F.col("base").alias("baseline_mean"), "upper", "lower", F.lit("success").alias("status"), F.col("n").alias("samples"), "snr", "cv", "outliers", "robust", "multiplier", quality.alias("quality"), stability.alias("stability"))
+    stability = F.when(F.col("cv") < 0.2, "high").when(F.col("cv") < 0.5, "medium").otherwise("low")
+    enough = F.col("n") >= 10
+    known = {"snr": F.col("snr"), "cv": F.col("cv"), "outliers": F.col("outliers"), "robust": F.col("robust"), "multiplier": F.col("multiplier"), "quality": quality, "stability": stability}
+    return m.select(
+        *KEYS, *(F.when(enough, F.col(c)).otherwise(F.lit(0.0)).alias(name) for c, name in (("base", "baseline_mean"), ("upper", "upper"), ("lower", "lower"))),
+        F.when(enough, "success").otherwise("insufficient_analysis_data").alias("status"), F.col("n").alias("samples"), *(F.when(enough, c).alias(k) for k, c in known.items()),
+    )
 
 
 def calibration(samples: DataFrame, multiplier: float = 1.0) -> DataFrame:

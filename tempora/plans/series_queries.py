@@ -143,7 +143,7 @@ def _(spark, d):
     return thresholds.from_baseline(users(spark, d), MINUTES, 1.0, 24_000)
 
 
-@query("d2_adaptive_thresholds", LIMIT_COLUMNS + " snr:6 cv:6 outliers:4 robust multiplier:6 quality stability", with_(U, sql.adaptive("s", "a", 200, 2.5)) + " SELECT * FROM a")
+@query("d2_adaptive_thresholds", LIMIT_COLUMNS + " snr:6 cv:6 outliers:4 robust multiplier:6 quality stability", with_(U, sql.adaptive("s", "a", 200, 2.5, INTERVAL)) + " SELECT * FROM a")
 def _(spark, d):
     return thresholds.adaptive(users(spark, d), ADAPTIVE_MINUTES, 2.5, INTERVAL)
 
@@ -268,7 +268,7 @@ def pipeline_sql(limits_cte: str, used: str, limits: str = "b") -> str:
 
 BIN_COLUMNS = f"{KEY} bin_start:1 fraction:4 quiescent:int sleep:int"
 E9 = pipeline_sql(with_(S, LIMITS, sql.detrended("s", "q")), "q")
-E10 = pipeline_sql(with_(S, sql.detrended("s", "q", False), sql.adaptive("q", "b", 200, 1.0)), "q")
+E10 = pipeline_sql(with_(S, sql.detrended("s", "q", False), sql.adaptive("q", "b", 200, 1.0, INTERVAL)), "q")
 E11 = pipeline_sql(f"WITH {HALVES}, ap AS ({APPLIED}), b AS (SELECT * FROM ap WHERE status = 'success')," + sql.detrended("s", "q"), "q")
 
 
@@ -310,6 +310,25 @@ def _(spark, d):
     return by_adaptive(spark, d)["bins"].withColumn("method", F.lit("adaptive")).unionByName(by_calibration(spark, d)["bins"].withColumn("method", F.lit("calibration")))
 
 
+#: Runs of several regions each: the users by their remainders, the types as regions.
+RUN = "CAST(user_id % 5 AS VARCHAR)"
+RUNS = with_(sql.samples(run=RUN), sql.baseline("s", "b", MINUTES, MULTIPLIER, NEED // 10), sql.detrended("s", "q"))
+
+
+def many_runs(spark: SparkSession, d: str) -> DataFrame:
+    return tables.event_samples(spark, d, run=RUN.replace("VARCHAR", "STRING"))
+
+
+@query("e9_many_runs", BIN_COLUMNS, pipeline_sql(RUNS, "q") + " SELECT * FROM z")
+def _(spark, d):
+    return states.analyze(many_runs(spark, d), "baseline", minutes=MINUTES, multiplier=MULTIPLIER, interval=INTERVAL * 10, bin_size=BIN, sleep_minutes=SLEEP)["bins"]
+
+
+@query("f8_many_runs", f"{KEY} tie:int", with_(sql.samples(run=RUN), "w AS (SELECT run_id, max(t) AS tn FROM s GROUP BY run_id)") + " SELECT run_id, roi, tie FROM s JOIN w USING (run_id) WHERE t >= tn - 86400")
+def _(spark, d):
+    return binning.preset_window(many_runs(spark, d), "last_24h")
+
+
 # Bins of bins, resampling, slices.
 
 
@@ -421,19 +440,54 @@ def _(spark, d):
 
 
 STATS = [f"{f}({c}) AS {c}_{n}" for c in ("snr", "cv", "multiplier") for n, f in (("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max"))]
-LABELS = [f"count(*) FILTER (WHERE quality = '{q}') AS quality_{q}" for q in ("high", "medium", "low")] + [f"count(*) FILTER (WHERE stability = '{q}') AS stability_{q}" for q in ("stable", "moderate", "variable")]
+LABELS = [f"count(*) FILTER (WHERE {kind} = '{q}') AS {kind}_{q}" for kind in ("quality", "stability") for q in ("high", "medium", "low")]
+#: Short and long series of runs: users' values, thinned or flattened by the user's number, so that every rule of the adaptive method meets some run.
+KINDS = """s AS (SELECT CAST(user_id % 7 AS VARCHAR) AS run_id, user_id AS roi, epoch_us(ts) / 1e6 - 1704067200 AS t,
+    CASE user_id % 7 WHEN 0 THEN value WHEN 1 THEN 100 + value / 100 WHEN 2 THEN 40 + value / 10 WHEN 3 THEN value * value WHEN 4 THEN 60 + value / 10 WHEN 5 THEN power(value, 4) ELSE value END AS value, event_id AS tie
+    FROM events WHERE CASE WHEN user_id % 7 = 0 THEN user_id % 10 < 9 OR event_id % 10 = 0 WHEN user_id % 7 = 6 THEN event_id % 20 = 0 WHEN user_id % 7 = 4 THEN user_id % 3 > 0 OR event_id % 20 = 0 ELSE true END)"""
+
+
+def kinds(spark: SparkSession, d: str) -> DataFrame:
+    u = F.col("user_id") % 7
+    v = F.col("value")
+    value = F.when(u == 1, 100 + v / 100).when(u == 2, 40 + v / 10).when(u == 3, v * v).when(u == 4, 60 + v / 10).when(u == 5, F.pow(v, F.lit(4.0))).otherwise(v)
+    thin = F.when(u == 0, (F.col("user_id") % 10 < 9) | (F.col("event_id") % 10 == 0)).when(u == 6, F.col("event_id") % 20 == 0).when(u == 4, (F.col("user_id") % 3 > 0) | (F.col("event_id") % 20 == 0)).otherwise(F.lit(True))
+    e = tables.table(spark, d, "events").where(thin)
+    return e.select(u.cast("string").alias("run_id"), F.col("user_id").alias("roi"), tables.seconds(F.col("ts")).alias("t"), value.alias("value"), F.col("event_id").alias("tie"))
+
+
+ADAPTED = with_(KINDS, sql.adaptive("s", "a", 2000, 2.5, INTERVAL))
+
+
+def adapted(spark: SparkSession, d: str) -> DataFrame:
+    return thresholds.adaptive(kinds(spark, d), 2000.5 * INTERVAL / 60, 2.5, INTERVAL)
+
+
+@query("d2_many_runs", LIMIT_COLUMNS + " snr:6 cv:6 outliers:4 robust multiplier:6 quality stability", ADAPTED + " SELECT * FROM a")
+def _(spark, d):
+    return adapted(spark, d)
+
+
+def over_good(x: str) -> str:
+    """An aggregate of STATS or LABELS over the series that got thresholds."""
+    call, name = x.split(" AS ")
+    return f"{call} FILTER (WHERE status = 'success') AS {name}" if "FILTER" not in call else f"{call[:-1]} AND status = 'success') AS {name}"
 
 
-@query("j2_adaptive_summary", "run_id series:int " + " ".join(x.split(" AS ")[1] + ":5" for x in STATS) + " " + " ".join(x.split(" AS ")[1] + ":int" for x in LABELS) + " robust_share:6", with_(U, sql.adaptive("s", "a", 200, 2.5)) + f" SELECT run_id, count(*) AS series, {', '.join(STATS + LABELS)}, avg(CASE WHEN robust THEN 1.0 ELSE 0 END) AS robust_share FROM a GROUP BY run_id")
+@query("j2_adaptive_summary", "run_id series:int successful:int " + " ".join(x.split(" AS ")[1] + ":5" for x in STATS) + " " + " ".join(x.split(" AS ")[1] + ":int" for x in LABELS) + " robust:int robust_percent:4", ADAPTED + f" SELECT run_id, count(*) AS series, count(*) FILTER (WHERE status = 'success') AS successful, {', '.join(map(over_good, STATS + LABELS))}, count(*) FILTER (WHERE robust) AS robust, count(*) FILTER (WHERE robust) * 100.0 / nullif(count(*) FILTER (WHERE status = 'success'), 0) AS robust_percent FROM a GROUP BY run_id")
 def _(spark, d):
-    return summary.adaptive_summary(thresholds.adaptive(users(spark, d), ADAPTIVE_MINUTES, 2.5, INTERVAL))
+    return summary.adaptive_summary(adapted(spark, d))
 
 
-@query("j3_adaptive_recommendations", "run_id low:6 unsteady:6 multiplier:5 success:6 recommendations", with_(U, sql.adaptive("s", "a", 200, 2.5)) + """
-, m AS (SELECT run_id, avg(CASE WHEN quality = 'low' THEN 1.0 ELSE 0 END) AS low, avg(CASE WHEN stability = 'variable' THEN 1.0 ELSE 0 END) AS unsteady, avg(multiplier) AS multiplier, 1.0 AS success FROM a GROUP BY run_id)
-SELECT *, concat_ws('; ', CASE WHEN low > 0.5 THEN 'improve signal quality' END, CASE WHEN unsteady > 0.3 THEN 'lengthen the analysis window' END, CASE WHEN multiplier > 3 THEN 'lower the base multiplier' WHEN multiplier < 1.5 THEN 'raise the base multiplier' END, 'all series have thresholds') AS recommendations FROM m""")
+@query("j3_adaptive_recommendations", "run_id series:int successful:int noisy:6 variable:6 robust:6 multiplier:5 success:6 recommendations", ADAPTED + """
+, g AS (SELECT * FROM a WHERE status = 'success'), n AS (SELECT run_id, count(*) AS series FROM a GROUP BY run_id),
+m AS (SELECT run_id, count(*) AS successful, avg(CASE WHEN quality = 'low' THEN 1.0 ELSE 0 END) AS noisy, avg(CASE WHEN cv > 0.5 THEN 1.0 ELSE 0 END) AS variable, avg(CASE WHEN robust THEN 1.0 ELSE 0 END) AS robust, avg(multiplier) AS multiplier FROM g GROUP BY run_id),
+w AS (SELECT n.run_id, series, coalesce(successful, 0) AS successful, noisy, variable, robust, multiplier, coalesce(successful, 0) / series AS success FROM n LEFT JOIN m USING (run_id))
+SELECT *, CASE WHEN successful = 0 THEN 'No series could be analysed: check the quality of the data' ELSE concat_ws('; ', CASE WHEN noisy > 0.5 THEN 'Many series are noisy: a longer interval or better imaging may help' END, CASE WHEN variable > 0.3 THEN 'Signals vary much: thresholds were adjusted to it' END,
+CASE WHEN multiplier > 3 THEN 'A high mean multiplier: results may be conservative' WHEN multiplier < 1.5 THEN 'A low mean multiplier: signals are clean and results sensitive' END, CASE WHEN robust > 0.5 THEN 'Many series needed a robust baseline: the data may hold outliers or noise' END,
+CASE WHEN success = 1 THEN 'All series were analysed' WHEN success > 0.8 THEN 'Most series were analysed' ELSE 'Some series failed: check the quality of their data' END) END AS recommendations FROM w""")
 def _(spark, d):
-    return summary.adaptive_recommendations(thresholds.adaptive(users(spark, d), ADAPTIVE_MINUTES, 2.5, INTERVAL))
+    return summary.adaptive_recommendations(adapted(spark, d))
 
 
 @query("j4_calibration_summary", "run_id matched:int missing:int success_percent:4 movement_percent:3", E11 + EACH + ", v AS (SELECT run_id, avg(m) AS movement_percent FROM each GROUP BY run_id) SELECT run_id, count(*) FILTER (WHERE status = 'success') AS matched, count(*) FILTER (WHERE status <> 'success') AS missing, count(*) FILTER (WHERE status = 'success') * 100.0 / count(*) AS success_percent, any_value(movement_percent) AS movement_percent FROM ap LEFT JOIN v USING (run_id) GROUP BY run_id")
@@ -446,7 +500,7 @@ def _(spark, d):
 , x AS (SELECT run_id, roi, sum(state) AS movement_samples, avg(state) * 100 AS movement_percent FROM h GROUP BY run_id, roi), y AS (SELECT run_id, roi, sum(sleep) AS sleep_bins, sum(sleep) * {BIN} / 60.0 AS sleep_minutes, avg(fraction) AS mean_fraction FROM z GROUP BY run_id, roi)
 SELECT * FROM b LEFT JOIN x USING (run_id, roi) LEFT JOIN y USING (run_id, roi)""")
 def _(spark, d):
-    out = by_baseline(spark, d)
+    out = by_baseline(spark, d, store=True)
     return summary.series_summary(out["thresholds"], out["states"], out["bins"], BIN)
 
 

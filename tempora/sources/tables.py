@@ -15,10 +15,20 @@ KEYS = ("run_id", "roi")
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share (spark.checkpoint.dir); a temporary folder where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back, where several results need it."""
+    path = scratch(df.sparkSession, "part")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -28,10 +38,10 @@ def seconds(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp")) / F.lit(1e6) - F.lit(START)
 
 
-def event_samples(spark: SparkSession, sf_dir: str, roi: str = "event_type") -> DataFrame:
-    """run_id, roi, t, value, tie: the events' values as a series for each type (few long ones) or user (many short ones)."""
+def event_samples(spark: SparkSession, sf_dir: str, roi: str = "event_type", run: str = "'events'") -> DataFrame:
+    """run_id, roi, t, value, tie: the events' values as a series for each type (few long ones) or user (many short ones); run: one run, or an expression."""
     e = table(spark, sf_dir, "events")
-    return e.select(F.lit("events").alias("run_id"), F.col(roi).alias("roi"), seconds(F.col("ts")).alias("t"), F.col("value"), F.col("event_id").alias("tie"))
+    return e.select(F.expr(run).alias("run_id"), F.col(roi).alias("roi"), seconds(F.col("ts")).alias("t"), F.col("value"), F.col("event_id").alias("tie"))
 
 
 def stored_series(spark: SparkSession, path: str, runs: list[str] | None = None) -> DataFrame:

@@ -11,51 +11,50 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def activity(frames: DataFrame, masks: dict[int, list[int]], interval: float) -> DataFrame:
-    """run_id, roi, i, value from a stream of run_id, frame_idx, pixels: the state is a run's last frame, so no difference is lost between batches.
+def activity(frames: DataFrame, masks: DataFrame, interval: float, start: float = 0.0, late: str = "1 hour") -> DataFrame:
+    """run_id, roi, t, value from a stream of run_id, frame_idx, pixels: each frame meets the next one of its run in a join of the stream with itself.
 
-    Frames of a run must arrive in order. masks: the pixels of each region, as many as the regions of a camera.
+    Frames carry an event time of interval seconds an index (from 1970-01-02 on, as 1970 itself counts as late), so state is kept no longer than frames may be late, and no
+    order or single task is asked for. Regions (run_id, roi, px) are a static table, and frames are cut to them before they meet.
     """
-    regions = {roi: np.array(px) for roi, px in masks.items()}
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, last = state.get if state.exists else (0, None)
-        last = None if last is None else np.array(last)
-        rows = pd.concat(list(batches)).sort_values("frame_idx")
-        out = []
-        for pixels in rows.pixels:
-            now = np.array(pixels, float)
-            if last is not None:
-                out += [(key[0], roi, n - 1, float(np.abs(now[px] - last[px]).sum())) for roi, px in regions.items()]
-            n, last = n + 1, now
-        state.update((n, last.tolist()))
-        yield pd.DataFrame(out, columns=["run_id", "roi", "i", "value"])
-
-    out = frames.groupBy("run_id").applyInPandasWithState(step, "run_id string, roi long, i long, value double", "n long, last array<double>", "append", GroupStateTimeout.NoTimeout)
-    return out.withColumn("t", F.col("i") * interval)
-
-
-def hysteresis(samples: DataFrame, limits: dict) -> DataFrame:
+    lists = masks.groupBy("run_id", "roi").agg(F.sort_array(F.collect_list("px")).alias("pxs"))
+    cut = F.transform("pxs", lambda p: F.element_at("pixels", p + 1).cast("double"))
+    rows = frames.join(lists, "run_id").select("run_id", "roi", "frame_idx", F.timestamp_seconds(F.col("frame_idx") * interval + 86_400).alias("at"), cut.alias("own"))
+    one = rows.withWatermark("at", late)
+    two = rows.select(F.col("run_id").alias("run2"), F.col("roi").alias("roi2"), (F.col("frame_idx") - 1).alias("idx2"), F.col("at").alias("at2"), F.col("own").alias("next")).withWatermark("at2", late)
+    near = F.expr(f"run_id = run2 AND roi = roi2 AND frame_idx = idx2 AND at2 >= at AND at2 <= at + interval {2 * interval:f} seconds")
+    gaps = F.zip_with("own", "next", lambda a, b: F.abs(b - a))
+    return one.join(two, near).select("run_id", "roi", (F.lit(start) + F.col("frame_idx") * interval).alias("t"), F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x).alias("value"))
+
+
+def states_after(v: np.ndarray, mean: float, upper: float, lower: float, bit: int | None) -> np.ndarray:
+    """Hysteresis states of values in order, after the state bit or from the start; thresholds in either order."""
+    above, below = v > upper, v < lower
+    if bit is None:
+        bit = 1 if above[0] else 0 if below[0] else int(v[0] > mean)
+    sets = above != below
+    flips = np.cumsum(above & below)
+    last = np.maximum.accumulate(np.where(sets, np.arange(len(v)), -1))
+    return np.where(last < 0, bit + flips, above[last] + flips - flips[last]) % 2
+
+
+def hysteresis(samples: DataFrame, limits: DataFrame) -> DataFrame:
     """run_id, roi, tie, state from a stream of series: a bit is kept for each series, so batches continue each other.
 
-    limits: (baseline mean, upper, lower) of each roi. Samples of a series must arrive in order.
+    limits: a static table of run_id, roi, baseline_mean, upper, lower; series without them have no states. Samples of a series
+    must arrive in order from batch to batch; a task holds one batch of one series, which the source's files per trigger bound.
     """
     kind = samples.schema["roi"].dataType.simpleString()
+    known = samples.join(limits.select("run_id", "roi", F.col("baseline_mean").cast("double"), F.col("upper").cast("double"), F.col("lower").cast("double")), ["run_id", "roi"])
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mean, upper, lower = limits[key[1]]
-        bit = state.get[0] if state.exists else None
         rows = pd.concat(list(batches)).sort_values(["t", "tie"])
-        out = []
-        for v in rows.value:
-            if bit is None:
-                bit = 1 if v > upper else 0 if v < lower else int(v > mean)
-            bit = (1 if v > upper else 0) if bit == 0 else (0 if v < lower else 1)
-            out.append(bit)
-        state.update((int(bit),))
-        yield pd.DataFrame({"run_id": key[0], "roi": key[1], "tie": rows.tie.to_numpy(), "state": out})
-
-    return samples.groupBy("run_id", "roi").applyInPandasWithState(step, f"run_id string, roi {kind}, tie long, state long", "bit long", "append", GroupStateTimeout.NoTimeout)
+        mean, upper, lower = rows[["baseline_mean", "upper", "lower"]].iloc[0]
+        out = states_after(rows.value.to_numpy(), mean, upper, lower, state.get[0] if state.exists else None)
+        state.update((int(out[-1]),))
+        yield pd.DataFrame({"run_id": key[0], "roi": key[1], "tie": rows.tie.to_numpy(), "state": out.astype(np.int64)})
+
+    return known.groupBy("run_id", "roi").applyInPandasWithState(step, f"run_id string, roi {kind}, tie long, state long", "bit long", "append", GroupStateTimeout.NoTimeout)
 
 
 def binned_means(events: DataFrame, key: str, width: str = "30 minutes", late: str = "1 hour") -> DataFrame:

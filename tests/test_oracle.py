@@ -1,5 +1,6 @@
 """Every registered query of the library against its SQL, on the smallest tables."""
 
+import functools
 import glob
 import math
 import os
@@ -12,11 +13,23 @@ duckdb = pytest.importorskip("duckdb")
 
 
 @pytest.fixture(scope="module")
-def db(small):
-    c = duckdb.connect()
-    for f in glob.glob(f"{small}/*.parquet"):
-        c.sql(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
-    return c
+def db():
+    @functools.cache
+    def of(path):
+        c = duckdb.connect()
+        for f in glob.glob(f"{path}/*.parquet"):
+            c.sql(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+        return c
+
+    return of
+
+
+#: Queries that have no rows on the smallest tables, so that the next ones are taken.
+LARGER = ("a6_until_failure", "e5_sleep_bouts")
+
+
+#: Queries that SQL can't express, with the test that holds them.
+BY_HAND = {"h4_clusters": "test_reference_loops.test_clusters_of_the_query"}
 
 
 def plain(v):
@@ -29,14 +42,16 @@ def close(a, b):
 
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, small, db, name):
-    df = catalog.queries()[name](spark, small)
+    path = small.replace("0.001", "0.01") if name in LARGER else small
+    df = catalog.queries()[name](spark, path)
     columns = sorted(df.columns)
     got = [tuple(plain(r[c]) for c in columns) for r in df.collect()]
     sql = catalog.oracle_sql().get(name)
+    assert got, "a query without rows proves nothing"
     if sql is None:
-        assert len(got) >= 0
+        assert name in BY_HAND
         return
-    r = db.sql(sql)
+    r = db(path).sql(sql)
     at = [list(r.columns).index(c) for c in columns]
     want = [tuple(plain(row[i]) for i in at) for row in r.fetchall()]
     key = lambda t: tuple("" if v is None else f"{v:.9f}" if isinstance(v, float) else str(v) for v in t)

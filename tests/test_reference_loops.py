@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tempora.operators import binning, frames, pairs, preprocess, rhythm, states, thresholds
+from tempora.operators import binning, frames, metadata, pairs, preprocess, rhythm, states, summary, thresholds
+from tempora.streaming import incremental
 
 SCHEMA = "run_id string, roi int, t double, value double, tie long"
 
@@ -209,3 +210,193 @@ def test_errors(spark):
     for call in (lambda: states.analyze(df, "magic"), lambda: states.analyze(df, "calibration"), lambda: rhythm.rhythm(df, "magic", 60), lambda: binning.lighting(df, "magic")):
         with pytest.raises(ValueError):
             call()
+
+
+def loop_linkage(points, cut, method):
+    """Clusters by the definitions: distances of all members, or for ward the growth of the squared distances to centres."""
+    groups = [[i] for i in range(len(points))]
+
+    def apart(a, b):
+        each = [math.dist(points[i], points[j]) for i in a for j in b]
+        if method == "ward":
+            x, y = np.array(points)[a], np.array(points)[b]
+            return math.sqrt(2 * len(a) * len(b) / (len(a) + len(b))) * math.dist(x.mean(0), y.mean(0))
+        return {"single": min, "complete": max, "average": lambda e: sum(e) / len(e)}[method](each)
+
+    while len(groups) > 1:
+        d, i, j = min((apart(a, b), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+        if d > cut:
+            break
+        groups[i] += groups.pop(j)
+    label = {}
+    for k, g in enumerate(sorted(map(sorted, groups)), 1):
+        label |= dict.fromkeys(g, k)
+    return [label[i] for i in range(len(points))]
+
+
+@pytest.mark.parametrize("method", ["average", "single", "complete", "ward"])
+def test_linkage_by_definition(method):
+    rng = np.random.default_rng(3)
+    for n in (2, 7, 25):
+        points = rng.normal(size=(n, 2)).tolist()
+        d = np.array([[math.dist(p, q) for q in points] for p in points])
+        for cut in (0.2, 0.6, 1.1, 2.5):
+            assert pairs.linkage_clusters(d, cut, method).tolist() == loop_linkage(points, cut, method)
+
+
+def test_clusters_of_several_runs(spark):
+    rows = [(r, i, j, 1 - abs(x[i] - x[j])) for r, x in (("a", [0, 0.1, 0.9, 0.95, 2.0]), ("b", [0.0, 0.5, 0.9])) for i in range(len(x)) for j in range(i + 1, len(x))]
+    df = spark.createDataFrame(rows, "run_id string, roi1 int, roi2 int, correlation double")
+    for method in ("average", "single", "complete"):
+        got = {(r["run_id"], r["roi"]): (r["cluster"], r["size"]) for r in pairs.clusters(df, method, 0.45).collect()}
+        want = {}
+        for run, x in (("a", [0, 0.1, 0.9, 0.95, 2.0]), ("b", [0.0, 0.5, 0.9])):
+            label = loop_linkage([[v] for v in x], 0.45, method)
+            want |= {(run, i): (c, label.count(c)) for i, c in enumerate(label)}
+        assert got == want
+
+
+def test_clusters_of_the_query(spark, small):
+    from tempora.plans import catalog, rhythm_queries
+
+    square = {(r["roi1"], r["roi2"]): r["correlation"] for r in rhythm_queries.correlations(spark, small).collect()}
+    ids = sorted({i for p in square for i in p})
+    groups = [[i] for i in ids]
+    apart = lambda a, b: sum(1 - square[min(i, j), max(i, j)] for i in a for j in b) / len(a) / len(b)
+    while len(groups) > 1:
+        d, i, j = min((apart(a, b), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+        if d > 0.94:
+            break
+        groups[i] = groups[i] + groups.pop(j)
+    want = {i: len(g) for g in groups for i in g}
+    rows = catalog.queries()["h4_clusters"](spark, small).collect()
+    assert {r["roi"]: r["size"] for r in rows} == want and len({r["cluster"] for r in rows}) == len(groups)
+
+
+@pytest.mark.parametrize("most", [5, 300])
+def test_products_by_transform(most):
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(size=2500), rng.normal(size=2500)
+    want = loop_cross(a[:700], b[:700], most)
+    assert dict(zip(range(-most, most + 1), pairs.lagged_products(a[:700], b[:700], -most, most), strict=True)) == pytest.approx(want)
+    long = pairs.lagged_products(a, b, -1200, 1200)
+    z = lambda v: (v - v.mean()) / (v.std() + 1e-10)
+    assert [long[1200 + d] for d in (-1200, -1, 0, 1, 777)] == pytest.approx([sum(z(a)[max(0, d) : 2500 + min(0, d)] * z(b)[max(0, -d) : 2500 - max(0, d)]) / 2500 for d in (-1200, -1, 0, 1, 777)])
+
+
+def test_permutation_loop(spark):
+    import hashlib
+
+    v = np.random.default_rng(12).normal(size=60) + np.sin(np.arange(60) / 3)
+    regular = binning.resample(series(spark, v, 3600.0), 3600)
+    x = np.array([r["value"] for r in regular.orderBy("idx").collect()])
+    best = rhythm.spectrum_best(rhythm.spectrum(regular, 3600, 4, 36)).first()
+    n, i = len(x), np.arange(len(x))
+
+    def power(y):
+        y = (y - np.polyval(np.polyfit(i, y, 1), i)) * np.hanning(n)
+        return abs(np.sum(y * np.exp(-2j * np.pi * best["k"] * i / best["size"]))) ** 2
+
+    assert power(x) == pytest.approx(best["power"])
+    hits = 0
+    for perm in range(1, 51):
+        order = sorted(range(n), key=lambda k: hashlib.md5(f"1:{perm}:{k}".encode()).hexdigest())
+        hits += power(x[order]) >= best["power"]
+    got = rhythm.permutation_test(regular, rhythm.spectrum_best(rhythm.spectrum(regular, 3600, 4, 36)), 50).first()
+    assert (got["p"], got["permutations"]) == (hits / 50, 50)
+
+
+@pytest.mark.parametrize("segment", [1, 3, 256])
+def test_frame_difference_across_segments_and_runs(spark, segment):
+    rng = np.random.default_rng(8)
+    index = {"a": [0, 1, 2, 5, 9, 30, 31], "b": [7], "c": [100, 101]}
+    px = {(r, i): rng.integers(0, 255, 9) for r, rows in index.items() for i in rows}
+    f = spark.createDataFrame([(r, i, [float(v) for v in p]) for (r, i), p in px.items()], "run_id string, frame_idx long, pixels array<float>")
+    masks = {("a", 1): [0, 8], ("a", 2): [4], ("b", 1): [1], ("c", 7): [2, 3, 4]}
+    m = spark.createDataFrame([(r, roi, p) for (r, roi), ps in masks.items() for p in ps], "run_id string, roi int, px int")
+    want = {(r, roi, k * 5.0): float(np.abs(px[r, j] - px[r, i])[ps].sum()) for (r, roi), ps in masks.items() for k, (i, j) in enumerate(zip(index[r], index[r][1:], strict=False))}
+    assert {(x["run_id"], x["roi"], x["t"]): x["value"] for x in frames.activity(f, m, 5, segment=segment).collect()} == want
+
+
+@pytest.mark.parametrize(("upper", "lower"), [(60, 40), (40, 60), (50, 50)])
+def test_streamed_states_continue_each_other(upper, lower):
+    v = np.random.default_rng(1).uniform(0, 100, 90).round()
+    want, got, bit = loop_states(v, 50, upper, lower), [], None
+    for a, b in ((0, 1), (1, 30), (30, 31), (31, 90)):
+        part = incremental.states_after(v[a:b], 50, upper, lower, bit)
+        bit = int(part[-1])
+        got += part.tolist()
+    assert got == want
+
+
+def test_streams_of_several_files(spark, tmp_path):
+    """Frames and samples of two runs in several files, a few for each batch; a series without limits is left out."""
+    rng = np.random.default_rng(2)
+    px = {(r, i): rng.integers(0, 255, 4) for r in "ab" for i in range(12)}
+    for k in range(4):
+        rows = [(r, i, [float(v) for v in px[r, i]]) for r in "ab" for i in range(3 * k, 3 * k + 3)]
+        spark.createDataFrame(rows, "run_id string, frame_idx long, pixels array<float>").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/frames")
+        values = [(r, roi, float(3 * k + i), float(rng.uniform(0, 100).__round__()), 3 * k + i) for r in "ab" for roi in (1, 2) for i in range(3)]
+        spark.createDataFrame(values, SCHEMA).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/samples")
+    stream = lambda name: spark.readStream.schema(spark.read.parquet(f"file://{tmp_path}/{name}").schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/{name}")
+    m = spark.createDataFrame([("a", 1, 0), ("a", 1, 3), ("b", 5, 2)], "run_id string, roi int, px int")
+    out = incremental.run_to_table(incremental.activity(stream("frames"), m, 5), f"file://{tmp_path}/one")
+    want = {(r, roi, i * 5.0): float(np.abs(px[r, i + 1] - px[r, i])[p].sum()) for r, roi, p in (("a", 1, [0, 3]), ("b", 5, [2])) for i in range(11)}
+    assert {(x["run_id"], x["roi"], x["t"]): x["value"] for x in out.collect()} == want
+    limits = spark.createDataFrame([("a", 1, 50.0, 60.0, 40.0), ("b", 1, 50.0, 40.0, 60.0), ("b", 2, 10.0, 20.0, 5.0)], "run_id string, roi int, baseline_mean double, upper double, lower double")
+    got = incremental.run_to_table(incremental.hysteresis(stream("samples"), limits), f"file://{tmp_path}/two")
+    batch = states.hysteresis(spark.read.parquet(f"file://{tmp_path}/samples"), limits)
+    key = lambda df: sorted((r["run_id"], r["roi"], r["tie"], r["state"]) for r in df.collect())
+    assert key(got) == key(batch) and len(key(got)) == 36
+
+
+@pytest.mark.parametrize("bucket", [10.0, 45.0, 86_400.0])
+def test_light_by_loop(spark, bucket):
+    rng = np.random.default_rng(int(bucket))
+    lamp, seen = [], []
+    for run in ("a", "b", "c"):
+        t = sorted(rng.choice(400, 40, replace=False).tolist())
+        lamp += [(run, float(x), float(rng.integers(0, 2))) for x in t]
+        seen += [(run, 1, float(x), 0.0, i) for i, x in enumerate(sorted(rng.choice(500, 60).tolist()))]
+    led = spark.createDataFrame(lamp, "run_id string, t double, white double")
+    got = {(r["run_id"], r["tie"]): r["light"] for r in metadata.with_light(spark.createDataFrame(seen, SCHEMA), led, 0.5, bucket).collect()}
+    assert got == {(run, i): next((int(w) for r, x, w in reversed(lamp) if r == run and x <= t), None) for run, _, t, _, i in seen}
+    want = []
+    for run in ("a", "b", "c"):
+        own, start = [(t, w) for r, t, w in lamp if r == run], None
+        light = []
+        for t, w in own:
+            if w and start is None:
+                start = t
+            elif not w and start is not None:
+                light.append((start, t))
+                start = None
+        if start is not None:
+            light.append((start, own[-1][0]))
+        want += [(run, "light", a, b) for a, b in light] + [(run, "dark", a[1], b[0]) for a, b in zip(light, light[1:], strict=False)]
+    assert sorted(map(tuple, metadata.light_periods(led, 0.5, None, bucket).collect())) == sorted(want)
+
+
+def test_adaptive_windows_go_by_time(spark):
+    t = [0, 1, 2, 3, 50, 51, 52, 53, 54, 55, 56, 57, 200, 201, 202, 203, 204, 205]
+    v = np.random.default_rng(3).uniform(50, 60, len(t))
+    r = thresholds.adaptive(series(spark, v, times=t), 12 * 5 / 60, 2.5, 5.0).first()  # 12 frames of 5 s
+    inside = v[np.array(t) < 60]
+    assert (r["samples"], r["snr"], r["status"]) == (len(inside), pytest.approx(inside.mean() / inside.std()), "success")
+    short = thresholds.adaptive(series(spark, [1.0] * 9)).first()
+    assert (short["baseline_mean"], short["upper"], short["lower"], short["status"], short["snr"]) == (0.0, 0.0, 0.0, "insufficient_analysis_data", None)
+    bins = states.analyze(series(spark, [1.0] * 9), "adaptive", bin_size=10)["bins"]
+    assert {x["fraction"] for x in bins.collect()} == {1.0}
+
+
+def test_every_rule_of_the_recommendations(spark, small):
+    from tempora.plans import catalog
+
+    told = "; ".join(r["recommendations"] for r in catalog.queries()["j3_adaptive_recommendations"](spark, small.replace("0.001", "0.01")).collect())
+    assert [k for k, text in summary.ADVICE.items() if text not in told] == []
+
+
+def test_deep_attributes(spark):
+    doc = '{"a": {"b": {"c": {"d": {"e": {"f": 1, "t": true, "s": "x", "l": [1]}}}}}, "esp32_timing": {"x": 2.5}, "n": null, "z": -3e2}'
+    df = spark.createDataFrame([("r", 1, doc), ("r", 2, "no json"), ("r", 3, None), ("q", 1, "7")], "run_id string, frame_idx long, attrs string")
+    assert sorted(tuple(r) for r in metadata.numeric_attributes(df).collect()) == [("r", 1, "e_f", 1.0), ("r", 1, "x", 2.5), ("r", 1, "z", -300.0)]
