@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempora.functions.fits import ratio
-from tempora.sources.tables import stored
 
 #: Groups of nested attributes whose name isn't put before their keys (fixed by the file format).
 BARE_PARENTS = ("esp32_timing", "python_timing", "frame_metadata")
@@ -37,23 +36,37 @@ DESCRIPTIONS = {
 }
 
 
-def numeric_attributes(frames: DataFrame, column: str = "attrs") -> DataFrame:
+def nesting(documents: DataFrame, column: str) -> int:
+    """How deep the objects of a column of JSON documents are nested at most: strings go, and of the rest only braces count."""
+    braces = F.regexp_replace(F.regexp_replace(column, r'"(\\.|[^"\\])*"', ""), "[^{}]", "")
+    deep = F.aggregate(F.split(braces, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), _deeper, lambda x: x["most"])
+    return documents.where(F.try_parse_json(column).isNotNull()).agg(F.max(deep)).first()[0] or 0
+
+
+def _deeper(x: Column, brace: Column) -> Column:
+    now = x["now"] + F.when(brace == "{", 1).when(brace == "}", -1).otherwise(0)
+    return F.struct(now.alias("now"), F.greatest(x["most"], now).alias("most"))
+
+
+def numeric_attributes(frames: DataFrame, column: str = "attrs", depth: int | None = None) -> DataFrame:
     """run_id, frame_idx, param, value of the numbers in nested JSON; keys get their parent's name before them. Bad JSON, text, lists and booleans are left out.
 
-    The document is parsed once and its levels, however deep, are exploded one after another; what is left of a level is
-    stored, so each is read once. A name that stands twice in a document gives two rows.
+    Documents are read and parsed once and their levels exploded one after another; numbers that are found pass the deeper
+    levels as they are. depth: how many levels, all by default. A name that stands twice in a document gives two rows.
     """
-    spark = frames.sparkSession
-    node = frames.select("run_id", "frame_idx", F.try_parse_json(column).alias("v"), F.lit("").alias("parent")).where("v is not null")
-    found = None
-    while found is None or not node.isEmpty():
-        each = node.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("run_id", "frame_idx", "parent", "key", F.col("value").alias("v"))
-        kind = F.schema_of_variant("v")
-        name = F.when((F.col("parent") == "") | F.col("parent").isin(*BARE_PARENTS), F.col("key")).otherwise(F.concat_ws("_", "parent", "key"))
-        number = each.where(kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT|SMALLINT|TINYINT)")).select("run_id", "frame_idx", name.alias("param"), F.try_variant_get("v", "$", "double").alias("value"))
-        found = number if found is None else found.unionByName(number)
-        node = stored(each.where(kind.startswith("OBJECT")).select("run_id", "frame_idx", "v", F.col("key").alias("parent")))
-    return found
+    explode = frames.sparkSession.tvf.variant_explode_outer
+    none = F.lit(None)
+    rows = frames.select("run_id", "frame_idx", F.lit("").alias("parent"), none.cast("string").alias("param"), none.cast("double").alias("number"), F.try_parse_json(column).alias("v")).where("v is not null")
+    kind = F.schema_of_variant("value")
+    name = F.when((F.col("parent") == "") | F.col("parent").isin(*BARE_PARENTS), F.col("key")).otherwise(F.concat_ws("_", "parent", "key"))
+    is_number, is_object = kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT|SMALLINT|TINYINT)"), kind.startswith("OBJECT")
+    for _ in range(nesting(frames, column) if depth is None else depth):
+        each = rows.lateralJoin(explode(F.col("v").outer())).where(F.col("number").isNotNull() | is_number | is_object)
+        rows = each.select(
+            "run_id", "frame_idx", F.coalesce("key", "parent").alias("parent"), F.coalesce("param", F.when(is_number, name)).alias("param"),
+            F.coalesce("number", F.when(is_number, F.try_variant_get("value", "$", "double"))).alias("number"), F.when(is_object, F.col("value")).alias("v"),
+        )
+    return rows.where("number is not null").select("run_id", "frame_idx", "param", F.col("number").alias("value"))
 
 
 def align(meta: DataFrame, params: list[str], interval: float) -> DataFrame:

@@ -397,6 +397,6 @@ def test_every_rule_of_the_recommendations(spark, small):
 
 
 def test_deep_attributes(spark):
-    doc = '{"a": {"b": {"c": {"d": {"e": {"f": 1, "t": true, "s": "x", "l": [1]}}}}}, "esp32_timing": {"x": 2.5}, "n": null, "z": -3e2}'
+    doc = '{"a": {"b": {"c": {"d": {"e": {"f": 1, "t": true, "s": "x", "l": [1], "q": "}}\\\\\\"}{"}}}}}, "esp32_timing": {"x": 2.5}, "n": null, "z": -3e2}'
     df = spark.createDataFrame([("r", 1, doc), ("r", 2, "no json"), ("r", 3, None), ("q", 1, "7")], "run_id string, frame_idx long, attrs string")
     assert sorted(tuple(r) for r in metadata.numeric_attributes(df).collect()) == [("r", 1, "e_f", 1.0), ("r", 1, "x", 2.5), ("r", 1, "z", -300.0)]
