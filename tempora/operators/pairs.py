@@ -90,10 +90,10 @@ def correlation(regular: DataFrame, interval: float, max_lag_h: float = 12, simi
 
 def matrix(pairs: DataFrame, value: str, diagonal: float, sign: int = 1) -> DataFrame:
     """run_id, roi1, roi2, value of the whole square: pairs, their mirror images (sign -1: negated) and the diagonal."""
-    a = pairs.select(*PAIR, F.col(value).alias("value"))
-    b = pairs.select("run_id", F.col("roi2").alias("roi1"), F.col("roi1").alias("roi2"), (sign * F.col(value)).alias("value"))
-    ids = a.select("run_id", "roi1").unionByName(a.select("run_id", F.col("roi2").alias("roi1"))).distinct()
-    return a.unionByName(b).unionByName(ids.select("run_id", "roi1", F.col("roi1").alias("roi2"), F.lit(float(diagonal)).alias("value")))
+    cell = lambda i, j, v: F.struct(F.col(i).alias("roi1"), F.col(j).alias("roi2"), v.cast("double").alias("value"))
+    v, one = F.col(value), F.lit(float(diagonal))
+    cells = F.explode(F.array(cell("roi1", "roi2", v), cell("roi2", "roi1", sign * v), cell("roi1", "roi1", one), cell("roi2", "roi2", one)))
+    return pairs.select("run_id", cells.alias("c")).select("run_id", "c.*").groupBy(*PAIR).agg(F.first("value").alias("value"))  # pairs are worked out once
 
 
 def wide_matrix(square: DataFrame, rois: list) -> DataFrame:
