@@ -313,6 +313,11 @@ def test_fingerprints_on_tables(spark, small):
         by_text.setdefault(t, set()).add(r["fingerprint"])
         assert 0 <= r["near_next"] <= 1 and (edited != t or r["near_edited"] == 1.0) and (r["edited_fingerprint"] == r["fingerprint"]) == (edited == t)
     assert all(len(v) == 1 for v in by_text.values()) and len({p for v in by_text.values() for p in v}) == len(by_text)
+    blocks = lambda f: {x[k : k + 6] for x in re.findall("=([0-9a-f]*)", f) for k in range(0, len(x), 6)}
+    like = lambda a, b: len(a & b) / max(len(a), len(b)) if a or b else 1.0
+    for k, (i, _) in enumerate(rows):
+        own, after = blocks(got[i]["fingerprint"]), blocks(got[rows[(k + 1) % len(rows)][0]]["fingerprint"])
+        assert got[i]["near_edited"] == pytest.approx(like(own, blocks(got[i]["edited_fingerprint"]))) and got[i]["near_next"] == pytest.approx(like(own, after))
     assert np.mean([r["near_edited"] for r in got.values()]) > 0.6 and np.mean([r["near_next"] for r in got.values()]) < 0.05
 
 
