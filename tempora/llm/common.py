@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step handles; a longer document is handled alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Copies of a repeated row that one array holds.
 COPY_RUN = 100_000
 #: Two primes below 2**31 and a base for each, drawn at random once: a hash is a polynomial over each of the two fields.

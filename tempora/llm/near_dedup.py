@@ -34,7 +34,7 @@ from tempora.llm.common import binary_array, byte_view, ranges, read, slices, st
 from tempora.llm.components import Forest, components
 
 #: Most documents and shingles of a cluster that one task settles; hub candidates and hubs; members of a block of a bucket; pairs that are estimated at once.
-GROUP_DOCS, GROUP_SHINGLES, SAMPLE, HUBS, BLOCK, PAIRS = 256, 2_000_000, 32, 6, 500, 100_000
+GROUP_DOCS, GROUP_SHINGLES, SAMPLE, HUBS, BLOCK, PAIRS = 256, 500_000, 32, 6, 500, 100_000
 #: How far below the threshold an estimate from 120 registers may lie (over four standard deviations).
 MARGIN = 0.17
 
@@ -332,8 +332,9 @@ def _in_order(blocks: DataFrame) -> DataFrame:
     return blocks.repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY, "id")
 
 
-def _large(members: DataFrame, texts: DataFrame, bands: DataFrame, percent: int, block: int) -> DataFrame:
+def _large(members: DataFrame, texts: DataFrame, percent: int, block: int) -> DataFrame:
     """Components of clusters that one task shouldn't hold. members: id, cluster, docs (of the cluster), n_shingles, registers; texts: id, text."""
+    bands = members.select("id", "registers").mapInArrow(_bands, "id long, bucket long")
     sampled = members.where((F.pmod(F.xxhash64("id"), F.lit(1_000_000)) * F.col("docs") < SAMPLE * 1_000_000) | (F.col("id") == F.col("cluster")))
     hubs = stored(sampled.select("cluster", "id", "n_shingles", "registers").groupBy("cluster").applyInArrow(_pick_hubs(percent), "cluster long, hubs array<bigint>, hub_n array<bigint>, hub_registers binary"))
     near = members.join(hubs, "cluster").select("id", "n_shingles", "registers", "hubs", "hub_n", "hub_registers").mapInArrow(_near_hubs(percent), "id long, hub long")
@@ -380,7 +381,7 @@ def near_components(df: DataFrame, percent: int = 85, group_docs: int = GROUP_DO
     if not big.isEmpty():
         inside = stored(clusters.join(big, "cluster").join(classes.select("id", "n_shingles", "registers"), "id"))
         large_texts = stored(texts.join(inside.select("id"), "id", "left_semi"))
-        found = found.unionByName(_large(inside, large_texts, bands.join(inside.select("id"), "id", "left_semi"), percent, block))
+        found = found.unionByName(_large(inside, large_texts, percent, block))
     found = found.groupBy("id").agg(F.min("component").alias("component"))
     label = classes.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"), "id", "copies")
     label = stored(label.where("copies > 1 or component <> id").select("digest", "component"))

@@ -59,7 +59,7 @@ def shingle_hashes(hashes: np.ndarray, word_at: np.ndarray, size: int = WORDS) -
     many = np.where(n >= size, n - size + 1, (n > 0).astype(np.int64))
     flat = np.empty(int(many.sum()), np.uint64)
     out_at = np.concatenate([[0], np.cumsum(many)])
-    first, length = ranges(word_at[:-1], many), np.repeat(np.minimum(n, size), many)
+    first, length = ranges(word_at[:-1], many).astype(np.int32), np.repeat(np.minimum(n, size).astype(np.uint8), many)
     long = n >= size
     flat[ranges(out_at[:-1][long], many[long])] = full[ranges(word_at[:-1][long], many[long])]
     for m in range(1, size):
@@ -81,10 +81,12 @@ def exact_sets(data: np.ndarray, at: np.ndarray, size: int = WORDS, estimated: b
     low, start, end = word_spans(data, at)
     hashes = np.concatenate([range_hash(prefix_sums(low[a:b]), start[i:j] - a, end[i:j] - a) for a, b, i, j in _blocks(start, at)]) if len(start) else np.zeros(0, np.uint64)
     _, word = distinct(low, start, end, hashes)
+    word = word.astype(np.int32)
     flat, first, length, out_at = shingle_hashes(hashes, np.searchsorted(start, at), size)
     register = registers(flat, out_at) if estimated else np.zeros((0, BANDS * ROWS), np.uint16)
     _, leader, shingle = np.unique(flat, return_index=True, return_inverse=True)
-    of = leader[shingle]
+    del flat, low, hashes
+    of = leader.astype(np.int32)[shingle]
     same = length == length[of]
     padded = np.append(word, np.zeros(size, word.dtype))
     for k in range(size):

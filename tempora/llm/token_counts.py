@@ -26,7 +26,7 @@ from tempora.llm.bpe import special_token
 from tempora.llm.common import binary_array, byte_view, distinct, prefix_sums, range_hash, ranges, read, repeated, same_bytes, slices, stored
 
 #: Most pre-tokens that are broadcast and their bytes; pre-tokens that a task gathers before it passes them on, and their bytes.
-HEAD, HEAD_BYTES, FLUSH, FLUSH_BYTES = 400_000, 8 << 20, 600_000, 16 << 20
+HEAD, HEAD_BYTES, FLUSH, FLUSH_BYTES = 400_000, 8 << 20, 250_000, 4 << 20
 
 
 @lru_cache(maxsize=1)
