@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,25 +124,46 @@ def range_hash(sums: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> np
     return mix((halves[0] << np.uint64(31)) ^ halves[1] ^ ((end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
+_HEAD_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _heads(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each range, or all of a shorter one, as a number."""
+    wide = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(8, np.uint8)), 8)
+    return wide[start].view("<u8")[:, 0] & _HEAD_MASKS[np.minimum(length, 8)]
+
+
 def same_bytes(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Whether the ranges of a and b that start there and have the given lengths hold the same bytes."""
-    same = np.ones(len(length), bool)
+    if not len(length):
+        return np.zeros(0, bool)
+    same = _heads(a, a_start, length) == _heads(b, b_start, length)
     long = length > 4096
     for i in np.flatnonzero(long).tolist():
         same[i] = np.array_equal(a[a_start[i] : a_start[i] + length[i]], b[b_start[i] : b_start[i] + length[i]])
-    rows = np.flatnonzero(~long)
+    rows = np.flatnonzero(same & ~long & (length > 8))
     total = np.cumsum(length[rows])
-    for low in range(0, int(total[-1]) if len(total) else 0, 1 << 20):
-        part = rows[np.searchsorted(total, low, side="right") : np.searchsorted(total, low + (1 << 20), side="right")]
-        bad = np.flatnonzero(a[ranges(a_start[part], length[part])] != b[ranges(b_start[part], length[part])])
+    for low in range(0, int(total[-1]) if len(total) else 0, 1 << 18):
+        part = rows[np.searchsorted(total, low, side="right") : np.searchsorted(total, low + (1 << 18), side="right")]
+        at = ranges(a_start[part], length[part])
+        other = at + np.repeat(b_start[part] - a_start[part], length[part])
+        bad = np.flatnonzero(a[at] != b[other])
         if len(bad):
             same[part[np.searchsorted(np.cumsum(length[part]), bad, side="right")]] = False
     return same
 
 
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct number, in the order of these places, and which of these each number is."""
+    which, kinds = pd.factorize(keys)
+    first = np.empty(len(kinds), np.int64)
+    first[which[::-1]] = np.arange(len(keys) - 1, -1, -1)
+    return first, which
+
+
 def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first of each distinct byte range, and which of these each range is. Hashes only lead to it: ranges of one hash are compared byte by byte."""
-    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    first, which = grouped(hashes)
     rows = np.flatnonzero(first[which] != np.arange(len(start)))
     of, size = first[which[rows]], end[rows] - start[rows]
     same = size == end[of] - start[of]
