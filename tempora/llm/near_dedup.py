@@ -69,6 +69,20 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), keys.shape[1])), pa.array(keys.reshape(-1))], ["id", "bucket"])
 
 
+def _member_bands(columns: tuple[str, ...]):
+    """Members once for each of their buckets, with the columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 2048):
+                part = pa.Table.from_batches([batch.slice(low, 2048)])
+                keys = shingles.band_keys(_registers(part["registers"]))
+                rows = part.select(columns).take(pa.array(np.repeat(np.arange(len(keys)), keys.shape[1])))
+                yield from rows.add_column(0, "bucket", pa.array(keys.reshape(-1))).combine_chunks().to_batches()
+
+    return run
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Of two sorted sets."""
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)) or not len(a) or not len(b):
@@ -313,19 +327,21 @@ def _settle_blocks(percent: int):
 BOTH, ROW, COLUMN = 0, 1, 2
 
 
-def _blocks(rows: DataFrame, members: DataFrame, bands: DataFrame, block: int) -> DataFrame:
+def _blocks(rows: DataFrame, members: DataFrame, block: int) -> DataFrame:
     """Members (id, known, open of rows; n_shingles, registers) in each block of their buckets, but buckets without an open one or of one component."""
-    spots = bands.join(rows, "id")
+    whole = members.select("id", "n_shingles", "registers").join(rows, "id")
+    slim, full = ("known", "open"), ("id", "known", "open", "n_shingles", "registers")
+    spots = whole.mapInArrow(_member_bands(slim), "bucket long, known long, open boolean")
     sizes = spots.groupBy("bucket").agg(F.count("*").alias("all"), F.count_if("open").alias("open_ones"), F.min("known").alias("low"), F.max("known").alias("high"))
     blocks = lambda c: F.ceil(F.col(c) / F.lit(block)).cast("long")
     sizes = stored(sizes.where("open_ones > 0 AND low <> high").select("bucket", blocks("open_ones").alias("row_blocks"), blocks("all").alias("column_blocks")))
-    placed = spots.join(sizes, "bucket").join(members.select("id", "n_shingles", "registers"), "id").withColumn("deal", F.xxhash64("id"))
-    hot, rest, zero = F.col("column_blocks") > 1, ("bucket", "id", "known", "open", "n_shingles", "registers"), F.lit(0).cast("long")
-    each = lambda c: F.explode(F.sequence(zero, F.col(c) - 1))
-    whole = placed.where(~hot).select(*rest, zero.alias("row_block"), zero.alias("column_block"), F.lit(BOTH).alias("side"))
-    rows = placed.where(hot & F.col("open")).select(*rest, F.pmod("deal", "row_blocks").alias("row_block"), each("column_blocks").alias("column_block"), F.lit(ROW).alias("side"))
-    columns = placed.where(hot).select(*rest, each("row_blocks").alias("row_block"), F.pmod("deal", "column_blocks").alias("column_block"), F.lit(COLUMN).alias("side"))
-    return _in_order(whole.unionByName(rows).unionByName(columns))
+    placed = whole.mapInArrow(_member_bands(full), "bucket long, id long, known long, open boolean, n_shingles long, registers binary").join(sizes, "bucket").withColumn("deal", F.xxhash64("id"))
+    zero, spot = F.lit(0).cast("long"), lambda r, c, side: F.struct(r.alias("row_block"), c.alias("column_block"), F.lit(side).alias("side"))
+    every = lambda c, f: F.transform(F.sequence(zero, F.col(c) - 1), f)
+    own_row, own_column = F.pmod("deal", "row_blocks"), F.pmod("deal", "column_blocks")
+    as_row = F.when(F.col("open"), every("column_blocks", lambda c: spot(own_row, c, ROW))).otherwise(F.array().cast("array<struct<row_block:bigint,column_block:bigint,side:int>>"))
+    spots = F.when(F.col("column_blocks") > 1, F.concat(as_row, every("row_blocks", lambda r: spot(r, own_column, COLUMN)))).otherwise(F.array(spot(zero, zero, BOTH)))
+    return _in_order(placed.select("bucket", *full, F.explode(spots).alias("spot")).select("bucket", *full, "spot.*"))
 
 
 def _in_order(blocks: DataFrame) -> DataFrame:
@@ -334,7 +350,6 @@ def _in_order(blocks: DataFrame) -> DataFrame:
 
 def _large(members: DataFrame, texts: DataFrame, percent: int, block: int) -> DataFrame:
     """Components of clusters that one task shouldn't hold. members: id, cluster, docs (of the cluster), n_shingles, registers; texts: id, text."""
-    bands = members.select("id", "registers").mapInArrow(_bands, "id long, bucket long")
     sampled = members.where((F.pmod(F.xxhash64("id"), F.lit(1_000_000)) * F.col("docs") < SAMPLE * 1_000_000) | (F.col("id") == F.col("cluster")))
     hubs = stored(sampled.select("cluster", "id", "n_shingles", "registers").groupBy("cluster").applyInArrow(_pick_hubs(percent), "cluster long, hubs array<bigint>, hub_n array<bigint>, hub_registers binary"))
     near = members.join(hubs, "cluster").select("id", "n_shingles", "registers", "hubs", "hub_n", "hub_registers").mapInArrow(_near_hubs(percent), "id long, hub long")
@@ -352,11 +367,11 @@ def _large(members: DataFrame, texts: DataFrame, percent: int, block: int) -> Da
     rows = stored(rows.select("id", known.alias("known"), (~known.eqNullSafe(F.col("largest"))).alias("open")))
     links = rows.where("id <> known").select(F.col("id").alias("a"), F.col("known").alias("b"))
 
-    pairs = _blocks(rows, members, bands, block).mapInArrow(_forest_pairs(percent), "a long, b long").distinct().select(F.col("a").alias("id"), F.col("b").alias("hub"))
+    pairs = _blocks(rows, members, block).mapInArrow(_forest_pairs(percent), "a long, b long").distinct().select(F.col("a").alias("id"), F.col("b").alias("hub"))
     links = stored(links.unionByName(verified(pairs).where("linked").select(F.col("id").alias("a"), F.col("hub").alias("b"))))
     now = rows.join(components(links), "id", "left").select("id", F.coalesce("component", "known").alias("known"), "open")
     spots = "bucket long, row_block long, column_block long, id long, known long, side int, open boolean"
-    left = stored(_blocks(stored(now), members, bands, block).mapInArrow(_unsettled(percent), spots))
+    left = stored(_blocks(stored(now), members, block).mapInArrow(_unsettled(percent), spots))
     more = _in_order(left.join(texts, "id")).mapInArrow(_settle_blocks(percent), "a long, b long")
     return components(links.unionByName(more))
 
