@@ -90,9 +90,9 @@ class Grammar:
 
     @staticmethod
     def _frequent(ok: np.ndarray, which: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Which pair places are replaced in a round. ok: first symbols of all pairs."""
+        """Which pair places are replaced in a round. ok: first symbols of all pairs. Pairs as frequent as each other go in a mixed order: in that of the text, one of a chain of them would go in each round."""
         rank = np.empty(len(count), np.int64)
-        rank[np.lexsort((-np.arange(len(count)), count))] = np.arange(len(count))
+        rank[np.lexsort((mix(np.arange(len(count), dtype=np.uint64)), count))] = np.arange(len(count))
         candidate = count[which] >= max(2, count.max() // 2)
         weight = np.where(candidate, rank[which], -1)
         beside = ok[1:] == ok[:-1] + 1
