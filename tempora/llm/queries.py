@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.llm import alignment, bpe, cover_tree, lang_cnn, merkle, near_dedup, packing, quality_em, runs, suffix_dedup, token_counts, warc
+from tempora.llm import alignment, bpe, cover_tree, isolation, lang_cnn, merkle, near_dedup, packing, quality_em, runs, suffix_dedup, token_counts, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_weak_quality": quality_em.op9_weak_quality,
         "op10_bpe_round_trip": bpe.op10_bpe_round_trip,
         "op11_token_alignment": alignment.op11_token_alignment,
+        "op12_isolation_rules": isolation.op12_isolation_rules,
         "op13_periodic_runs": runs.op13_periodic_runs,
     }
 
