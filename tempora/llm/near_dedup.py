@@ -15,7 +15,7 @@
     left out, and the work grows with the pairs that buckets hold, not with the cluster's square.
 
 Sets are compared by the bytes of their words, so equal hashes never make a link. Nulls and texts without words have
-no shingles and link with nothing. Rows with one doc_id are one document with several texts. A row without doc_id
+no shingles and link with nothing. Rows with one doc_id are one document, whose texts are tied. A row without doc_id
 links with nothing, keeps a null component and is kept. Copies and repeated rows share their component. Very long
 texts are whole in one task. Other columns, whatever their names, aren't read. An empty table gives no rows.
 """
@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tempora.llm import shingles
 from tempora.llm.common import binary_array, byte_view, ranges, read, slices, stored
@@ -376,12 +377,50 @@ def _large(members: DataFrame, texts: DataFrame, percent: int, block: int) -> Da
     return components(links.unionByName(more))
 
 
-def near_components(df: DataFrame, percent: int = 85, group_docs: int = GROUP_DOCS, group_shingles: int = GROUP_SHINGLES, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id that links reach), kept (the least itself), a row for each row of df."""
-    texts = df.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
-    sketch = stored(sketches(df))
-    some = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = stored(some.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "registers")).alias("least"), F.count("*").alias("copies")).select("digest", F.col("least.doc_id").alias("id"), "least.n_shingles", "least.registers", "copies"))
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, data, at in slices(batch.column(0)):
+            part = batch.slice(a, b - a)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shingles.digests(data, at), pa.binary())], [*part.schema.names, "__digest"])
+
+
+def with_digests(df: DataFrame) -> DataFrame:
+    """text and the other columns of df, with the digest of the text's words as __digest."""
+    df = df.select("text", *(f"`{c}`" for c in df.columns if c != "text"))
+    return df.mapInArrow(_digested, StructType([*df.schema.fields, StructField("__digest", BinaryType())]))
+
+
+class _Classes:
+    """The classes of texts of a table, each under an id of its own: a doc_id that has this text alone, or a negative number where there is none.
+
+    table: id, digest, least (the least doc_id with this text), n_shingles, registers, copies; texts: id, text; several: the doc_ids of more than one text (no words are one, too), or None.
+    """
+
+    def __init__(self, df: DataFrame, sketch: DataFrame):
+        some = sketch.where("n_shingles > 0 and doc_id is not null")
+        each = some.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "registers")).alias("least"), F.count("*").alias("copies"))
+        each = each.select("digest", F.col("least.doc_id").alias("least"), "least.n_shingles", "least.registers", "copies")
+        rows = df.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
+        text = F.when(F.col("n_shingles") > 0, F.col("digest")).otherwise(F.lit(b""))
+        several = sketch.where("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a <> b").select("doc_id")
+        self.several = stored(several)
+        if self.several.isEmpty():
+            self.several, self.texts, self.table = None, rows, stored(each.withColumn("id", F.col("least")))
+            return
+        owners = some.select("doc_id", "digest").join(self.several, "doc_id", "left_anti").groupBy("digest").agg(F.min("doc_id").alias("id"))
+        each = stored(each.join(owners, "digest", "left"))
+        orphans = stored(each.where("id IS NULL").withColumn("id", -1 - F.monotonically_increasing_id()))
+        self.table = stored(each.where("id IS NOT NULL").unionByName(orphans))
+        named = self.several.select(F.col("doc_id").alias("id"))
+        odd = with_digests(rows.join(named, "id", "left_semi")).withColumnRenamed("__digest", "digest").select("digest", "text")
+        odd = odd.join(orphans.select("digest", "id"), "digest").groupBy("id").agg(F.first("text").alias("text"))
+        self.texts = stored(rows.join(named, "id", "left_anti").unionByName(odd))
+
+
+def _text_components(df: DataFrame, sketch: DataFrame, percent: int, group_docs: int, group_shingles: int, block: int) -> tuple[DataFrame, DataFrame | None]:
+    """digest and component (the least doc_id of a text that links reach) of the classes of several rows or in links; and the doc_ids of several texts, if any."""
+    found = _Classes(df, sketch)
+    classes, texts = found.table, found.texts
     bands = classes.select("id", "registers").mapInArrow(_bands, "id long, bucket long")
     least = stored(bands.groupBy("bucket").agg(F.min("id").alias("least"), F.count("*").alias("members")).where("members > 1").select("bucket", "least"))
     tied = components(bands.join(least, "bucket").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")))
@@ -392,20 +431,55 @@ def near_components(df: DataFrame, percent: int = 85, group_docs: int = GROUP_DO
     # A cluster of a few very long texts stays whole.
     big = big.where(F.col("docs") > 8)
     small = clusters.join(big, "cluster", "left_anti").join(texts, "id").select("cluster", "id", "text")
-    found = small.groupBy("cluster").applyInArrow(_settle(percent), "id long, component long")
+    linked = small.groupBy("cluster").applyInArrow(_settle(percent), "id long, component long")
     if not big.isEmpty():
         inside = stored(clusters.join(big, "cluster").join(classes.select("id", "n_shingles", "registers"), "id"))
         large_texts = stored(texts.join(inside.select("id"), "id", "left_semi"))
-        found = found.unionByName(_large(inside, large_texts, percent, block))
-    found = found.groupBy("id").agg(F.min("component").alias("component"))
-    label = classes.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"), "id", "copies")
-    label = stored(label.where("copies > 1 or component <> id").select("digest", "component"))
+        linked = linked.unionByName(_large(inside, large_texts, percent, block))
+    linked = linked.groupBy("id").agg(F.min("component").alias("component"))
+    label = classes.join(linked, "id", "left").select("digest", "least", F.coalesce("component", "id").alias("component"), "id", "copies")
+    if found.several is None:
+        return stored(label.where("copies > 1 or component <> id").select("digest", "component")), None
+    label = stored(label)
+    name = label.groupBy("component").agg(F.min("least").alias("name"))
+    return stored(label.join(name, "component").select("digest", F.col("name").alias("component"))), found.several
+
+
+def near_components(df: DataFrame, percent: int = 85, group_docs: int = GROUP_DOCS, group_shingles: int = GROUP_SHINGLES, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id that links reach), kept (the least itself), a row for each row of df."""
+    sketch = stored(sketches(df))
+    label, several = _text_components(df, sketch, percent, group_docs, group_shingles, block)
     out = sketch.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col("digest")).alias("digest"))
     out = out.join(label.hint("shuffle_merge"), "digest", "left")
+    if several is not None:  # a document's texts are one document
+        out = stored(out)
+        ties = out.where("component IS NOT NULL").join(several, "doc_id").groupBy("doc_id").agg(F.collect_set("component").alias("all"), F.min("component").alias("b"))
+        tied = components(ties.select(F.explode("all").alias("a"), "b")).select(F.col("id").alias("component"), F.col("component").alias("tied"))
+        out = out.join(tied, "component", "left").withColumn("component", F.coalesce("tied", "component"))
+        whole = out.where("component IS NOT NULL").join(several, "doc_id").groupBy("doc_id").agg(F.min("component").alias("whole"))  # its rows without words go along
+        out = out.join(whole, "doc_id", "left").withColumn("component", F.coalesce("component", "whole"))
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def first_of_each(df: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of df whose text is the first of its near-duplicates, that of the least doc_id: no text goes that isn't like one that stays.
+
+    A document of several texts keeps or loses each by itself. Rows without doc_id or without words stay, and so do all rows of the least doc_id.
+    """
+    df = df.withColumn("doc_id", F.col("doc_id").cast("long"))
+    sketch = stored(sketches(df))
+    label, several = _text_components(df, sketch, percent, GROUP_DOCS, GROUP_SHINGLES, BLOCK)
+    later = sketch.where("n_shingles > 0 and doc_id is not null").select("doc_id", "digest").join(label.hint("shuffle_merge"), "digest").where("doc_id <> component").select("doc_id", "digest").distinct()
+    if several is None:
+        return df.join(later.select("doc_id"), "doc_id", "left_anti").select(*(f"`{c}`" for c in df.columns))
+    later = stored(later)
+    single, odd = df.join(several, "doc_id", "left_anti"), with_digests(df.join(several, "doc_id", "left_semi"))
+    single = single.join(later.select("doc_id").distinct(), "doc_id", "left_anti")
+    odd = odd.join(later.withColumnRenamed("digest", "__digest"), ["doc_id", "__digest"], "left_anti")
+    return single.select(*(f"`{c}`" for c in df.columns)).unionByName(odd.select(*(f"`{c}`" for c in df.columns)))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(read(spark, sf_dir, "documents"), 85)
 

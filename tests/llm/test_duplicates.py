@@ -57,6 +57,43 @@ def test_near_on_tables(spark, small):
     assert sorted(map(tuple, near_dedup.op8_near_dedup(spark, small).collect()), key=str) == brute_near(rows, 85)
 
 
+def several_texts(n=60):
+    """Documents of several texts, in several groups, with copies and near copies, and texts that no document has alone."""
+    rnd, vocabulary = random.Random(9), [f"w{i}" for i in range(2000)]
+    bases = [[rnd.choice(vocabulary) for _ in range(60)] for _ in range(12)]
+
+    def text():
+        w = list(rnd.choice(bases))
+        if rnd.random() < 0.5:
+            w[rnd.choice([0, 59])] = rnd.choice(vocabulary)
+        return " ".join(w)
+
+    return [(rnd.randrange(n // 2), text()) for _ in range(n)] + [(7, None), (8, ""), (None, text()), (900, "only this"), (900, "and that one")]
+
+
+@pytest.mark.parametrize("group_docs", [1000, 5])
+def test_near_with_documents_of_several_texts(spark, group_docs):
+    rows = several_texts()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near(df, 85, group_docs=group_docs) == brute_near(rows, 85)
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "u v w x y z"), (3, "u v w x y z")]
+    assert near(spark.createDataFrame(rows, "doc_id long, text string"), 80) == brute_near(rows, 80) == sorted([(1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (3, 2, 1, False)], key=str)
+
+
+def test_no_text_is_lost_with_documents_of_several_texts(spark):
+    kept = lambda rows: sorted(((r["doc_id"], r["text"]) for r in near_dedup.first_of_each(spark.createDataFrame([(*r, "e") for r in rows], "doc_id long, text string, digest string"), 80).collect()), key=str)
+    assert kept([(1, "a b c d e f"), (2, "a b c d e f"), (2, "u v w x y z"), (3, "u v w x y z")]) == [(1, "a b c d e f"), (2, "u v w x y z")]
+    rows = several_texts()
+    # Each text as a document of its own: which of them are alike, and the least doc_id among these.
+    texts = sorted({t for i, t in rows if t and i is not None})
+    alone = {texts[k]: c for k, _, c, _ in brute_near(list(enumerate(texts)), 80)}
+    least = {}
+    for i, t in rows:
+        if t and i is not None:
+            least[alone[t]] = min(i, least.get(alone[t], i))
+    assert kept(rows) == sorted(((i, t) for i, t in rows if not t or i is None or least[alone[t]] == i), key=str)
+
+
 @pytest.mark.parametrize("group_docs", [1000, 40])
 def test_near_on_one_large_group(spark, group_docs):
     rnd, vocabulary = random.Random(5), [f"w{i}" for i in range(500)]

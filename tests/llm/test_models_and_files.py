@@ -346,9 +346,9 @@ def test_pipeline(spark, small):
         assert set(docs.columns) == columns
         assert docs.count() <= before
         before = docs.count()
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, small)
-    assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in docs.collect()}
-    assert corpus_pipeline.run(spark, small).count() == packed.count()
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, small).collect()
+    assert {i for r in packed for i in r["doc_ids"]} == {r["doc_id"] for r in docs.collect() if r["text"]}
+    assert sum(len(r["ids"]) for r in corpus_pipeline.run(spark, small).collect()) == sum(len(r["ids"]) for r in packed)
 
 
 def test_pipeline_cuts_repeats_between_characters(spark):
@@ -404,15 +404,21 @@ def test_pipeline_stages_by_hand(spark, small):
 
 
 def test_pipeline_packs_tokens(spark):
+    """Each text's tokens come back, piece by piece, from the bins that hold them."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = ["plain words, and signs: #1!", "x7Qz/" * 4000, "漢字" * 3000, "", "plain words, and signs: #1!"]
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    rows = corpus_pipeline.packed(spark, df, "").toPandas()
-    assert rows.groupby("doc_id").length.sum().to_dict() == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
-    assert rows[rows.doc_id == 1].piece.nunique() > 1 and rows.length.max() <= 4096
+    got = {}
+    for r in corpus_pipeline.packed(spark, df, "").collect():
+        assert len(r["ids"]) <= r["capacity"]
+        for i, piece, a, b in zip(r["doc_ids"], r["pieces"], r["places"], [*r["places"][1:], len(r["ids"])], strict=True):
+            got[i, piece] = r["ids"][a:b]
+    assert max(p for i, p in got if i == 1) > 0 and max(map(len, got.values())) <= 4096
+    for i, t in enumerate(texts):
+        assert [x for k in sorted(got) if k[0] == i for x in got[k]] == tokenizer.encode(t, add_special_tokens=False).ids
 
 
 def test_pipeline_stages_take_odd_rows(spark):
