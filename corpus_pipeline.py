@@ -3,8 +3,8 @@
 Each stage is a function of (spark, docs, sf_dir) over all rows that the one before it kept; all but the last
 return the columns of documents, and other columns aren't read. Rows without a doc_id are kept by the stages that
 compare documents. Null and empty texts go in the first stage; the others take them as texts without words.
-Repeated rows of one doc_id are each judged and kept; near_duplicates keeps or drops all rows of a doc_id. Texts of any
-length are handled whole. An empty table gives no rows.
+Rows of one doc_id are each judged by their own text: near_duplicates drops a row only if a like text of a smaller
+doc_id stays. Texts of any length are handled whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import lang_cnn, near_dedup, packing, quality_em, suffix_dedup, token_counts
+from tempora.llm import lang_cnn, near_dedup, packing, quality_em, suffix_dedup
 from tempora.llm.common import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -33,9 +33,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, 0.8 and more), that with the smallest doc_id."""
-    docs = docs.select(*COLUMNS)
-    dropped = near_dedup.near_components(docs, 80).where("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    return near_dedup.first_of_each(docs.select(*COLUMNS), 80)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,11 +43,10 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in the training sequences; a token is the unit."""
+    """The training sequences: a row for each bin with its tokens, and whose pieces start where."""
     import public_tokenizers
 
-    counted = token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return packing.best_fit(counted.select("doc_id", F.col("n_tokens").alias("length")))
+    return packing.sequences(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("quality", quality), ("language", language), ("near_duplicates", near_duplicates), ("repeats", repeats), ("packing", packed)]
