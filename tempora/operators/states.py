@@ -41,8 +41,12 @@ def above_threshold(samples: DataFrame, limits: DataFrame) -> DataFrame:
 
 def movement_fraction(states: DataFrame, bin_size: int = BIN) -> DataFrame:
     """bin_start, bin_center, fraction: the share of each bin spent in state 1; a state lasts to the next sample. Empty bins are 0."""
+    return fractions_of_spans(states.select(*KEYS, "t", "state", F.lead("t").over(by_time()).alias("next")).where("next is not null"), bin_size)
+
+
+def fractions_of_spans(timed: DataFrame, bin_size: int) -> DataFrame:
+    """movement_fraction of states that come with the time of the next sample."""
     b = F.lit(float(bin_size))
-    timed = states.select(*KEYS, "t", "state", F.lead("t").over(by_time()).alias("next")).where("next is not null")
     # What lies between successive samples covers all bins from the first to the last, so no spine is joined.
     low, high = F.floor(F.col("t") / b), F.ceil(F.col("next") / b) - 1
     spans = timed.where(high >= low).select(*KEYS, "t", "next", "state", F.explode(F.sequence(low, high)).alias("bin"))
@@ -111,28 +115,33 @@ def behaviour(samples: DataFrame, limits: DataFrame, bin_size: int = BIN, thresh
     return sleep(quiescence(fractions, threshold), sleep_minutes, bin_size)
 
 
-def analyze(samples: DataFrame, method: str = "baseline", *, calibration: DataFrame | None = None, bin_size: int = BIN, threshold: float = QUIET, sleep_minutes: float = SLEEP_MINUTES, detrended: bool = True, store: bool = False, **options) -> dict[str, DataFrame]:
+def analyze(samples: DataFrame, method: str = "baseline", *, calibration: DataFrame | None = None, bin_size: int = BIN, threshold: float = QUIET, sleep_minutes: float = SLEEP_MINUTES, detrended: bool = True, store: bool = False, segment: float | None = None, **options) -> dict[str, DataFrame]:
     """thresholds, samples (as used), states and bins by the method: baseline, adaptive or calibration.
 
     Baseline thresholds come from the series before detrending, adaptive ones from it after; calibration ones from another
     recording, and series without one are left out. Thresholds of (0, 0, 0), where samples are too few, are applied as they are.
     detrended=False takes series as they are. store=True writes states and bins as tables, for callers that read them more than once.
+    segment: seconds of the segments that series too long for one task are cut into (see `segments`); the results are the same.
     """
+    from tempora.operators import segments
+
+    flat = (lambda jumps=True: segments.detrend(samples, segment, jumps)) if segment else (lambda jumps=True: preprocess.detrend(samples, jumps))
     if method == "baseline":
         limits = thresholds.from_baseline(samples, options.pop("minutes", 200), **options)
-        used = preprocess.detrend(samples) if detrended else samples
+        used = flat() if detrended else samples
     elif method == "adaptive":
-        used = preprocess.detrend(samples, jumps=False) if detrended else samples
+        used = flat(False) if detrended else samples
         limits = thresholds.adaptive(used, **options)
     elif method == "calibration":
         if calibration is None:
             raise ValueError("the calibration method needs a calibration recording")
         limits = thresholds.apply_calibration(samples, thresholds.calibration(calibration, **options))
-        used = preprocess.detrend(samples) if detrended else samples
+        used = flat() if detrended else samples
     else:
         raise ValueError(f"unknown method {method!r}: baseline, adaptive or calibration")
     good = limits.where("status = 'success'") if method == "calibration" else limits
     keep = stored if store else lambda df: df
-    states = keep(hysteresis(used, good))
-    bins = keep(sleep(quiescence(movement_fraction(states, bin_size), threshold), sleep_minutes, bin_size))
+    states = keep(segments.hysteresis(used, good, segment) if segment else hysteresis(used, good))
+    fractions = segments.movement_fraction(states, bin_size, segment) if segment else movement_fraction(states, bin_size)
+    bins = keep(sleep(quiescence(fractions, threshold), sleep_minutes, bin_size))
     return {"thresholds": limits, "samples": used, "states": states, "bins": bins}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.operators import binning, preprocess, states, summary, thresholds
+from tempora.operators import binning, preprocess, segments, states, summary, thresholds
 from tempora.plans import fragments as sql
 from tempora.plans.registry import query
 from tempora.sources import tables
@@ -310,6 +310,59 @@ def _(spark, d):
     return by_adaptive(spark, d)["bins"].withColumn("method", F.lit("adaptive")).unionByName(by_calibration(spark, d)["bins"].withColumn("method", F.lit("calibration")))
 
 
+# The same by scans over segments of time; the SQL is that of the whole series.
+
+
+#: Seconds of a segment: a day, and 20 minutes, which most samples don't share with others.
+DAY, SHORT = 86_400, 1200
+
+
+@query("c5_jumps_segmented", f"{KEY} tie:int n:int jump:6", with_(U, sql.jumps("s", "j")) + " SELECT * FROM j WHERE jump <> 0")
+def _(spark, d):
+    return segments.detect_jumps(users(spark, d), 3 * DAY).where("jump <> 0")
+
+
+@query("c6_jumps_removed_segmented", f"{KEY} tie:int value:4", with_(S, sql.dejumped("s", "j")) + " SELECT * FROM j")
+def _(spark, d):
+    return segments.remove_jumps(events(spark, d), SHORT)
+
+
+@query("c7_quadratic_detrend_grouped", f"{KEY} tie:int value:4", with_(S, sql.quadratic("s", "q")) + " SELECT run_id, roi, tie, value - trend + trend_mean AS value FROM q")
+def _(spark, d):
+    return segments.detrend_quadratic(events(spark, d))
+
+
+@query("c8_drift_removal_grouped", f"{KEY} tie:int value:4", with_(S, sql.drift("s", "q", "value")) + " SELECT * FROM q")
+def _(spark, d):
+    return segments.remove_drift(events(spark, d))
+
+
+@query("c9_detrend_segmented", f"{KEY} tie:int value:3", with_(U, sql.detrended("s", "q")) + " SELECT * FROM q")
+def _(spark, d):
+    return segments.detrend(users(spark, d), DAY)
+
+
+@query("e1_hysteresis_segmented", f"{KEY} tie:int state:int", STATES + " SELECT * FROM h")
+def _(spark, d):
+    return segments.hysteresis(events(spark, d), limits(spark, d), SHORT)
+
+
+@query("e1_inverted_segmented", f"{KEY} tie:int state:int", with_(S, "b AS (SELECT run_id, roi, 60 AS baseline_mean, 40 AS upper, 80 AS lower FROM s GROUP BY run_id, roi)", sql.hysteresis("s", "b", "h")) + " SELECT * FROM h")
+def _(spark, d):
+    e = events(spark, d)
+    return segments.hysteresis(e, e.select("run_id", "roi").distinct().select("*", F.lit(60).alias("baseline_mean"), F.lit(40).alias("upper"), F.lit(80).alias("lower")), SHORT)
+
+
+@query("e2_movement_fraction_segmented", f"{KEY} bin_start:1 bin_center:1 fraction:6", FRACTIONS + " SELECT * FROM f")
+def _(spark, d):
+    return segments.movement_fraction(segments.hysteresis(events(spark, d), limits(spark, d), SHORT), BIN, SHORT)
+
+
+@query("e9_baseline_segmented", BIN_COLUMNS, E9 + " SELECT * FROM z")
+def _(spark, d):
+    return by_baseline(spark, d, segment=DAY)["bins"]
+
+
 #: Runs of several regions each: the users by their remainders, the types as regions.
 RUN = "CAST(user_id % 5 AS VARCHAR)"
 RUNS = with_(sql.samples(run=RUN), sql.baseline("s", "b", MINUTES, MULTIPLIER, NEED // 10), sql.detrended("s", "q"))
