@@ -3,46 +3,39 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.functions.fits import ratio
-from tempora.operators.rhythm import sinusoid
-from tempora.sources.tables import KEYS
+from tempora.operators.rhythm import series_arrays, sinusoid
+from tempora.sources.tables import KEYS, stored
 
 PAIR = ("run_id", "roi1", "roi2")
 TAU = 2 * math.pi
 
 
-def pair_rows(regular: DataFrame) -> DataFrame:
-    """idx, x, y, n of each pair roi1 < roi2, cut to the shorter series: an equi-join on run and index."""
-    a = regular.select("run_id", F.col("roi").alias("roi1"), "idx", F.col("value").alias("x"))
-    b = regular.select("run_id", F.col("roi").alias("roi2"), "idx", F.col("value").alias("y"))
-    both = a.join(b, ["run_id", "idx"]).where("roi1 < roi2")
-    return both.withColumn("n", F.count("*").over(Window.partitionBy(*PAIR))).where("n >= 10")
-
-
-def series_arrays(regular: DataFrame) -> DataFrame:
-    """A row for each series with its values in the order of idx."""
-    ordered = F.array_sort(F.collect_list(F.struct("idx", "value")))
-    return regular.groupBy(*KEYS).agg(F.transform(ordered, lambda p: p["value"]).alias("values"))
-
-
 #: Blocks of a run's series whose pairs meet in one partition.
 PAIR_BLOCKS = 4
 
 
-def pair_arrays(regular: DataFrame, blocks: int = PAIR_BLOCKS) -> DataFrame:
-    """x, y, n of each pair roi1 < roi2: arrays cut to the shorter series, of 10 values at least. A run's pairs are spread over blocks squared keys."""
-    s, block = series_arrays(regular), F.pmod(F.xxhash64("roi"), F.lit(blocks).cast("long"))
+def met(left: DataFrame, right: DataFrame, on: tuple[str, ...], blocks: int = PAIR_BLOCKS) -> DataFrame:
+    """All pairs of rows of a run with equal columns `on`, roi1 < roi2. A run's pairs are spread over blocks squared keys. left has roi1, right roi2."""
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks).cast("long"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    a = s.select("run_id", F.col("roi").alias("roi1"), F.col("values").alias("x"), block.alias("b1"), every.alias("b2"))
-    b = s.select("run_id", F.col("roi").alias("roi2"), F.col("values").alias("y"), block.alias("b2"), every.alias("b1"))
-    n = F.least(F.size("x"), F.size("y"))
-    both = a.join(b, ["run_id", "b1", "b2"]).where("roi1 < roi2").withColumn("n", n).where("n >= 10")
+    a = left.withColumns({"b1": block("roi1")}).withColumn("b2", every)
+    b = right.withColumns({"b2": block("roi2")}).withColumn("b1", every)
+    return a.join(b, ["run_id", *on, "b1", "b2"]).where("roi1 < roi2").drop("b1", "b2")
+
+
+def pair_arrays(regular: DataFrame, blocks: int = PAIR_BLOCKS) -> DataFrame:
+    """x, y, n of each pair roi1 < roi2: arrays cut to the shorter series, of 10 values at least."""
+    s = series_arrays(regular)
+    a, b = s.select("run_id", F.col("roi").alias("roi1"), F.col("values").alias("x")), s.select("run_id", F.col("roi").alias("roi2"), F.col("values").alias("y"))
+    both = met(a, b, (), blocks).withColumn("n", F.least(F.size("x"), F.size("y"))).where("n >= 10")
     return both.select(*PAIR, "n", F.slice("x", 1, F.col("n")).alias("x"), F.slice("y", 1, F.col("n")).alias("y"))
 
 
@@ -64,7 +57,7 @@ def cross_correlation(regular: DataFrame, interval: float, max_lag_h: float = 12
     """
     cap = int(max_lag_h * 3600 / interval)
 
-    @F.pandas_udf("array<struct<lag:int,correlation:double>>")
+    @F.pandas_udf("array<double>")
     def lags(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
         for a, b in zip(x, y, strict=True):
@@ -72,12 +65,12 @@ def cross_correlation(regular: DataFrame, interval: float, max_lag_h: float = 12
             most = min(cap, n // 2)
             # The centred form of length n has no lag of +n/2 if n is even.
             high = most - 1 if most == n // 2 and n % 2 == 0 else most
-            found = lagged_products(np.asarray(a, float), np.asarray(b, float), -most, high)
-            out.append([{"lag": d, "correlation": float(c)} for d, c in zip(range(-most, high + 1), found, strict=True)])
+            out.append(lagged_products(np.asarray(a, float), np.asarray(b, float), -most, high))
         return pd.Series(out)
 
     p = pair_arrays(regular).withColumn("lags", lags("x", "y"))
-    return p.select(*PAIR, "n", F.explode("lags").alias("l")).select(*PAIR, "n", "l.lag", "l.correlation")
+    p = p.select(*PAIR, "n", F.posexplode("lags").alias("pos", "correlation"))
+    return p.select(*PAIR, "n", (F.col("pos") - F.least(F.lit(cap), F.floor(F.col("n") / 2))).cast("int").alias("lag"), "correlation")
 
 
 def correlation(regular: DataFrame, interval: float, max_lag_h: float = 12, similar: float = 0.5) -> DataFrame:
@@ -111,25 +104,38 @@ def pair_status(correlations: DataFrame) -> DataFrame:
     return correlations.select(*PAIR, "correlation", "lag_h", status.alias("status"), rank.alias("rank"))
 
 
-def similarity_summary(correlations: DataFrame, top: int = 5) -> DataFrame:
-    """Number of pairs, of similar ones, and the top pairs by correlation."""
-    rank = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("correlation"), "roi1", "roi2"))
-    total = Window.partitionBy("run_id")
-    return correlations.select("run_id", "roi1", "roi2", "correlation", rank.alias("rank"), F.count("*").over(total).alias("pairs"), F.count_if(F.col("similar")).over(total).alias("similar_pairs")).where(F.col("rank") <= top)
+def similarity_summary(correlations: DataFrame, top: int = 5, threshold: float = 0.7, sync_hours: float = 1.0) -> DataFrame:
+    """A run's pairs, the similar ones (of the threshold and more) and those of them that are synchronized, with a row for each of the top similar pairs; a run without any has one row."""
+    similar = similar_pairs(correlations, threshold, sync_hours)
+    found = similar.groupBy("run_id").agg(F.count("*").alias("similar_pairs"), F.count_if("synchronized").alias("synchronized_pairs"))
+    counts = correlations.groupBy("run_id").agg(F.count("*").alias("pairs")).join(found, "run_id", "left").fillna(0, ["similar_pairs", "synchronized_pairs"])
+    return counts.join(similar.where(F.col("rank") <= top), "run_id", "left").select("run_id", "pairs", "similar_pairs", "synchronized_pairs", "rank", "roi1", "roi2", "correlation", "lag_h", "synchronized")
 
 
-def linkage_clusters(distance: np.ndarray, cut: float, method: str = "average") -> np.ndarray:
-    """Cluster numbers from 1, in order of first member, by merging the nearest clusters until they are more than cut apart."""
+def cluster_summary(clustered: DataFrame) -> DataFrame:
+    """run_id, cluster, size and the members' rois of each cluster."""
+    return clustered.groupBy("run_id", "cluster").agg(F.count("*").alias("size"), F.array_join(F.sort_array(F.collect_list(F.col("roi").cast("string"))), ",").alias("rois"))
+
+
+def merges(distance: np.ndarray, method: str) -> list[tuple[int, int, float]]:
+    """Hierarchical merges (a member of either cluster, height) by nearest-neighbour chains: each step extends the chain or merges its last two, so the work is quadratic."""
     n = len(distance)
     d = distance.astype(float) ** (2 if method == "ward" else 1)
     np.fill_diagonal(d, np.inf)
-    limit = cut * cut if method == "ward" else cut
-    size, alive, label = np.ones(n), np.ones(n, bool), np.arange(n)
-    while alive.sum() > 1:
-        i, j = divmod(int(np.argmin(d)), n)
-        if d[i, j] > limit:
-            break
-        i, j, a, b, nearest = min(i, j), max(i, j), size[min(i, j)], size[max(i, j)], d[i, j]
+    size, alive, chain, out = np.ones(n), np.ones(n, bool), [], []
+    while len(out) < n - 1:
+        if not chain:
+            chain.append(int(np.argmax(alive)))
+        i = chain[-1]
+        j = int(np.argmin(d[i]))
+        if len(chain) > 1 and d[i, chain[-2]] <= d[i, j]:  # ties go back, so that the chain ends
+            j = chain[-2]
+        if len(chain) < 2 or j != chain[-2]:
+            chain.append(j)
+            continue
+        del chain[-2:]
+        i, j = min(i, j), max(i, j)
+        a, b, nearest = size[i], size[j], d[i, j]
         if method == "single":
             new = np.minimum(d[i], d[j])
         elif method == "complete":
@@ -138,23 +144,83 @@ def linkage_clusters(distance: np.ndarray, cut: float, method: str = "average")
             new = ((a + size) * d[i] + (b + size) * d[j] - size * nearest) / (a + b + size)
         else:
             new = (a * d[i] + b * d[j]) / (a + b)
+        out.append((i, j, nearest))
         d[i], d[:, i] = new, new
         d[i, i] = np.inf
         d[j], d[:, j] = np.inf, np.inf
         size[i], alive[j] = a + b, False
-        label[label == j] = i
-    _, first = np.unique(label, return_index=True)
-    order = {label[k]: c + 1 for c, k in enumerate(sorted(first))}
-    return np.array([order[x] for x in label])
+    return out
+
+
+def linkage_clusters(distance: np.ndarray, cut: float, method: str = "average") -> np.ndarray:
+    """Cluster numbers from 1, in order of first member: what merges at a height of cut at most."""
+    parent = list(range(len(distance)))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, j, height in merges(distance, method):
+        if height <= (cut * cut if method == "ward" else cut):
+            i, j = find(i), find(j)
+            parent[max(i, j)] = min(i, j)
+    label = np.array([find(i) for i in range(len(distance))])
+    return np.unique(label, return_inverse=True)[1] + 1
+
+
+def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The minimum spanning forest of edges (run_id, roi1, roi2, distance), and (run_id, roi, root): the least roi of each tree.
+
+    In each round every tree takes its shortest edge to another one (ties: the first pair), and what is so joined is one tree; the number of
+    trees at least halves. These edges are the merges of single linkage, their distances its heights.
+    """
+    taken, roots = [], None
+    left = stored(edges.select(*PAIR, "distance", F.col("roi1").alias("a"), F.col("roi2").alias("b")))
+    while not left.isEmpty():
+        side = lambda t: left.select("run_id", F.col(t).alias("tree"), F.struct("distance", "roi1", "roi2").alias("edge"), F.col("b" if t == "a" else "a").alias("to"))  # noqa: B023,E731
+        best = stored(side("a").unionByName(side("b")).groupBy("run_id", "tree").agg(F.min(F.struct("edge", "to")).alias("m")).select("run_id", "tree", "m.edge", "m.to"))
+        taken.append(best.select("run_id", "edge.roi1", "edge.roi2", "edge.distance").distinct())
+        # Two trees that take one edge point at each other; the lesser is the root, all others lead there.
+        back = best.select("run_id", F.col("tree").alias("to"), F.col("to").alias("again"))
+        to = stored(best.join(back, ["run_id", "to"]).select("run_id", "tree", F.when((F.col("again") == F.col("tree")) & (F.col("tree") < F.col("to")), F.col("tree")).otherwise(F.col("to")).alias("to")))
+        while True:
+            step = to.select("run_id", F.col("tree").alias("to"), F.col("to").alias("next"))
+            further = stored(to.join(step, ["run_id", "to"]).select("run_id", "tree", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
+            to = further.drop("moved")
+            if further.where("moved").isEmpty():
+                break
+        if roots is None:
+            roots = to.select("run_id", F.col("tree").alias("roi"), F.col("to").alias("root"))
+        else:
+            roots = stored(roots.join(to.select("run_id", F.col("tree").alias("root"), "to"), ["run_id", "root"], "left").select("run_id", "roi", F.coalesce("to", "root").alias("root")))
+        at = lambda c: to.select("run_id", F.col("tree").alias(c), F.col("to").alias(f"_{c}"))  # noqa: B023,E731
+        left = stored(left.join(at("a"), ["run_id", "a"]).join(at("b"), ["run_id", "b"]).where("_a <> _b").select(*PAIR, "distance", F.col("_a").alias("a"), F.col("_b").alias("b")))
+    forest = taken[0] if taken else left.select(*PAIR, "distance")
+    for more in taken[1:]:
+        forest = forest.unionByName(more)
+    if roots is None:
+        return forest, left.select("run_id", F.col("roi1").alias("roi"), F.col("a").alias("root"))
+    least = roots.groupBy("run_id", "root").agg(F.min("roi").alias("least"))
+    return forest, roots.join(least, ["run_id", "root"]).select("run_id", "roi", F.col("least").alias("root"))
 
 
 def clusters(correlations: DataFrame, method: str = "average", cut: float = 0.5) -> DataFrame:
-    """roi, cluster, size: hierarchical clusters of distance 1 - correlation. Merges are sequential, so a run is one task; runs are parallel.
+    """roi, cluster, size: hierarchical clusters of distance 1 - correlation.
 
-    The task holds the square of the run's series and its work is their cube: meant for up to about 2000 series of a run.
+    Single linkage is a spanning forest worked out by joins, however many series a run has. The merges of the other three are sequential:
+    a run is a task, which holds the square of its series and works on it once; runs are parallel.
     """
     if method not in ("average", "single", "complete", "ward"):
         raise ValueError(f"unknown linkage {method!r}")
+    if method == "single":
+        rois = correlations.select("run_id", F.explode(F.array("roi1", "roi2")).alias("roi")).distinct()
+        _, roots = spanning_forest(correlations.select(*PAIR, (1 - F.col("correlation")).alias("distance")).where(F.col("distance") <= cut))
+        rooted = rois.join(roots, ["run_id", "roi"], "left").select("run_id", "roi", F.coalesce("root", "roi").alias("root"))
+        named = rooted.groupBy("run_id", "root").agg(F.count("*").alias("size"))
+        named = named.withColumn("cluster", F.row_number().over(Window.partitionBy("run_id").orderBy("root")).cast("long"))
+        return rooted.join(named, ["run_id", "root"]).select("run_id", "roi", "cluster", "size")
     kind = correlations.schema["roi1"].dataType.simpleString()
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -179,25 +245,69 @@ def phase_difference(regular: DataFrame, interval: float, period: float) -> Data
     return both.select(*PAIR, "radians", "hours", "amplitude1", "amplitude2", (F.abs("hours") < 0.25 * period).alias("in_phase"), (F.abs("hours") > 0.75 * period).alias("anti_phase"))
 
 
-def coherence_spectrum(regular: DataFrame, interval: float) -> DataFrame:
-    """k, period_h (0 for the constant), coherence by averaged half-overlapping Hann segments."""
-    p = pair_rows(regular)
-    size = F.least(F.col("n"), F.greatest(F.lit(16), F.least(F.lit(256), F.floor(F.col("n") / 8)))).cast("int")
-    p = p.withColumn("size", size).withColumn("step", F.col("size") - F.floor(F.col("size") / 2).cast("int"))
-    p = p.withColumn("segments", F.floor((F.col("n") - (F.col("size") - F.col("step"))) / F.col("step")).cast("int"))
-    first = F.greatest(F.lit(0), F.ceil((F.col("idx") - F.col("size") + 1) / F.col("step"))).cast("int")
-    last = F.least(F.col("segments") - 1, F.floor(F.col("idx") / F.col("step"))).cast("int")
-    p = p.withColumns({"_a": first, "_b": last}).where("_a <= _b").withColumn("seg", F.explode(F.sequence("_a", "_b"))).withColumn("i", F.col("idx") - F.col("seg") * F.col("step"))
-    w = Window.partitionBy(*PAIR, "seg")
-    hann = 0.5 - 0.5 * F.cos(F.col("i") * TAU / F.col("size"))
-    p = p.select(*PAIR, "size", "segments", "seg", "i", ((F.col("x") - F.avg("x").over(w)) * hann).alias("x"), ((F.col("y") - F.avg("y").over(w)) * hann).alias("y"))
-    p = p.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.col("size") / 2).cast("int"))))
-    angle = F.col("k") * F.col("i") * (TAU / F.col("size"))
-    s = p.groupBy(*PAIR, "size", "seg", "k").agg(F.sum(F.col("x") * F.cos(angle)).alias("xr"), F.sum(F.col("x") * F.sin(angle)).alias("xi"), F.sum(F.col("y") * F.cos(angle)).alias("yr"), F.sum(F.col("y") * F.sin(angle)).alias("yi"))
-    re, im = F.sum(F.expr("xr * yr + xi * yi")), F.sum(F.expr("xr * yi - xi * yr"))
-    m = s.groupBy(*PAIR, "size", "k").agg(F.try_divide(re * re + im * im, F.sum(F.expr("xr * xr + xi * xi")) * F.sum(F.expr("yr * yr + yi * yi"))).alias("coherence"))
+#: Segments of a series whose spectra are a row.
+SPECTRA = 64
+
+
+def segment_size(n: Column) -> Column:
+    return F.least(n, F.greatest(F.lit(16), F.least(F.lit(256), F.floor(n / 8)))).cast("int")
+
+
+def segment_count(n: Column, size: Column) -> Column:
+    step = size - F.floor(size / 2)
+    return F.floor((n - (size - step)) / step).cast("int")
+
+
+def segment_spectra(regular: DataFrame, rows: int = SPECTRA) -> DataFrame:
+    """run_id, roi, n, size, part, re, im: spectra of half-overlapping Hann segments of each series, up to `rows` of them a row, one after another.
+
+    A segment's size follows from the shorter series of a pair, so a series has spectra for its own size and for those of the shorter ones of its run.
+    """
+    s = series_arrays(regular).withColumn("n", F.size("values")).where("n >= 10")
+    sizes = s.groupBy("run_id", segment_size(F.col("n")).alias("size")).agg(F.min("n").alias("least")).groupBy("run_id").agg(F.collect_list(F.struct("size", "least")).alias("sizes"))
+    needed = F.transform(F.filter("sizes", lambda x: x["least"] <= F.col("n")), lambda x: x["size"])
+    kind = regular.schema["roi"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                values = np.asarray(r.values_, float)
+                for size in sorted(r.sizes):
+                    step = size - size // 2
+                    count = (len(values) - (size - step)) // step
+                    hann = 0.5 - 0.5 * np.cos(np.arange(size) * (TAU / size))
+                    windows = np.lib.stride_tricks.sliding_window_view(values, size)[::step][:count]
+                    for part, low in enumerate(range(0, count, rows)):
+                        x = windows[low : low + rows]
+                        found = np.fft.rfft((x - x.mean(1, keepdims=True)) * hann, axis=1)
+                        yield pd.DataFrame({"run_id": [r.run_id], "roi": [r.roi], "n": [r.n], "size": [size], "part": [part], "re": [found.real.ravel()], "im": [found.imag.ravel()]})
+
+    each = s.join(sizes, "run_id").select("run_id", "roi", "n", F.col("values").alias("values_"), needed.alias("sizes"))
+    return each.mapInPandas(run, f"run_id string, roi {kind}, n int, size int, part int, re array<double>, im array<double>")
+
+
+def coherence_spectrum(regular: DataFrame, interval: float, rows: int = SPECTRA) -> DataFrame:
+    """k, period_h (0 for the constant), coherence by averaged half-overlapping Hann segments. Transforms are made once a series; pairs only multiply them."""
+    s = segment_spectra(regular, rows)
+    a = s.select("run_id", "size", "part", F.col("roi").alias("roi1"), F.col("n").alias("n1"), F.col("re").alias("xr"), F.col("im").alias("xi"))
+    b = s.select("run_id", "size", "part", F.col("roi").alias("roi2"), F.col("n").alias("n2"), F.col("re").alias("yr"), F.col("im").alias("yi"))
+    n = F.least("n1", "n2")
+    both = met(a, b, ("size", "part")).where(F.col("size") == segment_size(n)).withColumn("held", segment_count(n, F.col("size")) - F.col("part") * rows).where("held > 0")
+
+    @F.pandas_udf("array<struct<re:double,im:double,xx:double,yy:double>>")
+    def products(size: pd.Series, held: pd.Series, xr: pd.Series, xi: pd.Series, yr: pd.Series, yi: pd.Series) -> pd.Series:
+        out = []
+        for bins, most, *parts in zip(size // 2 + 1, held, xr, xi, yr, yi, strict=True):
+            xr_, xi_, yr_, yi_ = (np.asarray(p).reshape(-1, bins)[:most] for p in parts)
+            sums = ((xr_ * yr_ + xi_ * yi_).sum(0), (xr_ * yi_ - xi_ * yr_).sum(0), (xr_ * xr_ + xi_ * xi_).sum(0), (yr_ * yr_ + yi_ * yi_).sum(0))
+            out.append([dict(zip(("re", "im", "xx", "yy"), v, strict=True)) for v in zip(*(x.tolist() for x in sums), strict=True)])
+        return pd.Series(out)
+
+    each = both.select(*PAIR, "size", F.posexplode(products("size", "held", "xr", "xi", "yr", "yi")).alias("k", "p"))
+    m = each.groupBy(*PAIR, "size", "k").agg(*(F.sum(f"p.{c}").alias(c) for c in ("re", "im", "xx", "yy")))
     period = F.when(F.col("k") > 0, F.col("size") * (interval / 3600) / F.greatest(F.col("k"), F.lit(1))).otherwise(F.lit(0.0))
-    return m.select(*PAIR, "k", period.alias("period_h"), F.coalesce("coherence", F.lit(0.0)).alias("coherence"))
+    share = F.try_divide(F.expr("re * re + im * im"), F.expr("xx * yy"))
+    return m.select(*PAIR, "k", period.alias("period_h"), F.coalesce(share, F.lit(0.0)).alias("coherence"))
 
 
 def coherence(regular: DataFrame, interval: float, target_h: float = 24, synchronized: float = 0.6) -> DataFrame:
@@ -227,18 +337,41 @@ def analytic(x: np.ndarray) -> np.ndarray:
     return np.fft.ifft(spectrum * weight)
 
 
+def series_phases(regular: DataFrame) -> DataFrame:
+    """run_id, roi, n, length, phase, amplitude: the phases of each series' analytic signal as an array, and its mean envelope.
+
+    A pair is as long as its shorter series, so a longer one has phases for each length among the shorter ones of its run; where all are as long, one.
+    """
+    s = series_arrays(regular).withColumn("n", F.size("values"))
+    lengths = s.groupBy("run_id").agg(F.collect_set("n").alias("lengths"))
+    needed = F.filter("lengths", lambda m: m <= F.col("n"))
+    kind = regular.schema["roi"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                values = np.asarray(r.values_, float)
+                for length in sorted(r.lengths):
+                    x = values[:length]
+                    a = analytic(x - x.mean())
+                    yield pd.DataFrame({"run_id": [r.run_id], "roi": [r.roi], "n": [r.n], "length": [length], "phase": [np.angle(a)], "amplitude": [np.abs(a).mean()]})
+
+    each = s.join(lengths, "run_id").select("run_id", "roi", "n", F.col("values").alias("values_"), needed.alias("lengths"))
+    return each.mapInPandas(run, f"run_id string, roi {kind}, n int, length int, phase array<double>, amplitude double")
+
+
 def phase_locking(regular: DataFrame, period: float) -> DataFrame:
     """How constant the phase difference of each pair is, its circular mean in hours and its circular deviation."""
-    kind = regular.schema["roi"].dataType.simpleString()
+    s = series_phases(regular).where("length >= 10")
+    a, b = s.select("run_id", "length", F.col("roi").alias("roi1"), F.col("n").alias("n1"), F.col("phase").alias("x")), s.select("run_id", "length", F.col("roi").alias("roi2"), F.col("n").alias("n2"), F.col("phase").alias("y"))
+    both = met(a, b, ("length",)).where("length = least(n1, n2)")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx")
-        x, y = (np.angle(analytic((rows[c] - rows[c].mean()).to_numpy())) for c in ("x", "y"))
-        mean = np.mean(np.exp(1j * (y - x)))
-        return pd.DataFrame({"run_id": [rows.run_id.iloc[0]], "roi1": [rows.roi1.iloc[0]], "roi2": [rows.roi2.iloc[0]], "plv": [abs(mean)], "radians": [np.angle(mean)]})
+    @F.pandas_udf("re double, im double")
+    def mean(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        found = np.array([np.mean(np.exp(1j * (np.asarray(q) - np.asarray(p)))) for p, q in zip(x, y, strict=True)], complex)
+        return pd.DataFrame({"re": found.real, "im": found.imag})
 
-    # One series pair is a group, as long as the shorter series.
-    m = pair_rows(regular).select(*PAIR, "idx", "x", "y").groupBy(*PAIR).applyInPandas(run, f"run_id string, roi1 {kind}, roi2 {kind}, plv double, radians double")
+    m = both.select(*PAIR, mean("x", "y").alias("m")).select(*PAIR, F.sqrt(F.expr("m.re * m.re + m.im * m.im")).alias("plv"), F.atan2("m.im", "m.re").alias("radians"))
     plv = F.col("plv")
     quality = F.when(plv > 0.8, "strong").when(plv > 0.5, "moderate").when(plv > 0.3, "weak").otherwise("none")
     spread = F.when(plv > 0, F.sqrt(F.greatest(F.lit(0.0), -2 * F.ln(plv)))).otherwise(F.lit(math.pi))
@@ -247,15 +380,14 @@ def phase_locking(regular: DataFrame, period: float) -> DataFrame:
 
 def series_phase(regular: DataFrame, period: float) -> DataFrame:
     """Circular mean of each series' phase in hours, and its mean envelope."""
-    kind = regular.schema["roi"].dataType.simpleString()
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values("idx").value.to_numpy()
-        a = analytic(x - x.mean())
-        phase = np.arctan2(np.mean(np.sin(np.angle(a))), np.mean(np.cos(np.angle(a))))
-        return pd.DataFrame({"run_id": [rows.run_id.iloc[0]], "roi": [rows.roi.iloc[0]], "radians": [phase], "amplitude": [np.abs(a).mean()]})
+    @F.pandas_udf("radians double, amplitude double")
+    def circular(values: pd.Series) -> pd.DataFrame:
+        found = [analytic(np.asarray(v, float) - np.mean(v)) for v in values]
+        angles = [np.angle(a) for a in found]
+        return pd.DataFrame({"radians": [np.arctan2(np.mean(np.sin(p)), np.mean(np.cos(p))) for p in angles], "amplitude": [np.abs(a).mean() for a in found]}, dtype=float)
 
-    m = regular.select(*KEYS, "idx", "value").groupBy(*KEYS).applyInPandas(run, f"run_id string, roi {kind}, radians double, amplitude double")
+    m = series_arrays(regular).select(*KEYS, circular("values").alias("c")).select(*KEYS, "c.radians", "c.amplitude")
     return m.withColumn("phase_h", F.pmod(F.col("radians") / TAU * period, F.lit(float(period))))
 
 

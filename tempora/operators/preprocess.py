@@ -44,15 +44,15 @@ def validate_intervals(samples: DataFrame, expected: float, first: int = 50) ->
 
 
 def timing_correction(samples: DataFrame, interval: float, baseline_minutes: float, bin_size: float, tolerance: float = 0.1) -> DataFrame:
-    """Corrected interval, baseline and bin for series whose median of the first 19 intervals is off; sample times stay."""
+    """Corrected interval, baseline (as many whole frames) and bin for series whose median of the first 19 intervals is off by more than a second and the tolerance; sample times stay."""
     w = by_time()
     head = samples.withColumns({"i": F.row_number().over(w), "gap": F.lead("t").over(w) - F.col("t")}).where("i <= 19 and gap is not null")
     out = head.groupBy(*KEYS).agg(percentile("gap", 0.5).alias("actual"))
-    off = F.abs(F.col("actual") - interval) > tolerance * interval
+    off = F.abs(F.col("actual") - interval) > max(1.0, tolerance * interval)
     bin_ = (F.greatest(F.lit(1.0), F.bround(F.lit(bin_size) / F.col("actual"))) * F.col("actual")).cast("int")
     return out.select(
         *KEYS, "actual", off.alias("corrected"), F.when(off, F.col("actual")).otherwise(interval).alias("interval"),
-        F.when(off, F.lit(baseline_minutes / interval) * F.col("actual")).otherwise(baseline_minutes).alias("baseline_minutes"), F.when(off, bin_).otherwise(F.lit(int(bin_size))).alias("bin_size"),
+        F.when(off, F.lit(int(baseline_minutes * 60 / interval)) * F.col("actual") / 60).otherwise(baseline_minutes).alias("baseline_minutes"), F.when(off, bin_).otherwise(F.lit(int(bin_size))).alias("bin_size"),
     )
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
@@ -10,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempora.functions import student
 from tempora.functions.fits import ratio, solve3
 from tempora.operators import binning
 from tempora.sources.tables import KEYS
@@ -116,18 +116,47 @@ def linear_residual(rows: DataFrame, column: str, keys: tuple[str, ...] = KEYS)
     return F.col(column) - (F.regr_slope(column, "idx").over(w) * F.col("idx") + F.regr_intercept(column, "idx").over(w))
 
 
+def series_arrays(regular: DataFrame) -> DataFrame:
+    """A row for each series with its values in the order of idx."""
+    ordered = F.array_sort(F.collect_list(F.struct("idx", "value")))
+    return regular.groupBy(*KEYS).agg(F.transform(ordered, lambda p: p["value"]).alias("values"))
+
+
+def _weights(name: str | None, n: int) -> np.ndarray:
+    x = np.arange(n) * (TAU / max(1, n - 1))
+    forms = {"hann": lambda: 0.5 - 0.5 * np.cos(x), "hamming": lambda: 0.54 - 0.46 * np.cos(x), "blackman": lambda: 0.42 - 0.5 * np.cos(x) + 0.08 * np.cos(2 * x)}
+    return forms.get(name, lambda: np.ones(n))()
+
+
+#: Products of samples and bins up to which a band's bins are summed one by one instead of taken from a transform.
+DIRECT = 1 << 15
+
+
+def band_power(values: np.ndarray, window: str | None, size: int, first: int, last: int, direct: int = DIRECT) -> np.ndarray:
+    """Power of the detrended, weighted, zero-padded values at bins first .. last: by sums where the band is narrow, else by a real transform of size numbers."""
+    n = len(values)
+    i = np.arange(n) - (n - 1) / 2
+    x = (values - values.mean() - i * ((i @ values) / max(i @ i, 1e-300))) * _weights(window, n)
+    if (last - first + 1) * n <= direct:
+        angle = np.outer(np.arange(first, last + 1), np.arange(n)) % size * (TAU / size)
+        return (np.cos(angle) @ x) ** 2 + (np.sin(angle) @ x) ** 2
+    found = np.fft.rfft(x, size)[first : last + 1]
+    return found.real**2 + found.imag**2
+
+
 def spectrum(regular: DataFrame, interval: float, low: float = 12, high: float = 36, window: str | None = "hann") -> DataFrame:
-    """k, period_h, power at the padded transform's bins whose period is between low and high hours."""
-    n = F.count("*").over(_whole())
-    x = regular.withColumn("n", n).where(F.col("n") >= LEAST)
-    x = x.withColumn("x", linear_residual(x, "value") * window_weight(window, F.col("idx"), F.col("n"))).withColumn("size", F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") * 4.0))))
+    """k, period_h, power at the padded transform's bins whose period is between low and high hours. A series is a row while it is transformed, so its cost is n log n however wide the band."""
+    x = series_arrays(regular).withColumn("n", F.size("values").cast("long")).where(F.col("n") >= LEAST)
+    x = x.withColumn("size", F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") * 4.0))))
     span = F.col("size") * (interval / 3600)
-    ends = F.sequence(F.greatest(F.lit(1), F.ceil(span / high)).cast("long"), F.least(F.floor(span / low), F.floor(F.col("size") / 2)).cast("long"))
-    x = x.where(F.ceil(span / high) <= F.floor(span / low)).withColumn("k", F.explode(ends))
-    angle = F.col("k") * F.col("idx") * (TAU / F.col("size"))
-    re, im = F.sum(F.col("x") * F.cos(angle)), F.sum(F.col("x") * F.sin(angle))
-    out = x.groupBy(*KEYS, "n", "size", "k").agg(re.alias("_re"), im.alias("_im"))
-    return out.select(*KEYS, "n", "size", "k", (span / F.col("k")).alias("period_h"), (F.col("_re") * F.col("_re") + F.col("_im") * F.col("_im")).alias("power"))
+    x = x.withColumns({"first": F.greatest(F.lit(1), F.ceil(span / high)).cast("long"), "last": F.least(F.floor(span / low), F.floor(F.col("size") / 2)).cast("long")}).where("first <= last")
+
+    @F.pandas_udf("array<double>")
+    def power(values: pd.Series, size: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
+        return pd.Series([band_power(np.asarray(v, float), window, int(m), a, b) for v, m, a, b in zip(values, size, first, last, strict=True)])
+
+    out = x.select(*KEYS, "n", "size", "first", F.posexplode(power("values", "size", "first", "last")).alias("pos", "power")).withColumn("k", F.col("first") + F.col("pos"))
+    return out.select(*KEYS, "n", "size", "k", (span / F.col("k")).alias("period_h"), "power")
 
 
 def spectrum_best(power: DataFrame) -> DataFrame:
@@ -136,11 +165,19 @@ def spectrum_best(power: DataFrame) -> DataFrame:
     return power.groupBy(*KEYS).agg(best.alias("b")).select(*KEYS, "b.*")
 
 
+def shuffle_marks(seed: int, perm: int, n: int) -> np.ndarray:
+    """A number for each index, no two alike: index and shuffle side by side, moved by the seed, with their bits mixed."""
+    x = np.arange(n, dtype=np.uint64) + np.uint64((perm << 32) + seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
 def permutation_test(regular: DataFrame, best: DataFrame, permutations: int = 1000, window: str | None = "hann", seed: int = 1) -> DataFrame:
     """p of the best bin: the share of shuffled series with at least its power.
 
     Detrending and windowing are linear, so a shuffled series' power is that of its sums with two fixed weight series,
-    made once. Shuffles are ranks of a digest of seed, shuffle and index, the same in every run. A series is a row with its
+    made once. Shuffles are ranks of a 64-bit mix of seed, shuffle and index, the same in every run. A series is a row with its
     values and weights as arrays, shuffled there; no shuffled value is a row.
     """
     x = regular.join(best.select(*KEYS, "n", "size", "k", F.col("power").alias("observed")), list(KEYS))
@@ -159,8 +196,7 @@ def permutation_test(regular: DataFrame, best: DataFrame, permutations: int = 10
             same = np.flatnonzero(size == n)  # series of one length are shuffled alike
             v, cs, sn = (np.stack(x.iloc[same].to_list()) for x in (value, c, s))
             for perm in range(1, permutations + 1):
-                mark = [hashlib.md5(f"{seed}:{perm}:{i}".encode()).hexdigest() for i in range(n)]
-                v_now = v[:, sorted(range(n), key=mark.__getitem__)]
+                v_now = v[:, np.argsort(shuffle_marks(seed, perm, n))]
                 p[same] += (v_now * cs).sum(1) ** 2 + (v_now * sn).sum(1) ** 2 >= observed.to_numpy()[same]
         return pd.Series(p / permutations)
 
@@ -188,13 +224,19 @@ def spectral_peaks(power: DataFrame, share: float = 0.1) -> DataFrame:
 
 
 def fourier_summary(samples: DataFrame, interval: float, low: float = 12, high: float = 36, permutations: int = 1000, window: str | None = "hann", alpha: float = ALPHA) -> DataFrame:
+    """Best period of each series with its p and peaks. A series of fewer than 10 samples or bins, or of no bin in the range, has an error instead, and isn't significant."""
     regular = binning.resample(samples, interval)
-    power = spectrum(regular, interval, low, high, window)
+    counted = samples.groupBy(*KEYS).agg(F.count("*").alias("samples"))
+    bins = regular.groupBy(*KEYS).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    enough = regular.join(counted.where(F.col("samples") >= LEAST).select(*KEYS), list(KEYS))
+    power = spectrum(enough, interval, low, high, window)
     best = spectrum_best(power)
-    p = permutation_test(regular, best, permutations, window)
+    p = permutation_test(enough, best, permutations, window)
     peaks = spectral_peaks(power).groupBy(*KEYS).agg(F.count("*").alias("peaks"))
-    out = best.select(*KEYS, "n", "period_h", "power").join(p.select(*KEYS, "p"), list(KEYS)).join(peaks, list(KEYS), "left")
-    return out.withColumns({"significant": F.col("p") < alpha, "peaks": F.coalesce("peaks", F.lit(0))})
+    found = best.select(*KEYS, "period_h", "power").join(p.select(*KEYS, "p"), list(KEYS)).join(peaks, list(KEYS), "left").withColumn("peaks", F.coalesce("peaks", F.lit(0)))
+    out = counted.join(bins, list(KEYS), "left").join(found, list(KEYS), "left")
+    error = F.when((F.col("samples") < LEAST) | (F.coalesce("n", F.lit(0)) < LEAST), "too few samples").when(F.col("power").isNull(), "no period in range")
+    return out.select(*KEYS, "samples", "n", "mean", "std", "period_h", "power", "p", "peaks", F.coalesce(F.col("p") < alpha, F.lit(False)).alias("significant"), error.alias("error"))
 
 
 def method_agreement(fisher: DataFrame, fourier: DataFrame, hours: float = 2.0) -> DataFrame:
@@ -205,22 +247,20 @@ def method_agreement(fisher: DataFrame, fourier: DataFrame, hours: float = 2.0)
 
 
 def t_quantile(df: Column, p: float = 0.975) -> Column:
-    """Quantile of Student's t, by an expansion around the normal one; within 0.5 % from 5 degrees of freedom on."""
-    z = 1.959963984540054 if p == 0.975 else _normal_quantile(p)
-    g = ((z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384)
-    return F.lit(z) + g[0] / df + g[1] / (df * df) + g[2] / (df * df * df)
+    """Quantile of Student's t; null where there are no degrees of freedom."""
 
+    @F.pandas_udf("double")
+    def of(v: pd.Series) -> pd.Series:
+        kinds, which = np.unique(v.to_numpy(float), return_inverse=True)
+        return pd.Series(student.quantile(kinds, p)[which]).astype(object).where(lambda x: x.notna(), None)
 
-def _normal_quantile(p: float) -> float:
-    from statistics import NormalDist
-
-    return NormalDist().inv_cdf(p)
+    return of(df.cast("double"))
 
 
 def cosinor(regular: DataFrame, interval: float, period: float | str) -> DataFrame:
-    """Mesor, beta, gamma, amplitude, acrophase, peak time, F, p, R2 and standard errors of a cosine at the period."""
+    """Mesor, beta, gamma, amplitude, acrophase, peak time, F, p, R2, standard errors and half-widths of 95 % intervals of a cosine at the period."""
     m = sinusoid(regular, interval, period)
-    n, rest = F.col("n"), F.col("n") - 3
+    n, rest = F.col("n"), F.when(F.col("n") > 3, F.col("n") - 3)
     m = m.withColumns({"mesor": F.col("c"), "beta": F.col("a"), "gamma": F.col("b")})
     m = m.withColumns({"tss": F.col("yy") - F.col("y2") * F.col("y2") / n, "rss": F.col("yy") - F.col("beta") * F.col("y0") - F.col("gamma") * F.col("y1") - F.col("mesor") * F.col("y2")})
     f = ratio((F.col("tss") - F.col("rss")) / 2, F.col("rss") / rest)
@@ -234,8 +274,9 @@ def cosinor(regular: DataFrame, interval: float, period: float | str) -> DataFra
     se_p = F.sqrt(F.try_divide(F.col("gamma") * F.col("gamma") * vbb - 2 * F.col("beta") * F.col("gamma") * vbg + F.col("beta") * F.col("beta") * vgg, a2 * a2))
     acro = F.atan2(-F.col("gamma"), F.col("beta"))
     m = m.withColumns({"acrophase": acro, "f": f, "r2": 1 - ratio(F.col("rss"), F.col("tss"), 1.0), "se_mesor": F.sqrt(vmm), "se_amplitude": se_a, "se_acrophase": se_p})
-    m = m.withColumns({"p": F.pow(1 + 2 * F.col("f") / rest, -rest / 2), "peak_h": F.pmod(-F.col("acrophase") * F.col("period_h") / TAU, F.col("period_h")), "amplitude_half_width": t_quantile(rest) * F.col("se_amplitude")})
-    return m.select(*KEYS, "n", "period_h", "mesor", "beta", "gamma", "amplitude", "acrophase", "peak_h", "f", "p", "r2", "se_mesor", "se_amplitude", "se_acrophase", "amplitude_half_width")
+    m = m.withColumns({"p": F.pow(1 + 2 * F.col("f") / rest, -rest / 2), "peak_h": F.pmod(-F.col("acrophase") * F.col("period_h") / TAU, F.col("period_h")), "_t": t_quantile(rest)})
+    m = m.withColumns({"amplitude_half_width": F.col("_t") * F.col("se_amplitude"), "acrophase_half_width": F.col("_t") * F.col("se_acrophase")})
+    return m.select(*KEYS, "n", "period_h", "mesor", "beta", "gamma", "amplitude", "acrophase", "peak_h", "f", "p", "r2", "se_mesor", "se_amplitude", "se_acrophase", "amplitude_half_width", "acrophase_half_width")
 
 
 def period_choice(low: float, high: float) -> list[float]:
@@ -260,16 +301,30 @@ def population_cosinor(regular: DataFrame, interval: float, periods: list[float]
     return m.select("run_id", "period_h", "n", "mesor", F.sqrt(F.col("_b") * F.col("_b") + F.col("_g") * F.col("_g")).alias("amplitude"), F.atan2(-F.col("_g"), F.col("_b")).alias("acrophase"), "significant", (F.col("significant") / F.col("n")).alias("proportion"))
 
 
-def boundary_diagnostics(fourier: DataFrame, best: DataFrame, low: float, high: float, alpha: float = ALPHA) -> DataFrame:
-    """Shares of series whose best period lies within 5 % of an end of the range (Fourier) or at one (cosinor), with hints."""
-    near = (F.abs(F.col("period_h") - low) <= 0.05 * low) | (F.abs(F.col("period_h") - high) <= 0.05 * high)
-    a = fourier.groupBy("run_id").agg(F.count("*").alias("series"), F.count_if(near).alias("at_edge"))
-    end = (F.col("period_h") == low) | (F.col("period_h") == high)
-    b = best.where((F.col("p") < alpha) & F.col("best")).groupBy("run_id").agg(F.count("*").alias("significant"), F.count_if(end).alias("cosinor_at_edge"))
-    out = a.join(b, "run_id", "left").withColumns({"significant": F.coalesce("significant", F.lit(0)), "cosinor_at_edge": F.coalesce("cosinor_at_edge", F.lit(0))})
-    over = lambda x, y: F.coalesce(F.try_divide(F.col(x), F.col(y)) > 0.3, F.lit(False))
-    hint = F.when(F.lit(high - low > 12), "wide range").when(F.lit(high - low < 2), "narrow range").otherwise("fair range")
-    return out.select("run_id", "series", "at_edge", over("at_edge", "series").alias("edge_warning"), "significant", "cosinor_at_edge", over("cosinor_at_edge", "significant").alias("cosinor_warning"), hint.alias("hint"))
+def boundary_diagnostics(power: DataFrame, periods: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """Signs that a range of periods doesn't fit a run. power: spectra of its series; periods: cosinors at all test periods, with best.
+
+    at_edge: series with peaks whose best period is nearer to an end of the spectrum's periods than 5 % of their width; a warning above 30 % of the series with a
+    spectrum. mismatches: series whose highest peak lies over half an hour off the best period, with 0.9 of its power at least. cosinor_at_edge: significant
+    series whose best test period is the first or last one; a warning above 30 % of these. A hint needs three significant series.
+    """
+    best, peaks = spectrum_best(power), spectral_peaks(power).where("rank = 1").select(*KEYS, F.col("period_h").alias("peak_h"), F.col("power").alias("peak_power"))
+    ends = power.groupBy(*KEYS).agg(F.min("period_h").alias("low"), F.max("period_h").alias("high"))
+    each = best.join(ends, list(KEYS)).join(peaks, list(KEYS), "left")
+    gap, width = (lambda c: F.abs(F.col("period_h") - F.col(c))), 0.05 * (F.col("high") - F.col("low"))
+    edge = F.col("peak_h").isNotNull() & ((gap("high") < width) | (gap("low") < width))
+    off = (gap("peak_h") > 0.5) & (F.col("peak_power") >= 0.9 * F.col("power"))
+    a = each.groupBy("run_id").agg(F.count("*").alias("series"), F.count_if(edge).alias("at_edge"), F.count_if(off).alias("mismatches"))
+    tested = periods.groupBy("run_id").agg(F.min("period_h").alias("test_low"), F.max("period_h").alias("test_high"))
+    good = periods.where(F.col("best") & (F.col("p") < alpha)).join(tested, "run_id")
+    b = good.groupBy("run_id", "test_low", "test_high").agg(F.count("*").alias("significant"), F.count_if((F.col("period_h") == F.col("test_low")) | (F.col("period_h") == F.col("test_high"))).alias("cosinor_at_edge"), F.min("period_h").alias("least"), F.max("period_h").alias("most"))
+    many = F.col("significant") >= 3
+    hint = F.when(many & (F.col("most") > 12) & (F.col("test_high") < 24), "consider a test period of 24 h").when(many & (F.col("least") < 2) & (F.col("test_low") > 1), "consider test periods of 0.5 to 1 h")
+    out = a.join(b.withColumn("hint", hint), "run_id", "left").fillna(0, ["significant", "cosinor_at_edge"])
+    return out.select(
+        "run_id", "series", "at_edge", (F.col("at_edge") > 0.3 * F.col("series")).alias("edge_warning"), "mismatches", (F.col("mismatches") > 0).alias("mismatch_warning"),
+        "significant", "cosinor_at_edge", ((F.col("cosinor_at_edge") > 0.3 * F.col("significant")) & (F.col("significant") > 0)).alias("cosinor_warning"), "hint",
+    )
 
 
 def significance_summary(results: DataFrame) -> DataFrame:

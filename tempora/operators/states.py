@@ -127,11 +127,11 @@ def analyze(samples: DataFrame, method: str = "baseline", *, calibration: DataFr
 
     flat = (lambda jumps=True: segments.detrend(samples, segment, jumps)) if segment else (lambda jumps=True: preprocess.detrend(samples, jumps))
     if method == "baseline":
-        limits = thresholds.from_baseline(samples, options.pop("minutes", 200), **options)
+        limits = thresholds.from_baseline(samples, options.pop("minutes", 200), selected=bool(segment), **options)
         used = flat() if detrended else samples
     elif method == "adaptive":
         used = flat(False) if detrended else samples
-        limits = thresholds.adaptive(used, **options)
+        limits = thresholds.adaptive(used, selected=bool(segment), **options)
     elif method == "calibration":
         if calibration is None:
             raise ValueError("the calibration method needs a calibration recording")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempora.functions.fits import percentile, ratio
+from tempora.functions.selection import percentiles
 from tempora.sources.tables import KEYS
 
 
@@ -15,8 +16,10 @@ def run_summary(bins: DataFrame, limits: DataFrame) -> DataFrame:
     m = each.groupBy("run_id").agg(F.count("*").alias("series"), F.avg("m").alias("movement_percent"), F.avg("s").alias("sleep_percent"))
     b = limits.groupBy("run_id").agg(ratio(F.stddev_pop("baseline_mean"), F.avg("baseline_mean"), 0.0).alias("consistency"))
     c, v = F.col("consistency"), F.col("movement_percent")
-    label = F.when(c < 0.1, "excellent").when(c < 0.3, "good").otherwise("variable")
-    return m.join(b, "run_id").withColumns({"baseline_quality": label, "movement_quality": F.when((v > 0) & (v < 100), "plausible").otherwise("suspicious")})
+    # Fixed values.
+    label = F.when(c < 0.1, "Good baseline consistency").when(c < 0.3, "Moderate baseline consistency").otherwise("High baseline variability")
+    moved = F.when((v > 0) & (v < 100), "Reasonable movement levels").when(v == 0, "No movement detected").otherwise("High movement activity")
+    return m.join(b, "run_id").withColumns({"baseline_quality": label, "movement_quality": moved})
 
 
 def adaptive_summary(limits: DataFrame) -> DataFrame:
@@ -86,12 +89,22 @@ def method_totals(**bins: DataFrame) -> DataFrame:
     return out.groupBy("run_id", "method").agg(F.count("*").alias("series"), F.avg("m").alias("movement_percent"), F.avg("s").alias("sleep_percent"))
 
 
-def display_limits(samples: DataFrame, start: float, end: float, robust: bool = True, margin: float = 0.05) -> DataFrame:
-    """Axis limits of each series in a range: percentiles 5 and 95 or the extremes, a margin, and 0 at least; a flat series gets a band."""
-    low, high = (percentile("value", 0.05), percentile("value", 0.95)) if robust else (F.min("value"), F.max("value"))
-    m = samples.where(F.col("t").between(start, end)).groupBy(*KEYS).agg(low.alias("lo"), high.alias("hi"))
-    flat = F.col("hi") <= F.col("lo")
-    pad = F.when(flat, F.greatest(F.lit(0.1), F.abs("lo") * 0.1)).otherwise((F.col("hi") - F.col("lo")) * margin)
+def display_limits(samples: DataFrame, start: float, end: float, robust: bool = True, margin: float = 0.05, shared: bool = True, selected: bool = False) -> DataFrame:
+    """Axis limits of each series in a range: percentiles 5 and 95 or the extremes, with a margin of their distance.
+
+    A shared axis starts at 0 at least, and a flat series gets a tenth of its value, or 1 at 0, on either side; an axis of its own (shared=False) has neither.
+    selected=True finds the percentiles by refined histograms, for series that one task shouldn't hold.
+    """
+    rows = samples.where(F.col("t").between(start, end))
+    if robust and selected:
+        m = percentiles(rows, KEYS, "value", {"lo": 0.05, "hi": 0.95})
+    else:
+        low, high = (percentile("value", 0.05), percentile("value", 0.95)) if robust else (F.min("value"), F.max("value"))
+        m = rows.groupBy(*KEYS).agg(low.alias("lo"), high.alias("hi"))
+    flat, pad = F.col("hi") == F.col("lo"), (F.col("hi") - F.col("lo")) * margin
+    if not shared:
+        return m.select(*KEYS, (F.col("lo") - pad).alias("axis_min"), (F.col("hi") + pad).alias("axis_max"), flat.alias("flat"))
+    pad = F.when(flat & (F.col("hi") == 0), F.lit(1.0)).when(flat, F.abs("hi") * 0.1).otherwise(pad)
     return m.select(*KEYS, F.greatest(F.lit(0.0), F.col("lo") - pad).alias("axis_min"), (F.col("hi") + pad).alias("axis_max"), flat.alias("flat"))
 
 

@@ -6,19 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.functions.fits import percentile, ratio
+from tempora.functions.selection import percentiles
 from tempora.operators.preprocess import by_time
-from tempora.sources.tables import KEYS
+from tempora.sources.tables import KEYS, stored
 
 
-def from_baseline(samples: DataFrame, minutes: float, multiplier: float = 1.0, interval: float = 5.0, clamp: bool = False) -> DataFrame:
-    """Mean plus and minus multiplier deviations over the first minutes; too few samples give (0, 0, 0). clamp keeps lower at 0 at least."""
-    need = max(10, int(minutes * 60 / interval * 0.8))
-    first = F.min("t").over(Window.partitionBy(*KEYS))
-    span = samples.withColumn("_t0", first).where(F.col("t") < F.col("_t0") + minutes * 60)
-    m = span.groupBy(*KEYS).agg(
-        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("*").alias("n"),
-        percentile("value", 0.5).alias("mid"), percentile("value", 0.75).alias("high"), percentile("value", 0.25).alias("low"),
-    )
+def from_baseline(samples: DataFrame, minutes: float, multiplier: float = 1.0, interval: float = 5.0, clamp: bool = False, selected: bool = False) -> DataFrame:
+    """Mean plus and minus multiplier deviations over the first minutes; too few samples give (0, 0, 0). clamp keeps lower at 0 at least.
+
+    selected=True uses no window over a series and finds quartiles by refined histograms, for series that one task shouldn't hold.
+    """
+    need, quartiles = max(10, int(minutes * 60 / interval * 0.8)), {"mid": 0.5, "high": 0.75, "low": 0.25}
+    timed = samples.join(samples.groupBy(*KEYS).agg(F.min("t").alias("_t0")), list(KEYS)) if selected else samples.withColumn("_t0", F.min("t").over(Window.partitionBy(*KEYS)))
+    span = timed.where(F.col("t") < F.col("_t0") + minutes * 60)
+    span = stored(span) if selected else span
+    m = span.groupBy(*KEYS).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("*").alias("n"), *(percentile("value", p).alias(k) for k, p in quartiles.items() if not selected))
+    m = m.join(percentiles(span, KEYS, "value", quartiles), list(KEYS)) if selected else m
     sound = ~(F.isnan("mean") | F.isnan("std") | F.col("std").isNull())
     enough = F.col("n") >= need
     pick = lambda a, b: F.when(~enough, F.lit(0.0)).when(sound, a).otherwise(b)
@@ -29,17 +32,22 @@ def from_baseline(samples: DataFrame, minutes: float, multiplier: float = 1.0, i
     )
 
 
-def adaptive(samples: DataFrame, minutes: float = 15.0, multiplier: float = 2.5, interval: float = 5.0) -> DataFrame:
+def adaptive(samples: DataFrame, minutes: float = 15.0, multiplier: float = 2.5, interval: float = 5.0, selected: bool = False) -> DataFrame:
     """Thresholds whose base and width depend on noise, spread and outliers of the first time that so many frames take, or of a shorter series as a whole.
 
-    Series with fewer than 10 samples there get (0, 0, 0) and the status insufficient_analysis_data.
+    Series with fewer than 10 samples there get (0, 0, 0) and the status insufficient_analysis_data. selected=True finds the quartiles by refined
+    histograms, for series that one task shouldn't hold.
     """
     frames, each = int(minutes * 60 / interval), Window.partitionBy(*KEYS)
-    head = samples.withColumns({"_t0": F.min("t").over(each), "_n": F.count("*").over(each)}).where((F.col("t") < F.col("_t0") + frames * interval) | (F.lit(frames) >= F.col("_n")))
-    m = head.groupBy(*KEYS).agg(
-        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("*").alias("n"),
-        percentile("value", 0.25).alias("q1"), percentile("value", 0.5).alias("median"), percentile("value", 0.75).alias("q3"),
-    )
+    if selected:
+        sized = samples.join(samples.groupBy(*KEYS).agg(F.min("t").alias("_t0"), F.count("*").alias("_n")), list(KEYS))
+    else:
+        sized = samples.withColumns({"_t0": F.min("t").over(each), "_n": F.count("*").over(each)})
+    head = sized.where((F.col("t") < F.col("_t0") + frames * interval) | (F.lit(frames) >= F.col("_n")))
+    quartiles = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    head = stored(head) if selected else head
+    m = head.groupBy(*KEYS).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("*").alias("n"), *(percentile("value", p).alias(k) for k, p in quartiles.items() if not selected))
+    m = m.join(percentiles(head, KEYS, "value", quartiles), list(KEYS)) if selected else m
     iqr = F.col("q3") - F.col("q1")
     out = head.join(m, list(KEYS)).groupBy(*KEYS).agg((F.count_if((F.col("value") < F.col("q1") - 1.5 * iqr) | (F.col("value") > F.col("q3") + 1.5 * iqr)) * 100 / F.count("*")).alias("outliers"))
     m = m.join(out, list(KEYS))

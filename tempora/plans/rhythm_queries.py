@@ -99,13 +99,21 @@ def spectrum_sql(window: str, out: str = "sp") -> str:
 {out} AS (SELECT run_id, roi, n, size, k, size / k AS period_h, sum(x * cos(k * idx * (2 * pi() / size))) ** 2 + sum(x * sin(k * idx * (2 * pi() / size))) ** 2 AS power FROM {out}_k GROUP BY run_id, roi, n, size, k)"""
 
 
+def mixed(perm: str, idx: str, seed: int = 1) -> str:
+    """The 64-bit mix by which shuffles are ranked."""
+    x = f"CAST((CAST({perm} AS UHUGEINT) * 4294967296 + CAST({idx} AS UHUGEINT) + {seed * 0x9E3779B97F4A7C15}::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT)"
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = f"CAST((CAST(xor({x}, {x} >> {shift}) AS UHUGEINT) * {factor}::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT)"
+    return f"xor({x}, {x} >> 31)"
+
+
 SPECTRUM = R + "," + spectrum_sql("hann")
 BEST = SPECTRUM + f", sb AS (SELECT * FROM (SELECT *, row_number() OVER ({sql.P} ORDER BY power DESC, k) AS pos FROM sp) WHERE pos = 1)"
 PERMUTED = BEST + f"""
 , pw AS (SELECT r.run_id, r.roi, idx, power AS observed, {weight_sql("hann")} * cos(k * idx * (2 * pi() / size)) AS c, {weight_sql("hann")} * sin(k * idx * (2 * pi() / size)) AS s FROM r JOIN sb USING (run_id, roi)),
 pl AS (SELECT run_id, roi, regr_slope(c, idx) AS cs, regr_intercept(c, idx) AS ci, regr_slope(s, idx) AS ss, regr_intercept(s, idx) AS si FROM pw GROUP BY run_id, roi),
 pd AS (SELECT run_id, roi, idx, observed, c - (cs * idx + ci) AS c, s - (ss * idx + si) AS s FROM pw JOIN pl USING (run_id, roi)),
-pm AS (SELECT run_id, roi, perm, value, row_number() OVER ({sql.P}, perm ORDER BY md5(concat_ws(':', '1', CAST(perm AS VARCHAR), CAST(idx AS VARCHAR))), idx) - 1 AS idx FROM r, range(1, {SHUFFLES + 1}) AS q(perm)),
+pm AS (SELECT run_id, roi, perm, value, row_number() OVER ({sql.P}, perm ORDER BY {mixed("perm", "idx")}) - 1 AS idx FROM r, range(1, {SHUFFLES + 1}) AS q(perm)),
 ps AS (SELECT run_id, roi, perm, observed, sum(value * c) ** 2 + sum(value * s) ** 2 AS power FROM pm JOIN pd USING (run_id, roi, idx) GROUP BY run_id, roi, perm, observed),
 pp AS (SELECT run_id, roi, count(*) FILTER (WHERE power >= observed) / count(*) AS p, count(*) AS permutations FROM ps GROUP BY run_id, roi)"""
 PEAKS = SPECTRUM + f"""
@@ -143,11 +151,41 @@ def _(spark, d):
     return rhythm.spectral_peaks(power(spark, d))
 
 
-@query("g10_fourier_summary", f"{KEY} n:int period_h:6 power:2 p:6 peaks:int significant", PERMUTED + PEAKS[len(SPECTRUM):] + ", pn AS (SELECT run_id, roi, count(*) AS peaks FROM pe GROUP BY run_id, roi) SELECT run_id, roi, n, period_h, power, p, coalesce(peaks, 0) AS peaks, p < 0.05 AS significant FROM sb JOIN pp USING (run_id, roi) LEFT JOIN pn USING (run_id, roi)")
+def fourier_sql(start: str, shuffles: int = SHUFFLES, low: float = LOW, high: float = HIGH) -> str:
+    """start: CTEs s and r of all series. Series of fewer than 10 samples have no spectrum, as rq leaves them out."""
+    rest = (PERMUTED + PEAKS[len(SPECTRUM):])[len(R):].replace(f"range(1, {SHUFFLES + 1})", f"range(1, {shuffles + 1})").replace(f"size / {HIGH})", f"size / {high})").replace(f"size / {LOW})", f"size / {low})").replace("FROM r)", "FROM rq)").replace("FROM r ", "FROM rq ").replace("FROM r,", "FROM rq,")
+    rest = rest.replace("r.run_id", "rq.run_id").replace("r.roi", "rq.roi")
+    return start + ", cn AS (SELECT run_id, roi, count(*) AS samples FROM s GROUP BY run_id, roi), rq AS (SELECT r.* FROM r JOIN cn USING (run_id, roi) WHERE samples >= 10)" + rest + """
+, pn AS (SELECT run_id, roi, count(*) AS peaks FROM pe GROUP BY run_id, roi), bs AS (SELECT run_id, roi, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std FROM r GROUP BY run_id, roi),
+fo AS (SELECT run_id, roi, samples, bs.n, mean, std, sb.period_h, sb.power, p, CASE WHEN sb.power IS NOT NULL THEN coalesce(peaks, 0) END AS peaks, coalesce(p < 0.05, false) AS significant,
+    CASE WHEN samples < 10 OR bs.n < 10 THEN 'too few samples' WHEN sb.power IS NULL THEN 'no period in range' END AS error FROM cn JOIN bs USING (run_id, roi) LEFT JOIN sb USING (run_id, roi) LEFT JOIN pp USING (run_id, roi) LEFT JOIN pn USING (run_id, roi))"""
+
+
+FOURIER = f"{KEY} samples:int n:int mean:4 std:4 period_h:6 power:2 p:6 peaks:int significant error"
+#: Runs of five days of each user: some of too few samples, and by the narrow range some without a bin in it.
+SHORT_RUN, NARROW = "CAST(CAST(floor((epoch_us(ts) / 1e6 - 1704067200) / 432000) AS BIGINT) AS VARCHAR)", (30, 31)
+SHORT_RUNS = with_(sql.samples("user_id", run=SHORT_RUN), sql.resampled("s", "r", HOUR))
+
+
+def short_runs(spark, d) -> DataFrame:
+    return tables.event_samples(spark, d, "user_id", run=f"cast(cast(floor((unix_micros(cast(ts AS timestamp)) / 1e6 - {tables.START}) / 432000) AS bigint) AS string)")
+
+
+@query("g10_fourier_summary", FOURIER, fourier_sql(R) + " SELECT * FROM fo")
 def _(spark, d):
     return rhythm.fourier_summary(events(spark, d), HOUR, LOW, HIGH, SHUFFLES)
 
 
+@query("g10_short_series", FOURIER, fourier_sql(SHORT_RUNS, 20, *NARROW) + " SELECT * FROM fo")
+def _(spark, d):
+    return rhythm.fourier_summary(short_runs(spark, d), HOUR, *NARROW, 20)
+
+
+@query("g17_fourier_significance", "run_id series:int significant:int percent:4", fourier_sql(SHORT_RUNS, 20) + " SELECT run_id, count(*) AS series, count(*) FILTER (WHERE significant) AS significant, count(*) FILTER (WHERE significant) * 100.0 / count(*) AS percent FROM fo GROUP BY run_id")
+def _(spark, d):
+    return rhythm.significance_summary(rhythm.fourier_summary(short_runs(spark, d), HOUR, LOW, HIGH, 20))
+
+
 @query("g11_method_agreement", "run_id compared:int agree:int agree_percent:4 mean_gap:5 std_gap:5", BEST + FISHER[len(R):] + ", ag AS (SELECT run_id, abs(fb.period_h - sb.period_h) AS gap FROM fb JOIN sb USING (run_id, roi)) SELECT run_id, count(*) AS compared, count(*) FILTER (WHERE gap < 2) AS agree, count(*) FILTER (WHERE gap < 2) * 100.0 / count(*) AS agree_percent, avg(gap) AS mean_gap, stddev_pop(gap) AS std_gap FROM ag GROUP BY run_id")
 def _(spark, d):
     return rhythm.method_agreement(rhythm.dominant_period(fisher(spark, d)), rhythm.spectrum_best(power(spark, d)))
@@ -159,28 +197,40 @@ PERIODS = rhythm.period_choice(LOW, HIGH)
 def cosinor_sql(out: str) -> str:
     """From the fit ft of each run, roi, period_h."""
     det = "(m00 * (m11 * m22 - m12 * m12) - m01 * (m01 * m22 - m12 * m02) + m02 * (m01 * m12 - m11 * m02))"
-    z = 1.959963984540054
-    g = ((z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384)
     return f"""
 {out}_a AS (SELECT *, c AS mesor, a AS beta, b AS gamma, atan2(-b, a) AS acrophase, yy - y2 * y2 / n AS tss, yy - a * y0 - b * y1 - c * y2 AS rss, {det} AS det FROM ft),
 {out}_b AS (SELECT *, ((tss - rss) / 2) / nullif(rss / (n - 3), 0) AS f, 1 - coalesce(rss / nullif(tss, 0), 1) AS r2, rss / (n - 3) * (m11 * m22 - m12 * m12) / det AS vbb, rss / (n - 3) * (m00 * m22 - m02 * m02) / det AS vgg,
     rss / (n - 3) * (m02 * m12 - m01 * m22) / det AS vbg, rss / (n - 3) * (m00 * m11 - m01 * m01) / det AS vmm FROM {out}_a),
 {out}_c AS (SELECT *, sqrt(vmm) AS se_mesor, sqrt((beta * beta * vbb + 2 * beta * gamma * vbg + gamma * gamma * vgg) / nullif(amplitude ** 2, 0)) AS se_amplitude,
     sqrt((gamma * gamma * vbb - 2 * beta * gamma * vbg + beta * beta * vgg) / nullif(amplitude ** 4, 0)) AS se_acrophase FROM {out}_b),
-{out} AS (SELECT *, pow(1 + 2 * f / (n - 3), -(n - 3) / 2.0) AS p, (-acrophase * period_h / (2 * pi())) - period_h * floor((-acrophase * period_h / (2 * pi())) / period_h) AS peak_h,
-    ({z} + {g[0]} / (n - 3) + {g[1]} / ((n - 3) * (n - 3)) + {g[2]} / ((n - 3) * (n - 3) * (n - 3))) * se_amplitude AS amplitude_half_width FROM {out}_c)"""
+{out} AS (SELECT *, pow(1 + 2 * f / (n - 3), -(n - 3) / 2.0) AS p, (-acrophase * period_h / (2 * pi())) - period_h * floor((-acrophase * period_h / (2 * pi())) / period_h) AS peak_h FROM {out}_c)"""
+
 
+#: For each n of co the t that 0.975 lies below at n - 3 degrees of freedom, by halving on the finite sums that give its distribution there.
+T_QUANTILE = """
+, tn AS (SELECT DISTINCT n, CAST(n - 3 AS DOUBLE) AS df FROM co),
+tq(n, df, lo, hi, i) AS (SELECT n, df, 0.0::DOUBLE, 1000.0::DOUBLE, 0 FROM tn UNION ALL SELECT n, df, CASE WHEN share < 0.95 THEN mid ELSE lo END, CASE WHEN share < 0.95 THEN hi ELSE mid END, i + 1 FROM
+    (SELECT *, CASE WHEN df % 2 = 1 THEN 2 / pi() * (a + sin(a) * coalesce(list_sum(list_transform(range(0, CAST((df - 1) // 2 AS BIGINT)), lambda k: exp(lgamma(k + 1.0) + lgamma(1.5) - lgamma(k + 1.5)) * pow(cos(a), 2 * k + 1))), 0))
+        ELSE sin(a) * list_sum(list_transform(range(0, CAST(df // 2 AS BIGINT)), lambda k: exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1.0)) * pow(cos(a), 2 * k))) END AS share FROM
+    (SELECT *, (lo + hi) / 2 AS mid, atan((lo + hi) / 2 / sqrt(df)) AS a FROM tq WHERE i < 60))),
+tv AS (SELECT n, lo AS t FROM tq WHERE i = 60), cw AS (SELECT co.*, t * se_amplitude AS amplitude_half_width, t * se_acrophase AS acrophase_half_width FROM co LEFT JOIN tv USING (n))"""
 
-COSINOR_COLUMNS = f"{KEY} n:int period_h:4 mesor:5 beta:5 gamma:5 amplitude:5 acrophase:4 peak_h:3 f:4 p:5 r2:6 se_mesor:5 se_amplitude:5 se_acrophase:4 amplitude_half_width:4"
+
+COSINOR_COLUMNS = f"{KEY} n:int period_h:4 mesor:5 beta:5 gamma:5 amplitude:5 acrophase:4 peak_h:3 f:4 p:5 r2:6 se_mesor:5 se_amplitude:5 se_acrophase:4 amplitude_half_width:4 acrophase_half_width:4"
 COSINOR24 = R + "," + sql.sinusoid("r", "ft", 1.0, "24") + "," + cosinor_sql("co")
 MANY = R + f", rm AS (SELECT r.*, tp FROM r, (SELECT unnest({PERIODS}) AS tp))," + sql.sinusoid("rm", "ft", 1.0, "tp") + "," + cosinor_sql("co") + f", cb AS (SELECT *, row_number() OVER ({sql.P} ORDER BY r2 DESC, period_h) = 1 AS best FROM co)"
 
 
-@query("g12_cosinor", COSINOR_COLUMNS, COSINOR24 + " SELECT * FROM co")
+@query("g12_cosinor", COSINOR_COLUMNS, COSINOR24.replace("WITH ", "WITH RECURSIVE ", 1) + T_QUANTILE + " SELECT * FROM cw")
 def _(spark, d):
     return rhythm.cosinor(regular(spark, d), HOUR, 24.0)
 
 
+@query("g12_short_series", f"{KEY} n:int amplitude:4 amplitude_half_width:4 acrophase_half_width:4", SHORT_RUNS.replace("WITH ", "WITH RECURSIVE ", 1) + ", rs AS (SELECT * FROM r WHERE idx < 5 + roi % 6)," + sql.sinusoid("rs", "fs", 1.0, "5") + ", ft AS (SELECT * FROM fs WHERE n > 4)," + cosinor_sql("co") + T_QUANTILE + " SELECT * FROM cw WHERE amplitude > 0.001")
+def _(spark, d):
+    return rhythm.cosinor(binning.resample(short_runs(spark, d), HOUR).where("idx < 5 + roi % 6"), HOUR, 5.0).where("n > 4 AND amplitude > 0.001")
+
+
 @query("g13_cosinor_periods", f"{KEY} period_h:4 amplitude:5 r2:6 best", MANY + " SELECT * FROM cb")
 def _(spark, d):
     return rhythm.cosinor_periods(regular(spark, d), HOUR, PERIODS)
@@ -201,11 +251,21 @@ def _(spark, d):
     return rhythm.population_cosinor(regular(spark, d), HOUR, PERIODS)
 
 
-@query("g16_boundary_diagnostics", "run_id series:int at_edge:int edge_warning significant:int cosinor_at_edge:int cosinor_warning hint", BEST + MANY[len(R):] + """
-, a AS (SELECT run_id, count(*) AS series, count(*) FILTER (WHERE abs(period_h - 12) <= 0.6 OR abs(period_h - 36) <= 1.8) AS at_edge FROM sb GROUP BY run_id), b AS (SELECT run_id, count(*) AS significant, count(*) FILTER (WHERE period_h IN (12, 36)) AS cosinor_at_edge FROM cb WHERE best AND p < 0.5 GROUP BY run_id)
-SELECT run_id, series, at_edge, at_edge / series > 0.3 AS edge_warning, coalesce(significant, 0) AS significant, coalesce(cosinor_at_edge, 0) AS cosinor_at_edge, coalesce(cosinor_at_edge / significant > 0.3, false) AS cosinor_warning, 'wide range' AS hint FROM a LEFT JOIN b USING (run_id)""")
+#: Runs of a quarter of the users each.
+QUARTERS = with_(sql.samples(run="CAST(user_id % 4 AS VARCHAR)"), sql.resampled("s", "r", HOUR))
+
+
+@query("g16_boundary_diagnostics", "run_id series:int at_edge:int edge_warning mismatches:int mismatch_warning significant:int cosinor_at_edge:int cosinor_warning hint", QUARTERS + (BEST + PEAKS[len(SPECTRUM):] + MANY[len(R):])[len(R):] + """
+, en AS (SELECT run_id, roi, min(period_h) AS lo, max(period_h) AS hi FROM sp GROUP BY run_id, roi),
+ea AS (SELECT sb.run_id, sb.roi, pe.power IS NOT NULL AND (abs(sb.period_h - hi) < 0.05 * (hi - lo) OR abs(sb.period_h - lo) < 0.05 * (hi - lo)) AS edge, abs(pe.period_h - sb.period_h) > 0.5 AND pe.power >= 0.9 * sb.power AS off FROM sb JOIN en USING (run_id, roi) LEFT JOIN (SELECT * FROM pe WHERE rank = 1) AS pe ON sb.run_id = pe.run_id AND sb.roi = pe.roi),
+a AS (SELECT run_id, count(*) AS series, count(*) FILTER (WHERE edge) AS at_edge, count(*) FILTER (WHERE off) AS mismatches FROM ea GROUP BY run_id),
+tt AS (SELECT run_id, min(period_h) AS tl, max(period_h) AS th FROM cb GROUP BY run_id),
+b AS (SELECT run_id, count(*) AS significant, count(*) FILTER (WHERE period_h IN (tl, th)) AS cosinor_at_edge, min(period_h) AS least, max(period_h) AS most, min(tl) AS tl, max(th) AS th FROM cb JOIN tt USING (run_id) WHERE best AND p < 0.5 GROUP BY run_id)
+SELECT run_id, series, at_edge, at_edge > 0.3 * series AS edge_warning, mismatches, mismatches > 0 AS mismatch_warning, coalesce(significant, 0) AS significant, coalesce(cosinor_at_edge, 0) AS cosinor_at_edge, coalesce(cosinor_at_edge > 0.3 * significant AND significant > 0, false) AS cosinor_warning,
+CASE WHEN significant >= 3 AND most > 12 AND th < 24 THEN 'consider a test period of 24 h' WHEN significant >= 3 AND least < 2 AND tl > 1 THEN 'consider test periods of 0.5 to 1 h' END AS hint FROM a LEFT JOIN b USING (run_id)""")
 def _(spark, d):
-    return rhythm.boundary_diagnostics(rhythm.spectrum_best(power(spark, d)), rhythm.cosinor_periods(regular(spark, d), HOUR, PERIODS), LOW, HIGH, 0.5)
+    r = binning.resample(tables.event_samples(spark, d, run="cast(user_id % 4 AS string)"), HOUR)
+    return rhythm.boundary_diagnostics(rhythm.spectrum(r, HOUR, LOW, HIGH), rhythm.cosinor_periods(r, HOUR, PERIODS), 0.5)
 
 
 @query("g17_significance_summary", "run_id series:int significant:int percent:4", FISHER + " SELECT run_id, count(*) AS series, count(*) FILTER (WHERE exp(-z / 2) < 0.05) AS significant, count(*) FILTER (WHERE exp(-z / 2) < 0.05) * 100.0 / count(*) AS percent FROM fb GROUP BY run_id")
@@ -226,7 +286,7 @@ def _(spark, d):
     return rhythm.rhythm(events(spark, d), "fisher", HOUR, LOW, HIGH)
 
 
-@query("g18_dispatch_fourier", f"{KEY} n:int period_h:6 power:2 peaks:int", PEAKS + f", sb AS (SELECT * FROM (SELECT *, row_number() OVER ({sql.P} ORDER BY power DESC, k) AS pos FROM sp) WHERE pos = 1), pn AS (SELECT run_id, roi, count(*) AS peaks FROM pe GROUP BY run_id, roi) SELECT run_id, roi, n, period_h, power, coalesce(peaks, 0) AS peaks FROM sb LEFT JOIN pn USING (run_id, roi)")
+@query("g18_dispatch_fourier", FOURIER, fourier_sql(R, 20) + " SELECT * FROM fo")
 def _(spark, d):
     return rhythm.rhythm(events(spark, d), "fourier", HOUR, LOW, HIGH, permutations=20)
 
@@ -382,11 +442,43 @@ def _(spark, d):
     return pairs.pair_status(correlations(spark, d))
 
 
-@query("h13_similarity_summary", f"{PAIR} correlation:6 rank:int pairs:int similar_pairs:int", CROSS + " SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY correlation DESC, roi1, roi2) AS rank, count(*) OVER (PARTITION BY run_id) AS pairs, count(*) FILTER (WHERE \"similar\") OVER (PARTITION BY run_id) AS similar_pairs FROM cc) WHERE rank <= 5")
+#: Series with a day's swing in three types, one of them three hours late, so that some pairs are similar and some of these at once.
+SWING = "value + CASE WHEN roi IN ('click', 'view') THEN 300 * sin(idx * 2 * pi() / 24) WHEN roi = 'signup' THEN 300 * sin((idx - 3) * 2 * pi() / 24) ELSE 0 END"
+SWUNG = with_(S, sql.resampled("s", "rr", HOUR), f"r AS (SELECT run_id, roi, idx, t, {SWING} AS value FROM rr)") + CROSS[len(R):]
+LINKED = SWUNG + """, ed AS (SELECT run_id, roi1 AS a, roi2 AS b FROM cc WHERE correlation >= 0.5 UNION SELECT run_id, roi2, roi1 FROM cc WHERE correlation >= 0.5 UNION SELECT DISTINCT run_id, roi, roi FROM r)"""
+
+
+def swung(spark, d) -> DataFrame:
+    return pairs.correlation(regular(spark, d).withColumn("value", F.expr(SWING)), HOUR, LAG)
+
+
+@query("h13_similarity_summary", "run_id pairs:int similar_pairs:int synchronized_pairs:int rank:int roi1 roi2 correlation:6 lag_h:3 synchronized", SWUNG + """
+, si AS (SELECT *, abs(lag_h) < 1 AS synchronized, row_number() OVER (PARTITION BY run_id ORDER BY correlation DESC, roi1, roi2) AS rank FROM cc WHERE correlation >= 0.7), n AS (SELECT run_id, count(*) AS pairs FROM cc GROUP BY run_id),
+m AS (SELECT run_id, count(*) AS similar_pairs, count(*) FILTER (WHERE synchronized) AS synchronized_pairs FROM si GROUP BY run_id)
+SELECT run_id, pairs, coalesce(similar_pairs, 0) AS similar_pairs, coalesce(synchronized_pairs, 0) AS synchronized_pairs, rank, roi1, roi2, correlation, lag_h, synchronized FROM n LEFT JOIN m USING (run_id) LEFT JOIN (SELECT * FROM si WHERE rank <= 5) USING (run_id)""")
+def _(spark, d):
+    return pairs.similarity_summary(swung(spark, d))
+
+
+@query("h13_no_similar_pairs", "run_id pairs:int similar_pairs:int rank:int", CROSS + " SELECT run_id, count(*) AS pairs, 0 AS similar_pairs, CAST(NULL AS BIGINT) AS rank FROM cc GROUP BY run_id")
 def _(spark, d):
     return pairs.similarity_summary(correlations(spark, d))
 
 
+@query("h4_single_linkage", f"{KEY} cluster:int size:int", LINKED.replace("WITH ", "WITH RECURSIVE ", 1) + """
+, reach(run_id, a, b) AS (SELECT run_id, a, b FROM ed UNION SELECT p.run_id, p.a, e.b FROM reach AS p JOIN ed AS e ON p.run_id = e.run_id AND p.b = e.a), ro AS (SELECT run_id, a AS roi, min(b) AS root FROM reach GROUP BY run_id, a)
+SELECT run_id, roi, dense_rank() OVER (PARTITION BY run_id ORDER BY root) AS cluster, count(*) OVER (PARTITION BY run_id, root) AS size FROM ro""")
+def _(spark, d):
+    return pairs.clusters(swung(spark, d), "single", 0.5)
+
+
+@query("h13_cluster_summary", "run_id cluster:int size:int rois", LINKED.replace("WITH ", "WITH RECURSIVE ", 1) + """
+, reach(run_id, a, b) AS (SELECT run_id, a, b FROM ed UNION SELECT p.run_id, p.a, e.b FROM reach AS p JOIN ed AS e ON p.run_id = e.run_id AND p.b = e.a), ro AS (SELECT run_id, a AS roi, min(b) AS root FROM reach GROUP BY run_id, a),
+cn AS (SELECT *, dense_rank() OVER (PARTITION BY run_id ORDER BY root) AS cluster FROM ro) SELECT run_id, cluster, count(*) AS size, string_agg(roi, ',' ORDER BY roi) AS rois FROM cn GROUP BY run_id, cluster""")
+def _(spark, d):
+    return pairs.cluster_summary(pairs.clusters(swung(spark, d), "single", 0.5))
+
+
 @query("g18_dispatch_similarity", f"{PAIR} n:int correlation:6 lag_h:3", CROSS.replace(f"range(-{LAG}, {LAG + 1})", f"range(-{HIGH // 2}, {HIGH // 2 + 1})") + " SELECT * FROM cc")
 def _(spark, d):
     return rhythm.rhythm(events(spark, d), "similarity", HOUR, LOW, HIGH)

@@ -58,13 +58,28 @@ def _(spark, d):
     return preprocess.validate_intervals(users(spark, d), 38_000)
 
 
-@query("c2_timing_correction", f"{KEY} actual:4 corrected interval:4 baseline_minutes:4 bin_size:int", with_(S) + f"""
+#: Series whose median intervals lie on either side of 7 s and a second.
+SCALED = U.replace("AS t,", "* 7 / 27000 AS t,").replace("epoch_us(ts) / 1e6 - 1704067200", "(epoch_us(ts) / 1e6 - 1704067200)")
+TIMES = with_(SCALED) + f"""
 , g AS (SELECT * FROM (SELECT *, row_number() OVER ({sql.T}) AS i, lead(t) OVER ({sql.T}) - t AS gap FROM s) WHERE i <= 19 AND gap IS NOT NULL),
-m AS (SELECT run_id, roi, quantile_cont(gap, 0.5) AS actual FROM g GROUP BY run_id, roi)
-SELECT run_id, roi, actual, abs(actual - 5) > 0.5 AS corrected, CASE WHEN abs(actual - 5) > 0.5 THEN actual ELSE 5 END AS interval, CASE WHEN abs(actual - 5) > 0.5 THEN 200.0 / 5 * actual ELSE 200 END AS baseline_minutes,
-CASE WHEN abs(actual - 5) > 0.5 THEN CAST(trunc(greatest(1, round_even(3600 / actual, 0)) * actual) AS BIGINT) ELSE 3600 END AS bin_size FROM m""")
+m AS (SELECT run_id, roi, quantile_cont(gap, 0.5) AS actual FROM g GROUP BY run_id, roi)"""
+
+
+def timing_sql(interval: float, minutes: float, bin_size: int) -> str:
+    off = f"abs(actual - {interval}) > greatest(1, 0.1 * {interval})"
+    return TIMES + f"""
+SELECT run_id, roi, actual, {off} AS corrected, CASE WHEN {off} THEN actual ELSE {interval} END AS interval, CASE WHEN {off} THEN trunc({minutes} * 60 / {interval}) * actual / 60 ELSE {minutes} END AS baseline_minutes,
+CASE WHEN {off} THEN CAST(trunc(greatest(1, round_even({bin_size} / actual, 0)) * actual) AS BIGINT) ELSE {bin_size} END AS bin_size FROM m"""
+
+
+@query("c2_timing_correction", f"{KEY} actual:4 corrected interval:4 baseline_minutes:4 bin_size:int", timing_sql(7.0, 200.0, 60))
 def _(spark, d):
-    return preprocess.timing_correction(events(spark, d), 5, 200, 3600)
+    return preprocess.timing_correction(users(spark, d).withColumn("t", F.col("t") * 7 / 27000), 7, 200, 60)
+
+
+@query("c2_wide_tolerance", f"{KEY} actual:4 corrected interval:4 baseline_minutes:4 bin_size:int", timing_sql(13.0, 100.0, 60))
+def _(spark, d):
+    return preprocess.timing_correction(users(spark, d).withColumn("t", F.col("t") * 7 / 27000), 13, 100, 60)
 
 
 @query("c3_subtract_minimum", f"{KEY} tie:int t:3 value:6", with_(S) + f" SELECT run_id, roi, tie, t, value - min(value) OVER ({sql.P}) AS value FROM s")
@@ -276,8 +291,8 @@ def by_baseline(spark, d, **more):
     return states.analyze(events(spark, d), "baseline", minutes=MINUTES, multiplier=MULTIPLIER, interval=INTERVAL, bin_size=BIN, sleep_minutes=SLEEP, **more)
 
 
-def by_adaptive(spark, d):
-    return states.analyze(events(spark, d), "adaptive", minutes=ADAPTIVE_MINUTES, multiplier=1.0, interval=INTERVAL, bin_size=BIN, sleep_minutes=SLEEP)
+def by_adaptive(spark, d, **more):
+    return states.analyze(events(spark, d), "adaptive", minutes=ADAPTIVE_MINUTES, multiplier=1.0, interval=INTERVAL, bin_size=BIN, sleep_minutes=SLEEP, **more)
 
 
 def by_calibration(spark, d):
@@ -358,6 +373,11 @@ def _(spark, d):
     return segments.movement_fraction(segments.hysteresis(events(spark, d), limits(spark, d), SHORT), BIN, SHORT)
 
 
+@query("e10_adaptive_segmented", BIN_COLUMNS, E10 + " SELECT * FROM z")
+def _(spark, d):
+    return by_adaptive(spark, d, segment=DAY)["bins"]
+
+
 @query("e9_baseline_segmented", BIN_COLUMNS, E9 + " SELECT * FROM z")
 def _(spark, d):
     return by_baseline(spark, d, segment=DAY)["bins"]
@@ -485,11 +505,22 @@ def _(spark, d):
 EACH = ", each AS (SELECT run_id, roi, avg(fraction) * 100 AS m, avg(sleep) * 100 AS p FROM z GROUP BY run_id, roi)"
 
 
-@query("j1_run_summary", "run_id series:int movement_percent:4 sleep_percent:4 consistency:6 baseline_quality movement_quality", SLEPT + EACH + """
+#: Runs by the users' remainders: in the first two nothing moves or all does, in the third baselines are even.
+LEVEL = "CASE run_id WHEN '0' THEN 10.0 WHEN '1' THEN value + 1000 WHEN '2' THEN 50 + value / 1000 ELSE value END"
+FEW = "SELECT run_id, roi, avg(value) AS baseline_mean, CASE run_id WHEN '1' THEN 5.0 ELSE avg(value) + 0.5 * stddev_pop(value) END AS upper, CASE run_id WHEN '1' THEN 1.0 ELSE avg(value) - 0.5 * stddev_pop(value) END AS lower"
+LEVELS = with_(sql.samples(run="CAST(user_id % 4 AS VARCHAR)").replace("s AS", "s0 AS", 1), f"s AS (SELECT run_id, roi, t, {LEVEL} AS value, tie FROM s0)", f"b AS ({FEW} FROM s GROUP BY run_id, roi)", sql.hysteresis("s", "b", "h")) + "," + sql.fractions("h", "f", BIN) + "," + sql.slept("f", "z", SLEEP * 60 // BIN)
+
+
+@query("j1_run_summary", "run_id series:int movement_percent:4 sleep_percent:4 consistency:6 baseline_quality movement_quality", LEVELS + EACH + """
 , c AS (SELECT run_id, coalesce(stddev_pop(baseline_mean) / nullif(avg(baseline_mean), 0), 0) AS consistency FROM b GROUP BY run_id), a AS (SELECT run_id, count(*) AS series, avg(m) AS movement_percent, avg(p) AS sleep_percent FROM each GROUP BY run_id)
-SELECT *, CASE WHEN consistency < 0.1 THEN 'excellent' WHEN consistency < 0.3 THEN 'good' ELSE 'variable' END AS baseline_quality, CASE WHEN movement_percent > 0 AND movement_percent < 100 THEN 'plausible' ELSE 'suspicious' END AS movement_quality FROM a JOIN c USING (run_id)""")
+SELECT *, CASE WHEN consistency < 0.1 THEN 'Good baseline consistency' WHEN consistency < 0.3 THEN 'Moderate baseline consistency' ELSE 'High baseline variability' END AS baseline_quality,
+CASE WHEN movement_percent > 0 AND movement_percent < 100 THEN 'Reasonable movement levels' WHEN movement_percent = 0 THEN 'No movement detected' ELSE 'High movement activity' END AS movement_quality FROM a JOIN c USING (run_id)""")
 def _(spark, d):
-    return summary.run_summary(slept(spark, d), limits(spark, d))
+    e = tables.event_samples(spark, d, run="cast(user_id % 4 AS string)").withColumn("value", F.expr(LEVEL))
+    known = F.col("run_id") == "1"
+    m = e.groupBy("run_id", "roi").agg(F.avg("value").alias("baseline_mean"), F.stddev_pop("value").alias("std"))
+    given = m.select("run_id", "roi", "baseline_mean", F.when(known, 5.0).otherwise(F.expr("baseline_mean + 0.5 * std")).alias("upper"), F.when(known, 1.0).otherwise(F.expr("baseline_mean - 0.5 * std")).alias("lower"))
+    return summary.run_summary(states.behaviour(e, given, BIN, sleep_minutes=SLEEP), given)
 
 
 STATS = [f"{f}({c}) AS {c}_{n}" for c in ("snr", "cv", "multiplier") for n, f in (("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max"))]
@@ -570,11 +601,32 @@ def _(spark, d):
     return summary.method_totals(baseline=slept(spark, d), calibration=by_calibration(spark, d)["bins"])
 
 
-@query("j7_display_limits", f"{KEY} axis_min:8 axis_max:8 flat", with_(U) + """
-, m AS (SELECT run_id, roi, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM s WHERE t BETWEEN 432000 AND 1296000 GROUP BY run_id, roi), p AS (SELECT *, hi <= lo AS flat, CASE WHEN hi <= lo THEN greatest(0.1, abs(lo) * 0.1) ELSE (hi - lo) * 0.05 END AS pad FROM m)
-SELECT run_id, roi, greatest(0, lo - pad) AS axis_min, hi + pad AS axis_max, flat FROM p""")
+#: Some users' values are flat, some of these at 0.
+FLAT = "CASE WHEN roi % 5 = 0 THEN 0 WHEN roi % 5 = 1 THEN 50 WHEN roi % 5 = 2 THEN -20 ELSE value END"
+SHOWN = with_(U.replace("s AS", "s0 AS", 1), f"s AS (SELECT run_id, roi, t, tie, {FLAT} AS value FROM s0)") + """
+, m AS (SELECT run_id, roi, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM s WHERE t BETWEEN 432000 AND 1296000 GROUP BY run_id, roi)"""
+SHARED = SHOWN + """
+, p AS (SELECT *, hi = lo AS flat, CASE WHEN hi = lo AND hi = 0 THEN 1 WHEN hi = lo THEN abs(hi) * 0.1 ELSE (hi - lo) * 0.05 END AS pad FROM m)
+SELECT run_id, roi, greatest(0, lo - pad) AS axis_min, hi + pad AS axis_max, flat FROM p"""
+
+
+def shown(spark: SparkSession, d: str) -> DataFrame:
+    return users(spark, d).withColumn("value", F.expr(FLAT).cast("double"))
+
+
+@query("j7_display_limits", f"{KEY} axis_min:8 axis_max:8 flat", SHARED)
+def _(spark, d):
+    return summary.display_limits(shown(spark, d), 432_000, 1_296_000)
+
+
+@query("j7_selected_limits", f"{KEY} axis_min:8 axis_max:8 flat", SHARED)
+def _(spark, d):
+    return summary.display_limits(shown(spark, d), 432_000, 1_296_000, selected=True)
+
+
+@query("j7_own_axis_limits", f"{KEY} axis_min:8 axis_max:8 flat", SHOWN + " SELECT run_id, roi, lo - (hi - lo) * 0.05 AS axis_min, hi + (hi - lo) * 0.05 AS axis_max, hi = lo AS flat FROM m")
 def _(spark, d):
-    return summary.display_limits(users(spark, d), 432_000, 1_296_000)
+    return summary.display_limits(shown(spark, d), 432_000, 1_296_000, shared=False)
 
 
 @query("j8_baseline_visible", f"{KEY} baseline_mean:6 visible", with_(S, LIMITS) + ", m AS (SELECT run_id, roi, min(value) AS lo, max(value) AS hi FROM s WHERE t BETWEEN 432000 AND 1296000 GROUP BY run_id, roi) SELECT run_id, roi, baseline_mean, baseline_mean BETWEEN lo AND hi AS visible FROM m JOIN b USING (run_id, roi)")
