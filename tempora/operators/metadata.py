@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,37 +41,46 @@ DESCRIPTIONS = {
 }
 
 
-def nesting(documents: DataFrame, column: str) -> int:
-    """How deep the objects of a column of JSON documents are nested at most: strings go, and of the rest only braces count."""
-    braces = F.regexp_replace(F.regexp_replace(column, r'"(\\.|[^"\\])*"', ""), "[^{}]", "")
-    deep = F.aggregate(F.split(braces, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), _deeper, lambda x: x["most"])
-    return documents.where(F.try_parse_json(column).isNotNull()).agg(F.max(deep)).first()[0] or 0
+def _numbers_of(text: str) -> dict[str, float]:
+    """Names and values of the numbers in a JSON object, by a stack of open objects; none of text that isn't one. The last of one name counts."""
+    try:
+        found = json.loads(text)
+    except (ValueError, RecursionError):
+        return {}
+    out, open_ = {}, [("", iter(found.items()))] if isinstance(found, dict) else []
+    while open_:
+        parent, items = open_[-1]
+        for key, value in items:
+            if isinstance(value, dict):
+                open_.append((key, iter(value.items())))
+                break
+            if isinstance(value, (int, float)) and not isinstance(value, bool):
+                with contextlib.suppress(OverflowError):
+                    out[key if not parent or parent in BARE_PARENTS else f"{parent}_{key}"] = float(value)
+        else:
+            open_.pop()
+    return out
 
 
-def _deeper(x: Column, brace: Column) -> Column:
-    now = x["now"] + F.when(brace == "{", 1).when(brace == "}", -1).otherwise(0)
-    return F.struct(now.alias("now"), F.greatest(x["most"], now).alias("most"))
+def numeric_attributes(frames: DataFrame, column: str = "attrs") -> DataFrame:
+    """run_id, frame_idx, param, value of the numbers in nested JSON of any depth; keys get their parent's name before them. Bad JSON, text, lists and booleans are left out.
 
+    A document is walked once, in Arrow batches; nothing of it is a row but its numbers. Of a name that stands twice in a document (in two objects of one name) the last counts.
+    """
+    kind = frames.schema["frame_idx"].dataType.simpleString()
 
-def numeric_attributes(frames: DataFrame, column: str = "attrs", depth: int | None = None) -> DataFrame:
-    """run_id, frame_idx, param, value of the numbers in nested JSON; keys get their parent's name before them. Bad JSON, text, lists and booleans are left out.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, names, values = [], [], []
+            for k, text in enumerate(batch.column(2).to_pylist()):
+                for name, value in _numbers_of(text).items() if text else ():
+                    rows.append(k)
+                    names.append(name)
+                    values.append(value)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(names, pa.string()), pa.array(values, pa.float64())], ["run_id", "frame_idx", "param", "value"])
 
-    Documents are read and parsed once and their levels exploded one after another; numbers that are found pass the deeper
-    levels as they are. depth: how many levels, all by default. A name that stands twice in a document gives two rows.
-    """
-    explode = frames.sparkSession.tvf.variant_explode_outer
-    none = F.lit(None)
-    rows = frames.select("run_id", "frame_idx", F.lit("").alias("parent"), none.cast("string").alias("param"), none.cast("double").alias("number"), F.try_parse_json(column).alias("v")).where("v is not null")
-    kind = F.schema_of_variant("value")
-    name = F.when((F.col("parent") == "") | F.col("parent").isin(*BARE_PARENTS), F.col("key")).otherwise(F.concat_ws("_", "parent", "key"))
-    is_number, is_object = kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT|SMALLINT|TINYINT)"), kind.startswith("OBJECT")
-    for _ in range(nesting(frames, column) if depth is None else depth):
-        each = rows.lateralJoin(explode(F.col("v").outer())).where(F.col("number").isNotNull() | is_number | is_object)
-        rows = each.select(
-            "run_id", "frame_idx", F.coalesce("key", "parent").alias("parent"), F.coalesce("param", F.when(is_number, name)).alias("param"),
-            F.coalesce("number", F.when(is_number, F.try_variant_get("value", "$", "double"))).alias("number"), F.when(is_object, F.col("value")).alias("v"),
-        )
-    return rows.where("number is not null").select("run_id", "frame_idx", "param", F.col("number").alias("value"))
+    return frames.select("run_id", "frame_idx", column).mapInArrow(run, f"run_id string, frame_idx {kind}, param string, value double")
 
 
 def align(meta: DataFrame, params: list[str], interval: float) -> DataFrame:
@@ -141,13 +155,14 @@ def environment(meta: DataFrame, params: dict[str, tuple[float, float]]) -> Data
 
 
 def led_statistics(meta: DataFrame, power: str, duration: str, success: str) -> DataFrame:
-    """Power and duration, and how often the light was in step with the camera."""
-    p = _of(meta, power).groupBy("run_id").agg(F.avg("value").alias("mean_power"), F.stddev_samp("value").alias("std_power"))
-    d = _of(meta, duration).groupBy("run_id").agg(F.avg("value").alias("mean_duration"))
-    s = _of(meta, success).groupBy("run_id").agg(F.avg("value").alias("sync_rate"), F.count_if(F.col("value") > 0).alias("successes"), F.count_if(F.col("value") <= 0).alias("failures"))
+    """Mean, deviation, least and largest power and duration, and how often the light was in step with the camera. A part that a run lacks is null."""
+    parts = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    of = lambda param: F.when(F.col("param") == param, F.col("value"))
+    stats = [f(of(param)).alias(f"{k}_{name}") for name, param in (("power", power), ("duration", duration)) for k, f in parts.items()]
+    m = meta.where(F.col("param").isin(power, duration, success)).groupBy("run_id").agg(*stats, F.avg(of(success)).alias("sync_rate"), F.count(of(success)).alias("frames"), F.count_if(of(success) > 0).alias("successes"), F.count_if(of(success) <= 0).alias("failures"))
     r = F.col("sync_rate")
-    grade = F.when(r > 0.98, "excellent").when(r > 0.95, "good").when(r > 0.90, "acceptable").otherwise("poor")
-    return p.join(d, "run_id").join(s, "run_id").withColumn("grade", grade)
+    grade = F.when(r > 0.98, "excellent").when(r > 0.95, "good").when(r > 0.90, "acceptable").when(r.isNotNull(), "poor")
+    return m.withColumn("grade", grade)
 
 
 def drift_grade(meta: DataFrame, param: str) -> DataFrame:
@@ -185,12 +200,18 @@ def unit_statistics(meta: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def legacy_check(attributes: DataFrame) -> DataFrame:
-    """Whether a run's attributes (run_id, parameter, value) are those of an old file, with each reason."""
-    wanted = ["version", "units", "hint", "units_enabled", "unit_standard", "structure"]
-    a = attributes.groupBy("run_id").pivot("parameter", wanted).agg(F.first("value"))
+    """Whether a run's attributes (run_id, parameter, value) are those of an old file, with each reason.
+
+    file_version (missing: 1.0) below 2.2 or unreadable; structure other than timeseries_only; and, of a file with time series (timeseries is true): drifts (frame_drift is true) without
+    units or display_hint, no or a false expected_intervals_fixed, no unit_standard.
+    """
+    wanted = ["file_version", "structure", "timeseries", "frame_drift", "units", "display_hint", "expected_intervals_fixed", "unit_standard"]
+    a = attributes.groupBy("run_id").pivot("parameter", wanted).agg(F.first("value", True))
+    true = lambda c: F.coalesce(F.lower(c).isin("true", "1"), F.lit(False))
+    series = true("timeseries")
     reasons = {
-        "old_version": F.coalesce(F.col("version").try_cast("double") < 2.2, F.lit(True)), "no_units": F.col("units").isNull() | F.col("hint").isNull(), "units_off": F.coalesce(F.lower("units_enabled") == "false", F.lit(False)),
-        "no_standard": F.col("unit_standard").isNull(), "other_structure": F.coalesce(F.col("structure") != "timeseries_only", F.lit(True)),
+        "old_version": ~F.coalesce(F.coalesce("file_version", F.lit("1.0")).try_cast("double") >= 2.2, F.lit(False)), "no_units": series & true("frame_drift") & (F.col("units").isNull() | F.col("display_hint").isNull()),
+        "intervals_not_fixed": series & ~true("expected_intervals_fixed"), "no_standard": series & F.col("unit_standard").isNull(), "other_structure": ~F.coalesce(F.col("structure") == "timeseries_only", F.lit(False)),
     }
     any_ = None
     for c in reasons.values():
@@ -198,23 +219,59 @@ def legacy_check(attributes: DataFrame) -> DataFrame:
     return a.select("run_id", *(c.alias(k) for k, c in reasons.items()), any_.alias("legacy"))
 
 
+def _finite(meta: DataFrame) -> Column:
+    v = F.col("value")
+    return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+
+
 def parameter_summary(meta: DataFrame) -> DataFrame:
-    """Length and statistics of the finite values of each parameter, and how many distinct ones it has."""
-    v = F.when(~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value"))
-    return meta.groupBy("run_id", "param").agg(F.count("*").alias("length"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.count_distinct("value").alias("distinct_values"))
+    """Length of each parameter and statistics of its finite numbers (a deviation from two on), or for one with text how many distinct values it has.
+
+    meta: run_id, param, value and, where parameters may be text, text. A parameter with any text is text as a whole.
+    """
+    has_text = "text" in meta.columns
+    worded = F.count("text") if has_text else F.lit(0).cast("long")
+    either = F.coalesce("text", F.col("value").cast("string")) if has_text else F.lit(None).cast("string")
+    v = _finite(meta)
+    m = meta.groupBy("run_id", "param").agg(
+        F.count("*").alias("length"), worded.alias("_words"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.count(v).alias("_n"), F.count_distinct(either).alias("distinct_values")
+    )
+    text = F.col("_words") > 0
+    number = lambda c: F.when(~text, F.col(c))
+    return m.select("run_id", "param", "length", F.when(text, "text").otherwise("number").alias("data_type"), *(number(c).alias(c) for c in ("min", "max", "mean")), F.when(~text & (F.col("_n") > 1), F.col("std")).alias("std"), F.when(text, F.col("distinct_values")).alias("distinct_values"))
 
 
 def parameter_inventory(meta: DataFrame) -> DataFrame:
-    """Number and names of a run's parameters, without those that start with an underscore, and the longest length."""
-    m = meta.where(~F.col("param").startswith("_")).groupBy("run_id", "param").agg(F.count("*").alias("n"))
-    return m.groupBy("run_id").agg(F.count("*").alias("params"), F.array_join(F.sort_array(F.collect_list("param")), ",").alias("names"), F.max("n").alias("longest"))
+    """Number, names and data types (of the first value) of a run's parameters, without those that start with an underscore, and the longest length.
+
+    meta: run_id, param, idx, value and, where parameters may be text, text.
+    """
+    kind = F.when(F.col("text").isNotNull(), "str").when(F.col("value").isNotNull(), "float").otherwise("empty") if "text" in meta.columns else F.when(F.col("value").isNotNull(), "float").otherwise("empty")
+    m = meta.where(~F.col("param").startswith("_")).groupBy("run_id", "param").agg(F.count("*").alias("n"), F.min_by(kind, "idx").alias("kind"))
+    listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("param", c.alias("x")))), lambda p: p["x"]), ",")
+    return m.groupBy("run_id").agg(F.count("*").alias("params"), listed(F.col("param")).alias("names"), listed(F.concat_ws(":", "param", "kind")).alias("data_types"), F.max("n").alias("longest"))
 
 
-def light_channel(channels: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """run_id, idx, value of the first of the names that a run has; none, no rows."""
-    rank = F.coalesce(*(F.when(F.col("param") == n, k) for k, n in enumerate(names)))
-    c = channels.withColumn("_k", rank).where("_k is not null")
-    return c.withColumn("_best", F.min("_k").over(Window.partitionBy("run_id"))).where("_k = _best").select("run_id", "param", "idx", "value")
+#: Names of the white and the infrared lamp's power, the first that a recording has counts; the name that tells neither; and the frames' times (fixed by the file format).
+WHITE_NAMES = ("led_white_power_percent", "white_led_power", "led_white_power", "white_led_power_percent")
+INFRARED_NAMES = ("led_ir_power_percent", "ir_led_power", "led_ir_power", "ir_led_power_percent")
+GENERIC_NAME, TIMES_NAME = "led_power_percent", "capture_timestamps"
+
+
+def light_channels(meta: DataFrame, interval: float, white: tuple[str, ...] = WHITE_NAMES, infrared: tuple[str, ...] = INFRARED_NAMES, times: str = TIMES_NAME) -> DataFrame:
+    """run_id, idx, t, white, infrared (null where a run has none) and the channels' names. A run without a white channel has no rows, even if it has a generic one.
+
+    Times are the run's own where it has them, else idx times interval. The choice of names is a row for each run.
+    """
+    rank = lambda names: F.coalesce(*(F.when(F.col("param") == n, F.lit(k)) for k, n in enumerate(names)))
+    of = meta.where(F.col("param").isin(*white, *infrared, times))
+    chosen = of.groupBy("run_id").agg(F.min_by("param", rank(white)).alias("white_name"), F.min_by("param", rank(infrared)).alias("infrared_name"), F.max(F.col("param") == times).alias("timed")).where("white_name IS NOT NULL")
+    rows = of.join(chosen, "run_id").groupBy("run_id", "idx", "white_name", "infrared_name", "timed").agg(
+        F.max(F.when(F.col("param") == F.col("white_name"), F.col("value"))).alias("white"), F.count_if(F.col("param") == F.col("white_name")).alias("_n"),
+        F.max(F.when(F.col("param") == F.col("infrared_name"), F.col("value"))).alias("infrared"), F.max(F.when(F.col("param") == times, F.col("value"))).alias("stamp"),
+    )
+    t = F.when(F.col("timed"), F.col("stamp")).otherwise(F.col("idx") * F.lit(float(interval)))
+    return rows.where("_n > 0").select("run_id", "idx", t.alias("t"), "white", "infrared", "white_name", "infrared_name")
 
 
 def _in_buckets(led: DataFrame, threshold: float, bucket: float) -> tuple[DataFrame, DataFrame]:

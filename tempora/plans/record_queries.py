@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tempora.operators import frames, metadata
 from tempora.plans import fragments as sql
 from tempora.plans.registry import query
-from tempora.plans.series_queries import KEY, LIMITS, S, by_baseline, events, limits, with_
+from tempora.plans.series_queries import KEY, LIMITS, S, by_baseline, events, limits, users, with_
 from tempora.plans.series_queries import E9 as PIPELINE
 from tempora.sources import sinks, tables, timeline
 from tempora.streaming import incremental
@@ -23,6 +23,18 @@ def _(spark, d):
     return tables.stored_series(spark, path, ["events"])
 
 
+@query("a1_stored_attributes", f"{KEY} name value", with_(S) + f"""
+, e AS (SELECT run_id, roi, count(*) AS n, max(t) - min(t) AS length FROM s GROUP BY run_id, roi), w AS (SELECT run_id, count(*) AS rois, max(n) AS n FROM e GROUP BY run_id)
+SELECT run_id, roi, unnest(['roi_id', 'n_samples', 'duration']) AS name, unnest([roi, CAST(n AS VARCHAR), CAST(CAST(round(length) AS BIGINT) AS VARCHAR)]) AS value FROM e UNION ALL SELECT run_id, NULL, unnest(['frame_interval', 'n_frames', 'n_rois']), unnest(['1300.0', CAST(n AS VARCHAR), CAST(rois AS VARCHAR)]) FROM w""")
+def _(spark, d):
+    """Attributes that were saved with the series; durations to the second, as text of a fraction differs from engine to engine."""
+    path, e = tables.scratch(spark, "run"), events(spark, d)
+    sinks.save_run(path, {"raw": e.select("run_id", "roi", "t", "value")}, sinks.series_attributes(e, 1300))
+    out = sinks.load_run(spark, path, "attributes", ["events"])
+    second = F.round(F.col("value").try_cast("double")).cast("long").cast("string")
+    return out.select("run_id", "roi", F.when(F.col("name") == "duration_seconds", "duration").otherwise(F.col("name")).alias("name"), F.when(F.col("name") == "duration_seconds", second).otherwise(F.col("value")).alias("value"))
+
+
 @query("a2_frame_range", "frame_idx:int", "SELECT vec_id AS frame_idx FROM embeddings WHERE vec_id >= 100 AND vec_id < 300")
 def _(spark, d):
     return timeline.frame_range(tables.frames(spark, d), 100, 300)
@@ -118,6 +130,17 @@ def _(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query("a13_manifest", "name run_id rows:int", """WITH s AS (SELECT CAST(user_id % 3 AS VARCHAR) AS run_id, event_type, value FROM events) SELECT 'samples' AS name, run_id, count(*) AS rows FROM s GROUP BY run_id
+UNION ALL SELECT 'means', run_id, count(DISTINCT event_type) FROM s WHERE run_id <> '2' GROUP BY run_id""")
+def _(spark, d):
+    """Three runs are saved, and two of them again: each stands once, as last saved."""
+    path, e = tables.scratch(spark, "run"), tables.event_samples(spark, d, run="cast(user_id % 3 AS string)")
+    means = e.where("run_id <> '2'").groupBy("run_id", "roi").agg(F.avg("value").alias("mean"))
+    sinks.save_run(path, {"samples": e, "means": means})
+    sinks.save_run(path, {"samples": e.where("run_id <> '2'"), "means": means})
+    return sinks.saved_runs(spark, path)
+
+
 # Frames: embeddings of 64 numbers as images of 8 by 8; circles from the suppliers, a few of them for the one camera.
 
 PIXELS = "px AS (SELECT 'camera' AS run_id, vec_id AS frame_idx, generate_subscripts(embedding, 1) - 1 AS px, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
@@ -327,7 +350,10 @@ def _(spark, d):
     return metadata.environment(meta(spark, d), {"temperature": (2, 5), "humidity": (10, 20)})
 
 
-@query("i11_led_statistics", "run_id mean_power:6 std_power:6 mean_duration:6 sync_rate:6 successes:int failures:int grade", f"WITH {META} SELECT *, CASE WHEN sync_rate > 0.98 THEN 'excellent' WHEN sync_rate > 0.95 THEN 'good' WHEN sync_rate > 0.9 THEN 'acceptable' ELSE 'poor' END AS grade FROM (SELECT run_id, avg(value) FILTER (WHERE param = 'led_power') AS mean_power, stddev_samp(value) FILTER (WHERE param = 'led_power') AS std_power, avg(value) FILTER (WHERE param = 'led_duration') AS mean_duration, avg(value) FILTER (WHERE param = 'led_success') AS sync_rate, count(*) FILTER (WHERE param = 'led_success' AND value > 0) AS successes, count(*) FILTER (WHERE param = 'led_success' AND value <= 0) AS failures FROM meta GROUP BY run_id)")
+LED_STATS = ", ".join(f"{f}(value) FILTER (WHERE param = 'led_{p}') AS {k}_{p}" for p in ("power", "duration") for k, f in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max")))
+
+
+@query("i11_led_statistics", "run_id " + " ".join(f"{k}_{p}:6" for p in ("power", "duration") for k in ("mean", "std", "min", "max")) + " sync_rate:6 frames:int successes:int failures:int grade", f"WITH {META} SELECT *, CASE WHEN sync_rate > 0.98 THEN 'excellent' WHEN sync_rate > 0.95 THEN 'good' WHEN sync_rate > 0.9 THEN 'acceptable' ELSE 'poor' END AS grade FROM (SELECT run_id, {LED_STATS}, avg(value) FILTER (WHERE param = 'led_success') AS sync_rate, count(*) FILTER (WHERE param = 'led_success') AS frames, count(*) FILTER (WHERE param = 'led_success' AND value > 0) AS successes, count(*) FILTER (WHERE param = 'led_success' AND value <= 0) AS failures FROM meta GROUP BY run_id)")
 def _(spark, d):
     return metadata.led_statistics(meta(spark, d), "led_power", "led_duration", "led_success")
 
@@ -376,30 +402,67 @@ def _(spark, d):
     return metadata.unit_statistics(measured(spark, d), F.broadcast(known.join(own, "param", "left_anti").unionByName(own)))
 
 
-@query("i15_legacy_check", "run_id old_version no_units units_off no_standard other_structure legacy", """WITH a AS (SELECT 'c' || c_custkey AS run_id, 1.5 + c_custkey % 25 / 10.0 AS v, c_custkey % 3 = 0 AS off, c_custkey % 5 = 0 AS bare, c_custkey % 7 <> 0 AS plain FROM customer), b AS (SELECT run_id, v < 2.2 AS old_version, bare AS no_units, off AS units_off, bare AS no_standard, NOT plain AS other_structure FROM a)
-SELECT *, old_version OR no_units OR units_off OR no_standard OR other_structure AS legacy FROM b""")
+#: Attributes of the customers as files: versions, some missing or unreadable, flags that are missing, false or true, files without time series or drifts.
+FILE_ATTRIBUTES = {
+    "file_version": ("CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 13 = 0 THEN 'beta' ELSE CAST(c_custkey % 4 AS VARCHAR) || '.' || CAST(c_custkey % 5 AS VARCHAR) END"),
+    "structure": "CASE WHEN c_custkey % 7 = 0 THEN 'images' WHEN c_custkey % 17 = 0 THEN NULL ELSE 'timeseries_only' END", "timeseries": "CASE WHEN c_custkey % 6 = 0 THEN 'false' ELSE 'true' END",
+    "frame_drift": "CASE WHEN c_custkey % 10 = 1 THEN NULL ELSE 'true' END", "units": "CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'seconds' END", "display_hint": "CASE WHEN c_custkey % 19 = 0 THEN NULL ELSE 'milliseconds' END",
+    "expected_intervals_fixed": "CASE WHEN c_custkey % 3 = 0 THEN 'false' WHEN c_custkey % 8 = 1 THEN NULL ELSE 'true' END", "unit_standard": "CASE WHEN c_custkey % 23 = 0 THEN NULL ELSE 'SI' END",
+}
+
+
+@query("i15_legacy_check", "run_id old_version no_units intervals_not_fixed no_standard other_structure legacy", f"""WITH a AS (SELECT 'c' || c_custkey AS run_id, {', '.join(f'{v} AS {k}' for k, v in FILE_ATTRIBUTES.items())} FROM customer),
+b AS (SELECT run_id, coalesce(TRY_CAST(coalesce(file_version, '1.0') AS DOUBLE) < 2.2, true) AS old_version, timeseries = 'true' AND frame_drift IS NOT NULL AND (units IS NULL OR display_hint IS NULL) AS no_units,
+    timeseries = 'true' AND coalesce(expected_intervals_fixed, 'false') = 'false' AS intervals_not_fixed, timeseries = 'true' AND unit_standard IS NULL AS no_standard, coalesce(structure, '') <> 'timeseries_only' AS other_structure FROM a)
+SELECT *, old_version OR no_units OR intervals_not_fixed OR no_standard OR other_structure AS legacy FROM b""")
 def _(spark, d):
-    n = tables.table(spark, d, "customer").selectExpr(
-        "concat('c', c_custkey) AS run_id", "cast(1.5D + c_custkey % 25 / 10.0D AS string) AS version", "if(c_custkey % 5 = 0, null, 'yes') AS units", "if(c_custkey % 5 = 0, null, 'yes') AS hint",
-        "if(c_custkey % 3 = 0, 'false', 'true') AS units_enabled", "if(c_custkey % 5 = 0, null, 'SI') AS unit_standard", "if(c_custkey % 7 <> 0, 'timeseries_only', 'images') AS structure",
-    )
-    long = n.unpivot(["run_id"], ["version", "units", "hint", "units_enabled", "unit_standard", "structure"], "parameter", "value").where("value is not null")
-    return metadata.legacy_check(long)
+    n = tables.table(spark, d, "customer").selectExpr("concat('c', c_custkey) AS run_id", *(f"{v.replace('VARCHAR', 'STRING')} AS {k}" for k, v in FILE_ATTRIBUTES.items()))
+    return metadata.legacy_check(n.unpivot(["run_id"], list(FILE_ATTRIBUTES), "parameter", "value").where("value is not null"))
+
+
+#: Parameters of numbers, some of them not finite, and of text.
+MIXED = META + """, mixed AS (SELECT run_id, idx, param, CASE WHEN param = 'humidity' AND idx % 9 = 4 THEN CAST('inf' AS DOUBLE) WHEN param = 'humidity' AND idx % 9 = 5 THEN CAST('nan' AS DOUBLE) ELSE value END AS value, CAST(NULL AS VARCHAR) AS text FROM meta
+UNION ALL SELECT run_id, idx, 'mode', NULL, 'mode' || CAST(idx % 4 AS VARCHAR) FROM ord UNION ALL SELECT run_id, idx, 'single', value, NULL FROM ord WHERE idx = 0)"""
 
 
-@query("i16_parameter_summary", "run_id param length:int min:6 max:6 mean:6 std:6 distinct_values:int", f"WITH {META} SELECT run_id, param, count(*) AS length, min(value) AS min, max(value) AS max, avg(value) AS mean, stddev_pop(value) AS std, count(DISTINCT value) AS distinct_values FROM meta GROUP BY run_id, param")
+def mixed(spark, d) -> DataFrame:
+    odd = F.when((F.col("param") == "humidity") & (F.col("idx") % 9 == 4), float("inf")).when((F.col("param") == "humidity") & (F.col("idx") % 9 == 5), float("nan")).otherwise(F.col("value"))
+    m = meta(spark, d).select("run_id", "idx", "param", odd.alias("value"), F.lit(None).cast("string").alias("text"))
+    o = ordered(spark, d)
+    words = o.select("run_id", "idx", F.lit("mode").alias("param"), F.lit(None).cast("double").alias("value"), F.concat(F.lit("mode"), F.col("idx") % 4).alias("text"))
+    return m.unionByName(words).unionByName(o.where("idx = 0").select("run_id", "idx", F.lit("single").alias("param"), "value", F.lit(None).cast("string").alias("text")))
+
+
+@query("i16_parameter_summary", "run_id param length:int data_type min:6 max:6 mean:6 std:6 distinct_values:int", f"WITH {MIXED}, v AS (SELECT *, CASE WHEN isfinite(value) THEN value END AS f FROM mixed) SELECT run_id, param, count(*) AS length, CASE WHEN count(text) > 0 THEN 'text' ELSE 'number' END AS data_type, min(f) AS min, max(f) AS max, avg(f) AS mean, CASE WHEN count(f) > 1 THEN stddev_pop(f) END AS std, CASE WHEN count(text) > 0 THEN count(DISTINCT text) END AS distinct_values FROM v GROUP BY run_id, param")
 def _(spark, d):
-    return metadata.parameter_summary(meta(spark, d))
+    return metadata.parameter_summary(mixed(spark, d))
 
 
-@query("i17_parameter_inventory", "run_id params:int names longest:int", f"WITH {META} SELECT run_id, count(*) AS params, string_agg(param, ',' ORDER BY param) AS names, max(n) AS longest FROM (SELECT run_id, param, count(*) AS n FROM meta WHERE param <> '_hidden' GROUP BY run_id, param) GROUP BY run_id")
+@query("i17_parameter_inventory", "run_id params:int names data_types longest:int", f"WITH {MIXED} SELECT run_id, count(*) AS params, string_agg(param, ',' ORDER BY param) AS names, string_agg(param || ':' || kind, ',' ORDER BY param) AS data_types, max(n) AS longest FROM (SELECT run_id, param, count(*) AS n, CASE WHEN param = 'mode' THEN 'str' ELSE 'float' END AS kind FROM mixed WHERE param <> '_hidden' GROUP BY run_id, param) GROUP BY run_id")
 def _(spark, d):
-    return metadata.parameter_inventory(meta(spark, d))
+    return metadata.parameter_inventory(mixed(spark, d))
 
 
-@query("i18_light_channel", "run_id param idx:int value:6", f"WITH {META} SELECT run_id, param, idx, value FROM meta WHERE param = 'led_power'")
+#: Which channels the users' recordings have, by the user's remainder: both names of white, the last one only, generic alone, infrared alone, all.
+CHANNEL_OF = {
+    "led_white_power_percent": "u % 7 = 0", "white_led_power": "u % 7 IN (0, 1)", "led_white_power": "u % 7 = 2", "white_led_power_percent": "u % 7 IN (3, 6)", "led_power_percent": "u % 7 IN (1, 4)",
+    "led_ir_power_percent": "u % 7 = 6", "ir_led_power": "u % 7 IN (1, 5)", "led_ir_power": "u % 7 = 2", "ir_led_power_percent": "u % 7 IN (2, 6)", "capture_timestamps": "u % 2 = 0",
+}
+CHANNELS = "uo AS (SELECT user_id AS u, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, value, epoch_us(ts) / 1e6 - 1704067200 AS t FROM events), ch AS (" + " UNION ALL ".join(f"SELECT CAST(u AS VARCHAR) AS run_id, idx, '{c}' AS param, CAST({'t' if c == 'capture_timestamps' else f'value + {k}'} AS DOUBLE) AS value FROM uo WHERE {w}" for k, (c, w) in enumerate(CHANNEL_OF.items())) + ")"
+
+
+@query("i18_light_channels", "run_id idx:int t:3 white:6 infrared:6 white_name infrared_name", f"""WITH {CHANNELS}, x AS (SELECT CAST(u AS VARCHAR) AS run_id, u, idx, t, value FROM uo WHERE u % 7 IN (0, 1, 2, 3, 6))
+SELECT run_id, idx, CASE WHEN u % 2 = 0 THEN t ELSE idx * 5.0 END AS t, value + CASE u % 7 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS white, value + CASE u % 7 WHEN 6 THEN 5 WHEN 1 THEN 6 WHEN 2 THEN 7 END AS infrared,
+CASE u % 7 WHEN 0 THEN 'led_white_power_percent' WHEN 1 THEN 'white_led_power' WHEN 2 THEN 'led_white_power' ELSE 'white_led_power_percent' END AS white_name, CASE u % 7 WHEN 6 THEN 'led_ir_power_percent' WHEN 1 THEN 'ir_led_power' WHEN 2 THEN 'led_ir_power' END AS infrared_name FROM x""")
 def _(spark, d):
-    return metadata.light_channel(meta(spark, d), ("led_white_power", "white_led", "led_power", "led_duration"))
+    from pyspark.sql import Window
+
+    e = users(spark, d)
+    i = F.row_number().over(Window.partitionBy("roi").orderBy("t", "tie")) - 1
+    o = e.select(F.col("roi").alias("u"), i.cast("long").alias("idx"), "value", "t")
+    has = F.explode(F.array(*(F.struct(F.lit(c).alias("param"), F.expr(w).alias("has"), (F.col("t") if c == "capture_timestamps" else F.col("value") + k).alias("v")) for k, (c, w) in enumerate(CHANNEL_OF.items()))))
+    m = o.select("u", "idx", has.alias("c")).where("c.has").select(F.col("u").cast("string").alias("run_id"), "idx", "c.param", F.col("c.v").alias("value"))
+    return metadata.light_channels(m, 5)
 
 
 # A lamp for each of three runs: of day, all events of a user's remainder by their value; at night off.
@@ -456,6 +519,14 @@ def _(spark, d):
     return incremental.run_to_table(incremental.hysteresis(s, limits(spark, d)), tables.scratch(spark, "stream"))
 
 
+@query("k2_ordered_hysteresis", f"{KEY} t:3 tie:int state:int", with_(S, LIMITS, sql.hysteresis("s", "b", "h")) + " SELECT * FROM h WHERE t <= (SELECT max(t) - 3600 FROM s)")
+def _(spark, d):
+    """What the watermark has passed, an hour behind the last event."""
+    e = stream_of(spark, d, "events")
+    s = e.select(F.lit("events").alias("run_id"), F.col("event_type").alias("roi"), tables.seconds(F.col("ts")).alias("t"), "value", F.col("event_id").alias("tie"))
+    return incremental.run_to_table(incremental.ordered_hysteresis(s, limits(spark, d)), tables.scratch(spark, "stream"), rocksdb=True)
+
+
 #: Runs of several regions each, with limits of their own; one region has none.
 RUNS = "CAST(user_id % 4 AS VARCHAR)"
 RUN_LIMITS = "b AS (SELECT run_id, roi, avg(value) AS baseline_mean, avg(value) + 5 * CAST(run_id AS INTEGER) AS upper, avg(value) - 5 * CAST(run_id AS INTEGER) AS lower FROM s WHERE roi <> 'error' GROUP BY run_id, roi)"

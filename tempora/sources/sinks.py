@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempora.sources.tables import KEYS
@@ -57,12 +57,44 @@ def top_peaks(peaks: DataFrame, top: int = 5) -> DataFrame:
     return peaks.where(F.col("rank") <= top)
 
 
-def save_run(path: str, tables: dict[str, DataFrame]) -> None:
-    """One Parquet table for each kind of result, partitioned by run."""
+def save_run(path: str, tables: dict[str, DataFrame], attributes: DataFrame | None = None) -> None:
+    """One Parquet table for each kind of result, partitioned by run, and a manifest that is written last.
+
+    Saving a run again replaces its partitions, so a run stands once however often it is saved; the other runs of the tables stay. A run whose save broke off isn't in the
+    manifest of that save, which names each run's tables with their rows. attributes: run_id, roi (null: of the run), name, value (text).
+    """
+    tables = tables | ({"attributes": attributes} if attributes is not None else {})
+    spark = next(iter(tables.values())).sparkSession
+    saved = None
+    for name, rows in tables.items():
+        replaced(rows, f"{path}/{name}")
     for name, rows in tables.items():
-        rows.write.mode("append").partitionBy("run_id").parquet(f"{path}/{name}")
+        counted = spark.read.schema(rows.schema).parquet(f"{path}/{name}").join(rows.select("run_id").distinct(), "run_id", "left_semi").groupBy("run_id").agg(F.count("*").alias("rows")).withColumn("name", F.lit(name))
+        saved = counted if saved is None else saved.unionByName(counted)
+    replaced(saved.select("name", "rows", "run_id"), f"{path}/manifest")
+
+
+def replaced(rows: DataFrame, path: str) -> None:
+    """Writes rows over the partitions of their runs, and no others."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
-def load_run(spark, path: str, name: str, runs: list[str] | None = None) -> DataFrame:
-    out = spark.read.parquet(f"{path}/{name}")
+def saved_runs(spark: SparkSession, path: str) -> DataFrame:
+    """run_id, name, rows of the tables of all runs that were saved to the end."""
+    return spark.read.schema("name string, rows long, run_id string").parquet(f"{path}/manifest").select("run_id", "name", "rows")
+
+
+def load_run(spark: SparkSession, path: str, name: str, runs: list[str] | None = None) -> DataFrame:
+    """A kind of result of the runs that were saved to the end; a choice of runs prunes the partitions that are read."""
+    out = spark.read.parquet(f"{path}/{name}").join(saved_runs(spark, path).where(F.col("name") == name).select("run_id"), "run_id", "left_semi")
     return out.where(F.col("run_id").isin(runs)) if runs else out
+
+
+def series_attributes(samples: DataFrame, frame_interval: float) -> DataFrame:
+    """run_id, roi, name, value (text): of each series roi_id, n_samples and duration_seconds, of each run (roi null) frame_interval, n_frames (of its longest series) and n_rois."""
+    each = samples.groupBy(*KEYS).agg(F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("length"))
+    pairs = lambda **kw: F.explode(F.array(*(F.struct(F.lit(k).alias("name"), v.cast("string").alias("value")) for k, v in kw.items()))).alias("a")
+    own = each.select(*KEYS, pairs(roi_id=F.col("roi"), n_samples=F.col("n"), duration_seconds=F.col("length")))
+    whole = each.groupBy("run_id").agg(F.count("*").alias("rois"), F.max("n").alias("n"))
+    whole = whole.select("run_id", F.lit(None).cast(samples.schema["roi"].dataType).alias("roi"), pairs(frame_interval=F.lit(float(frame_interval)), n_frames=F.col("n"), n_rois=F.col("rois")))
+    return own.unionByName(whole).select(*KEYS, "a.name", "a.value")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 
 def activity(frames: DataFrame, masks: DataFrame, interval: float, start: float = 0.0, late: str = "1 hour") -> DataFrame:
@@ -57,14 +61,90 @@ def hysteresis(samples: DataFrame, limits: DataFrame) -> DataFrame:
     return known.groupBy("run_id", "roi").applyInPandasWithState(step, f"run_id string, roi {kind}, tie long, state long", "bit long", "append", GroupStateTimeout.NoTimeout)
 
 
+STATE_STORE, ROCKSDB = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: 1970 itself counts as late, so recordings begin a day later.
+EPOCH = 86_400
+
+
+class _OrderedStates(StatefulProcessor):
+    """Holds a series' samples until the watermark has passed them, then gives them their states in order."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.now = handle.getValueState("now", StructType([StructField("bit", LongType()), *(StructField(c, DoubleType()) for c in ("mean", "upper", "lower", "until"))]))
+        self.waiting = handle.getListState("waiting", StructType([StructField("t", DoubleType()), StructField("tie", LongType()), StructField("value", DoubleType())]))
+
+    @staticmethod
+    def _due(t: float) -> int:
+        """The millisecond at which a watermark has passed t."""
+        return math.ceil((t + EPOCH) * 1000)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
+        for part in rows:
+            if not self.now.exists():
+                self.now.update((-1, *(float(part[c].iloc[0]) for c in ("baseline_mean", "upper", "lower")), -math.inf))
+            self.waiting.appendList([(float(t), int(i), float(v)) for t, i, v in zip(part.t, part.tie, part.value, strict=True)])
+            self.handle.registerTimer(max(self._due(float(part.t.min())), timerValues.getCurrentWatermarkInMs()))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = sorted(self.waiting.get())
+        out = [x for x in held if self._due(x[0]) <= passed]
+        left = held[len(out) :]
+        if left:
+            self.waiting.put(left)
+            self.handle.registerTimer(self._due(left[0][0]))
+        else:
+            self.waiting.clear()
+        if not out:
+            return
+        bit, mean, upper, lower, _ = self.now.get()
+        states = states_after(np.array([x[2] for x in out]), mean, upper, lower, None if bit < 0 else bit)
+        self.now.update((int(states[-1]), mean, upper, lower, out[-1][0]))
+        yield pd.DataFrame({"run_id": key[0], "roi": key[1], "t": [x[0] for x in out], "tie": [x[1] for x in out], "state": states.astype(np.int64)})
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_hysteresis(samples: DataFrame, limits: DataFrame, late: str = "1 hour") -> DataFrame:
+    """run_id, roi, t, tie, state from a stream of series whose samples may come in any order, by event time.
+
+    A series' samples wait in its state until the watermark (late behind the latest sample of all series) has passed them; timers then release them in the
+    order of t and tie, so within that time the order of arrival changes nothing. Samples that come later are dropped and counted (late_rows). State is
+    the bit, the limits and what waits, which the watermark bounds, not a batch. Samples stay unreleased until something `late` after them has come.
+    limits: a static table of run_id, roi, baseline_mean, upper, lower. Runs with RocksDB as the state store (run_to_table(..., rocksdb=True)).
+    """
+    kind = samples.schema["roi"].dataType.simpleString()
+    known = samples.join(limits.select("run_id", "roi", *(F.col(c).cast("double") for c in ("baseline_mean", "upper", "lower"))), ["run_id", "roi"])
+    timed = known.withColumn("at", F.timestamp_seconds(F.col("t") + EPOCH)).withWatermark("at", late)
+    return timed.groupBy("run_id", "roi").transformWithStateInPandas(statefulProcessor=_OrderedStates(), outputStructType=f"run_id string, roi {kind}, t double, tie long, state long", outputMode="append", timeMode="EventTime")
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a query's stateful steps have dropped because they came after the watermark."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+
+
 def binned_means(events: DataFrame, key: str, width: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Mean value and count of each key in tumbling windows of a stream with a timestamp ts; rows later than the watermark are dropped."""
     out = events.withWatermark("ts", late).groupBy(F.window("ts", width), F.col(key)).agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
     return out.select(key, F.col("window.start").alias("start"), "mean", "n")
 
 
-def run_to_table(stream: DataFrame, path: str) -> DataFrame:
-    """Runs a stream over what is there now and returns the table that it has written."""
-    q = stream.writeStream.format("parquet").option("path", f"{path}/table").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/table")
+def run_to_table(stream: DataFrame, path: str, rocksdb: bool = False, dropped: list[int] | None = None) -> DataFrame:
+    """Runs a stream over what is there now and returns the table that it has written; called again with the path, it goes on. dropped: gets the number of rows that came too late."""
+    spark = stream.sparkSession
+    before = spark.conf.get(STATE_STORE, None)
+    if rocksdb:
+        spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        q = stream.writeStream.format("parquet").option("path", f"{path}/table").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        if rocksdb:
+            spark.conf.set(STATE_STORE, before) if before else spark.conf.unset(STATE_STORE)
+    if dropped is not None:
+        dropped.append(late_rows(q))
+    return spark.read.schema(stream.schema).parquet(f"{path}/table")

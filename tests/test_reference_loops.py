@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tempora.operators import binning, frames, metadata, pairs, preprocess, rhythm, states, summary, thresholds
+from tempora.sources import sinks
 from tempora.streaming import incremental
 
 SCHEMA = "run_id string, roi int, t double, value double, tie long"
@@ -350,6 +351,29 @@ def test_streams_of_several_files(spark, tmp_path):
     assert key(got) == key(batch) and len(key(got)) == 36
 
 
+def test_streams_of_samples_in_any_order(spark, tmp_path):
+    """Shuffled samples within the watermark give the states of a batch, over several files and a restart between them; later ones are dropped and counted."""
+    rng = np.random.default_rng(4)
+    rows = [(r, roi, float(10 * i), float(round(rng.uniform(0, 100))), i) for r in "ab" for roi in (1, 2) for i in range(60)]
+    come = sorted(rows, key=lambda x: x[2] + rng.uniform(0, 100))
+    limits = spark.createDataFrame([("a", 1, 50.0, 60.0, 40.0), ("b", 1, 50.0, 40.0, 60.0), ("b", 2, 10.0, 20.0, 5.0)], "run_id string, roi int, baseline_mean double, upper double, lower double")
+    dropped: list[int] = []
+
+    def step(part):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/samples")
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/samples")
+        out = incremental.run_to_table(incremental.ordered_hysteresis(stream, limits, "100 seconds"), f"file://{tmp_path}/out", rocksdb=True, dropped=dropped)
+        return sorted((x["run_id"], x["roi"], x["tie"], x["state"]) for x in out.collect())
+
+    for k in range(0, len(come), 60):
+        got = step(come[k : k + 60])
+    batch = sorted((x["run_id"], x["roi"], x["tie"], x["state"]) for x in states.hysteresis(spark.createDataFrame(rows, SCHEMA), limits).where("t <= 490").collect())
+    assert got == batch and dropped == [0] * 4
+    got = step([("a", 1, 2000.0, 99.0, 200), ("b", 1, 5.0, 99.0, 201)])
+    full = sorted((x["run_id"], x["roi"], x["tie"], x["state"]) for x in states.hysteresis(spark.createDataFrame(rows, SCHEMA), limits).collect())
+    assert got == full and dropped[-1] == 1
+
+
 @pytest.mark.parametrize("bucket", [10.0, 45.0, 86_400.0])
 def test_light_by_loop(spark, bucket):
     rng = np.random.default_rng(int(bucket))
@@ -400,3 +424,21 @@ def test_deep_attributes(spark):
     doc = '{"a": {"b": {"c": {"d": {"e": {"f": 1, "t": true, "s": "x", "l": [1], "q": "}}\\\\\\"}{"}}}}}, "esp32_timing": {"x": 2.5}, "n": null, "z": -3e2}'
     df = spark.createDataFrame([("r", 1, doc), ("r", 2, "no json"), ("r", 3, None), ("q", 1, "7")], "run_id string, frame_idx long, attrs string")
     assert sorted(tuple(r) for r in metadata.numeric_attributes(df).collect()) == [("r", 1, "e_f", 1.0), ("r", 1, "x", 2.5), ("r", 1, "z", -300.0)]
+
+
+def test_last_of_a_name_counts(spark):
+    df = spark.createDataFrame([("r", 1, '{"a": {"x": 1}, "b": {"a": {"x": 2}}, "a_x": 3}'), ("r", 2, '{"a_x": 3, "a": {"x": 1}}'), ("r", 3, "[1]"), ("r", 4, '{"big": 1' + "0" * 400 + ', "n": NaN}')], "run_id string, frame_idx long, attrs string")
+    got = [tuple(r) for r in metadata.numeric_attributes(df).orderBy("frame_idx").collect()]
+    assert got[:2] == [("r", 1, "a_x", 3.0), ("r", 2, "a_x", 1.0)] and [r[2] for r in got[2:]] == ["n"]
+
+
+def test_runs_saved_twice_and_broken_off(spark, tmp_path):
+    path = f"file://{tmp_path}/runs"
+    rows = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 1.5), ("b", 1, 2.5)], "run_id string, roi int, value double")
+    sinks.save_run(path, {"bins": rows, "states": rows})
+    sinks.save_run(path, {"bins": rows.where("run_id = 'a' AND roi = 1"), "states": rows.where("run_id = 'a'")})
+    key = lambda name: sorted((r["run_id"], r["roi"]) for r in sinks.load_run(spark, path, name).collect())
+    assert key("bins") == [("a", 1), ("b", 1)] and key("states") == [("a", 1), ("a", 2), ("b", 1)]
+    sinks.replaced(rows.withColumn("run_id", F.lit("c")), f"{path}/bins")  # a save that ends before its manifest
+    assert key("bins") == [("a", 1), ("b", 1)] and "c" not in {r["run_id"] for r in sinks.saved_runs(spark, path).collect()}
+    assert sorted((r["run_id"], r["name"], r["rows"]) for r in sinks.saved_runs(spark, path).collect()) == [("a", "bins", 1), ("a", "states", 2), ("b", "bins", 1), ("b", "states", 1)]
