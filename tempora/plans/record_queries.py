@@ -266,21 +266,19 @@ def _(spark, d):
     return metadata.numeric_attributes(f)
 
 
-# Parameters of different lengths: all events of a type, those of its first users, and the type's mean.
+# Parameters of different lengths: all events of a type, means of two events each, and the type's mean.
 UNEQUAL = f"""ord AS (SELECT event_type AS run_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS idx, value FROM events),
-odd AS (SELECT event_type AS run_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS idx, value FROM events WHERE user_id % 2 = 1), mean AS (SELECT event_type AS run_id, avg(value) AS mean FROM events GROUP BY event_type)"""
+odd AS (SELECT run_id, idx // 2 AS idx, avg(value) AS value FROM ord GROUP BY 1, 2), mean AS (SELECT event_type AS run_id, avg(value) AS mean FROM events GROUP BY event_type)"""
 
 
 @query("i2_aligned_series", "run_id idx:int minutes:4 temperature:6 humidity:6 led_power:6", f"WITH {UNEQUAL} SELECT ord.run_id, ord.idx, ord.idx * 5 / 60 AS minutes, 20 + ord.value / 50 AS temperature, 40 + odd.value / 10 AS humidity, mean AS led_power FROM ord LEFT JOIN odd USING (run_id, idx) JOIN mean ON mean.run_id = ord.run_id")
 def _(spark, d):
-    from pyspark.sql import Window
-
-    e = tables.table(spark, d, "events")
-    i = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")) - 1
-    one = lambda df, param, value: df.select(F.col("event_type").alias("run_id"), F.lit(param).alias("param"), i.cast("long").alias("idx"), value.alias("value"))
-    m = one(e, "temperature", 20 + F.col("value") / 50).unionByName(one(e.where("user_id % 2 = 1"), "humidity", 40 + F.col("value") / 10))
-    mean = e.groupBy(F.col("event_type").alias("run_id")).agg(F.avg("value").alias("value")).select("run_id", F.lit("led_power").alias("param"), F.lit(0).cast("long").alias("idx"), "value")
-    return metadata.align(m.unionByName(mean), ["temperature", "humidity", "led_power"], 5)
+    o = ordered(spark, d).select("run_id", F.col("idx").cast("long").alias("idx"), "value")
+    halves = o.groupBy("run_id", F.floor(F.col("idx") / 2).alias("idx")).agg(F.avg("value").alias("value"))
+    mean = o.groupBy("run_id").agg(F.avg("value").alias("value")).select("run_id", F.lit(0).cast("long").alias("idx"), "value")
+    one = lambda df, param, value: df.select("run_id", F.lit(param).alias("param"), "idx", value.alias("value"))
+    m = one(o, "temperature", 20 + F.col("value") / 50).unionByName(one(halves, "humidity", 40 + F.col("value") / 10)).unionByName(one(mean, "led_power", F.col("value")))
+    return metadata.align(m, ["temperature", "humidity", "led_power"], 5)
 
 
 @query("i3_static_attributes", "run_id category parameter value data_type source", "SELECT 'c' || c_custkey AS run_id, unnest(['customer', 'customer', 'nation']) AS category, unnest(['key', 'name', 'key']) AS parameter, unnest([CAST(c_custkey AS VARCHAR), c_name, CAST(c_nationkey AS VARCHAR)]) AS value, unnest(['bigint', 'string', 'bigint']) AS data_type, 'customer' AS source FROM customer")

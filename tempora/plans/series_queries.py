@@ -272,9 +272,14 @@ def _(spark, d):
     return states.fraction_distribution(fractions(spark, d))
 
 
-@query("e8_sleep_audit", f"{KEY} wrong_quiescence:int wrong_sleep:int quiescent_bins:int sleep_bins:int sleep_ratio:6", SLEPT + " SELECT run_id, roi, 0 AS wrong_quiescence, count(*) FILTER (WHERE sleep = 1 AND quiescent = 0) AS wrong_sleep, sum(quiescent) AS quiescent_bins, sum(sleep) AS sleep_bins, sum(sleep) / greatest(1, sum(quiescent)) AS sleep_ratio FROM z GROUP BY run_id, roi")
+#: Bins whose quiescence or sleep was changed afterwards, some of them to what they were.
+BROKEN = {"quiescent": "CASE WHEN bin_start % 25200 = 0 THEN 1 - quiescent ELSE quiescent END", "sleep": "CASE WHEN bin_start % 39600 = 0 THEN 1 ELSE sleep END"}
+
+
+@query("e8_sleep_audit", f"{KEY} wrong_quiescence:int wrong_sleep:int quiescent_bins:int sleep_bins:int sleep_ratio:6", SLEPT + f""", x AS (SELECT run_id, roi, fraction, {', '.join(f'{v} AS {k}' for k, v in BROKEN.items())} FROM z)
+SELECT run_id, roi, count(*) FILTER (WHERE (fraction < 0.5) <> (quiescent = 1)) AS wrong_quiescence, count(*) FILTER (WHERE sleep = 1 AND quiescent = 0) AS wrong_sleep, sum(quiescent) AS quiescent_bins, sum(sleep) AS sleep_bins, sum(sleep) / greatest(1, sum(quiescent)) AS sleep_ratio FROM x GROUP BY run_id, roi""")
 def _(spark, d):
-    return states.audit(slept(spark, d))
+    return states.audit(slept(spark, d).withColumns({k: F.expr(v) for k, v in BROKEN.items()}))
 
 
 def pipeline_sql(limits_cte: str, used: str, limits: str = "b") -> str:
@@ -525,19 +530,19 @@ def _(spark, d):
 
 STATS = [f"{f}({c}) AS {c}_{n}" for c in ("snr", "cv", "multiplier") for n, f in (("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max"))]
 LABELS = [f"count(*) FILTER (WHERE {kind} = '{q}') AS {kind}_{q}" for kind in ("quality", "stability") for q in ("high", "medium", "low")]
-#: Short and long series of runs: users' values, thinned or flattened by the user's number, so that every rule of the adaptive method meets some run.
-KINDS = """s AS (SELECT CAST(user_id % 7 AS VARCHAR) AS run_id, user_id AS roi, epoch_us(ts) / 1e6 - 1704067200 AS t,
+#: Short and long series of runs: users' values, dealt to many short series or flattened by the user's number, so that every rule of the adaptive method meets some run.
+SHORT_SERIES = "CASE WHEN user_id % 7 = 0 AND user_id % 10 = 9 AND event_id % 10 = 0 THEN 1 WHEN user_id % 7 = 6 THEN event_id % 50 WHEN user_id % 7 = 4 AND user_id % 3 = 0 THEN event_id % 20 ELSE 0 END"
+KINDS = f"""s AS (SELECT CAST(user_id % 7 AS VARCHAR) AS run_id, user_id * 100 + {SHORT_SERIES} AS roi, epoch_us(ts) / 1e6 - 1704067200 AS t,
     CASE user_id % 7 WHEN 0 THEN value WHEN 1 THEN 100 + value / 100 WHEN 2 THEN 40 + value / 10 WHEN 3 THEN value * value WHEN 4 THEN 60 + value / 10 WHEN 5 THEN power(value, 4) ELSE value END AS value, event_id AS tie
-    FROM events WHERE CASE WHEN user_id % 7 = 0 THEN user_id % 10 < 9 OR event_id % 10 = 0 WHEN user_id % 7 = 6 THEN event_id % 20 = 0 WHEN user_id % 7 = 4 THEN user_id % 3 > 0 OR event_id % 20 = 0 ELSE true END)"""
+    FROM events)"""
 
 
 def kinds(spark: SparkSession, d: str) -> DataFrame:
     u = F.col("user_id") % 7
     v = F.col("value")
     value = F.when(u == 1, 100 + v / 100).when(u == 2, 40 + v / 10).when(u == 3, v * v).when(u == 4, 60 + v / 10).when(u == 5, F.pow(v, F.lit(4.0))).otherwise(v)
-    thin = F.when(u == 0, (F.col("user_id") % 10 < 9) | (F.col("event_id") % 10 == 0)).when(u == 6, F.col("event_id") % 20 == 0).when(u == 4, (F.col("user_id") % 3 > 0) | (F.col("event_id") % 20 == 0)).otherwise(F.lit(True))
-    e = tables.table(spark, d, "events").where(thin)
-    return e.select(u.cast("string").alias("run_id"), F.col("user_id").alias("roi"), tables.seconds(F.col("ts")).alias("t"), value.alias("value"), F.col("event_id").alias("tie"))
+    e = tables.table(spark, d, "events")
+    return e.select(u.cast("string").alias("run_id"), (F.col("user_id") * 100 + F.expr(SHORT_SERIES)).alias("roi"), tables.seconds(F.col("ts")).alias("t"), value.alias("value"), F.col("event_id").alias("tie"))
 
 
 ADAPTED = with_(KINDS, sql.adaptive("s", "a", 2000, 2.5, INTERVAL))
