@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import pretokens
+from tempora.llm import bpe, pretokens
 from tempora.llm.bpe import special_token
 from tempora.llm.common import binary_array, byte_view, distinct, prefix_sums, range_hash, ranges, read, repeated, same_bytes, slices, stored
 
@@ -29,13 +29,6 @@ from tempora.llm.common import binary_array, byte_view, distinct, prefix_sums, r
 HEAD, HEAD_BYTES, FLUSH, FLUSH_BYTES = 400_000, 8 << 20, 250_000, 4 << 20
 
 
-@lru_cache(maxsize=1)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
 @lru_cache(maxsize=1)
 def _special(path: str) -> bytes:
     with open(path, encoding="utf-8") as f:
@@ -81,11 +74,14 @@ def _distinct(path: str):
 
 def _count_pieces(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
+        known = bpe.vocabulary(path)
         for batch in batches:
-            words = batch.column(0).cast(pa.string()).to_pylist()
-            n = [len(x.ids) for x in tokenizer.encode_batch(words, add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["piece", "total", "pieces"])
+            for a, b, data, at in slices(batch.column(0)):
+                length = np.diff(at)
+                _, n = known.encode_words(data, at[:-1], length)
+                same = np.flatnonzero(length == len(known.special)) if known.special else np.zeros(0, np.int64)
+                n[same[[data[at[k] : at[k + 1]].tobytes() == known.special for k in same.tolist()]]] = 1
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n)], ["piece", "total", "pieces"])
 
     return run
 
