@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step handles; a longer document is handled alone.
@@ -44,6 +44,24 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_sample(df: DataFrame, order: Column, rows: int, size: int, text: str = "text", once: bool = False) -> DataFrame:
+    """Rows of df with their whole texts, for learning on the driver: of the `rows` whose number `order` is least those that fit into `size` bytes of text, in that order; one that doesn't fit any more is passed over.
+
+    Rows of equal numbers are taken together or not at all; once=True is for numbers that tell texts apart: of each text one row counts and is returned.
+    """
+    key = free_name(df, "__key")
+    keyed = df.withColumn(key, order)
+    heads = keyed.select(key, F.coalesce(F.octet_length(text), F.lit(0)).alias("size")).groupBy(key).agg((F.max if once else F.sum)("size").alias("size")).orderBy(key).limit(rows).collect()
+    chosen, total = [], 0
+    for row in heads:
+        if total + row["size"] <= size:
+            chosen.append((row[0],))
+            total += row["size"]
+    picked = df.sparkSession.createDataFrame(chosen, f"`{key}` long")
+    out = keyed.join(F.broadcast(picked), key, "left_semi").drop(key)  # at most `rows` numbers
+    return out.dropDuplicates([text]) if once else out
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores until it clashes with no column of df."""
     taken = {c.lower() for c in df.columns}

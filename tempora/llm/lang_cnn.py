@@ -5,8 +5,8 @@ padded with zeros. Filters of several widths see one-hot bytes, so a filter is a
 places; their largest responses in a window (through a rectifier) feed a softmax. A text's score for a language is
 the mean of its windows' probabilities.
 
-The network learns on the driver from windows of a bounded sample of labelled documents (TRAIN_DOCS, WINDOWS_EACH,
-spread over each text); everything else covers all rows. Documents whose crc32 of the id as text leaves 2 modulo 4
+The network learns on the driver from all windows of a bounded sample of labelled documents (TRAIN_DOCS at most, as many whole
+texts as fit into TRAIN_BYTES); everything else covers all rows. Documents whose crc32 of the id as text leaves 2 modulo 4
 are held out of it, as are rows without an id. Texts that are null or without a letter are `und` with score 0, as is
 everything if there is nothing to learn from. Repeated rows are each returned. An empty table gives no rows.
 """
@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm.common import read, slices
+from tempora.llm.common import read, slices, whole_sample
 
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 12
-TRAIN_DOCS, WINDOWS_EACH, EPOCHS, BATCH = 4000, 6, 4, 64
+TRAIN_DOCS, TRAIN_BYTES, EPOCHS, BATCH = 4000, 4 << 20, 4, 64
 
 
 def small(data: np.ndarray) -> np.ndarray:
@@ -126,17 +126,14 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, data, at in slices(batch.column(1)):
             x, count = windows(small(data), at)
-            first = np.cumsum(count) - count
-            row = np.concatenate([np.zeros(0, np.int64), *(f + np.unique(np.linspace(0, n - 1, WINDOWS_EACH).astype(int)) for f, n in zip(first, count, strict=True) if n)]).astype(np.int64)
-            document = np.searchsorted(first, row, side="right") - 1 if len(row) else row
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(document)), pa.array([w.tobytes() for w in x[row]], pa.binary())], ["lang", "bytes"])
+            document = np.repeat(np.arange(len(count)), count)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(document)), pa.array([w.tobytes() for w in x], pa.binary())], ["lang", "bytes"])
 
 
-def learn(df: DataFrame, docs: int = TRAIN_DOCS) -> Network | None:
-    """A network from a sample of about docs labelled rows that aren't held out."""
-    known = df.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    share = max(1, known.count() // docs)
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("lang", "text").limit(2 * docs)
+def learn(df: DataFrame, docs: int = TRAIN_DOCS, size: int = TRAIN_BYTES) -> Network | None:
+    """A network from a sample of at most docs labelled rows that aren't held out."""
+    known = df.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
+    chosen = whole_sample(known, F.xxhash64("doc_id"), docs, size).select("lang", "text")
     rows = sorted((r["lang"], bytes(r["bytes"])) for r in chosen.mapInArrow(_examples, "lang string, bytes binary").collect())
     if not rows:
         return None

@@ -4,8 +4,7 @@ Each labeller votes good, bad or nothing on a text. Expectation-maximisation ove
 in the corpus (at most 3 to the number of labellers, whatever the corpus) estimates how often each labeller votes
 what for good and for bad texts, and the share of good ones; a pattern's posterior labels its texts. A linear
 scorer over hashed words, hashed word shapes and word repeats learns these labels from a bounded sample of
-distinct texts (TRAIN_DOCS, twice as many at most, drawn by a digest of the text; of a text with more than TRAIN_BUCKETS
-distinct features a hashed choice of that many) and scores every text whole. Where no text with words is drawn, the
+distinct texts (TRAIN_DOCS at most, drawn by a digest of the text, as many whole ones as fit into TRAIN_BYTES) and scores every text whole. Where no text with words is drawn, the
 posterior is the score; where no labeller votes, it is near a half.
 
 Nulls and texts without words get no votes, score 0 and aren't kept. Repeated rows are each returned; ids, and null
@@ -22,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm.common import mix, prefix_sums, range_hash, read, slices
+from tempora.llm.common import mix, prefix_sums, range_hash, read, slices, whole_sample
 from tempora.llm.shingles import words
 
-TRAIN_DOCS, TRAIN_BUCKETS, BUCKETS, EPOCHS = 6000, 1024, 1 << 16, 12
+TRAIN_DOCS, TRAIN_BYTES, BUCKETS, EPOCHS = 8000, 16 << 20, 1 << 16, 12
 NOTHING, BAD, GOOD = 0, 1, 2
 #: Labellers: measure, bounds between good and bad (the lower for good if it comes first), and the words a text must have.
 LABELLERS = (
@@ -135,17 +134,11 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes, start, word_at = words(data, at)
             pattern = votes(*measures(data, at, hashes, start, word_at))
             found = features(data, at, hashes, start, word_at)
-            rows = [_bounded(*np.unique(found[a:b], return_counts=True)) for a, b in zip(word_at, word_at[1:], strict=False)]
+            rows = [np.unique(found[a:b], return_counts=True) for a, b in zip(word_at, word_at[1:], strict=False)]
             lists = lambda k, kind: pa.array([r[k] for r in rows], pa.list_(kind))  # noqa: B023,E731
             yield pa.RecordBatch.from_arrays([pa.array(pattern), lists(0, pa.int32()), lists(1, pa.int32())], ["pattern", "bucket", "times"])
 
 
-def _bounded(bucket: np.ndarray, times: np.ndarray, most: int = TRAIN_BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """The features of a training text, of many those whose hashes are least."""
-    kept = np.sort(np.argsort(mix(bucket.astype(np.uint64)), kind="stable")[:most])
-    return bucket[kept].astype(np.int32), times[kept].astype(np.int32)
-
-
 def fit_scorer(rows: list[tuple[float, np.ndarray, np.ndarray]], seed: int = 11) -> np.ndarray:
     """Weights of the buckets, and the bias last, by Adagrad on the soft labels' cross-entropy. rows: (label, buckets, times)."""
     weight, seen = np.zeros(BUCKETS + 1), np.full(BUCKETS + 1, 1e-3)
@@ -194,8 +187,7 @@ def classify(df: DataFrame, carry: tuple[str, ...] = (), docs: int = TRAIN_DOCS)
         return spark.createDataFrame([], schema)
     posterior, _, _ = expectation_maximisation(patterns, counts)
     digest = F.xxhash64("text")
-    share = max(1, df.agg(F.approx_count_distinct(digest)).first()[0] // docs)
-    drawn = df.where(F.pmod(digest, F.lit(share)) == 0).select("text").dropDuplicates().orderBy(digest).limit(2 * docs)
+    drawn = whole_sample(df.where("text IS NOT NULL").select("text"), digest, docs, TRAIN_BYTES, once=True)
     sample = drawn.mapInArrow(_examples, "pattern long, bucket array<int>, times array<int>").toArrow()
     label = posterior[np.searchsorted(patterns, sample["pattern"].to_numpy())].tolist()
     rows = [(p, b.values.to_numpy(), t.values.to_numpy().astype(float)) for p, b, t in zip(label, sample["bucket"], sample["times"], strict=True) if len(b)]

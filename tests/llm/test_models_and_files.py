@@ -8,9 +8,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tempora.llm import lang_cnn, packing, quality_em, queries, warc
+from tempora.llm import common, lang_cnn, packing, quality_em, queries, warc
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -154,9 +155,15 @@ def test_quality_of_one_kind_or_without_votes(spark):
         assert len({r["score"] for r in rows if texts[r["doc_id"]] == texts[0]}) == 1
 
 
-def test_training_features_are_bounded():
-    bucket, times = quality_em._bounded(np.arange(5000), np.arange(5000) + 1)
-    assert len(bucket) == quality_em.TRAIN_BUCKETS and (times == bucket + 1).all() and len(np.unique(bucket)) == len(bucket)
+def test_samples_hold_whole_texts_in_bounded_size(spark):
+    """Rows in the order of their numbers as long as they fit; one that is too long is passed over, copies count once."""
+    rows = [(k, "x" * size) for k, size in enumerate([10, 50, 7, 900, 3, 3, 20])] + [(2, "y" * 7)]
+    df = spark.createDataFrame(rows, "k long, text string")
+    taken = lambda **kw: sorted((r["k"], len(r["text"])) for r in common.whole_sample(df, F.col("k"), **kw).collect())
+    assert taken(rows=100, size=77) == [(0, 10), (1, 50), (2, 7), (2, 7), (4, 3)]
+    assert taken(rows=3, size=10_000) == [(0, 10), (1, 50), (2, 7), (2, 7)]
+    copies = spark.createDataFrame([(f"text {k % 3}",) for k in range(900)] + [("z" * 500,)], "text string")
+    assert sorted(r["text"] for r in common.whole_sample(copies, F.xxhash64("text"), 100, 100, once=True).collect()) == ["text 0", "text 1", "text 2"]
 
 
 def test_quality_rows(spark):
@@ -177,9 +184,8 @@ def test_quality_learns_from_distinct_texts_beside_many_copies(spark, monkeypatc
 
 def test_quality_without_a_sample(spark):
     texts = spark.createDataFrame([(i, f"some plain words and number {i}" if i % 2 else f"A{i}! | $$ || ## !!") for i in range(80)], "doc_id long, text string")
-    undrawn = texts.where(" AND ".join(f"pmod(xxhash64(text), {s}) <> 0" for s in range(15, 26))).limit(20)
-    rows = quality_em.classify(undrawn, docs=1).collect()
-    assert len(rows) == 20 and all(r["score"] == r["label"] and r["keep"] == (r["label"] >= 0.5) for r in rows)
+    rows = quality_em.classify(texts, docs=0).collect()
+    assert len(rows) == 80 and all(r["score"] == r["label"] and r["keep"] == (r["label"] >= 0.5) for r in rows)
     assert {r["keep"] for r in rows} == {True, False}
 
 
