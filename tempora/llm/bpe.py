@@ -8,7 +8,7 @@ bounded table of those that it has seen: hashes lead to an entry, its bytes deci
 
 Nulls are empty texts. The string of the special token inside a text is that token, as is the
 library's default. Texts and words of any length are encoded whole. Repeated rows and rows without an id are
-encoded each for itself; an empty table gives no rows. Other columns of df pass through; those that have the name
+encoded each for itself; an empty table gives no rows. Of pairs of equal rank, which a word that repeats itself has, the leftmost is merged. Other columns of df pass through; those that have the name
 of an output column don't. Tokenizer files with other settings than plain byte-level BPE are refused.
 """
 

@@ -8,7 +8,9 @@ the mean of its windows' probabilities.
 The network learns on the driver from all windows of a bounded sample of labelled documents (TRAIN_DOCS at most, as many whole
 texts as fit into TRAIN_BYTES); everything else covers all rows. Documents whose crc32 of the id as text leaves 2 modulo 4
 are held out of it, as are rows without an id. Texts that are null or without a letter are `und` with score 0, as is
-everything if there is nothing to learn from. Repeated rows are each returned. An empty table gives no rows.
+everything if there is nothing to learn from. Of languages with equal scores the first in the order of their names counts. Repeated
+rows are each returned. Columns to carry that have the name of an output column aren't carried. A text of any length is whole in one
+task. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,6 +9,8 @@ The likeness of two fingerprints is the share of distinct blocks that both have,
 texts without words and 0 if one has none. Nulls are empty texts. Rows without an id come last in
 order, rows of one id follow each other by a hash of their texts, and rows that repeat id and text are one
 document that is returned as often as it stands. The document after the last is the first; a lone one follows itself.
+A text of any length is whole in one task, as long as its blocks fit there. Other columns, whatever their names, aren't read.
+An empty table gives no rows.
 """
 
 from __future__ import annotations

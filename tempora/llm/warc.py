@@ -12,7 +12,7 @@ record. A file is one gzip member: Spark's writers make no member for each recor
 
 A null html is an empty payload; a null url is written as `-`. A row without page_id is an archive record too, keeps
 a null id, counts as later than all others, and isn't named by a revisit unless all equal ones lack an id. Rows that
-repeat an id are records each; the first of them is the response. White space and control signs in a url, of any
+repeat an id are records each; of equal ones one is the response, whichever, as what is returned is alike. White space and control signs in a url, of any
 script, are written as %20. Payloads of any length are written whole. Other columns, whatever their names, aren't
 read. An empty table gives no records.
 """
