@@ -115,17 +115,18 @@ def behaviour(samples: DataFrame, limits: DataFrame, bin_size: int = BIN, thresh
     return sleep(quiescence(fractions, threshold), sleep_minutes, bin_size)
 
 
-def analyze(samples: DataFrame, method: str = "baseline", *, calibration: DataFrame | None = None, bin_size: int = BIN, threshold: float = QUIET, sleep_minutes: float = SLEEP_MINUTES, detrended: bool = True, store: bool = False, segment: float | None = None, **options) -> dict[str, DataFrame]:
+def analyze(samples: DataFrame, method: str = "baseline", *, calibration: DataFrame | None = None, bin_size: int = BIN, threshold: float = QUIET, sleep_minutes: float = SLEEP_MINUTES, detrended: bool = True, store: bool = False, segment: float | None = None, used: DataFrame | None = None, **options) -> dict[str, DataFrame]:
     """thresholds, samples (as used), states and bins by the method: baseline, adaptive or calibration.
 
     Baseline thresholds come from the series before detrending, adaptive ones from it after; calibration ones from another
     recording, and series without one are left out. Thresholds of (0, 0, 0), where samples are too few, are applied as they are.
     detrended=False takes series as they are. store=True writes states and bins as tables, for callers that read them more than once.
     segment: seconds of the segments that series too long for one task are cut into (see `segments`); the results are the same.
+    used: the series as this method detrends them, where they are at hand.
     """
     from tempora.operators import segments
 
-    flat = (lambda jumps=True: segments.detrend(samples, segment, jumps)) if segment else (lambda jumps=True: preprocess.detrend(samples, jumps))
+    flat = lambda jumps=True: used if used is not None else detrended_for(samples, jumps, segment)
     if method == "baseline":
         limits = thresholds.from_baseline(samples, options.pop("minutes", 200), selected=bool(segment), **options)
         used = flat() if detrended else samples
@@ -145,3 +146,19 @@ def analyze(samples: DataFrame, method: str = "baseline", *, calibration: DataFr
     fractions = segments.movement_fraction(states, bin_size, segment) if segment else movement_fraction(states, bin_size)
     bins = keep(sleep(quiescence(fractions, threshold), sleep_minutes, bin_size))
     return {"thresholds": limits, "samples": used, "states": states, "bins": bins}
+
+
+def detrended_for(samples: DataFrame, jumps: bool = True, segment: float | None = None) -> DataFrame:
+    from tempora.operators import segments
+
+    return segments.detrend(samples, segment, jumps) if segment else preprocess.detrend(samples, jumps)
+
+
+def analyze_all(samples: DataFrame, methods: dict[str, dict], *, segment: float | None = None, **common) -> dict[str, dict[str, DataFrame]]:
+    """analyze by several methods (name to its own options) side by side. Series are detrended once for all methods that take them alike, and kept as a table."""
+    flat: dict[bool, DataFrame] = {}
+    for method in methods:
+        jumps = method != "adaptive"
+        if jumps not in flat:
+            flat[jumps] = stored(detrended_for(samples, jumps, segment))
+    return {method: analyze(samples, method, used=flat[method != "adaptive"], segment=segment, **common, **options) for method, options in methods.items()}

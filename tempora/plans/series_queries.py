@@ -330,6 +330,17 @@ def _(spark, d):
     return by_adaptive(spark, d)["bins"].withColumn("method", F.lit("adaptive")).unionByName(by_calibration(spark, d)["bins"].withColumn("method", F.lit("calibration")))
 
 
+BOTH = pipeline_sql(f"WITH {HALVES}, {LIMITS}," + sql.detrended("s", "q"), "q")
+
+
+@query("e12_methods_side_by_side", f"method {KEY} bin_start:1 fraction:4 sleep:int", f"SELECT 'baseline' AS method, * FROM ({BOTH} SELECT run_id, roi, bin_start, fraction, sleep FROM z) UNION ALL SELECT 'calibration' AS method, * FROM ({E11} SELECT run_id, roi, bin_start, fraction, sleep FROM z)")
+def _(spark, d):
+    target, known = halves(spark, d)
+    found = states.analyze_all(target, {"baseline": {"minutes": MINUTES, "multiplier": MULTIPLIER, "interval": INTERVAL}, "calibration": {"calibration": known, "multiplier": 0.5}}, bin_size=BIN, sleep_minutes=SLEEP)
+    one = lambda m: found[m]["bins"].withColumn("method", F.lit(m))
+    return one("baseline").unionByName(one("calibration"))
+
+
 # The same by scans over segments of time; the SQL is that of the whole series.
 
 
