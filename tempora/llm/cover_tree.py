@@ -299,9 +299,11 @@ def cosine_components(df: DataFrame, cosine: float = 0.95, id: str = "vec_id", v
     rows = df.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
     ok = F.col("vector").isNotNull() & F.col("id").isNotNull() & F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0)
     pair = F.struct(F.xxhash64("vector").alias("a"), F.xxhash64(F.lit(7), "vector").alias("b"), F.size("vector").alias("n"))
-    rows = stored(rows.select("id", "vector", F.when(F.coalesce(ok, F.lit(False)), pair).alias("key")).withColumn("point", F.when(F.col("key").isNotNull(), F.xxhash64("key"))))
-    valid = rows.where("point is not null")
-    points = stored(valid.groupBy("key", "point").agg(F.min("id").alias("least"), F.count("*").alias("weight"), F.first("vector").alias("vector")))
+    rows = stored(rows.select("id", "vector", F.when(F.coalesce(ok, F.lit(False)), pair).alias("key")))
+    valid = rows.where("key is not null")
+    # Equal vectors are one point, by 128 bits and their length; a point's number is its own, not a hash.
+    points = stored(valid.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("weight"), F.first("vector").alias("vector")))
+    points = stored(points.withColumn("point", F.monotonically_increasing_id()))
     sized = points.select(F.col("point").alias("id"), "weight", "vector", F.col("key.n").alias("n"))
     lengths = stored(sized.groupBy("n").agg(F.count("*").alias("points")))
     few = sized.join(lengths.where(F.col("points") <= block).select("n"), "n", "left_semi")
@@ -312,13 +314,14 @@ def cosine_components(df: DataFrame, cosine: float = 0.95, id: str = "vec_id", v
     found = stored(found)
     counts = found.groupBy(F.col("id").alias("point")).agg(F.sum("links").alias("links"))
     # One id may carry several vectors; they are one vertex.
-    many = stored(valid.groupBy("id").agg(F.min("point").alias("low"), F.max("point").alias("high")).where("low < high").select("id", "low"))
-    same = valid.join(many, "id").select(F.col("point").alias("a"), F.col("low").alias("b"))
+    many = valid.groupBy("id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("id")
+    several = stored(valid.select("id", "key").join(many, "id", "left_semi").join(points.select("key", "point"), "key").select("id", "point"))
+    same = several.join(several.groupBy("id").agg(F.min("point").alias("low")), "id").select(F.col("point").alias("a"), F.col("low").alias("b"))
     labels = stored(components(found.select(F.col("id").alias("a"), F.col("other").alias("b")).unionByName(same)).select(F.col("id").alias("point"), "component"))
     least = stored(labels.join(points.select("point", "least"), "point").groupBy("component").agg(F.min("least").alias("component_id")))
-    label = points.select("point", "least", "weight").join(counts, "point", "left").join(labels.join(least, "component").select("point", "component_id"), "point", "left")
-    label = stored(label.select("point", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id")))
-    out = rows.select("id", "point").join(label.hint("shuffle_merge"), "point", "left")
+    label = points.select("key", "point", "least", "weight").join(counts, "point", "left").join(labels.join(least, "component").select("point", "component_id"), "point", "left")
+    label = stored(label.select("key", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id")))
+    out = rows.select("id", "key").join(label.hint("shuffle_merge"), "key", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
