@@ -544,14 +544,14 @@ LABELS = [f"count(*) FILTER (WHERE {kind} = '{q}') AS {kind}_{q}" for kind in ("
 #: Short and long series of runs: users' values, dealt to many short series or flattened by the user's number, so that every rule of the adaptive method meets some run.
 SHORT_SERIES = "CASE WHEN user_id % 7 = 0 AND user_id % 10 = 9 AND event_id % 10 = 0 THEN 1 WHEN user_id % 7 = 6 THEN event_id % 50 WHEN user_id % 7 = 4 AND user_id % 3 = 0 THEN event_id % 20 ELSE 0 END"
 KINDS = f"""s AS (SELECT CAST(user_id % 7 AS VARCHAR) AS run_id, user_id * 100 + {SHORT_SERIES} AS roi, epoch_us(ts) / 1e6 - 1704067200 AS t,
-    CASE user_id % 7 WHEN 0 THEN value WHEN 1 THEN 100 + value / 100 WHEN 2 THEN 40 + value / 10 WHEN 3 THEN value * value WHEN 4 THEN 60 + value / 10 WHEN 5 THEN power(value, 4) ELSE value END AS value, event_id AS tie
+    CASE user_id % 7 WHEN 0 THEN value WHEN 1 THEN 100 + value / 100 WHEN 2 THEN 40 + value / 10 WHEN 3 THEN value * value WHEN 4 THEN 60 + value / 10 WHEN 5 THEN power(value, 4) / 1e6 ELSE value END AS value, event_id AS tie
     FROM events)"""
 
 
 def kinds(spark: SparkSession, d: str) -> DataFrame:
     u = F.col("user_id") % 7
     v = F.col("value")
-    value = F.when(u == 1, 100 + v / 100).when(u == 2, 40 + v / 10).when(u == 3, v * v).when(u == 4, 60 + v / 10).when(u == 5, F.pow(v, F.lit(4.0))).otherwise(v)
+    value = F.when(u == 1, 100 + v / 100).when(u == 2, 40 + v / 10).when(u == 3, v * v).when(u == 4, 60 + v / 10).when(u == 5, F.pow(v, F.lit(4.0)) / 1e6).otherwise(v)
     e = tables.table(spark, d, "events")
     return e.select(u.cast("string").alias("run_id"), (F.col("user_id") * 100 + F.expr(SHORT_SERIES)).alias("roi"), tables.seconds(F.col("ts")).alias("t"), value.alias("value"), F.col("event_id").alias("tie"))
 
