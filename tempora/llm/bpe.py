@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.llm import pretokens
-from tempora.llm.common import binary_array, byte_view, distinct, prefix_sums, range_hash, ranges, read, same_bytes, slices
+from tempora.llm.common import binary_array, byte_view, distinct, give_back, prefix_sums, range_hash, ranges, read, same_bytes, slices
 
 NONE = np.int32(2**31 - 1)
 #: Distinct pre-tokens and their bytes that a worker remembers, and the longest words that matrices hold.
@@ -252,6 +252,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         for batch in batches:
+            give_back()
             for a, b, data, at in slices(batch.column(batch.schema.names.index(text))):
                 flat, ends = encoder.encode(data, at)
                 if layout == "array":

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.llm import bpe, token_counts
-from tempora.llm.common import read, repeated, stored
+from tempora.llm.common import give_back, read, repeated, stored
 
 #: Permitted sequence lengths; pieces in a shard, where they are lengths and where they are tokens.
 CAPACITIES, SHARD_PIECES, TOKEN_SHARD_PIECES = (512, 1024, 2048, 4096), 20_000, 4000
@@ -129,6 +129,7 @@ def _fill_shard(capacities: tuple[int, ...]):
     place = _pack_shard(capacities, ("row",))
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         row = pa.array(np.arange(table.num_rows))
         lengths = table.select(["doc_id", "piece", "start", "length", "shard"])
         packed = place(lengths.append_column("row", row)).sort_by([("bin", "ascending"), ("place", "ascending")])

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm.common import SLICE_BYTES, binary_array, byte_view, mix, prefix_sums, range_hash, ranges, read
+from tempora.llm.common import SLICE_BYTES, binary_array, byte_view, give_back, mix, prefix_sums, range_hash, ranges, read
 
 SPAN, GRAM = 50, 24
 #: Text bytes in a part, messages in a range; text bytes of the sample for each range, which grows with them, and of a piece of it.
@@ -288,6 +288,7 @@ def _packed(n_columns: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
         for batch in batches:
+            give_back()
             part = batch.column(0).to_numpy()
             order = np.argsort(part, kind="stable")
             rows, start = batch.select(range(1, n_columns)).take(pa.array(order)), run_starts(part[order])
@@ -318,6 +319,7 @@ def _answer(resolve, step: int):
     """Answers a range's messages of the step; passes earlier answers on. place then is the range that answered."""
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         rows = list(zip(*(table[c].to_pylist() for c in ("place", "part", "step", "blob")), strict=True))
         ask = [r for r in rows if r[2] == step]
         done = [r for r in rows if r[2] != step]
