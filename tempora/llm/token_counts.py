@@ -2,7 +2,8 @@
 
 One pass gathers the distinct pre-tokens of the corpus and one task each counts their pieces. The most
 frequent of them (at most HEAD rows, whatever the corpus) are broadcast, so no frequent pre-token is a
-join key; all others are joined by a shuffle on the pre-token. No ids are kept.
+join key; all others are joined by a shuffle on the pre-token. A document's own row goes along under a key
+that no other row of its batch has, so copies of a text don't meet in the join. No ids are kept.
 
 Nulls are empty texts with no tokens. Repeated rows are each counted and returned; rows with one id and
 different texts stay apart. Rows without an id are counted like others. Texts and pre-tokens of any length are
@@ -128,10 +129,14 @@ def _head(words: DataFrame, most: int) -> Head:
     return Head(words.where(F.col("total") >= 2**least).select("piece", "pieces").toArrow() if least < 63 else empty)
 
 
-def _row_keys(data: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """A digest of each text. No pre-token begins with these two bytes, as they aren't UTF-8."""
+def _digests(data: np.ndarray, at: np.ndarray) -> list[bytes]:
     raw = memoryview(np.ascontiguousarray(data))
-    return [b"\xff\xff" + hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
+    return [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
+
+
+def _own_keys(digests: list[bytes]) -> pa.Array:
+    """Join keys of documents' own rows, copies of a text under different ones. No pre-token begins with these two bytes, as they aren't UTF-8."""
+    return pa.array([b"\xff\xff" + d[:8] + k.to_bytes(4, "little") for k, d in enumerate(digests)], pa.binary())
 
 
 def _frequencies(path: str, broadcast):
@@ -141,7 +146,8 @@ def _frequencies(path: str, broadcast):
         special, head_words = _special(path), broadcast.value
         for batch in batches:
             for a, b, data, at in slices(batch.column(1)):
-                ids, row_id = batch.column(0).slice(a, b - a), pa.array(_row_keys(data, at), pa.binary())
+                digests = _digests(data, at)
+                ids, row_id = batch.column(0).slice(a, b - a), pa.array(digests, pa.binary())
                 cuts, _ = pretokens.split(data, at, special)
                 start, tail_of, tail_n, tail_start, tail_size = cuts[:-1], *(np.zeros(0, np.int64),) * 4
                 head = np.zeros(len(at) - 1, np.int64)
@@ -162,7 +168,7 @@ def _frequencies(path: str, broadcast):
                     [
                         pa.concat_arrays([ids, ids.take(pa.array(tail_of))]),
                         pa.concat_arrays([row_id, row_id.take(pa.array(tail_of))]),
-                        pa.concat_arrays([row_id, _gather(data, tail_start, tail_size)]),
+                        pa.concat_arrays([_own_keys(digests), _gather(data, tail_start, tail_size)]),
                         pa.array(np.concatenate([np.zeros(n, np.int64), tail_n])),
                         pa.concat_arrays([pa.array(np.diff(at)), pa.nulls(m, pa.int64())]),
                         pa.concat_arrays([pa.array(head), pa.nulls(m, pa.int64())]),

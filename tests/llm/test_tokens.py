@@ -3,8 +3,11 @@
 import hashlib
 import random
 import struct
+from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -75,6 +78,18 @@ def test_counts(spark, library, head):
     assert token_counts.token_counts(df.limit(0), PATH, head=head).count() == 0
 
 
+def test_copies_share_no_join_key(spark, library):
+    texts = [""] * 500 + ["qzxv wkjq"] * 500
+    head = token_counts.Head(pa.table({"piece": pa.array([], pa.binary()), "pieces": pa.array([], pa.int64())}))
+    batch = pa.record_batch({"doc_id": pa.array(range(1000)), "text": texts})
+    rows = pa.Table.from_batches(token_counts._frequencies(PATH, SimpleNamespace(value=head))(iter([batch]))).to_pylist()
+    own = [r["piece"] for r in rows if r["n_bytes"] is not None]
+    assert len(own) == len(set(own)) == 1000 and not set(own) & {r["piece"] for r in rows if r["n_bytes"] is None}
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(3)
+    got = Counter(r["n_tokens"] for r in token_counts.token_counts(df, PATH, head=0).collect())
+    assert got == {0: 500, len(library.encode("qzxv wkjq", add_special_tokens=False).ids): 500}
+
+
 def test_query_on_tables(spark, small, library):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     for r in token_counts.op4_token_counts(spark, small).collect():
@@ -101,7 +116,6 @@ def test_words_that_simple_hashes_mistake(spark, library):
 
 @pytest.mark.parametrize("kinds", [1, 7])
 def test_equal_hashes_of_different_words(library, monkeypatch, kinds):
-    import pyarrow as pa
 
     weak = lambda sums, start, end: ((end - start) % kinds).astype(np.uint64)
     monkeypatch.setattr(bpe, "range_hash", weak)
