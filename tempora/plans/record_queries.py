@@ -500,8 +500,9 @@ def _(spark, d):
 
 
 def stream_of(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table's files as a stream. The pattern names the table alone, whether it is one file, which a stream doesn't take by its own path, or a folder of files."""
     schema = tables.table(spark, d, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    return spark.readStream.schema(schema).parquet(f"{d}/{name}.parque[t]")
 
 
 @query("k1_streamed_activity", "run_id roi:int t:3 value:5", f"WITH {PIXELS}, {MASKS}, df AS (SELECT run_id, px, frame_idx, lead(v) OVER (PARTITION BY px ORDER BY frame_idx) - v AS delta, row_number() OVER (PARTITION BY px ORDER BY frame_idx) - 1 AS i FROM px) SELECT run_id, roi, i * 5.0 AS t, sum(abs(delta)) AS value FROM df JOIN mk USING (run_id, px) WHERE delta IS NOT NULL GROUP BY run_id, roi, i")
