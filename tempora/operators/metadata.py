@@ -246,8 +246,12 @@ def parameter_inventory(meta: DataFrame) -> DataFrame:
 
     meta: run_id, param, idx, value and, where parameters may be text, text.
     """
-    kind = F.when(F.col("text").isNotNull(), "str").when(F.col("value").isNotNull(), "float").otherwise("empty") if "text" in meta.columns else F.when(F.col("value").isNotNull(), "float").otherwise("empty")
+    # Kinds meet as numbers, whose width is fixed, so that they are aggregated before the shuffle without a sort of all rows.
+    kinds = ("empty", "float", "str")
+    number = F.when(F.col("value").isNotNull(), 1).otherwise(0)
+    kind = F.when(F.col("text").isNotNull(), 2).otherwise(number) if "text" in meta.columns else number
     m = meta.where(~F.col("param").startswith("_")).groupBy("run_id", "param").agg(F.count("*").alias("n"), F.min_by(kind, "idx").alias("kind"))
+    m = m.withColumn("kind", F.element_at(F.array(*map(F.lit, kinds)), F.col("kind") + 1))
     listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("param", c.alias("x")))), lambda p: p["x"]), ",")
     return m.groupBy("run_id").agg(F.count("*").alias("params"), listed(F.col("param")).alias("names"), listed(F.concat_ws(":", "param", "kind")).alias("data_types"), F.max("n").alias("longest"))
 
