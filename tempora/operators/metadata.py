@@ -205,13 +205,17 @@ def legacy_check(attributes: DataFrame) -> DataFrame:
     file_version (missing: 1.0) below 2.2 or unreadable; structure other than timeseries_only; and, of a file with time series (timeseries is true): drifts (frame_drift is true) without
     units or display_hint, no or a false expected_intervals_fixed, no unit_standard.
     """
-    wanted = ["file_version", "structure", "timeseries", "frame_drift", "units", "display_hint", "expected_intervals_fixed", "unit_standard"]
-    a = attributes.groupBy("run_id").pivot("parameter", wanted).agg(F.first("value", True))
-    true = lambda c: F.coalesce(F.lower(c).isin("true", "1"), F.lit(False))
-    series = true("timeseries")
+    value, of = F.col("value"), lambda c: F.col("parameter") == c
+    # A run's attributes meet as flags of fixed width, which are summed before the shuffle; its texts aren't kept.
+    first = lambda c, flag: F.first(F.when(of(c) & value.isNotNull(), flag), True)
+    true = {c: first(c, F.lower(value).isin("true", "1")) for c in ("timeseries", "frame_drift", "expected_intervals_fixed")}
+    there = {c: F.max(of(c) & value.isNotNull()) for c in ("units", "display_hint", "unit_standard")}
+    new = first("file_version", F.coalesce(value.try_cast("double") >= 2.2, F.lit(False)))
+    a = attributes.groupBy("run_id").agg(*(F.coalesce(f, F.lit(False)).alias(c) for c, f in {**true, **there, "new": new, "structure": first("structure", value == "timeseries_only")}.items()))
+    series = F.col("timeseries")
     reasons = {
-        "old_version": ~F.coalesce(F.coalesce("file_version", F.lit("1.0")).try_cast("double") >= 2.2, F.lit(False)), "no_units": series & true("frame_drift") & (F.col("units").isNull() | F.col("display_hint").isNull()),
-        "intervals_not_fixed": series & ~true("expected_intervals_fixed"), "no_standard": series & F.col("unit_standard").isNull(), "other_structure": ~F.coalesce(F.col("structure") == "timeseries_only", F.lit(False)),
+        "old_version": ~F.col("new"), "no_units": series & F.col("frame_drift") & ~(F.col("units") & F.col("display_hint")), "intervals_not_fixed": series & ~F.col("expected_intervals_fixed"),
+        "no_standard": series & ~F.col("unit_standard"), "other_structure": ~F.col("structure"),
     }
     any_ = None
     for c in reasons.values():
