@@ -112,3 +112,37 @@ def test_the_model_is_the_same_each_time(spark, small):
     docs, labels = (spark.read.parquet(f"{small.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     (a, x), (b, y) = isolation.learn(docs, labels), isolation.learn(docs.repartition(7), labels.repartition(3))
     assert x == y and np.array_equal(a.split, b.split)
+
+
+@pytest.fixture(scope="module")
+def many_labelled(spark):
+    """12,000 labelled texts, more than were once learnt from; a good one in three hundred and most bad ones look odd."""
+    rnd = random.Random(5)
+    rows = []
+    for i in range(12_000):
+        good, odd = i % 4 > 0, rnd.random() < (0.003 if i % 4 else 0.9)
+        rows.append((i, " ".join("".join(rnd.choice("abcdefgh" if not odd else "#*$%12A|") for _ in range(rnd.randint(2, 9))) for _ in range(rnd.randint(12, 99))), int(good)))
+    return spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(4).cache()
+
+
+def test_forest_and_threshold_come_from_all_labelled_rows(spark, many_labelled):
+    docs, labels = many_labelled.select("doc_id", "text"), many_labelled.select("doc_id", "quality")
+    forest, limit = isolation.learn(docs, labels)
+    seen, good = zip(*((isolation.statistics(np.frombuffer(r["text"].encode(), np.uint8), np.array([0, len(r["text"].encode())]))[1][0], r["quality"] > 0) for r in many_labelled.collect()), strict=True)
+    met = isolation.labelled(isolation.measured(docs), labels).collect()
+    digest = {tuple(r["seen"]): r["digest"] for r in met}
+    assert len(met) == len(set(map(tuple, seen))) > 8_000
+    rest = sorted({(tuple(s), g) for s, g in zip(seen, good, strict=True) if digest[tuple(s)] % 2 == 0})
+    assert limit == isolation.threshold(forest.score(np.array([s for s, _ in rest])), np.array([g for _, g in rest]))
+    numbers = spark.createDataFrame([(r["digest"], r["seen"]) for r in met if r["digest"] % 2], "digest long, seen array<double>")
+    drawn = numbers.mapInArrow(isolation._draws((1 << 64) - 1, 3), "tree int, number long, seen array<double>")
+    assert [r["count"] for r in drawn.groupBy("tree").count().collect()] == [numbers.count()] * 3
+    assert forest.split.shape == (isolation.TREES, 512) and forest.sample == isolation.LEAF_SAMPLE
+
+
+def test_threshold_of_a_table(spark):
+    rnd = random.Random(7)
+    for n, kinds in ((1, "g"), (40, "gb"), (3000, "gb"), (500, "b")):
+        rows = [(round(rnd.random(), 3 if n > 100 else 9), k == "g", k == "b") for k in (rnd.choice(kinds) for _ in range(n))]
+        want = isolation.threshold(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), 0.2)
+        assert isolation.settled(spark.createDataFrame(rows, "score double, good boolean, bad boolean"), 0.2) == want
